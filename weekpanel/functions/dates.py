@@ -12,6 +12,15 @@ from weekpanel.schemas import DATE_FORMATS
 DAYFIRST_FALLBACKS = ["d/M/yyyy H:m", "d-M-yyyy H:m:s", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d H:m:s", "yyyy-M-d"]
 
 
+def parse_sql(expr: str, fmt: str | None, dtype: T.DataType | None = None) -> str:
+    """SQL text parsing ``expr`` with one format (typed dates pass through)."""
+    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return f"CAST({expr} AS TIMESTAMP_NTZ)"
+    if fmt is None:
+        return "CAST(NULL AS TIMESTAMP_NTZ)"
+    return f"CAST(try_to_timestamp(CAST({expr} AS STRING), '{fmt}') AS TIMESTAMP_NTZ)"
+
+
 def parse_with(c: Column | str, fmt: str) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     return F.try_to_timestamp(col.cast("string"), F.lit(fmt)).cast(T.TimestampNTZType())
@@ -31,19 +40,39 @@ def choose_format(df: DataFrame, col: str, formats: list[str] | None = None) ->
     return None
 
 
+def choose_formats(columns: list[tuple[DataFrame, str]], formats: list[str] | None = None) -> list[str | None]:
+    """:func:`choose_format` for several tables in ONE job: the time columns are
+    tagged, stacked and counted per (table, format) by a single aggregate."""
+    formats = formats or DATE_FORMATS
+    if not columns:
+        return []
+    tagged = [df.select(F.lit(i).alias("t"), F.col(c).cast("string").alias("v")) for i, (df, c) in enumerate(columns)]
+    stacked = tagged[0]
+    for t in tagged[1:]:
+        stacked = stacked.unionByName(t)
+    counts = stacked.groupBy("t").agg(*[F.count(parse_with("v", f)).alias(f"n{j}") for j, f in enumerate(formats)])
+    by_table = {r["t"]: r for r in counts.collect()}  # one row per table
+    out = []
+    for i in range(len(columns)):
+        r = by_table.get(i)
+        out.append(next((f for j, f in enumerate(formats) if r is not None and r[f"n{j}"] > 0), None))
+    return out
+
+
 def parse_dates_column(
     df: DataFrame,
     col: str,
     formats: list[str] | None = None,
     per_row: bool = False,
     infer: bool = False,
+    chosen: str | None = None,
 ) -> Column:
     """Expression for the parsed timestamp of ``df[col]``.
 
     Already typed dates/timestamps pass through.  Text: with ``per_row`` each
     row tries the formats in order (``coalesce``); otherwise one format is
     chosen for the whole table (:func:`choose_format`) and rows in any other
-    format become NULL.  ``infer`` adds day-first fallbacks when no listed
+    format become NULL (pass ``chosen`` when it is already known).  ``infer`` adds day-first fallbacks when no listed
     format matches anything.
     """
     dtype = df.schema[col].dataType
@@ -52,7 +81,7 @@ def parse_dates_column(
     formats = list(formats or DATE_FORMATS)
     if per_row:
         return F.coalesce(*[parse_with(col, f) for f in formats + (DAYFIRST_FALLBACKS if infer else [])])
-    chosen = choose_format(df, col, formats)
+    chosen = chosen or choose_format(df, col, formats)
     if chosen is None and infer:
         return F.coalesce(*[parse_with(col, f) for f in DAYFIRST_FALLBACKS])
     if chosen is None:

@@ -28,6 +28,17 @@ def coerce_double(c: Column | str, dtype: T.DataType | None = None) -> Column:
     return F.nanvl(num, F.lit(None).cast("double"))
 
 
+def sql_ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def coerce_double_sql(expr: str) -> str:
+    """SQL text of :func:`coerce_double` for a text expression (one parser call
+    instead of a tree of Column calls)."""
+    pattern = NUMBER_PATTERN.replace("\\", "\\\\")
+    return f"nanvl(CASE WHEN CAST({expr} AS STRING) RLIKE '{pattern}' THEN try_cast(trim(CAST({expr} AS STRING)) AS DOUBLE) END, CAST(NULL AS DOUBLE))"
+
+
 def rint2(c: Column | str) -> Column:
     """Round half-to-even on the binary value to 2 decimals, like numpy's ``round(x, 2)``."""
     col = F.col(c) if isinstance(c, str) else c

@@ -1,61 +1,73 @@
-"""Daily sheets: parse, coerce, stack two parts, keep the first row per date, mean temperature.
+"""Daily sheets: parse, coerce, stack the parts, keep the first row per date, mean temperature.
 
 A sheet is a wide DataFrame whose FIRST column is the time text and whose
 other columns are stations (header text, units included).  Optional reserved
 columns ``variable``, ``part`` and ``src_row`` are carried through; ``src_row``
 is the row's position in its file and decides which duplicate date is kept.
+
+The combine is long-first.  Each sheet is unpivoted once into cells
+``(variable, part, row, date, station, text)`` -- with a NULL cell for every
+station of the variable that its part lacks, exactly what stacking the parts
+by column name produces.  One aggregate then keeps, per
+``(variable, date, station)``, the cell of the first row (earlier part, then
+file order): ``min_by(value, (part, row))``.  It is partially aggregated
+map-side, so a date repeated in a third of all rows is reduced before the
+shuffle.  The result is dense: every kept date has a cell for every station
+of its variable, which later makes weekly rows dense too.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weekpanel.functions.dates import parse_dates_column
-from weekpanel.functions.numeric import coerce_double
-from weekpanel.operators.clean import keep_first, trim_columns
+from weekpanel.functions.dates import choose_formats, parse_dates_column, parse_sql
+from weekpanel.functions.numeric import coerce_double, coerce_double_sql, sql_ident
+from weekpanel.operators.clean import trim_columns
 from weekpanel.operators.util import qcol, with_row_position
 from weekpanel.schemas import META_COLUMNS
 
+_INTERNAL = ("date", "_part", "_row", "_variable")
+CELLS = "variable string, station string, date timestamp_ntz, value double"
+
 
 def station_columns(sheet: DataFrame) -> list[str]:
     """Station headers of a sheet: every column after the first, minus reserved ones."""
-    return [c for c in sheet.columns[1:] if c not in META_COLUMNS and c not in ("date", "_part", "_row")]
+    return [c for c in sheet.columns[1:] if c not in META_COLUMNS and c not in _INTERNAL]
 
 
-def parse_dates(sheet: DataFrame, formats: list[str] | None = None, per_row: bool = False, infer: bool = False) -> DataFrame:
+def parse_dates(sheet: DataFrame, formats: list[str] | None = None, per_row: bool = False, infer: bool = False,
+                chosen: str | None = None) -> DataFrame:
     """Add ``date`` (TIMESTAMP_NTZ) parsed from the first column; keep all rows.
 
     The format is chosen once for the whole sheet (one small aggregate job)
-    unless ``per_row``.
+    unless ``per_row`` or ``chosen`` is given.
     """
     time_col = sheet.columns[0]
-    return sheet.withColumn("date", parse_dates_column(sheet, time_col, formats, per_row=per_row, infer=infer))
+    col = parse_dates_column(sheet, time_col, formats, per_row=per_row, infer=infer, chosen=chosen)
+    return sheet.withColumn("date", col)
 
 
-def drop_invalid_dates(sheet: DataFrame, name: str = "dropped_dates") -> DataFrame:
-    """Keep rows with a parsed ``date``; the number dropped is an observed metric
-    (read it with ``pyspark.sql.Observation``), so no extra job is run."""
+def drop_invalid_dates(sheet: DataFrame) -> DataFrame:
+    """Keep rows with a parsed ``date``."""
     return sheet.filter(F.col("date").isNotNull())
 
 
-def prepare_part(sheet: DataFrame, part: int, trim: bool = True, formats: list[str] | None = None) -> DataFrame:
-    """Trim headers, parse time, drop invalid dates, coerce station cells to DOUBLE.
-
-    Output: ``date, _part, _row, <stations...>``.  ``_row`` is ``src_row`` when
-    the sheet carries it, else a monotonically increasing id (file order within
-    a split; correct for sheets read as one split per file).
-    """
+def prepare_part(sheet: DataFrame, part: int, trim: bool = True, formats: list[str] | None = None,
+                 chosen: str | None = None) -> DataFrame:
+    """Wide form of one part: trim headers, parse time, drop invalid dates,
+    coerce stations to DOUBLE -> ``date, _part, _row, <stations...>``."""
     if trim:
         sheet = trim_columns(sheet)
     stations = station_columns(sheet)
-    dated = parse_dates(sheet, formats)
-    row = F.col("src_row").cast("long") if "src_row" in sheet.columns else F.monotonically_increasing_id()
+    dated = parse_dates(sheet, formats, chosen=chosen)
+    row = F.col("src_row") if "src_row" in sheet.columns else F.monotonically_increasing_id()
     types = {f.name: f.dataType for f in sheet.schema.fields}
     return drop_invalid_dates(dated).select(
-        F.col("date"),
-        F.lit(part).cast("int").alias("_part"),
-        row.alias("_row"),
+        F.col("date"), F.lit(part).cast("int").alias("_part"), row.alias("_row"),
         *[coerce_double(qcol(s), types[s]).alias(s) for s in stations],
     )
 
@@ -68,23 +80,124 @@ def union_parts(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def sheet_cells(sheet: DataFrame, variable: str, part: int, stations: list[str], fmt: str | None) -> DataFrame:
+    """One (trimmed) sheet -> ``(_variable, _part, _row, date, station, text)``.
+
+    ``stations`` is the variable's full station list; columns this part lacks
+    become NULL cells.  Rows whose time does not parse with ``fmt`` are
+    dropped.  Built from SQL text: one projection and one unpivot per sheet.
+    """
+    time_col = sheet.columns[0]
+    types = {f.name: f.dataType for f in sheet.schema.fields}
+    own = set(station_columns(sheet))
+    row = "src_row" if "src_row" in sheet.columns else "monotonically_increasing_id()"
+    exprs = [
+        f"'{variable}' AS _variable",
+        f"{part} AS _part",
+        f"{row} AS _row",
+        parse_sql(sql_ident(time_col), fmt, types[time_col]) + " AS date",
+    ] + [
+        (f"CAST({sql_ident(s)} AS STRING)" if s in own else "CAST(NULL AS STRING)") + f" AS {sql_ident(s)}"
+        for s in stations
+    ]
+    rows = sheet.selectExpr(*exprs).where("date IS NOT NULL")
+    return rows.unpivot(["_variable", "_part", "_row", "date"], [qcol(s) for s in stations], "station", "text")
+
+
+@dataclass
+class Combined:
+    """Combined daily cells of every variable, plus each variable's stations.
+
+    ``cells``: ``(variable, station, date, value)``, dense per variable.
+    """
+
+    cells: DataFrame
+    stations: dict[str, list[str]]
+
+    def long(self, variables: list[str] | None = None) -> DataFrame:
+        if variables is None:
+            return self.cells
+        return self.cells.filter(F.col("variable").isin(variables))
+
+    def wide(self, variable: str) -> DataFrame:
+        """``date, <stations>`` of one variable (a pivot with a fixed value list)."""
+        stations = self.stations[variable]
+        one = self.cells.filter(F.col("variable") == variable)
+        if not stations:
+            return one.select("date").distinct()
+        return one.groupBy("date").pivot("station", stations).agg(F.first("value"))
+
+
+def combine_many(sheets: dict[str, list[DataFrame]], trim: bool = True, formats: list[str] | None = None) -> Combined:
+    """Combine the parts of every variable: one format probe, one aggregate.
+
+    parse -> drop invalid dates -> cells over the union of the parts'
+    columns -> coerce -> keep the first row's cell per (variable, date,
+    station).  On a date present in several parts, stations that only a
+    later part has become NULL: the whole first row wins.
+    """
+    items = [(v, i + 1, trim_columns(s) if trim else s) for v, parts in sheets.items() for i, s in enumerate(parts)]
+    stations: dict[str, list[str]] = {}
+    for v, _, s in items:
+        for c in station_columns(s):
+            if c not in stations.setdefault(v, []):
+                stations[v].append(c)
+    with_cols = [(v, p, s) for v, p, s in items if stations.get(v)]
+    if not with_cols:
+        spark = items[0][2].sparkSession if items else None
+        return Combined(spark.createDataFrame([], CELLS), stations)
+    chosen = choose_formats([(s, s.columns[0]) for _, _, s in with_cols], formats)
+    cells = [sheet_cells(s, v, p, stations[v], f) for (v, p, s), f in zip(with_cols, chosen)]
+    stacked = cells[0]
+    for c in cells[1:]:
+        stacked = stacked.unionByName(c)
+    valued = stacked.selectExpr("_variable", "_part", "_row", "date", "station", coerce_double_sql("text") + " AS value")
+    first = valued.groupBy("_variable", "date", "station").agg(
+        F.min_by("value", F.struct("_part", "_row")).alias("value")
+    )
+    return Combined(first.select(F.col("_variable").alias("variable"), "station", "date", "value"), stations)
+
+
 def combine_parts(*sheets: DataFrame, trim: bool = True, formats: list[str] | None = None) -> DataFrame:
-    """Combine the parts of one variable into one wide daily table.
+    """One variable's parts -> wide ``date, <stations...>`` (see :func:`combine_many`)."""
+    return combine_many({"_": list(sheets)}, trim=trim, formats=formats).wide("_")
+
+
+def zip_dates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pair the i-th date of ``left`` with the i-th date of ``right``, both in
+    date order: ``(date, other_date)``; ``other_date`` is NULL past the end
+    of ``right``.  Both sides get positions in one plan."""
+    both = left.select(F.lit(0).alias("__side"), "date").unionByName(right.select(F.lit(1).alias("__side"), "date"))
+    pos = with_row_position(both, "date", "__pos", partition=["__side"])
+    pairs = pos.groupBy("__pos").agg(
+        F.max(F.when(F.col("__side") == 0, F.col("date"))).alias("date"),
+        F.max(F.when(F.col("__side") == 1, F.col("date"))).alias("other_date"),
+    )
+    return pairs.filter(F.col("date").isNotNull()).select("date", "other_date")
+
 
-    parse -> coerce -> drop invalid dates -> stack (union of columns) ->
-    keep the first row of every date (earlier part first, then file order).
-    On a date present in several parts, stations that only the later part has
-    become NULL: the whole first row wins.  Output ``date, <stations...>``,
-    unordered (sort only for output).
+def mean_temperature_cells(tmax: DataFrame, tmin: DataFrame, min_stations: list[str], align: str = "position") -> DataFrame:
+    """Long form of :func:`mean_temperature` on cells ``(station, date, value)``.
+
+    ``min_stations``: the stations the min table has; others fall back to
+    the max value.  Output ``(station, date, value)`` on the max table's dates.
     """
-    prepared = [prepare_part(s, i + 1, trim=trim, formats=formats) for i, s in enumerate(sheets)]
-    stacked = union_parts(*prepared)
-    first = keep_first(stacked, ["date"], ["_part", "_row"])
-    return first.drop("_part", "_row")
+    if align == "position":
+        pairs = zip_dates(tmax.select("date").distinct(), tmin.select("date").distinct())
+    elif align == "date":
+        pairs = tmax.select("date").distinct().withColumn("other_date", F.col("date"))
+    else:
+        raise ValueError(f"align must be 'position' or 'date', not {align!r}")
+    hi = tmax.select("station", "date", F.col("value").alias("__max")).join(pairs, "date")
+    lo = tmin.select("station", F.col("date").alias("other_date"), F.col("value").alias("__min"))
+    j = hi.join(lo, ["other_date", "station"], "left")
+    has_min = F.col("station").isin(min_stations) if min_stations else F.lit(False)
+    value = F.when(has_min, (F.col("__max") + F.col("__min")) / 2).otherwise(F.col("__max"))
+    return j.select("station", "date", value.alias("value"))
 
 
 def mean_temperature(tmax: DataFrame, tmin: DataFrame, align: str = "position") -> DataFrame:
-    """``(max + min) / 2`` per station of ``tmax``.
+    """``(max + min) / 2`` per station of a wide ``tmax`` (``date, <stations>``).
 
     ``align='position'`` pairs the i-th date of each side (both in date
     order), as a zip of two sorted tables does; ``align='date'`` pairs equal
@@ -95,29 +208,27 @@ def mean_temperature(tmax: DataFrame, tmin: DataFrame, align: str = "position")
     stations = [c for c in tmax.columns if c != "date"]
     min_stations = set(c for c in tmin.columns if c != "date")
     shared = [s for s in stations if s in min_stations]
-    right = tmin.select("date", *[qcol(s).alias(f"__min_{i}") for i, s in enumerate(shared)])
+    right = tmin.select(F.col("date").alias("__min_date"), *[qcol(s).alias(f"__min_{i}") for i, s in enumerate(shared)])
     if align == "position":
-        left = with_row_position(tmax, "date", "__pos")
-        right = with_row_position(right, "date", "__pos").drop("date")
-        joined = left.join(right, "__pos", "left")
+        pairs = zip_dates(tmax, tmin).withColumnRenamed("other_date", "__min_date")
+        left = tmax.join(pairs, "date", "left")
     elif align == "date":
-        joined = tmax.join(right, "date", "left")
+        left = tmax.withColumn("__min_date", F.col("date"))
     else:
         raise ValueError(f"align must be 'position' or 'date', not {align!r}")
+    joined = left.join(right, "__min_date", "left")
     idx = {s: i for i, s in enumerate(shared)}
-    cols = [
-        ((qcol(s) + F.col(f"__min_{idx[s]}")) / 2).alias(s) if s in idx else qcol(s).alias(s) for s in stations
-    ]
+    cols = [((qcol(s) + F.col(f"__min_{idx[s]}")) / 2).alias(s) if s in idx else qcol(s).alias(s) for s in stations]
     return joined.select("date", *cols)
 
 
 def to_long(wide: DataFrame, variable: str) -> DataFrame:
-    """Wide daily table -> ``(variable, station, date, value)``; NULL cells are kept,
-    so every kept date has a row for every station of the variable."""
+    """Wide daily table -> ``(variable, station, date, value)``; NULL cells are kept."""
     stations = [c for c in wide.columns if c != "date"]
     if not stations:
-        return wide.select(
-            F.lit(variable).alias("variable"), F.lit(None).cast("string").alias("station"), "date", F.lit(None).cast("double").alias("value")
-        ).limit(0)
+        return wide.sparkSession.createDataFrame([], CELLS)
     long = wide.unpivot(["date"], [qcol(s) for s in stations], "station", "value")
     return long.select(F.lit(variable).alias("variable"), "station", "date", F.col("value").cast("double").alias("value"))
+
+
+__all__ = ["Combined", "combine_many", "combine_parts", "mean_temperature", "mean_temperature_cells", "to_long", "T"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekpanel.operators.clean import standardize_names
-from weekpanel.operators.combine import combine_parts, mean_temperature, to_long
+from weekpanel.operators.combine import Combined, combine_many, mean_temperature_cells
 from weekpanel.operators.features import lag_features, prepare_mapping
 from weekpanel.operators.panel import complete_panel, integrate_panel, year_range
 from weekpanel.operators.rollup import merge_districts, weekly_rollup
@@ -42,23 +42,42 @@ def base_panel(inputs: Inputs) -> DataFrame:
     return complete_panel(clean_cases(inputs), lo, hi)
 
 
-def combined_sheets(inputs: Inputs, align: str = "position") -> dict[str, DataFrame]:
-    combined = {v: combine_parts(*inputs.sheets[v]) for v in SHEET_VARIABLES if v in inputs.sheets}
-    if "temp_max" in combined and "temp_min" in combined:
-        combined["temp"] = mean_temperature(combined["temp_max"], combined["temp_min"], align=align)
-    return combined
+def combine_inputs(inputs: Inputs, materialize: bool = True) -> Combined:
+    """All sheets combined by one aggregate; the dense cells are written once
+    to the checkpoint folder (``materialize``) so that every variable, the
+    mean temperature and the weekly rollup read one small table instead of
+    re-running the combine."""
+    from weekpanel.session import materialize as write_read
 
+    c = combine_many({v: inputs.sheets[v] for v in SHEET_VARIABLES if v in inputs.sheets})
+    return Combined(write_read(c.cells, "combined"), c.stations) if materialize else c
 
-def observations(inputs: Inputs, align: str = "position") -> DataFrame:
-    """All variables as one long daily table ``(variable, station, date, value)``."""
-    combined = combined_sheets(inputs, align)
-    longs = [to_long(df, v) for v, df in combined.items()]
-    out = longs[0]
-    for df in longs[1:]:
-        out = out.unionByName(df)
+
+def mean_of(c: Combined, align: str = "position") -> DataFrame | None:
+    """Mean temperature cells ``(variable='temp', station, date, value)``."""
+    if c.stations.get("temp_max") and "temp_min" in c.stations:
+        m = mean_temperature_cells(c.long(["temp_max"]), c.long(["temp_min"]), c.stations["temp_min"], align)
+        return m.select(F.lit("temp").alias("variable"), "station", "date", "value")
+    return None
+
+
+def combined_sheets(inputs: Inputs, align: str = "position", combined: Combined | None = None) -> dict[str, DataFrame]:
+    """variable -> combined wide daily table, ``temp`` (the mean) included."""
+    c = combined or combine_inputs(inputs)
+    out = {v: c.wide(v) for v in c.stations}
+    mean = mean_of(c, align)
+    if mean is not None:
+        out["temp"] = Combined(mean, {"temp": c.stations["temp_max"]}).wide("temp")
     return out
 
 
+def observations(inputs: Inputs, align: str = "position", combined: Combined | None = None) -> DataFrame:
+    """All variables as one long daily table ``(variable, station, date, value)``."""
+    c = combined or combine_inputs(inputs)
+    mean = mean_of(c, align)
+    return c.long().unionByName(mean) if mean is not None else c.long()
+
+
 def weekly(inputs: Inputs, align: str = "position") -> DataFrame:
     return weekly_rollup(observations(inputs, align))
 

@@ -63,19 +63,16 @@ def _wide(spark, sf):
     return _memo(spark, sf, "cases_wide", lambda: standin.cases_wide(spark, sf, _nations(spark, sf)))
 
 
+def _comb(spark, sf):
+    return _memo(spark, sf, "comb", lambda: I.combine_inputs(_inputs(spark, sf)))
+
+
 def _combined(spark, sf):
-    return _memo(spark, sf, "combined", lambda: I.combined_sheets(_inputs(spark, sf)))
+    return _memo(spark, sf, "combined", lambda: I.combined_sheets(_inputs(spark, sf), combined=_comb(spark, sf)))
 
 
 def _obs(spark, sf):
-    def make():
-        longs = [to_long(df, v) for v, df in _combined(spark, sf).items()]
-        out = longs[0]
-        for df in longs[1:]:
-            out = out.unionByName(df)
-        return out
-
-    return _memo(spark, sf, "obs", make)
+    return _memo(spark, sf, "obs", lambda: I.observations(_inputs(spark, sf), combined=_comb(spark, sf)))
 
 
 def _weekly(spark, sf):
@@ -204,10 +201,22 @@ def q_complete_panel(spark, sf):
     return complete_panel(I.clean_cases(inp), lo, hi)
 
 
+def _trimmed(spark, sf):
+    """(variable, part, trimmed sheet, chosen time format) -- formats probed in one job."""
+    def make():
+        from weekpanel.functions.dates import choose_formats
+
+        items = [(v, p, trim_columns(sh)) for v, p, sh in _sheets(spark, sf)]
+        chosen = choose_formats([(t, t.columns[0]) for _, _, t in items])
+        return [(v, p, t, f) for (v, p, t), f in zip(items, chosen)]
+
+    return _memo(spark, sf, "trimmed", make)
+
+
 def q_parse_dates(spark, sf):
     out = []
-    for v, p, sh in _sheets(spark, sf):
-        t = parse_dates(trim_columns(sh))
+    for v, p, sh, f in _trimmed(spark, sf):
+        t = parse_dates(sh, chosen=f)
         out.append(
             t.select(F.lit(v).alias("variable"), F.lit(p).alias("part"), "src_row",
                      qcol(t.columns[0]).alias("time_text"), _ts("date").alias("date"))
@@ -233,8 +242,10 @@ def q_coerce_numeric(spark, sf):
 
 
 def _prepared(spark, sf):
-    inp = _inputs(spark, sf)
-    return {v: [prepare_part(sh, i + 1) for i, sh in enumerate(parts)] for v, parts in inp.sheets.items()}
+    out: dict = {}
+    for v, p, sh, f in _trimmed(spark, sf):
+        out.setdefault(v, []).append(prepare_part(sh, p, trim=False, chosen=f))
+    return out
 
 
 def q_union_parts(spark, sf):
@@ -254,18 +265,22 @@ def q_dedup_dates(spark, sf):
 
 
 def q_combine_parts(spark, sf):
-    c = _combined(spark, sf)
-    long = _union([to_long(c[v], v) for v in I.SHEET_VARIABLES])
+    long = _comb(spark, sf).long()
     return long.select("variable", _ts("date").alias("date"), "station", "value")
 
 
 def q_mean_temperature(spark, sf):
-    return to_long(_combined(spark, sf)["temp"], "temp").select(_ts("date").alias("date"), "station", "value")
+    return I.mean_of(_comb(spark, sf)).select(_ts("date").alias("date"), "station", "value")
 
 
 def q_mean_temperature_date(spark, sf):
-    c = _combined(spark, sf)
-    m = mean_temperature(c["temp_max"], c["temp_min"], align="date")
+    return I.mean_of(_comb(spark, sf), align="date").select(_ts("date").alias("date"), "station", "value")
+
+
+def q_mean_temperature_zip(spark, sf):
+    """The wide form: a zip of the two combined wide tables by row position."""
+    c = _comb(spark, sf)
+    m = mean_temperature(c.wide("temp_max"), c.wide("temp_min"), align="position")
     return to_long(m, "temp").select(_ts("date").alias("date"), "station", "value")
 
 
@@ -653,6 +668,7 @@ FROM u""",
     "dedup_dates": _SHEETS + f"SELECT variable, {_TS.format('date')} AS date, part, src_row FROM first_rows",
     "combine_parts": _SHEETS + f"SELECT variable, {_TS.format('date')} AS date, station, value FROM cells",
     "mean_temperature": S.with_ctes(S.NATIONS, S.WEATHER, S.MEAN_TEMP) + f"SELECT {_TS.format('date')} AS date, station, value FROM temp_cells",
+    "mean_temperature_zip": S.with_ctes(S.NATIONS, S.WEATHER, S.MEAN_TEMP) + f"SELECT {_TS.format('date')} AS date, station, value FROM temp_cells",
     "mean_temperature_date": _SHEETS + f"""
 SELECT {_TS.format('c1.date')} AS date, c1.station, (c1.value + c2.value) / 2 AS value
 FROM cells c1 LEFT JOIN cells c2 ON c2.variable = 'temp_min' AND c2.date = c1.date AND c2.station = c1.station

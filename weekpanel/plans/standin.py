@@ -83,11 +83,9 @@ def nation_dimension(spark: SparkSession, sf_dir: str) -> list[Nation]:
 
 
 def _persist(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint under ``spark.checkpoint.dir``."""
-    from weekpanel.session import ensure_checkpoint_dir
+    from weekpanel.session import materialize
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df, "standin")
 
 
 def period_text(d) -> F.Column:
@@ -145,23 +143,22 @@ def daily_wide(spark: SparkSession, sf_dir: str, nations: list[Nation] | None =
     return _persist(wide) if persist else wide
 
 
-def _cell_text(variable: str, part: int, metric) -> F.Column:
-    d = F.col("d")
-    text = metric.cast("string")
+def _cell_sql(variable: str, part: int, metric: str) -> str:
+    """SQL text of one landed cell (fixture dirt included)."""
+    m = f"`{metric}`"
     if variable == "temp_max":
-        text = F.when(F.dayofmonth(d) == 13, F.lit("-")).otherwise(text)
-    elif variable == "precipitation":
-        text = F.when((metric == 0) & (F.dayofweek(d) == 1), F.lit("Trace")).otherwise(text)
-    elif variable == "humidity" and part == 2:
-        text = F.concat(F.lit("  "), text, F.lit(" "))
-    return text
+        return f"CASE WHEN dayofmonth(d) = 13 THEN '-' ELSE CAST({m} AS STRING) END"
+    if variable == "precipitation":
+        return f"CASE WHEN {m} = 0 AND dayofweek(d) = 1 THEN 'Trace' ELSE CAST({m} AS STRING) END"
+    if variable == "humidity" and part == 2:
+        return f"concat('  ', CAST({m} AS STRING), ' ')"
+    return f"CAST({m} AS STRING)"
 
 
-def _time_text(part: int) -> F.Column:
-    d = F.col("d")
+def _time_sql(part: int) -> str:
     if part == 1:
-        return F.when(F.dayofmonth(d) == 31, F.date_format(d, "d/M/yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy HH:mm:ss"))
-    return F.date_format(d, "d/M/yyyy")
+        return "CASE WHEN dayofmonth(d) = 31 THEN date_format(d, 'd/M/yyyy') ELSE date_format(d, 'dd/MM/yyyy HH:mm:ss') END"
+    return "date_format(d, 'd/M/yyyy')"
 
 
 def part_nations(nations: list[Nation], part: int) -> list[Nation]:
@@ -170,16 +167,13 @@ def part_nations(nations: list[Nation], part: int) -> list[Nation]:
 
 def sheet(daily: DataFrame, nations: list[Nation], variable: str, part: int) -> DataFrame:
     """A landed wide sheet: time text first, one text column per station header, ``src_row``."""
-    rows = daily.filter(F.col("d") < F.lit(PART1_BEFORE).cast("date")) if part == 1 else daily.filter(
-        F.col("d") >= F.lit(PART2_FROM).cast("date")
-    )
+    rows = daily.where(f"d < DATE'{PART1_BEFORE}'" if part == 1 else f"d >= DATE'{PART2_FROM}'")
     pad = " " if part == 2 else ""
     cells = [
-        _cell_text(variable, part, F.col(f"{n.key}_{METRIC[variable]}")).alias(header(n.name, variable) + pad)
+        f"{_cell_sql(variable, part, f'{n.key}_{METRIC[variable]}')} AS `{header(n.name, variable) + pad}`"
         for n in part_nations(nations, part)
     ]
-    src_row = F.datediff(F.col("d"), F.lit("1970-01-01").cast("date")).cast("long")
-    return rows.select(_time_text(part).alias(TIME_COLUMN), *cells, src_row.alias("src_row"))
+    return rows.selectExpr(f"{_time_sql(part)} AS `{TIME_COLUMN}`", *cells, "CAST(datediff(d, DATE'1970-01-01') AS BIGINT) AS src_row")
 
 
 def sheets(daily: DataFrame, nations: list[Nation]) -> dict[str, list[DataFrame]]:

@@ -364,9 +364,11 @@ def q_table_info(spark, sf):
 
 
 def q_distinct_districts(spark, sf):
-    cases = I.clean_cases(_inputs(spark, sf)).agg(F.count_distinct("District").alias("case_districts"))
-    panel = _base(spark, sf).agg(F.count_distinct("District").alias("panel_districts"))
-    return cases.crossJoin(panel)
+    """Distinct cleaned districts in the merged cases and in the panel, one row each."""
+    cases = I.clean_cases(_inputs(spark, sf)).agg(F.count_distinct("District").alias("districts"))
+    panel = _base(spark, sf).agg(F.count_distinct("District").alias("districts"))
+    return cases.select(F.lit("cases").alias("source"), "districts").unionByName(
+        panel.select(F.lit("panel").alias("source"), "districts"))
 
 
 def q_panel_extent(spark, sf):
@@ -694,8 +696,8 @@ SELECT 1 AS ordinal, 'Year' AS "column", 'int' AS type, count(Year) AS non_null
 UNION ALL SELECT 2, 'Week', 'int', count(Week) FROM cases_raw
 UNION ALL SELECT 3, 'District', 'string', count(District) FROM cases_raw
 UNION ALL SELECT 4, 'Cases', 'double', count(Cases) FROM cases_raw""",
-    "distinct_districts": _CASES + "SELECT (SELECT count(DISTINCT District) FROM cases_m) AS case_districts, "
-    "(SELECT count(DISTINCT District) FROM base) AS panel_districts",
+    "distinct_districts": _CASES + "SELECT 'cases' AS source, count(DISTINCT District) AS districts FROM cases_m "
+    "UNION ALL SELECT 'panel', count(DISTINCT District) FROM base",
     "panel_extent": _ALL + "SELECT count(*) AS rows, 29 AS columns, min(Year) AS min_year, min(Week) AS min_week, "
     "max(Year) AS max_year, max(Week) AS max_week, count(DISTINCT District) AS districts, sum(Cases) AS total_cases FROM panel",
     "national_by_year": _CASES + "SELECT Year, coalesce(sum(coalesce(Cases, 0)), 0.0) AS Cases FROM cases_raw GROUP BY Year",

@@ -29,7 +29,7 @@ def _norm(v, digits: int):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, digits)
+        return v if digits >= 17 else round(v, digits)
     if hasattr(v, "item"):
         return _norm(v.item(), digits)
     if hasattr(v, "isoformat"):

@@ -57,7 +57,8 @@ def lag_features(weekly: DataFrame, mapping: DataFrame, lags: list[int] | None =
     Lags are taken once per station, then joined to every district that uses
     the station (the per-variable station column of the mapping).  Districts
     whose station is absent contribute no rows.  The mapping side is a
-    dimension: broadcast after a bounded size check.  District names get the
+    dimension; AQE turns the join into a broadcast at run time when its
+    measured size allows (no extra sizing job).  District names get the
     strip + title normalization the features table receives before joining.
     """
     lagged = lag_weekly(weekly, lags)
@@ -66,7 +67,7 @@ def lag_features(weekly: DataFrame, mapping: DataFrame, lags: list[int] | None =
     ml = mapping_long(mapping).filter(F.col("station").isNotNull()).select(
         title_case(strip_ws(F.col("district_name").cast("string"))).alias("district_name"), "station_group", "station"
     )
-    joined = with_group.join(sized_broadcast(ml), ["station_group", "station"], "inner")
+    joined = with_group.join(ml, ["station_group", "station"], "inner")
     lag_cols = [c for c in lagged.columns if c.startswith("lag")]
     return joined.select("variable", "district_name", "year", "week", *lag_cols)
 

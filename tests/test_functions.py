@@ -139,3 +139,36 @@ def test_parse_dates_table_level(spark):
 def test_parse_dates_typed_passthrough(spark):
     df = spark.createDataFrame([(dt.datetime(2020, 1, 5, 10, 0),)], "t timestamp")
     assert df.select(parse_dates_column(df, "t")).first()[0] == dt.datetime(2020, 1, 5, 10, 0)
+
+
+# --------------------------------------------------------------- properties
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_ALPHABET = st.sampled_from(list("abcXYZ019 _-'()./\t") + ["É", "ü", "ß"])
+_NAMES = st.lists(
+    st.one_of(
+        st.text(_ALPHABET, max_size=14),
+        st.builds(lambda n, s: f"{n} {s}", st.integers(0, 999), st.text(_ALPHABET, max_size=10)),
+        st.sampled_from(["chitawan", "NAWALPARASI WEST", " east ", "west", "12 ", " 7 x"]),
+    ),
+    min_size=1,
+    max_size=40,
+)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(_NAMES)
+def test_standardize_name_property(spark, names):
+    from weekpanel.schemas import DISTRICT_ALIASES
+
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r[0] for r in df.select(standardize_name("n")).collect()]
+    assert got == [python_map_name(n, DISTRICT_ALIASES) for n in names]
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(st.sampled_from(list("aBc1 _-'(),.")), max_size=12), min_size=1, max_size=30))
+def test_title_case_property(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(title_case("t")).collect()] == [t.title() for t in texts]

@@ -15,3 +15,23 @@ def test_stream_equals_batch(spark):
     stream = {tuple(r) for r in weekly_rollup_stream(spark, obs).select("variable", "station", "year", "week", "value").collect()}
     assert stream == batch
     assert (("temp", "s1", 2023, 53) in {r[:4] for r in batch})
+
+
+def test_stream_append_with_watermark(spark):
+    """Append mode: a week is emitted once the watermark passes its end."""
+    from weekpanel.session import scratch_path
+    from weekpanel.streaming.weekly import weekly_window_agg
+
+    base = dt.datetime(2024, 1, 7)  # a Sunday: week 1 of 2024
+    rows = [("temp", "s1", base + dt.timedelta(days=i), float(i)) for i in range(21)]
+    obs = spark.createDataFrame(rows, "variable string, station string, date timestamp_ntz, value double")
+    landing = scratch_path(spark, "t-landing")
+    obs.coalesce(1).write.parquet(landing)  # one file: one batch, nothing arrives late
+    stream = spark.readStream.schema(obs.schema).parquet(landing)
+    q = (weekly_window_agg(stream, watermark="1 day").writeStream.outputMode("append").format("memory")
+         .queryName("wk_append").start())
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.year, r.week): r.value for r in spark.table("wk_append").collect()}
+    # weeks 1 and 2 are closed by the watermark; week 3 is still open
+    assert got == {(2024, 1): 3.0, (2024, 2): 10.0}

@@ -269,6 +269,16 @@ def q_combine_parts(spark, sf):
     return long.select("variable", _ts("date").alias("date"), "station", "value")
 
 
+def q_empty_part(spark, sf):
+    """A part with no parsable date (its format is not in the list) contributes
+    no rows but keeps its columns: the other part's rows get NULL cells there."""
+    from weekpanel.operators.combine import combine_many
+
+    parts = _inputs(spark, sf).sheets["temp_max"]
+    c = combine_many({"temp_max": parts}, formats=["d/M/yyyy H:m:s"])
+    return c.long().select("variable", _ts("date").alias("date"), "station", "value")
+
+
 def q_mean_temperature(spark, sf):
     return I.mean_of(_comb(spark, sf)).select(_ts("date").alias("date"), "station", "value")
 
@@ -670,6 +680,13 @@ FROM u""",
     "dedup_dates": _SHEETS + f"SELECT variable, {_TS.format('date')} AS date, part, src_row FROM first_rows",
     "combine_parts": _SHEETS + f"SELECT variable, {_TS.format('date')} AS date, station, value FROM cells",
     "mean_temperature": S.with_ctes(S.NATIONS, S.WEATHER, S.MEAN_TEMP) + f"SELECT {_TS.format('date')} AS date, station, value FROM temp_cells",
+    "empty_part": _SHEETS + f"""
+SELECT 'temp_max' AS variable, {_TS.format('k.date')} AS date, vs.station, {S.num('c.text')} AS value
+FROM (SELECT * FROM (SELECT variable, part, src_row, try_strptime(time_text, '%d/%m/%Y %H:%M:%S') AS date FROM sheet_rows
+                     WHERE variable = 'temp_max' AND part = 1) WHERE date IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY date ORDER BY src_row) = 1) k
+JOIN var_stations vs ON vs.variable = 'temp_max'
+LEFT JOIN sheet_cells c ON c.variable = 'temp_max' AND c.part = 1 AND c.src_row = k.src_row AND c.station = vs.station""",
     "mean_temperature_zip": S.with_ctes(S.NATIONS, S.WEATHER, S.MEAN_TEMP) + f"SELECT {_TS.format('date')} AS date, station, value FROM temp_cells",
     "mean_temperature_date": _SHEETS + f"""
 SELECT {_TS.format('c1.date')} AS date, c1.station, (c1.value + c2.value) / 2 AS value

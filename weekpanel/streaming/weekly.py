@@ -24,7 +24,10 @@ def weekly_window_agg(stream: DataFrame, agg: dict[str, str] | None = None, wate
     run in append mode and drop state of closed weeks."""
     agg = agg or WEEKLY_AGG
     sums = [v for v, a in agg.items() if a == "sum"]
-    src = stream.withWatermark("date", watermark) if watermark else stream
+    if watermark:  # watermarks need TIMESTAMP (session time zone UTC keeps the wall clock)
+        src = stream.withColumn("date", F.col("date").cast("timestamp")).withWatermark("date", watermark)
+    else:
+        src = stream
     w = F.window("date", *WEEK_WINDOW)
     grouped = src.groupBy("variable", "station", w.alias("w")).agg(F.sum("value").alias("s"), F.avg("value").alias("a"))
     start = F.col("w.start")

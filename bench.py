@@ -3,43 +3,97 @@
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_REPEAT (default 1; the best of N runs is reported per query).
 Every query runs end to end: stand-in inputs are rebuilt (cache cleared) and
-the result is fully computed with a ``noop`` write.
+the result is fully computed with a ``noop`` write.  Shuffle bytes written
+per query come from Spark's event log (written to a fresh scratch folder).
 """
 
+import glob
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import SparkSession  # noqa: E402
+
 from weekpanel.plans import queries as Q  # noqa: E402
-from weekpanel.session import local_session  # noqa: E402
+from weekpanel.session import ENGINE_CONF, ensure_checkpoint_dir  # noqa: E402
 
 HEADLINE = ["integrate_panel", "weekly_mean", "lag_features", "district_summary", "entry"]
 
 
-def run(spark, name, sf):
+def session(cpus: str, log_dir: str) -> SparkSession:
+    b = (
+        SparkSession.builder.master(f"local[{cpus}]")
+        .appName("weekpanel-bench")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
+        .config("spark.driver.memory", "8g")
+        .config("spark.eventLog.enabled", "true")
+        .config("spark.eventLog.dir", log_dir)
+        .config("spark.eventLog.compress", "false")
+    )
+    for k, v in ENGINE_CONF.items():
+        b = b.config(k, v)
+    spark = b.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
+def run(spark, name, sf, tag):
     Q.clear_cache()
+    spark.sparkContext.setJobGroup(tag, tag)
     t = time.perf_counter()
     fn = getattr(Q, "q_integrate_panel" if name == "entry" else f"q_{name}")
-    df = fn(spark, sf)
-    df.write.format("noop").mode("overwrite").save()
+    fn(spark, sf).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - t
 
 
+def shuffle_bytes(log_dir: str) -> dict:
+    """Shuffle bytes written per job group, from the event log."""
+    stage_group, out = {}, {}
+    for f in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True):
+        if os.path.isdir(f):
+            continue
+        with open(f, errors="ignore") as fh:
+            for line in fh:
+                try:
+                    e = json.loads(line)
+                except ValueError:
+                    continue
+                ev = e.get("Event")
+                if ev == "SparkListenerJobStart":
+                    g = (e.get("Properties") or {}).get("spark.jobGroup.id")
+                    for sid in e.get("Stage IDs", []):
+                        stage_group[sid] = g
+                elif ev == "SparkListenerTaskEnd":
+                    g = stage_group.get(e.get("Stage ID"))
+                    m = (e.get("Task Metrics") or {}).get("Shuffle Write Metrics") or {}
+                    if g:
+                        out[g] = out.get(g, 0) + int(m.get("Shuffle Bytes Written", 0))
+    return out
+
+
 def main():
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
-    spark = local_session(cpus=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="weekpanel-bench")
-    run(spark, "weekly_mean", sf)  # JVM / codegen warm-up, not reported
+    log_dir = tempfile.mkdtemp(prefix="weekpanel-bench-events-")
+    spark = session(cpus, log_dir)
+    run(spark, "weekly_mean", sf, "warmup")  # JVM / codegen warm-up, not reported
     times = {}
     for name in HEADLINE:
-        times[name] = round(min(run(spark, name, sf) for _ in range(repeat)), 3)
+        times[name] = round(min(run(spark, name, sf, f"{name}#{i}") for i in range(repeat)), 3)
+    spark.stop()
+    sb = shuffle_bytes(log_dir)
+    shuffle = {n: max((v for g, v in sb.items() if g.split("#")[0] == n), default=0) for n in HEADLINE}
     sf_name = os.path.basename(sf.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf_name}))
+                      "queries": times, "shuffle_bytes": shuffle, "sf": sf_name}))
 
 
 if __name__ == "__main__":

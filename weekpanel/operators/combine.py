@@ -22,7 +22,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weekpanel.functions.dates import choose_formats, parse_dates_column, parse_sql
 from weekpanel.functions.numeric import coerce_double, coerce_double_sql, sql_ident
@@ -230,5 +229,3 @@ def to_long(wide: DataFrame, variable: str) -> DataFrame:
     long = wide.unpivot(["date"], [qcol(s) for s in stations], "station", "value")
     return long.select(F.lit(variable).alias("variable"), "station", "date", F.col("value").cast("double").alias("value"))
 
-
-__all__ = ["Combined", "combine_many", "combine_parts", "mean_temperature", "mean_temperature_cells", "to_long", "T"]

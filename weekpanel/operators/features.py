@@ -31,8 +31,8 @@ def mapping_long(mapping: DataFrame) -> DataFrame:
     return mapping.unpivot(["district_code", "district_name"], groups, "station_group", "station")
 
 
-def variable_groups(variables: list[str] | None = None):
-    """``(variable, station_group)`` rows as a literal map expression."""
+def variable_groups():
+    """variable -> station column of the mapping, as a literal map expression."""
     return F.create_map(*[F.lit(x) for kv in STATION_GROUP.items() for x in kv])
 
 
@@ -72,16 +72,6 @@ def lag_features(weekly: DataFrame, mapping: DataFrame, lags: list[int] | None =
     return joined.select("variable", "district_name", "year", "week", *lag_cols)
 
 
-def station_catalog(sheets: dict[tuple[str, int], DataFrame], trim: bool = False) -> list[tuple[str, int, int, str]]:
-    """``(variable, part, ordinal, station)`` from sheet headers -- schema only, no job."""
-    rows = []
-    for (variable, part), df in sheets.items():
-        cols = [c for c in df.columns[1:] if c not in ("variable", "part", "src_row")]
-        for i, c in enumerate(cols, 1):
-            rows.append((variable, part, i, c.strip() if trim else c))
-    return rows
-
-
 def missing_stations(mapping: DataFrame, catalog: DataFrame) -> DataFrame:
     """Mapping stations absent from the data, per station group.
 

@@ -45,7 +45,7 @@ def clear_cache() -> None:
 
 
 def _memo(spark: SparkSession, sf: str, name: str, make):
-    key = (id(spark.sparkContext), sf, name)
+    key = (spark.sparkContext.applicationId, sf, name)
     if key not in _MEMO:
         _MEMO[key] = make()
     return _MEMO[key]

@@ -36,3 +36,20 @@ def test_mapping_and_cases_roundtrip(spark):
 def test_missing_input(spark):
     with pytest.raises(MissingInput):
         scan_cases(spark, "/nonexistent/weekpanel/cases.csv")
+
+
+def test_combine_csv_landed_sheets(spark):
+    """Sheets read back from CSV carry a struct file-order key; keep-first still works."""
+    from weekpanel.operators.combine import combine_parts
+
+    p1 = spark.createDataFrame([("7/1/2024", "30", None), ("7/1/2024", "99", "7"), ("8/1/2024", "1", "2")],
+                               "`Time (NPT)` string, `a (°C)` string, `s (°C)` string")
+    p2 = spark.createDataFrame([("7/1/2024", "5", "6")], "`Time (NPT)` string, `s (°C)` string, `b (°C) ` string")
+    paths = []
+    for df in (p1, p2):
+        path = scratch_path(spark, "t-landed")
+        write_csv(df.coalesce(1), path)
+        paths.append(path)
+    c = combine_parts(scan_daily_wide(spark, paths[0]), scan_daily_wide(spark, paths[1]))
+    got = {(str(r.date.date()), r["a (°C)"], r["s (°C)"], r["b (°C)"]) for r in c.collect()}
+    assert got == {("2024-01-07", 30.0, None, None), ("2024-01-08", 1.0, 2.0, None)}

@@ -41,20 +41,19 @@ def complete_panel(cases: DataFrame, start_year: int, end_year: int, weeks: int
 def features_wide(features: DataFrame, variables: list[str] | None = None, lags: list[int] | None = None) -> DataFrame:
     """Long features -> one row per ``(District, Year, Week)`` with ``{v}_lag{k}``.
 
-    A pivot with an explicit value list (no distinct job, fixed schema even
-    when a variable has no matched station).  Each (variable, district, week)
-    is unique, so ``first`` is exact.
+    Each ``(variable, district, year, week)`` is unique, so the pivot is a
+    single conditional aggregate (one partially aggregated shuffle; Spark's
+    generic pivot would add a first grouping by variable).  The column list
+    is fixed: a variable without a matched station still has its columns.
     """
     variables = variables or VARIABLES
     lags = lags or LAG_WEEKS
-    pivoted = (
-        features.groupBy(F.col("district_name").alias("District"), F.col("year").alias("Year"), F.col("week").alias("Week"))
-        .pivot("variable", variables)
-        .agg(*[F.first(f"lag{k}").alias(f"lag{k}") for k in lags])
-    )
-    if len(lags) == 1:  # a single aggregate is named after the pivot value only
-        pivoted = pivoted.select(*PANEL_KEYS, *[F.col(v).alias(f"{v}_lag{lags[0]}") for v in variables])
-    return pivoted.select(*PANEL_KEYS, *feature_columns(variables, lags))
+    aggs = [
+        F.max(F.when(F.col("variable") == v, F.col(f"lag{k}"))).alias(f"{v}_lag{k}") for v in variables for k in lags
+    ]
+    return features.groupBy(
+        F.col("district_name").alias("District"), F.col("year").alias("Year"), F.col("week").alias("Week")
+    ).agg(*aggs)
 
 
 def forward_fill(df: DataFrame, columns: list[str], partition: str = "District", order: list[str] | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ def test_registry_complete():
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     r = compare(E.queries()[name](spark, SF_SMALL), con, E.oracle_sql()[name])
-    assert r["rows"] and r["schema"] and r["values"], r
+    assert r["rows"] and r["schema"] and r["types"] and r["values"], r
 
 
 def test_entry_smoke(spark):

@@ -45,9 +45,20 @@ def _rows(pdf, digits):
     return cols, sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def type_mismatches(spark_df, con, sql: str) -> dict:
+    """Columns whose Spark type and DuckDB type differ (simple types only)."""
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in spark_df.schema.fields}
+    dt = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    return {k: (v, dt.get(k)) for k, v in st.items() if v != dt.get(k)}
+
+
 def compare(spark_df, con, sql: str, digits: int = 9) -> dict:
     import pandas as pd
 
+    types = type_mismatches(spark_df, con, sql)
     s = spark_df.toPandas()
     d = con.execute(sql).df()
     d = d.astype(object).where(pd.notna(d), None)
@@ -55,6 +66,9 @@ def compare(spark_df, con, sql: str, digits: int = 9) -> dict:
     res = {"spark_rows": len(s), "oracle_rows": len(d)}
     res["rows"] = len(s) == len(d)
     res["schema"] = sorted(s.columns) == sorted(d.columns)
+    res["types"] = not types
+    if types:
+        res["type_mismatches"] = types
     if not res["schema"]:
         res["spark_cols"], res["oracle_cols"] = sorted(s.columns), sorted(d.columns)
         res["values"] = False

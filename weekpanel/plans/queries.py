@@ -589,7 +589,7 @@ def _summary_sql() -> str:
 def _completeness_sql() -> str:
     cols = ["Year", "Week", "District", "Cases"] + _FC
     parts = " UNION ALL ".join(
-        f"SELECT {i + 1} AS ordinal, '{c}' AS \"column\", count_if({c} IS NULL) AS missing, count(*) AS total FROM panel"
+        f"SELECT {i + 1} AS ordinal, '{c}' AS \"column\", CAST(count_if({c} IS NULL) AS BIGINT) AS missing, count(*) AS total FROM panel"
         for i, c in enumerate(cols)
     )
     return _ALL + f"SELECT ordinal, \"column\", missing, missing * 100.0 / total AS missing_pct FROM ({parts}) WHERE missing > 0"
@@ -598,7 +598,7 @@ def _completeness_sql() -> str:
 def _null_counts_sql() -> str:
     cols = ["Year", "Week", "District", "Cases"]
     parts = " UNION ALL ".join(
-        f"SELECT {i + 1} AS ordinal, '{c}' AS \"column\", count_if({c} IS NULL) AS missing, count(*) AS total FROM cases_raw"
+        f"SELECT {i + 1} AS ordinal, '{c}' AS \"column\", CAST(count_if({c} IS NULL) AS BIGINT) AS missing, count(*) AS total FROM cases_raw"
         for i, c in enumerate(cols)
     )
     return _CASES + parts
@@ -673,7 +673,7 @@ FROM u""",
     "week_spine": _CASES + "SELECT * FROM spine",
     "complete_panel": _CASES + "SELECT * FROM base",
     "parse_dates": _SHEETS + f"SELECT variable, part, src_row, time_text, {_TS.format('date')} AS date FROM parsed",
-    "drop_invalid_dates": _SHEETS + "SELECT variable, part, count(*) AS rows, count(date) AS kept, count_if(date IS NULL) AS dropped "
+    "drop_invalid_dates": _SHEETS + "SELECT variable, part, count(*) AS rows, count(date) AS kept, CAST(count_if(date IS NULL) AS BIGINT) AS dropped "
     "FROM parsed GROUP BY variable, part",
     "coerce_numeric": _SHEETS + f"SELECT variable, part, src_row, station, text, {S.num('text')} AS value FROM sheet_cells",
     "union_parts": _SHEETS + f"SELECT variable, part, src_row, {_TS.format('date')} AS date FROM parsed WHERE date IS NOT NULL",
@@ -706,7 +706,7 @@ WHERE c1.variable = 'temp_max'""",
     "null_counts": _null_counts_sql(),
     "join_coverage": _coverage_sql(),
     "cell_completeness": _cell_sql(),
-    "zero_weeks": _CASES + "SELECT count_if(Cases = 0) AS zero_weeks, count(*) AS rows FROM base",
+    "zero_weeks": _CASES + "SELECT CAST(count_if(Cases = 0) AS BIGINT) AS zero_weeks, count(*) AS rows FROM base",
     "describe": _describe_sql(),
     "table_info": _CASES + """
 SELECT 1 AS ordinal, 'Year' AS "column", 'int' AS type, count(Year) AS non_null FROM cases_raw

@@ -51,28 +51,40 @@ def _memo(spark: SparkSession, sf: str, name: str, make):
     return _MEMO[key]
 
 
-def _inputs(spark, sf) -> I.Inputs:
-    return _memo(spark, sf, "inputs", lambda: standin.inputs(spark, sf))
-
-
 def _nations(spark, sf):
     return _memo(spark, sf, "nations", lambda: standin.nation_dimension(spark, sf))
 
 
+def _weather(spark, sf) -> I.Inputs:
+    """Sheets and mapping only: queries on the weather side never build the case tables."""
+    return _memo(spark, sf, "weather", lambda: standin.inputs(spark, sf, cases=False, nations=_nations(spark, sf)))
+
+
 def _wide(spark, sf):
     return _memo(spark, sf, "cases_wide", lambda: standin.cases_wide(spark, sf, _nations(spark, sf)))
 
 
+def _inputs(spark, sf) -> I.Inputs:
+    def make():
+        from dataclasses import replace
+
+        from weekpanel.operators.reshape import cases_long_from_wide
+
+        return replace(_weather(spark, sf), cases_raw=cases_long_from_wide(_wide(spark, sf)))
+
+    return _memo(spark, sf, "inputs", make)
+
+
 def _comb(spark, sf):
-    return _memo(spark, sf, "comb", lambda: I.combine_inputs(_inputs(spark, sf)))
+    return _memo(spark, sf, "comb", lambda: I.combine_inputs(_weather(spark, sf)))
 
 
 def _combined(spark, sf):
-    return _memo(spark, sf, "combined", lambda: I.combined_sheets(_inputs(spark, sf), combined=_comb(spark, sf)))
+    return _memo(spark, sf, "combined", lambda: I.combined_sheets(_weather(spark, sf), combined=_comb(spark, sf)))
 
 
 def _obs(spark, sf):
-    return _memo(spark, sf, "obs", lambda: I.observations(_inputs(spark, sf), combined=_comb(spark, sf)))
+    return _memo(spark, sf, "obs", lambda: I.observations(_weather(spark, sf), combined=_comb(spark, sf)))
 
 
 def _weekly(spark, sf):
@@ -80,7 +92,7 @@ def _weekly(spark, sf):
 
 
 def _features(spark, sf):
-    inp = _inputs(spark, sf)
+    inp = _weather(spark, sf)
     return lag_features(_weekly(spark, sf), prepare_mapping(inp.mapping, inp.aliases))
 
 
@@ -116,7 +128,7 @@ def _ts(c: str) -> F.Column:
 
 
 def _sheets(spark, sf):
-    for v, parts in _inputs(spark, sf).sheets.items():
+    for v, parts in _weather(spark, sf).sheets.items():
         for i, sh in enumerate(parts, 1):
             yield v, i, sh
 
@@ -274,7 +286,7 @@ def q_empty_part(spark, sf):
     no rows but keeps its columns: the other part's rows get NULL cells there."""
     from weekpanel.operators.combine import combine_many
 
-    parts = _inputs(spark, sf).sheets["temp_max"]
+    parts = _weather(spark, sf).sheets["temp_max"]
     c = combine_many({"temp_max": parts}, formats=["d/M/yyyy H:m:s"])
     return c.long().select("variable", _ts("date").alias("date"), "station", "value")
 
@@ -459,7 +471,7 @@ def q_week_drilldown(spark, sf):
     """Weeks 1-2 of the first year of the mean-temperature series of one district's station."""
     from weekpanel.functions.text import strip_ws
 
-    m = _inputs(spark, sf).mapping
+    m = _weather(spark, sf).mapping
     station = m.filter(F.upper(strip_ws("district_name")) == DRILL_DISTRICT).orderBy("src_row").select("temp_station").limit(1)
     temp = _obs(spark, sf).filter(F.col("variable") == "temp")
     series = temp.join(F.broadcast(station), F.col("station") == F.col("temp_station"), "left_semi")
@@ -467,7 +479,7 @@ def q_week_drilldown(spark, sf):
 
 
 def q_map_stations(spark, sf):
-    inp = _inputs(spark, sf)
+    inp = _weather(spark, sf)
     ml = mapping_long(prepare_mapping(inp.mapping, inp.aliases))
     groups = spark.createDataFrame(list(STATION_GROUP.items()), "variable string, station_group string")
     have = _obs(spark, sf).select("variable", "station").distinct()
@@ -489,12 +501,12 @@ def _part1_catalog(spark, sf):
 
 
 def q_missing_stations(spark, sf):
-    m = _inputs(spark, sf).mapping
+    m = _weather(spark, sf).mapping
     return missing_stations(m, _part1_catalog(spark, sf)).select("station_group", "district_code", "station")
 
 
 def q_missing_stations_top(spark, sf):
-    m = _inputs(spark, sf).mapping
+    m = _weather(spark, sf).mapping
     cat = _part1_catalog(spark, sf)
     ml = m.unpivot(["district_code", "src_row"], ["humidity_station", "precipitation_station", "temp_station"], "station_group", "station")
     miss = ml.join(F.broadcast(cat.distinct()), ["station_group", "station"], "left_anti")
@@ -503,21 +515,21 @@ def q_missing_stations_top(spark, sf):
 
 
 def q_dedup_mapping(spark, sf):
-    inp = _inputs(spark, sf)
+    inp = _weather(spark, sf)
     return prepare_mapping(inp.mapping, inp.aliases)
 
 
 def q_standardize_mapping(spark, sf):
     from weekpanel.operators.clean import normalize_codes, standardize_mapping
 
-    inp = _inputs(spark, sf)
+    inp = _weather(spark, sf)
     return normalize_codes(standardize_mapping(inp.mapping, inp.aliases))
 
 
 def q_normalize_codes(spark, sf):
     from weekpanel.operators.clean import normalize_codes
 
-    return normalize_codes(_inputs(spark, sf).mapping).select("src_row", "district_code")
+    return normalize_codes(_weather(spark, sf).mapping).select("src_row", "district_code")
 
 
 def q_table_shape(spark, sf):
@@ -543,14 +555,14 @@ def q_station_catalog(spark, sf):
 def q_scan_mapping(spark, sf):
     from weekpanel.sources.readers import scan_mapping
 
-    path = _roundtrip_csv(_inputs(spark, sf).mapping.drop("src_row"), "mapping")
+    path = _roundtrip_csv(_weather(spark, sf).mapping.drop("src_row"), "mapping")
     return scan_mapping(spark, path).drop("src_row")
 
 
 def q_scan_daily_wide(spark, sf):
     from weekpanel.sources.readers import scan_daily_wide
 
-    sh = _inputs(spark, sf).sheets["temp_max"][0].drop("src_row")
+    sh = _weather(spark, sf).sheets["temp_max"][0].drop("src_row")
     back = scan_daily_wide(spark, _roundtrip_csv(sh, "sheet"))
     stations = [c for c in back.columns[1:] if c != "src_row"]
     long = back.unpivot([back.columns[0]], [qcol(s) for s in stations], "station", "text")

@@ -208,12 +208,13 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    """All panel inputs for one test scale."""
-    nations = nation_dimension(spark, sf_dir)
+def inputs(spark: SparkSession, sf_dir: str, cases: bool = True, nations: list[Nation] | None = None) -> Inputs:
+    """All panel inputs for one test scale (``cases=False``: weather side only,
+    ``cases_raw`` is left unset and the case tables are not built)."""
+    nations = nations or nation_dimension(spark, sf_dir)
     daily = daily_wide(spark, sf_dir, nations)
     return Inputs(
-        cases_raw=cases_long(spark, sf_dir, nations),
+        cases_raw=cases_long(spark, sf_dir, nations) if cases else None,
         sheets=sheets(daily, nations),
         mapping=mapping(spark, sf_dir),
         aliases=STANDIN_ALIASES,

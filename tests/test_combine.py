@@ -93,3 +93,15 @@ def test_empty_part_flows_through(spark):
     bad = sheet(spark, [("not a date", 1, 2)], ["a", "s"])
     c = combine_parts(part1(spark), bad)
     assert c.count() == 5 and c.columns == ["date", "a", "s"]
+
+
+def test_drop_invalid_dates_observed(spark):
+    from pyspark.sql import Observation
+
+    from weekpanel.operators.combine import drop_invalid_dates, parse_dates
+
+    obs = Observation("dates")
+    sh = sheet(spark, [("01/02/2020 00:00:00", 1), ("02/02/2020", 2), ("x", 3)], ["a"])
+    kept = drop_invalid_dates(parse_dates(sh), obs)
+    assert kept.count() == 1
+    assert obs.get == {"rows": 3, "kept": 1}

@@ -50,8 +50,15 @@ def parse_dates(sheet: DataFrame, formats: list[str] | None = None, per_row: boo
     return sheet.withColumn("date", col)
 
 
-def drop_invalid_dates(sheet: DataFrame) -> DataFrame:
-    """Keep rows with a parsed ``date``."""
+def drop_invalid_dates(sheet: DataFrame, observation=None) -> DataFrame:
+    """Keep rows with a parsed ``date``.
+
+    With a ``pyspark.sql.Observation``, the row and kept counts (``rows``,
+    ``kept``) are collected as metrics of whatever action runs the plan --
+    no extra job.
+    """
+    if observation is not None:
+        sheet = sheet.observe(observation, F.count(F.lit(1)).alias("rows"), F.count("date").alias("kept"))
     return sheet.filter(F.col("date").isNotNull())
 
 

@@ -47,8 +47,21 @@ GHOST_TEMP_NATION, NULL_HUMIDITY_NATION, TYPO_PRECIP_NATION = 5, 7, 9
 MAX_NATIONS = 10_000
 
 
+# Columns of the test tables this module reads (explicit read schemas: no
+# schema-inference job, and only these columns are scanned).
+TABLE_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "orders": "o_custkey bigint, o_orderdate timestamp_ntz",
+    "lineitem": "l_suppkey bigint, l_quantity double, l_returnflag string, l_shipdate timestamp_ntz",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(TABLE_SCHEMAS[name]) if name in TABLE_SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @dataclass

@@ -552,6 +552,36 @@ def q_station_catalog(spark, sf):
     return _union(out)
 
 
+def q_trim_columns(spark, sf):
+    """Every sheet header before and after trimming, with its non-missing cell count."""
+    out = []
+    for v, p, sh in _sheets(spark, sf):
+        raw = sh.drop("src_row")
+        trimmed = F.create_map(*[x for c in raw.columns for x in (F.lit(c), F.lit(c.strip()))])
+        info = Q.table_info(raw)
+        out.append(info.select(F.lit(v).alias("variable"), F.lit(p).alias("part"), "ordinal",
+                               F.col("column").alias("header"), F.element_at(trimmed, F.col("column")).alias("trimmed"),
+                               "non_null"))
+    return _union(out)
+
+
+def q_column_dictionary(spark, sf):
+    """Columns of every landed table (sheets and mapping): ordinal, name, type, non-missing count."""
+    inp = _weather(spark, sf)
+    tabs = [(f"{v}_part{p}", sh) for v, p, sh in _sheets(spark, sf)] + [("mapping", inp.mapping)]
+    return _union([Q.table_info(t.drop("src_row")).select(F.lit(n).alias("table"), "ordinal", "column", "type", "non_null")
+                   for n, t in tabs])
+
+
+def q_date_positions(spark, sf):
+    """Position of each kept date of the max and min tables, in date order (the zip key)."""
+    from weekpanel.operators.util import with_row_position
+
+    dates = _comb(spark, sf).long(["temp_max", "temp_min"]).select("variable", "date").distinct()
+    pos = with_row_position(dates, "date", "pos", partition=["variable"])
+    return pos.select("variable", _ts("date").alias("date"), "pos")
+
+
 def q_scan_mapping(spark, sf):
     from weekpanel.sources.readers import scan_mapping
 
@@ -788,6 +818,30 @@ SELECT s.variable, s.part, CAST(row_number() OVER (PARTITION BY s.variable, s.pa
        s.station || CASE WHEN s.part = 2 THEN ' ' ELSE '' END AS station, c.non_null
 FROM stations s JOIN (SELECT variable, part, station, count(text) AS non_null FROM sheet_cells GROUP BY ALL) c
   ON c.variable = s.variable AND c.part = s.part AND c.station = s.station""",
+    "trim_columns": _SHEETS + """
+SELECT variable, part, 1 AS ordinal, 'Time (NPT)' AS header, 'Time (NPT)' AS trimmed, count(time_text) AS non_null
+FROM sheet_rows GROUP BY variable, part
+UNION ALL
+SELECT s.variable, s.part, CAST(1 + row_number() OVER (PARTITION BY s.variable, s.part ORDER BY s.nk) AS INTEGER),
+       s.station || CASE WHEN s.part = 2 THEN ' ' ELSE '' END, s.station, c.non_null
+FROM stations s JOIN (SELECT variable, part, station, count(text) AS non_null FROM sheet_cells GROUP BY ALL) c
+  ON c.variable = s.variable AND c.part = s.part AND c.station = s.station""",
+    "column_dictionary": S.with_ctes(S.NATIONS, S.WEATHER, S.MAPPING) + """
+SELECT variable || '_part' || part AS "table", 1 AS ordinal, 'Time (NPT)' AS "column", 'string' AS type, count(time_text) AS non_null
+FROM sheet_rows GROUP BY variable, part
+UNION ALL
+SELECT s.variable || '_part' || s.part, CAST(1 + row_number() OVER (PARTITION BY s.variable, s.part ORDER BY s.nk) AS INTEGER),
+       s.station || CASE WHEN s.part = 2 THEN ' ' ELSE '' END, 'string', c.non_null
+FROM stations s JOIN (SELECT variable, part, station, count(text) AS non_null FROM sheet_cells GROUP BY ALL) c
+  ON c.variable = s.variable AND c.part = s.part AND c.station = s.station
+UNION ALL SELECT 'mapping', 1, 'district_code', 'string', count(district_code) FROM map_raw
+UNION ALL SELECT 'mapping', 2, 'district_name', 'string', count(district_name) FROM map_raw
+UNION ALL SELECT 'mapping', 3, 'temp_station', 'string', count(temp_station) FROM map_raw
+UNION ALL SELECT 'mapping', 4, 'humidity_station', 'string', count(humidity_station) FROM map_raw
+UNION ALL SELECT 'mapping', 5, 'precipitation_station', 'string', count(precipitation_station) FROM map_raw""",
+    "date_positions": _SHEETS + f"""
+SELECT variable, {_TS.format('date')} AS date, row_number() OVER (PARTITION BY variable ORDER BY date) - 1 AS pos
+FROM first_rows WHERE variable IN ('temp_max', 'temp_min')""",
     "scan_mapping": _MAP + "SELECT district_code, district_name, temp_station, humidity_station, precipitation_station FROM map_raw",
     "scan_daily_wide": _SHEETS + """
 SELECT r.time_text, c.station, c.text FROM sheet_cells c

@@ -79,3 +79,13 @@ def test_first_n_per_group(spark):
     df = spark.createDataFrame([("g", i) for i in range(15)] + [("h", 1)], "grp string, o int")
     got = Q.first_n_per_group(df, "grp", ["o"], 10).groupBy("grp").agg(F.count("*").alias("n"), F.max("more").alias("more"))
     assert {r.grp: (r.n, r.more) for r in got.collect()} == {"g": (10, 5), "h": (1, 0)}
+
+
+def test_first_n_per_group_hot_group_exact(spark):
+    """One group holding most rows: the bucketed top-n equals a plain sort."""
+    rows = [("hot", i, f"x{i}") for i in range(5000)] + [("cold", i, f"y{i}") for i in range(7)]
+    df = spark.createDataFrame(rows, "grp string, o int, v string")
+    got = Q.first_n_per_group(df, "grp", ["o"], 10, buckets=16)
+    hot = [(r.position, r.o, r.total, r.more) for r in got.filter("grp = 'hot'").orderBy("position").collect()]
+    assert hot == [(i + 1, i, 5000, 4990) for i in range(10)]
+    assert got.filter("grp = 'cold'").count() == 7

@@ -125,12 +125,22 @@ def top_n(df: DataFrame, n: int, by: str, tie: str) -> DataFrame:
     return df.orderBy(F.desc(by), F.asc(tie)).limit(n)
 
 
-def first_n_per_group(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
-    """Up to ``n`` rows per group in ``order``, with ``position`` and the group's ``total``."""
-    w = Window.partitionBy(group).orderBy(*order)
-    wt = Window.partitionBy(group)
-    ranked = df.withColumn("position", F.row_number().over(w)).withColumn("total", F.count(F.lit(1)).over(wt))
-    return ranked.filter(F.col("position") <= n).withColumn("more", F.greatest(F.col("total") - n, F.lit(0)))
+def first_n_per_group(df: DataFrame, group: str, order: list[str], n: int, buckets: int = 32) -> DataFrame:
+    """Up to ``n`` rows per group in ``order``, with ``position``, the group's ``total`` and ``more``.
+
+    Exact and skew-safe: a group is split into ``buckets`` hash buckets, each
+    keeps its own first ``n`` (windows over one bucket), and only those
+    candidates (at most ``n * buckets`` per group) are ranked again per group.
+    The totals come from a partially aggregated count, so no task ever holds
+    a whole group, however large.
+    """
+    salted = df.withColumn("__bucket", F.pmod(F.hash(*[F.col(c) for c in order]), F.lit(buckets)))
+    local = Window.partitionBy(group, "__bucket").orderBy(*order)
+    candidates = salted.withColumn("__r", F.row_number().over(local)).filter(F.col("__r") <= n).drop("__r", "__bucket")
+    ranked = candidates.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    totals = df.groupBy(group).agg(F.count(F.lit(1)).alias("total"))
+    top = ranked.filter(F.col("position") <= n).join(totals, group)
+    return top.withColumn("more", F.greatest(F.col("total") - n, F.lit(0)))
 
 
 def reconcile_totals(raw: DataFrame, panel: DataFrame, key: str = "District") -> DataFrame:

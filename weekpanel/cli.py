@@ -64,7 +64,9 @@ def cmd_integrate(spark: SparkSession, a) -> None:
                     aliases=_aliases(a.alias))
     from weekpanel.session import materialize
 
-    panel = materialize(build_panel(inputs, align=a.align), "cli-panel")  # read by four consumers below
+    weeks = a.weeks if a.weeks == "calendar" else int(a.weeks)
+    panel = build_panel(inputs, align=a.align, mode=a.mode, empty_sum=a.empty_sum, lag_by=a.lag_by, weeks=weeks)
+    panel = materialize(panel, "cli-panel")  # read by four consumers below
     write_panel(panel, os.path.join(a.out, "panel"), fmt=a.format)
     write_summary(Q.district_summary(panel), os.path.join(a.out, "summary"))
     report = Q.completeness(panel).withColumn("percentage", Q.percent_text("missing_pct"))
@@ -134,6 +136,10 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     i.add_argument("--align", default="position", choices=["position", "date"])
     i.add_argument("--alias", action="append", help="extra name alias SOURCE=TARGET (repeatable)")
+    i.add_argument("--mode", default="first_row", choices=["first_row", "coalesce"], help="duplicate dates across parts")
+    i.add_argument("--empty-sum", dest="empty_sum", default="zero", choices=["zero", "null"])
+    i.add_argument("--lag-by", dest="lag_by", default="rows", choices=["rows", "calendar"])
+    i.add_argument("--weeks", default="52", help="52 (default) or 'calendar'")
     v = sub.add_parser("validate")
     v.add_argument("--cases", required=True)
     v.add_argument("--panel", required=True)

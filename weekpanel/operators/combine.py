@@ -134,14 +134,20 @@ class Combined:
         return one.groupBy("date").pivot("station", stations).agg(F.first("value"))
 
 
-def combine_many(sheets: dict[str, list[DataFrame]], trim: bool = True, formats: list[str] | None = None) -> Combined:
+def combine_many(sheets: dict[str, list[DataFrame]], trim: bool = True, formats: list[str] | None = None,
+                 mode: str = "first_row") -> Combined:
     """Combine the parts of every variable: one format probe, one aggregate.
 
     parse -> drop invalid dates -> cells over the union of the parts'
-    columns -> coerce -> keep the first row's cell per (variable, date,
-    station).  On a date present in several parts, stations that only a
-    later part has become NULL: the whole first row wins.
+    columns -> coerce -> keep one cell per (variable, date, station).
+
+    ``mode='first_row'`` (the original behaviour): the whole first row of a
+    date wins, so on a date present in several parts, stations that only a
+    later part has become NULL.  ``mode='coalesce'``: each station takes its
+    first non-missing value over the rows of that date (earlier part first).
     """
+    if mode not in ("first_row", "coalesce"):
+        raise ValueError(f"mode must be 'first_row' or 'coalesce', not {mode!r}")
     items = [(v, i + 1, trim_columns(s) if trim else s) for v, parts in sheets.items() for i, s in enumerate(parts)]
     stations: dict[str, list[str]] = {}
     for v, _, s in items:
@@ -158,15 +164,15 @@ def combine_many(sheets: dict[str, list[DataFrame]], trim: bool = True, formats:
     for c in cells[1:]:
         stacked = stacked.unionByName(c)
     valued = stacked.selectExpr("_variable", "_part", "_row", "date", "station", coerce_double_sql("text") + " AS value")
-    first = valued.groupBy("_variable", "date", "station").agg(
-        F.min_by("value", F.struct("_part", "_row")).alias("value")
-    )
+    rank = F.struct("_part", "_row") if mode == "first_row" else F.struct(F.col("value").isNull(), "_part", "_row")
+    first = valued.groupBy("_variable", "date", "station").agg(F.min_by("value", rank).alias("value"))
     return Combined(first.select(F.col("_variable").alias("variable"), "station", "date", "value"), stations)
 
 
-def combine_parts(*sheets: DataFrame, trim: bool = True, formats: list[str] | None = None) -> DataFrame:
+def combine_parts(*sheets: DataFrame, trim: bool = True, formats: list[str] | None = None,
+                  mode: str = "first_row") -> DataFrame:
     """One variable's parts -> wide ``date, <stations...>`` (see :func:`combine_many`)."""
-    return combine_many({"_": list(sheets)}, trim=trim, formats=formats).wide("_")
+    return combine_many({"_": list(sheets)}, trim=trim, formats=formats, mode=mode).wide("_")
 
 
 def zip_dates(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -36,22 +36,40 @@ def variable_groups():
     return F.create_map(*[F.lit(x) for kv in STATION_GROUP.items() for x in kv])
 
 
-def lag_weekly(weekly: DataFrame, lags: list[int] | None = None) -> DataFrame:
-    """``{lag0..lagK}`` of each station's weekly series, by row position in
-    ``(year, week)`` order.  Rows are dense per variable (the rollup keeps a
-    row for every week of the variable), so position == previous weeks."""
-    lags = lags or LAG_WEEKS
-    w = Window.partitionBy("variable", "station").orderBy("year", "week")
-    return weekly.select(
-        "variable",
-        "station",
-        "year",
-        "week",
-        *[(F.col("value") if k == 0 else F.lag("value", k).over(w)).alias(f"lag{k}") for k in lags],
-    )
+def week_index(year, week):
+    """Weeks since the first Sunday of 1970 (1970-01-04) of a first-Sunday ``(year, week)``."""
+    jan1 = F.make_date(year, F.lit(1), F.lit(1))
+    first_sunday = F.date_add(jan1, F.pmod(F.lit(8) - F.dayofweek(jan1), F.lit(7)))
+    start = F.date_add(first_sunday, (week - 1) * 7)
+    return (F.datediff(start, F.lit("1970-01-04").cast("date")) / 7).cast("long")
+
 
+def lag_weekly(weekly: DataFrame, lags: list[int] | None = None, by: str = "rows") -> DataFrame:
+    """``{lag0..lagK}`` of each station's weekly series.
 
-def lag_features(weekly: DataFrame, mapping: DataFrame, lags: list[int] | None = None) -> DataFrame:
+    ``by='rows'`` (the original behaviour): the k-th previous row in
+    ``(year, week)`` order.  Rows are dense per variable (the rollup keeps a
+    row for every week of the variable), so this is the k-th previous week
+    present in the table.  ``by='calendar'``: the value exactly k calendar
+    weeks earlier (NULL if that week has no row), via a range frame on a
+    week index.
+    """
+    lags = lags or LAG_WEEKS
+    if by == "rows":
+        w = Window.partitionBy("variable", "station").orderBy("year", "week")
+        cols = [(F.col("value") if k == 0 else F.lag("value", k).over(w)).alias(f"lag{k}") for k in lags]
+        return weekly.select("variable", "station", "year", "week", *cols)
+    if by != "calendar":
+        raise ValueError(f"by must be 'rows' or 'calendar', not {by!r}")
+    indexed = weekly.withColumn("__widx", week_index(F.col("year"), F.col("week")))
+    base = Window.partitionBy("variable", "station").orderBy("__widx")
+    cols = [
+        (F.col("value") if k == 0 else F.first("value").over(base.rangeBetween(-k, -k))).alias(f"lag{k}") for k in lags
+    ]
+    return indexed.select("variable", "station", "year", "week", *cols)
+
+
+def lag_features(weekly: DataFrame, mapping: DataFrame, lags: list[int] | None = None, by: str = "rows") -> DataFrame:
     """Weekly station series -> district features ``(variable, district_name, year, week, lag0..)``.
 
     Lags are taken once per station, then joined to every district that uses
@@ -61,7 +79,7 @@ def lag_features(weekly: DataFrame, mapping: DataFrame, lags: list[int] | None =
     measured size allows (no extra sizing job).  District names get the
     strip + title normalization the features table receives before joining.
     """
-    lagged = lag_weekly(weekly, lags)
+    lagged = lag_weekly(weekly, lags, by)
     groups = variable_groups()
     with_group = lagged.withColumn("station_group", F.element_at(groups, F.col("variable")))
     ml = mapping_long(mapping).filter(F.col("station").isNotNull()).select(

@@ -15,27 +15,46 @@ def year_range(cases_raw: DataFrame) -> tuple[int, int]:
     return int(r["lo"]), int(r["hi"])
 
 
-def week_spine(districts: DataFrame, start_year: int, end_year: int, weeks: int = SPINE_WEEKS) -> DataFrame:
-    """Every ``(Year, Week 1..weeks, District)``.
+def weeks_in_year(year) -> F.Column:
+    """52 or 53: the week of the Saturday before the next year's first Sunday."""
+    from weekpanel.functions.calendar import week_number
 
+    next_jan1 = F.make_date(year + 1, F.lit(1), F.lit(1))
+    next_first_sunday = F.date_add(next_jan1, F.pmod(F.lit(8) - F.dayofweek(next_jan1), F.lit(7)))
+    return week_number(F.date_sub(next_first_sunday, 1))
+
+
+def week_spine(districts: DataFrame, start_year: int, end_year: int, weeks: int | str = SPINE_WEEKS) -> DataFrame:
+    """Every ``(Year, Week, District)`` with weeks 1..``weeks``.
+
+    ``weeks`` is a number (the original: 52 for every year) or
+    ``'calendar'`` (52 or 53, as the first-Sunday calendar gives).
     Generated, not joined: each district row explodes a ``sequence`` of
     years and of weeks, so the spine is built where the district rows are
     and no cartesian product is planned.
     """
+    last = weeks_in_year(F.col("Year")) if weeks == "calendar" else F.lit(int(weeks))
     return (
         districts.select("District")
         .withColumn("Year", F.explode(F.sequence(F.lit(start_year), F.lit(end_year))))
-        .withColumn("Week", F.explode(F.sequence(F.lit(1), F.lit(weeks))))
+        .withColumn("Week", F.explode(F.sequence(F.lit(1), last)))
         .select("Year", "Week", "District")
     )
 
 
-def complete_panel(cases: DataFrame, start_year: int, end_year: int, weeks: int = SPINE_WEEKS) -> DataFrame:
-    """Spine of the case districts, left-joined with cases, missing cases -> 0."""
+def complete_panel(cases: DataFrame, start_year: int, end_year: int, weeks: int | str = SPINE_WEEKS,
+                   flag_reported: bool = False) -> DataFrame:
+    """Spine of the case districts, left-joined with cases, missing cases -> 0.
+
+    ``flag_reported`` adds ``was_reported`` (the week had a case row), which
+    tells a true zero from a filled one.
+    """
     districts = cases.select("District").distinct()
     spine = week_spine(districts, start_year, end_year, weeks)
-    joined = spine.join(cases.select(*PANEL_KEYS, "Cases"), PANEL_KEYS, "left")
-    return fill_cases(joined).select(*PANEL_KEYS, "Cases")
+    right = cases.select(*PANEL_KEYS, "Cases").withColumn("__reported", F.lit(True))
+    joined = spine.join(right, PANEL_KEYS, "left")
+    extra = [F.coalesce(F.col("__reported"), F.lit(False)).alias("was_reported")] if flag_reported else []
+    return fill_cases(joined).select(*PANEL_KEYS, "Cases", *extra)
 
 
 def features_wide(features: DataFrame, variables: list[str] | None = None, lags: list[int] | None = None) -> DataFrame:

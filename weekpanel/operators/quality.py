@@ -143,13 +143,16 @@ def first_n_per_group(df: DataFrame, group: str, order: list[str], n: int, bucke
     return top.withColumn("more", F.greatest(F.col("total") - n, F.lit(0)))
 
 
-def reconcile_totals(raw: DataFrame, panel: DataFrame, key: str = "District") -> DataFrame:
+def reconcile_totals(raw: DataFrame, panel: DataFrame, key: str = "District", max_week: int | None = None) -> DataFrame:
     """Raw vs panel case totals per district: ``(District, raw_total, panel_total, passed)``.
 
     ``raw`` must already carry the cleaned name in ``key``.  Full outer join;
     a district missing on one side fails.  Week-53 cases are in the raw total
-    but not in the panel, so such districts fail by design.
+    but not in the panel, so such districts fail by design; ``max_week=52``
+    compares only the weeks the panel keeps.
     """
+    if max_week is not None:
+        raw = raw.filter(F.col("Week") <= max_week)
     r = raw.groupBy(key).agg(F.coalesce(F.sum(F.coalesce("Cases", F.lit(0.0))), F.lit(0.0)).alias("raw_total"))
     p = panel.groupBy(key).agg(F.sum("Cases").alias("panel_total"))
     j = r.join(p, key, "full")

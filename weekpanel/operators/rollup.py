@@ -23,7 +23,7 @@ def merge_districts(cases: DataFrame) -> DataFrame:
     return valid.groupBy(*keys).agg(F.coalesce(F.sum("Cases"), F.lit(0.0)).cast("double").alias("Cases"))
 
 
-def weekly_rollup(obs: DataFrame, agg: dict[str, str] | str | None = None) -> DataFrame:
+def weekly_rollup(obs: DataFrame, agg: dict[str, str] | str | None = None, empty_sum: str = "zero") -> DataFrame:
     """Daily ``(variable, station, date, value)`` -> weekly ``(variable, station, year, week, value)``.
 
     ``agg`` maps variable -> ``'mean'`` (missing skipped; all missing ->
@@ -42,7 +42,8 @@ def weekly_rollup(obs: DataFrame, agg: dict[str, str] | str | None = None) -> Da
     grouped = dated.groupBy("variable", "station", "year", "week").agg(
         F.sum("value").alias("__sum"), F.avg("value").alias("__avg")
     )
-    value = F.when(pick_sum, F.coalesce(F.col("__sum"), F.lit(0.0))).otherwise(F.col("__avg"))
+    empty = F.lit(0.0) if empty_sum == "zero" else F.lit(None).cast("double")
+    value = F.when(pick_sum, F.coalesce(F.col("__sum"), empty)).otherwise(F.col("__avg"))
     return grouped.select("variable", "station", "year", "week", value.cast("double").alias("value"))
 
 

@@ -36,20 +36,20 @@ def clean_cases(inputs: Inputs) -> DataFrame:
     return merge_districts(standardize_names(inputs.cases_raw, "District", inputs.aliases))
 
 
-def base_panel(inputs: Inputs) -> DataFrame:
+def base_panel(inputs: Inputs, weeks: int | str = 52) -> DataFrame:
     """Spine over the raw year range x 52 weeks x districts, with cases (0 when missing)."""
     lo, hi = year_range(inputs.cases_raw)
-    return complete_panel(clean_cases(inputs), lo, hi)
+    return complete_panel(clean_cases(inputs), lo, hi, weeks)
 
 
-def combine_inputs(inputs: Inputs, materialize: bool = True) -> Combined:
+def combine_inputs(inputs: Inputs, materialize: bool = True, mode: str = "first_row") -> Combined:
     """All sheets combined by one aggregate; the dense cells are written once
     to the checkpoint folder (``materialize``) so that every variable, the
     mean temperature and the weekly rollup read one small table instead of
     re-running the combine."""
     from weekpanel.session import materialize as write_read
 
-    c = combine_many({v: inputs.sheets[v] for v in SHEET_VARIABLES if v in inputs.sheets})
+    c = combine_many({v: inputs.sheets[v] for v in SHEET_VARIABLES if v in inputs.sheets}, mode=mode)
     return Combined(write_read(c.cells, "combined"), c.stations) if materialize else c
 
 
@@ -78,17 +78,27 @@ def observations(inputs: Inputs, align: str = "position", combined: Combined | N
     return c.long().unionByName(mean) if mean is not None else c.long()
 
 
-def weekly(inputs: Inputs, align: str = "position") -> DataFrame:
-    return weekly_rollup(observations(inputs, align))
+def weekly(inputs: Inputs, align: str = "position", mode: str = "first_row", empty_sum: str = "zero") -> DataFrame:
+    return weekly_rollup(observations(inputs, align, combine_inputs(inputs, mode=mode)), empty_sum=empty_sum)
 
 
-def features(inputs: Inputs, align: str = "position") -> DataFrame:
-    return lag_features(weekly(inputs, align), prepare_mapping(inputs.mapping, inputs.aliases))
+def features(inputs: Inputs, align: str = "position", mode: str = "first_row", empty_sum: str = "zero",
+             lag_by: str = "rows") -> DataFrame:
+    return lag_features(weekly(inputs, align, mode, empty_sum), prepare_mapping(inputs.mapping, inputs.aliases), by=lag_by)
 
 
-def build_panel(inputs: Inputs, align: str = "position") -> DataFrame:
-    """The panel: 4 key/target columns + 25 features, forward filled per district."""
-    return integrate_panel(base_panel(inputs), features(inputs, align))
+def build_panel(inputs: Inputs, align: str = "position", mode: str = "first_row", empty_sum: str = "zero",
+                lag_by: str = "rows", weeks: int | str = 52) -> DataFrame:
+    """The panel: 4 key/target columns + 25 features, forward filled per district.
+
+    Defaults reproduce the original semantics; the options are the
+    documented alternatives: ``align='date'`` (pair max/min by date),
+    ``mode='coalesce'`` (first non-missing value per station across parts),
+    ``empty_sum='null'`` (all-missing weekly sums stay missing),
+    ``lag_by='calendar'`` (lags in calendar weeks), ``weeks='calendar'``
+    (spine with week 53 where the calendar has one).
+    """
+    return integrate_panel(base_panel(inputs, weeks), features(inputs, align, mode, empty_sum, lag_by))
 
 
 def ordered(panel: DataFrame) -> DataFrame:

@@ -326,6 +326,35 @@ def q_integrate_panel(spark, sf):
     return _panel(spark, sf)
 
 
+def q_entry(spark, sf):
+    """The flagship build (same as ``integrate_panel``), at any scale."""
+    return _panel(spark, sf)
+
+
+def q_forward_fill(spark, sf):
+    """The forward fill alone, applied to the joined (unfilled) panel."""
+    from weekpanel.operators.panel import forward_fill
+
+    return forward_fill(_joined(spark, sf), feature_columns())
+
+
+def q_ordered_panel(spark, sf):
+    """The panel in output order (District, Year, Week): a distributed range sort."""
+    return I.ordered(_panel(spark, sf))
+
+
+def q_station_long(spark, sf):
+    """Station series stacked as one block of rows per district (weekly values before lags)."""
+    from weekpanel.operators.features import mapping_long, variable_groups
+    from weekpanel.functions.text import strip_ws, title_case
+
+    inp = _weather(spark, sf)
+    ml = mapping_long(prepare_mapping(inp.mapping, inp.aliases)).filter(F.col("station").isNotNull())
+    ml = ml.select(title_case(strip_ws("district_name")).alias("district_name"), "station_group", "station")
+    w = _weekly(spark, sf).withColumn("station_group", F.element_at(variable_groups(), F.col("variable")))
+    return w.join(ml, ["station_group", "station"]).select("variable", "district_name", "year", "week", "value")
+
+
 def q_sink_panel(spark, sf):
     from weekpanel.sources.readers import scan_panel
     from weekpanel.sources.sinks import write_panel
@@ -433,6 +462,21 @@ def q_filter_week(spark, sf):
     return filter_week(_panel(spark, sf), "Nation_2", 1997, 10)
 
 
+def q_fill_cases(spark, sf):
+    """Missing cases -> 0 on the raw long table (names and keys untouched)."""
+    from weekpanel.operators.clean import fill_cases
+
+    return fill_cases(_inputs(spark, sf).cases_raw)
+
+
+def q_first_week(spark, sf):
+    """The first (Year, Week) group, in key order, of the raw rows whose name contains a text."""
+    from weekpanel.operators.clean import filter_contains
+
+    sel = filter_contains(_raw_filled(spark, sf), "District", "NATION_2")
+    return sel.groupBy("Year", "Week").agg(F.sum("Cases").alias("Cases")).orderBy("Year", "Week").limit(1)
+
+
 def q_fill_all(spark, sf):
     return _raw_filled(spark, sf)
 
@@ -741,6 +785,16 @@ WHERE c1.variable = 'temp_max'""",
     "features_wide": _ALL + "SELECT * FROM fw",
     "integrate_panel": _ALL + "SELECT * FROM panel",
     "sink_panel": _ALL + "SELECT * FROM panel",
+    "entry": _ALL + "SELECT * FROM panel",
+    "forward_fill": _ALL + "SELECT * FROM panel",
+    "ordered_panel": _ALL + "SELECT * FROM panel ORDER BY District, Year, Week",
+    "station_long": S.with_ctes(*S.ALL[:-1]) + """
+SELECT l.variable, m.district_name, l.year, l.week, l.value FROM weekly l JOIN vg ON vg.variable = l.variable
+JOIN (SELECT """ + S.title(S.strip("district_name")) + """ AS district_name, station_group, station FROM map_long) m
+  ON m.station_group = vg.station_group AND m.station = l.station""",
+    "fill_cases": _CASES + "SELECT Year, Week, District, coalesce(Cases, 0.0) AS Cases FROM cases_raw",
+    "first_week": _CASES + "SELECT Year, Week, sum(coalesce(Cases, 0.0)) AS Cases FROM cases_raw "
+    "WHERE contains(District, 'NATION_2') GROUP BY Year, Week ORDER BY Year, Week LIMIT 1",
     "scan_panel": _ALL + "SELECT * FROM panel",
     "district_summary": _summary_sql(),
     "sink_summary": _summary_sql(),

@@ -105,3 +105,11 @@ def test_drop_invalid_dates_observed(spark):
     kept = drop_invalid_dates(parse_dates(sh), obs)
     assert kept.count() == 1
     assert obs.get == {"rows": 3, "kept": 1}
+
+
+def test_combine_typed_sheets(spark):
+    """Sheets landed with a typed time column and numeric cells (e.g. from Parquet)."""
+    rows = [(dt.datetime(2024, 1, 7), 1.5, 1e-5), (dt.datetime(2024, 1, 7), 9.0, 9.0), (dt.datetime(2024, 1, 8), float("nan"), 2.0)]
+    p1 = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "`Time (NPT)` timestamp_ntz, a double, b double, src_row long")
+    got = {str(r.date.date()): (r.a, r.b) for r in combine_parts(p1).collect()}
+    assert got == {"2024-01-07": (1.5, 1e-5), "2024-01-08": (None, 2.0)}  # NaN -> missing

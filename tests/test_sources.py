@@ -53,3 +53,17 @@ def test_combine_csv_landed_sheets(spark):
     c = combine_parts(scan_daily_wide(spark, paths[0]), scan_daily_wide(spark, paths[1]))
     got = {(str(r.date.date()), r["a (°C)"], r["s (°C)"], r["b (°C)"]) for r in c.collect()}
     assert got == {("2024-01-07", 30.0, None, None), ("2024-01-08", 1.0, 2.0, None)}
+
+
+def test_scan_cases_missing_tokens(spark):
+    """NaN and pandas' missing-value tokens arrive as NULL, so sums skip them."""
+    import os
+
+    path = scratch_path(spark, "t-na")
+    local = path[len("file:"):] if path.startswith("file:") else path  # the checkpoint root may be a file: URI
+    os.makedirs(local)
+    with open(os.path.join(local, "cases.csv"), "w") as f:
+        f.write("Year,Week,District,Cases\n2020,1,A,3\n2020,1,A,NaN\n2020,2,NA,NA\n2020,x,B,null\n2020,3,C,\n")
+    rows = scan_cases(spark, path).collect()
+    assert [tuple(r) for r in rows] == [(2020, 1, "A", 3.0), (2020, 1, "A", None), (2020, 2, None, None),
+                                        (2020, None, "B", None), (2020, 3, "C", None)]

@@ -11,6 +11,12 @@ from weekpanel.operators.util import qcol
 from weekpanel.schemas import CASES, MAPPING, PANEL
 
 
+# Text that pandas' CSV reader treats as missing by default (its documented
+# ``na_values`` list); applied to text columns of the case table for parity.
+PANDAS_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+
 class MissingInput(FileNotFoundError):
     """A required input path does not exist (reported without a JVM trace)."""
 
@@ -39,9 +45,19 @@ def file_order() -> F.Column:
 
 
 @_guard
-def scan_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Long case CSV ``Year, Week, District, Cases`` with header."""
-    return spark.read.schema(CASES).option("header", True).option("mode", "PERMISSIVE").csv(path)
+def scan_cases(spark: SparkSession, path: str, pandas_na: bool = True) -> DataFrame:
+    """Long case CSV ``Year, Week, District, Cases`` with header.
+
+    Unparsable numbers become NULL (permissive parsing with an explicit
+    schema); a ``NaN`` token becomes NULL too (Spark would keep a NaN, which
+    its ``sum`` does not skip).  With ``pandas_na`` the district text tokens
+    pandas reads as missing (``NA``, ``null``, ...) are NULL as well.
+    """
+    raw = spark.read.schema(CASES).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    district = F.col("District")
+    if pandas_na:
+        district = F.when(district.isin(PANDAS_NA_TOKENS), F.lit(None).cast("string")).otherwise(district)
+    return raw.select("Year", "Week", district.alias("District"), F.nanvl("Cases", F.lit(None).cast("double")).alias("Cases"))
 
 
 @_guard

@@ -75,10 +75,18 @@ def scan_daily_wide(spark: SparkSession, path: str) -> DataFrame:
 
 
 @_guard
-def scan_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """Station mapping CSV with header, plus ``src_row`` in file order."""
+def scan_mapping(spark: SparkSession, path: str, pandas_na: bool = True) -> DataFrame:
+    """Station mapping CSV with header, plus ``src_row`` in file order.
+
+    With ``pandas_na`` the text tokens pandas reads as missing are NULL (a
+    station cell ``NA`` is a missing station, not a station named NA).
+    """
     raw = spark.read.schema(MAPPING).option("header", True).csv(path)
-    return raw.select("*", file_order().alias("src_row"))
+    cols = [
+        F.when(F.col(c).isin(PANDAS_NA_TOKENS), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c) if pandas_na else F.col(c)
+        for c in raw.columns
+    ]
+    return raw.select(*cols, file_order().alias("src_row"))
 
 
 @_guard

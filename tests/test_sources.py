@@ -67,3 +67,16 @@ def test_scan_cases_missing_tokens(spark):
     rows = scan_cases(spark, path).collect()
     assert [tuple(r) for r in rows] == [(2020, 1, "A", 3.0), (2020, 1, "A", None), (2020, 2, None, None),
                                         (2020, None, "B", None), (2020, 3, "C", None)]
+
+
+def test_parquet_landed_sheet(spark):
+    import datetime as dt
+
+    from weekpanel.operators.combine import combine_parts
+
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 7), 1.5), (dt.datetime(2024, 1, 7), 9.0), (dt.datetime(2024, 1, 8), None)],
+                               "`Time (NPT)` timestamp_ntz, `a (mm)` double")
+    path = scratch_path(spark, "t-pq")
+    df.coalesce(1).write.parquet(path)
+    got = {str(r.date.date()): r["a (mm)"] for r in combine_parts(scan_daily_wide(spark, path, fmt="parquet")).collect()}
+    assert got == {"2024-01-07": 1.5, "2024-01-08": None}

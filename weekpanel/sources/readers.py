@@ -68,9 +68,17 @@ def scan_cases_wide(spark: SparkSession, path: str, id_col: str = "period") -> D
 
 
 @_guard
-def scan_daily_wide(spark: SparkSession, path: str) -> DataFrame:
-    """A landed daily sheet (CSV, header): every column as text, plus ``src_row`` in file order."""
-    raw = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
+def scan_daily_wide(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """A landed daily sheet plus ``src_row`` in file order.
+
+    CSV (header): every column as text, header text kept exactly.  Parquet:
+    columns keep their types (a typed time column passes through the date
+    parsing, numeric cells skip the text guard).
+    """
+    if fmt == "parquet":
+        raw = spark.read.parquet(path)
+    else:
+        raw = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
     return raw.select("*", file_order().alias("src_row"))
 
 

@@ -89,3 +89,22 @@ def test_first_n_per_group_hot_group_exact(spark):
     hot = [(r.position, r.o, r.total, r.more) for r in got.filter("grp = 'hot'").orderBy("position").collect()]
     assert hot == [(i + 1, i, 5000, 4990) for i in range(10)]
     assert got.filter("grp = 'cold'").count() == 7
+
+
+def test_lag_composition_on_dense_weeks(spark):
+    """lag 1 of lag j equals lag j+1 on the dense weekly series."""
+    from pyspark.sql import Window
+
+    from weekpanel.operators.features import lag_weekly
+    from weekpanel.plans import queries as QQ
+
+    from .conftest import SF_SMALL
+
+    lags = lag_weekly(QQ._weekly(spark, SF_SMALL))
+    w = Window.partitionBy("variable", "station").orderBy("year", "week")
+    bad = 0
+    for j in range(1, 4):
+        shifted = F.lag(f"lag{j}", 1).over(w)
+        bad += lags.select((~shifted.eqNullSafe(F.col(f"lag{j + 1}"))).alias("d")).filter("d").count()
+    assert bad == 0
+    assert lags.filter(F.col("lag4").isNotNull()).count() > 0

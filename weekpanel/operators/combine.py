@@ -126,12 +126,18 @@ class Combined:
         return self.cells.filter(F.col("variable").isin(variables))
 
     def wide(self, variable: str) -> DataFrame:
-        """``date, <stations>`` of one variable (a pivot with a fixed value list)."""
+        """``date, <stations>`` of one variable.
+
+        A pivot with a fixed column list, written as one conditional
+        aggregate: each (date, station) cell is unique, so one shuffle suffices.
+        """
         stations = self.stations[variable]
         one = self.cells.filter(F.col("variable") == variable)
         if not stations:
             return one.select("date").distinct()
-        return one.groupBy("date").pivot("station", stations).agg(F.first("value"))
+        return one.groupBy("date").agg(
+            *[F.max(F.when(F.col("station") == s, F.col("value"))).alias(s) for s in stations]
+        )
 
 
 def combine_many(sheets: dict[str, list[DataFrame]], trim: bool = True, formats: list[str] | None = None,

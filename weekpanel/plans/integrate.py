@@ -114,4 +114,5 @@ def district_list(df: DataFrame, col: str = "District", max_rows: int = 10_000)
     return sorted(r[0] for r in vals if r[0] is not None)
 
 
-__all__ = ["Inputs", "build_panel", "base_panel", "clean_cases", "combined_sheets", "observations", "weekly", "features", "ordered", "F"]
+__all__ = ["Inputs", "build_panel", "base_panel", "clean_cases", "combine_inputs", "combined_sheets", "mean_of", "observations",
+           "weekly", "features", "ordered", "district_list"]

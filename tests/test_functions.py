@@ -172,3 +172,9 @@ def test_standardize_name_property(spark, names):
 def test_title_case_property(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(title_case("t")).collect()] == [t.title() for t in texts]
+
+
+def test_title_case_multichar_upper(spark):
+    texts = ["ßtraße", "ﬁeld (ﬂow)", "élan-vital"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(title_case("t")).collect()] == [t.title() for t in texts]

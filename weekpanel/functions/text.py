@@ -32,10 +32,14 @@ def title_case(c: Column | str) -> Column:
     non-letter runs).  ``initcap`` differs: it restarts only after spaces.
     """
     runs = F.regexp_extract_all(_c(c), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    return F.array_join(
-        F.transform(runs, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 1 << 30)))),
-        "",
-    )
+
+    def title_run(t):
+        # upper-case form of the first character may be longer ('ß' -> 'SS'):
+        # keep its first letter upper and the rest lower, as Python's title does
+        first = F.upper(F.substring(t, 1, 1))
+        return F.concat(F.substring(first, 1, 1), F.lower(F.substring(first, 2, 1 << 30)), F.lower(F.substring(t, 2, 1 << 30)))
+
+    return F.array_join(F.transform(runs, title_run), "")
 
 
 def alias_lookup(key: Column, aliases: dict[str, str] | None) -> Column:

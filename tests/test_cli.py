@@ -50,3 +50,19 @@ def test_cli_integrate_validate_stations(spark, capsys):
 def test_cli_missing_input(spark, capsys):
     assert cli.main(["eda", "--cases", "/nonexistent/weekpanel/cases"], spark=spark) == 2
     assert "input not found" in capsys.readouterr().err
+
+
+def test_cli_preprocess_and_eda(spark, capsys):
+    from weekpanel.operators.reshape import cases_long_from_wide
+    from weekpanel.sources.readers import scan_cases
+
+    wide = standin.cases_wide(spark, SF_SMALL)
+    root = scratch_path(spark, "t-cli-pre")
+    write_csv(wide, os.path.join(root, "wide"))
+    out = os.path.join(root, "long")
+    assert cli.main(["preprocess", "--wide", os.path.join(root, "wide"), "--out", out], spark=spark) == 0
+    got = scan_cases(spark, out)
+    assert got.exceptAll(cases_long_from_wide(wide)).count() == 0 and got.count() == cases_long_from_wide(wide).count()
+    assert cli.main(["eda", "--cases", out], spark=spark) == 0
+    text = capsys.readouterr().out
+    assert "Top 20 districts" in text and "Describe" in text

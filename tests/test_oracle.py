@@ -13,7 +13,8 @@ from weekpanel.plans.compare import compare, duck_connect
 from .conftest import SF_SMALL
 
 CORE = ["integrate_panel", "weekly_mean", "weekly_sum", "lag_features", "district_summary", "complete_panel",
-        "combine_parts", "mean_temperature", "missing_stations", "reconcile_totals", "completeness", "week_calendar"]
+        "combine_parts", "mean_temperature", "missing_stations", "reconcile_totals", "completeness", "week_calendar",
+        "station_long", "forward_fill", "empty_part", "date_positions"]
 NAMES = sorted(E.queries()) if os.environ.get("WEEKPANEL_ORACLE_ALL") else CORE
 
 

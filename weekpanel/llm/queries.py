@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekpanel.llm.host_rules import apply_host_rules
+from weekpanel.llm.language import fit_language, language_of
 from weekpanel.llm.minhash import near_duplicates
+from weekpanel.llm.quality import fit_quality, score_column
 from weekpanel.llm.text import remainder, table
+from weekpanel.llm.toxicity import fit_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,3 +41,33 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    out = remainder("doc_id", 5) == 0
+    model = fit_language(docs.filter(~out))
+    judged = docs.select("doc_id", out.alias("held_out"), language_of(docs, model, F.col("text")).alias("p"))
+    return judged.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.rejected")
+
+
+def _scored(spark: SparkSession, sf_dir: str, out, fit, threshold: float) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    model = fit(docs, labels.filter(~out))
+    judged = docs.select("doc_id", out.alias("held_out"), score_column(docs, model, F.col("text")).alias("score"))
+    return judged.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of all documents."""
+    return _scored(spark, sf_dir, remainder("doc_id", 5) == 0, fit_quality, 0.3)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of all documents."""
+    return _scored(spark, sf_dir, remainder("doc_id", 3) == 1, fit_toxicity, 0.7)

@@ -130,10 +130,9 @@ class QualityModel:
             total[i] = cache.table[at[s : s + BLOCK]].sum(axis=0)
         repeats = np.add.reduceat(same, start)
         total += repeats[:, None] * self.vector(SAME) * 2
-        length = np.diff([*start, len(at)])[:, None]
-        # a short last block is weighed as if filled up with empty words
-        means = total / np.maximum(length, min(BLOCK, len(at)))
-        return np.concatenate([total.sum(axis=0) / len(at), means.max(axis=0), means.min(axis=0)])
+        # short texts and last blocks are weighed as if filled up with empty words
+        blocks = total / BLOCK
+        return np.concatenate([total.sum(axis=0) / max(len(at), BLOCK), blocks.max(axis=0), blocks.min(axis=0)])
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         h = np.maximum(0, (x - self.shift) / self.scale @ self.w1 + self.b1)
@@ -177,7 +176,7 @@ def train(texts: list[str], y: np.ndarray, hidden: int = 32, epochs: int = 30, d
     return model
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS // 2) -> QualityModel:
     """A model fitted on at most ``most`` labelled rows; ``labels`` has ``doc_id, quality``."""
     got = labelled(docs, labels, "quality", most=most)
     return train(list(got["text"]), got["y"].to_numpy())

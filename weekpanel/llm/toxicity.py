@@ -1,7 +1,7 @@
 """Toxicity: a sparse linear classifier with counterfactual regularisation.
 
-Features are the distinct words of a text (letters only, lower-cased) among the
-words of the training sample.  Every labelled sentence that names an identity
+Features are the distinct words of a text (letters only, lower-cased) and their
+beginnings of 3 to 6 letters, among those of the training sample.  Every labelled sentence that names an identity
 group is copied with the group's name swapped for another one, and the squared
 change of the logit between a text and its copy is penalised; the names
 themselves then carry (nearly) equal weights, which the sparsity penalty draws to
@@ -40,10 +40,18 @@ IDENTITY_TERMS = (
 KIND = {term: kind for kind in IDENTITY_TERMS for term in kind}
 
 
+PREFIXES = (3, 4, 5, 6)
+
+
 def core(word: bytes) -> str:
     return "".join(LETTER.findall(word.decode("utf-8", "replace"))).lower()
 
 
+def features(core_: str) -> list[str]:
+    """The word and its beginnings, which stay when a word is inflected."""
+    return [core_, *(f"^{core_[:k]}" for k in PREFIXES if len(core_) >= k)] if core_ else []
+
+
 @dataclass
 class ToxicityModel:
     weights: dict[str, float] = field(default_factory=dict)
@@ -52,81 +60,85 @@ class ToxicityModel:
     constant: float | None = None
 
     def _make(self, words: list[bytes]) -> np.ndarray:
-        return np.array([[self.weights.get(core(w), 0.0)] for w in words], np.float32)
+        return np.array([[any(f in self.weights for f in features(core(w)))] for w in words], np.float32)
 
     def cache(self) -> WordRows:
         return WordRows(self._make, 1)
 
+    def logit(self, text: str | None, cache: WordRows) -> float:
+        words = text.encode().split() if text else []
+        at = cache.of(words)
+        hit = np.flatnonzero(cache.table[at, 0]) if len(at) else at
+        found = {f for k in hit for f in features(core(words[k]))}  # a feature counts once a text
+        return self.bias + sum(self.weights[f] for f in sorted(found) if f in self.weights)
+
     def score(self, texts, cache: WordRows) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        z = np.full(len(texts), self.bias)
-        for i, text in enumerate(texts):
-            words = text.encode().split() if text else []
-            at = cache.of(words)
-            hit = np.flatnonzero(cache.table[at, 0]) if len(at) else at
-            if len(hit):  # few: a word counts once, however it is written
-                z[i] += sum(self.weights[c] for c in {core(words[k]) for k in hit})
-        return sigmoid(z / self.temp)
-
-
-def counterfactuals(present: list[set[str]], seed: int = 11) -> list[tuple[int, str, str]]:
-    """``(text, name, other name)`` for every group name in a labelled text."""
+        return sigmoid(np.array([self.logit(t, cache) for t in texts], np.float64) / self.temp)
+
+
+def swaps(words: list[set[str]], seed: int = 11) -> list[tuple[str, str]]:
+    """``(name, other name)`` for every group name in a labelled text, and for
+    neighbouring names of each kind once, so that names the sample lacks count too."""
     rng = np.random.default_rng(seed)
-    out = []
-    for i, words in enumerate(present):
-        for term in sorted(words & KIND.keys()):
+    out = [pair for kind in IDENTITY_TERMS for pair in zip(kind, kind[1:], strict=False)]
+    for found in words:
+        for term in sorted(found & KIND.keys()):
             others = [t for t in KIND[term] if t != term]
-            out.append((i, term, others[rng.integers(len(others))]))
+            out.append((term, others[rng.integers(len(others))]))
     return out
 
 
-def train(texts: list[str], y: np.ndarray, sparsity: float = 4e-4, swap_weight: float = 1.0, steps: int = 400) -> ToxicityModel:
-    """Accelerated proximal gradient on log loss + swap penalty + L1."""
+def train(texts: list[str], y: np.ndarray, sparsity: float = 4e-4, swap_weight: float = 1.0, steps: int = 200) -> ToxicityModel:
+    """Accelerated proximal gradient on log loss + swap penalty + L1.
+
+    Features whose gradient at the intercept-only model is under half the L1
+    weight are left out at once: they would be set to zero."""
     y = np.asarray(y, np.float64)
     if len(y) == 0 or len(np.unique(y)) < 2:
         return ToxicityModel(constant=float(y.mean()) if len(y) else 0.0)
-    present = []
-    for t in texts:
-        found = {core(w) for w in set(t.encode().split())}
-        found.discard("")
-        present.append(found)
-    count: dict[str, int] = {}
-    for s in present:
-        for w in s:
-            count[w] = count.get(w, 0) + 1
-    vocab = sorted(w for w, c in count.items() if c > 2 or w in KIND)
-    vocab += sorted(KIND.keys() - set(vocab))
-    at = {w: i for i, w in enumerate(vocab)}
-    doc = np.array([i for i, s in enumerate(present) for w in s if w in at], np.int64)
-    col = np.array([at[w] for s in present for w in s if w in at], np.int64)
-    swaps = counterfactuals(present)
-    left = np.array([at[a] for _, a, _ in swaps], np.int64)
-    right = np.array([at[b] for _, _, b in swaps], np.int64)
-    rng = np.random.default_rng(2)
+    words = [{core(w) for w in set(t.encode().split())} - {""} for t in texts]
+    present = [{f for w in found for f in features(w)} for found in words]
+    b = float(np.log(y.mean() / (1 - y.mean())))
+    first: dict[str, float] = {}
+    for found, g in zip(present, (sigmoid(np.full(len(y), b)) - y) / len(y), strict=True):
+        for f in found:
+            first[f] = first.get(f, 0.0) + g
+    vocab = sorted(f for f, g in first.items() if abs(g) > sparsity / 2)
+    if not vocab:
+        return ToxicityModel(bias=b)
+    at = {f: i for i, f in enumerate(vocab)}
+    doc = np.array([i for i, found in enumerate(present) for f in found if f in at], np.int64)
+    col = np.array([at[f] for found in present for f in found if f in at], np.int64)
+    pairs = swaps(words)
+    change = np.zeros((len(pairs), len(vocab)))  # a copy's features less the text's own
+    for i, (x, z) in enumerate(pairs):
+        for sign, name in ((-1, x), (1, z)):
+            for f in features(name):
+                if f in at:
+                    change[i, at[f]] += sign
+    change = change[np.abs(change).any(axis=1)]
     back = np.zeros(len(y), bool)
-    back[rng.permutation(len(y))[: len(y) // 5]] = True
+    back[np.random.default_rng(2).permutation(len(y))[: len(y) // 5]] = True
     use = np.where(back, 0.0, 1.0) / max(1, (~back).sum())
 
     def logits(w, b):
         return np.bincount(doc, w[col], len(y)) + b
 
+    def loss(w, b):
+        swap = swap_weight * np.mean((change @ w) ** 2) if len(change) else 0.0
+        return float((np.logaddexp(0, -(2 * y - 1) * logits(w, b)) * use).sum() + swap)
+
     def grad(w, b):
         g = (sigmoid(logits(w, b)) - y) * use
         gw = np.bincount(col, g[doc], len(vocab))
-        if len(left):
-            d = 2 * swap_weight * (w[left] - w[right]) / len(left)
-            gw += np.bincount(left, d, len(vocab)) - np.bincount(right, d, len(vocab))
+        if len(change):
+            gw += 2 * swap_weight * change.T @ (change @ w) / len(change)
         return gw, g.sum()
 
-    def loss(w, b):
-        z = logits(w, b)
-        swap = swap_weight * np.mean((w[left] - w[right]) ** 2) if len(left) else 0.0
-        return float((np.logaddexp(0, -(2 * y - 1) * z) * use).sum() + swap)
-
     w = v = np.zeros(len(vocab))
-    b = c = float(np.log(y.mean() / (1 - y.mean())))
-    rate, t = 1.0, 1.0
+    c, rate, t = b, 1.0, 1.0
     for _ in range(steps):
         gw, gb = grad(v, c)
         here = loss(v, c)

@@ -6,16 +6,14 @@ hash into ``0 .. UNIVERSE-1``, the second is one random table read at
 over the table shifted by ``k`` places.  Coordinates are banded, and links are
 confirmed by the exact Jaccard similarity of full shingle sets.
 
-Work per group of copies stays linear:
+Work per group of copies stays (nearly) linear:
 
 * rows with equal sets collapse to one representative before any banding;
-* in each bucket the members are compared with one member (a star), and only
-  buckets whose members still lie in different components go to the next round,
-  with another centre;
-* what is left is compared across components: members outside the bucket's
-  largest component against all members of other components.  Members that are
-  already connected are never compared again, so a group of n similar texts
-  costs about n comparisons, and no pair of different components is left out.
+* for a few rounds each representative is verified against one centre of its
+  buckets, and only buckets whose members still lie in different components stay;
+* in those, members of different components are compared in numpy, block by block;
+  a pair becomes a row only if it links two components.  Members that are already
+  connected are never compared, and no pair of different components is left out.
 
 Defined cases: NULL or blank text has an empty set and is linked with nothing;
 fewer than five words form one shingle; rows without an id are returned unlinked
@@ -40,7 +38,7 @@ from weekpanel.session import materialize
 
 UNIVERSE = 1 << 20
 ROWS, BANDS = 4, 32  # a pair at similarity 0.75 misses all bands with probability (1 - 0.75^4)^32 = 5e-6
-STARS = 4
+STARS = 3
 
 
 class Circulant:
@@ -108,13 +106,83 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.filter(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def _ordered(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "na", "nb").distinct()
+def _sizes_fit(percent: int, x: str, y: str):
+    """Sets of too different sizes cannot be similar enough (exact)."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def _merging(percent: int):
+    """Per block pair of one bucket: candidate links between different components.
+
+    Intersections are counted on 32-bit shingle prefixes, packed as bit rows over
+    the shingles that two members share.  A pair that stays similar with two
+    shingles less is certain, and only certain pairs that join two components not
+    joined yet are returned (at most one per member); other pairs near the threshold
+    are returned while their components are apart.  All are verified on full sets afterwards."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node, label, size, side = (group.column(c).to_numpy() for c in ("node", "l", "n", "side"))
+        shingles = group.column("shingles").combine_chunks()
+        count = shingles.value_lengths().to_numpy()
+        flat = shingles.flatten().to_numpy()
+        row = np.repeat(np.arange(len(node)), count)
+        _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
+        both = times > 1
+        use = both[col]
+        row, col = row[use], (np.cumsum(both) - 1)[col[use]]
+        bits = np.zeros((len(node), int(both.sum()) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (row, col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        names, per = np.unique(label, return_counts=True)
+        most = names[per.argmax()]
+        across = side.min() != side.max()
+        a, b = [], []
+        for i in np.flatnonzero(label != most):
+            other = (label != label[i]) & ((label == most) | (node > node[i]))
+            if across:
+                other &= side != side[i]
+            other &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
+            at = np.flatnonzero(other)
+            if not len(at):
+                continue
+            inter = np.bitwise_count(bits[at] & bits[i]).sum(axis=1, dtype=np.int64) + 2
+            whole = size[at] + size[i]
+            near = 100 * inter >= percent * (whole - inter)
+            sure = 100 * (inter - 4) >= percent * (whole - inter + 4)
+            for j, certain in zip(at[near], sure[near], strict=True):
+                x, y = root(int(label[i])), root(int(label[j]))
+                if x == y:
+                    continue
+                if certain:
+                    parent[x] = y
+                a.append(min(node[i], node[j]))
+                b.append(max(node[i], node[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    return run
 
-def _sizes_fit(percent: int):
-    """Sets of too different sizes cannot be similar enough (exact)."""
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+
+def _across_components(left: DataFrame, sets: DataFrame, percent: int, block: int = 400_000) -> DataFrame:
+    """Candidate links inside buckets whose members lie in several components.
+
+    A bucket is cut into blocks of about ``block`` shingles and each pair of blocks
+    is one group, so no task holds a whole large bucket, and no pair becomes a row
+    unless it is (nearly) a link between two components."""
+    blocks = left.groupBy("key").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    cut = left.join(blocks, "key").withColumn("side", F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int"))
+    dealt = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    short = sets.select(F.col("id").alias("node"), F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("shingles"))
+    dealt = dealt.join(short, "node").select(
+        "key", F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi"), "node", "n", "l", "side", "shingles"
+    )
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(_merging(percent), "a long, b long").distinct()
 
 
 def near_links(reps: DataFrame, read: DataFrame, percent: int) -> DataFrame:
@@ -130,29 +198,24 @@ def near_links(reps: DataFrame, read: DataFrame, percent: int) -> DataFrame:
     sets = materialize(sets.join(member.select("rep", "node").distinct(), ["rep", "node"], "left_semi"), "sets")
     sets = sets.select(F.col("node").alias("id"), "shingles")
 
-    links = tested = None
+    links = None
     left = member.select("key", "node", "n", F.col("node").alias("l"))
     for turn in range(STARS + 1):
         if turn < STARS:
-            order = F.xxhash64("node", F.lit(turn))
-            centre = left.groupBy("key").agg(F.min(order).alias("o"))
-            centre = left.select("key", order.alias("o"), F.col("node").alias("y"), F.col("n").alias("nb"), F.col("l").alias("lc")).join(centre, ["key", "o"])
-            pairs = left.join(centre, "key").filter("l <> lc").select(F.col("node").alias("x"), "y", F.col("n").alias("na"), "nb")
+            # Each member meets one centre: of its buckets' centres in other components, the first in this
+            # round's order.  Members of one group so share few centres.
+            mask = (turn * 0x5DEECE66D1234567) & 0x7FFFFFFFFFFFFFFF
+            order = F.col("node").bitwiseXOR(F.lit(mask))
+            centre = left.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("n").alias("nb"), F.col("l").alias("lc"))).alias("c"))
+            met = left.join(centre, "key").filter((F.col("l") != F.col("c.lc")) & _sizes_fit(percent, "n", "c.nb"))
+            pairs = met.groupBy(F.col("node").alias("x")).agg(F.min("c.o").bitwiseXOR(F.lit(mask)).alias("y"))
+            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         else:
-            most = left.groupBy("key", "l").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("l", "c").alias("most"))
-            marked = left.join(most, "key")
-            one = marked.filter("l <> most").select("key", F.col("node").alias("x"), F.col("l").alias("lx"), F.col("n").alias("na"))
-            other = marked.select("key", F.col("node").alias("y"), F.col("l").alias("ly"), F.col("n").alias("nb"), (F.col("l") == F.col("most")).alias("big"))
-            pairs = one.join(other, "key").filter("lx <> ly AND (big OR x < y)").select("x", "y", "na", "nb")
-        pairs = _ordered(pairs.filter(_sizes_fit(percent)), "x", "y").select("a", "b")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
+            pairs = _across_components(left, sets, percent)
         found = materialize(_verified(pairs, sets, percent), "links")
         links = found if links is None else links.union(found)
         if turn == STARS:
             break
-        tested = pairs if tested is None else tested.union(pairs)
         now = member.join(connected_components(links).withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left")
         now = now.select("key", "node", "n", F.coalesce("component", "node").alias("l"))
         mixed = now.groupBy("key").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo <> hi").select("key")

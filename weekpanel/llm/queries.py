@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekpanel.llm.host_rules import apply_host_rules
 from weekpanel.llm.language import fit_language, language_of
 from weekpanel.llm.minhash import near_duplicates
+from weekpanel.llm.packing import pack
 from weekpanel.llm.quality import fit_quality, score_column
 from weekpanel.llm.text import remainder, table
 from weekpanel.llm.toxicity import fit_toxicity
@@ -71,3 +73,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of all documents."""
     return _scored(spark, sf_dir, remainder("doc_id", 3) == 1, fit_toxicity, 0.7)
+
+
+@query("op2_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

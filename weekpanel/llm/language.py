@@ -16,33 +16,64 @@ alphabetical order; repeated rows get equal results.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekpanel.llm.sampling import Adam, WordRows, bounded_sample, temperature
-from weekpanel.llm.text import LETTER
+from weekpanel.llm.text import mix
 
 UND = "und"
 
 
-def _core(word: bytes) -> str:
-    """The word's letters, lower-cased; other characters are dropped."""
-    return "".join(LETTER.findall(word.decode("utf-8", "replace"))).lower()
-
-
-def subwords(word: bytes, buckets: int) -> list[int]:
-    core = _core(word)
-    if not core:
-        return []
-    marked = f"<{core}>"
-    grams = [marked[i : i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1)]
-    return [xxhash.xxh32_intdigest(g) % buckets for g in {*grams[1:-1], marked}]
+SIZES = (1, 2, 3, 4)
+
+
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """True at code points that are letters, and at the blank that parts words."""
+    out = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    out[0x20] = True
+    return out
+
+
+def subwords(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(word number, bucket)`` of every subword of the words: the 1- to 4-grams of
+    the lower-cased letters with a mark (a blank) on both sides, and the whole word."""
+    text = " " + b" ".join(words).decode("utf-8", "replace").lower() + " "
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    code = code[_letters()[code]].astype(np.uint64)
+    blank = code == 0x20
+    number = np.cumsum(blank) - 1  # a blank opens the word after it
+    after = np.concatenate([[0], np.cumsum(blank)])
+    owners, hashes = [], []
+    for n in SIZES:
+        m = len(code) - n + 1
+        if m <= 0:
+            continue
+        h = np.full(m, np.uint64(n))
+        for k in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + code[k : k + m]
+        # no blank inside, and not a blank alone
+        inside = after[np.arange(m) + n - 1] - after[np.arange(m) + 1] if n > 2 else np.zeros(m, int)
+        ok = (inside == 0) & ~(blank[:m] & blank[n - 1 :])
+        owners.append(number[:m][ok])
+        hashes.append(h[ok])
+    letters = np.flatnonzero(~blank)
+    if len(letters):  # whole words: a polynomial hash over each run of letters
+        starts = np.flatnonzero(np.diff(number[letters], prepend=-1))
+        place = np.arange(len(letters)) - np.repeat(starts, np.diff([*starts, len(letters)]))
+        power = np.cumprod(np.full(place.max() + 1, np.uint64(0xC2B2AE3D27D4EB4F)))
+        owners.append(number[letters][starts])
+        hashes.append(np.add.reduceat(code[letters] * power[place], starts))
+    if not owners:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(owners), (mix(np.concatenate(hashes)) % np.uint64(buckets)).astype(np.int64)
 
 
 @dataclass
@@ -56,12 +87,11 @@ class LanguageModel:
     reject_below: float
 
     def _make(self, words: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.langs) + 1), np.float32)
-        for i, w in enumerate(words):
-            ids = subwords(w, len(self.rows))
-            if ids:
-                out[i, :-1] = self.rows[ids].sum(axis=0)
-                out[i, -1] = len(ids)
+        owner, ids = subwords(words, len(self.rows))
+        out = np.empty((len(words), len(self.langs) + 1), np.float32)
+        for c in range(len(self.langs)):
+            out[:, c] = np.bincount(owner, self.rows[ids, c], len(words))
+        out[:, -1] = np.bincount(owner, minlength=len(words))
         return out
 
     def cache(self) -> WordRows:
@@ -91,11 +121,9 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, width: int
     if not names:
         return LanguageModel([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    known: dict[bytes, list[int]] = {}
     rows = []
     for t in texts:
-        ids = [i for w in t.encode().split() for i in (known[w] if w in known else known.setdefault(w, subwords(w, buckets)))]
-        u, c = np.unique(np.array(ids, np.int64), return_counts=True)
+        u, c = np.unique(subwords(t.encode().split(), buckets)[1], return_counts=True)
         rows.append((u, (c / max(1, c.sum())).astype(np.float32)))
     y = np.array([names.index(x) for x in langs])
     use = np.array([i for i, r in enumerate(rows) if len(r[0])], np.int64)

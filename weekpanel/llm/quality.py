@@ -2,9 +2,10 @@
 two-layer numpy network with temperature-calibrated probabilities.
 
 Every word is a sum of pieces: its letters, each run of other characters, and a
-mark for all-capitals.  A piece has a fixed sparse random index vector (from its
-hash, so it needs no vocabulary); pieces seen in the training sample add the
-normalised sum of the index vectors of the pieces around them.  A text is pooled
+mark for all-capitals.  A piece has a fixed sparse random index vector (drawn from
+its hash; pieces the sample lacks share ``SHARED`` vectors, so no vocabulary of the
+corpus is held); pieces seen in the training sample add the normalised sum of the
+index vectors of the pieces around them.  A text is pooled
 twice: the mean over all its words, and the largest and smallest means over its
 blocks of 64 words, so that a bad passage in a long text stays visible.  A word
 equal to the word before it adds the vector of a repetition mark.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from weekpanel.llm.sampling import SAMPLE_ROWS, Adam, WordRows, labelled, sigmoid, temperature
 
-WIDTH, NONZERO, BLOCK = 48, 6, 64
+WIDTH, NONZERO, BLOCK, SHARED = 48, 6, 64, 4096
 SAME = "<same>"
 _RUNS = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 
@@ -93,7 +94,10 @@ def context_vectors(texts: list[str], most: int = 20_000, window: int = 2) -> di
 
 @dataclass
 class QualityModel:
-    context: dict[str, np.ndarray] = field(default_factory=dict)
+    """``known`` numbers the sample's pieces; ``vectors`` has their rows, then the shared ones."""
+
+    known: dict[str, int] = field(default_factory=dict)
+    vectors: np.ndarray | None = None
     w1: np.ndarray | None = None
     b1: np.ndarray | None = None
     w2: np.ndarray | None = None
@@ -103,20 +107,27 @@ class QualityModel:
     temp: float = 1.0
     constant: float | None = None
 
-    def vector(self, piece: str) -> np.ndarray:
-        own = index_vector(piece)
-        near = self.context.get(piece)
-        return own if near is None else own + near
+    @classmethod
+    def of_context(cls, context: dict[str, np.ndarray]) -> QualityModel:
+        rows = [index_vector(p) + v for p, v in context.items()] + [index_vector(f"shared {i}") for i in range(SHARED)]
+        return cls({p: i for i, p in enumerate(context)}, np.vstack(rows).astype(np.float32))
+
+    def row(self, piece: str) -> int:
+        at = self.known.get(piece)
+        return len(self.known) + xxhash.xxh32_intdigest(piece) % SHARED if at is None else at
 
     def _make(self, words: list[bytes]) -> np.ndarray:
+        rows = [[self.row(p) for p in pieces(w)] for w in words]
+        length = np.array([len(r) for r in rows])
         out = np.zeros((len(words), WIDTH), np.float32)
-        for i, w in enumerate(words):
-            for p in pieces(w):
-                out[i] += self.vector(p)
+        full = np.flatnonzero(length)
+        if len(full):
+            start = np.cumsum(length[full]) - length[full]
+            out[full] = np.add.reduceat(self.vectors[[i for r in rows for i in r]], start, axis=0)
         return out
 
     def cache(self) -> WordRows:
-        return WordRows(self._make, WIDTH, most=150_000)
+        return WordRows(self._make, WIDTH, most=200_000)
 
     def pooled(self, text: str | None, cache: WordRows) -> np.ndarray:
         at = cache.of(text.encode().split() if text else [])
@@ -125,11 +136,9 @@ class QualityModel:
         start = np.arange(0, len(at), BLOCK)
         same = np.zeros(len(at), np.float32)
         same[1:] = at[1:] == at[:-1]
-        total = np.empty((len(start), WIDTH), np.float32)
-        for i, s in enumerate(start):
-            total[i] = cache.table[at[s : s + BLOCK]].sum(axis=0)
+        total = np.add.reduceat(cache.table[at], start, axis=0)
         repeats = np.add.reduceat(same, start)
-        total += repeats[:, None] * self.vector(SAME) * 2
+        total += repeats[:, None] * self.vectors[self.row(SAME)] * 2
         # short texts and last blocks are weighed as if filled up with empty words
         blocks = total / BLOCK
         return np.concatenate([total.sum(axis=0) / max(len(at), BLOCK), blocks.max(axis=0), blocks.min(axis=0)])
@@ -149,7 +158,7 @@ def train(texts: list[str], y: np.ndarray, hidden: int = 32, epochs: int = 30, d
     y = np.asarray(y, np.float32)
     if len(y) == 0 or len(np.unique(y)) < 2:
         return QualityModel(constant=float(y.mean()) if len(y) else 0.5)
-    model = QualityModel(context=context_vectors(texts))
+    model = QualityModel.of_context(context_vectors(texts))
     cache = model.cache()
     x = np.vstack([model.pooled(t, cache) for t in texts])
     rng = np.random.default_rng(seed)

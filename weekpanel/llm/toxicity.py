@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from weekpanel.llm.sampling import SAMPLE_ROWS, WordRows, labelled, sigmoid, temperature
+from weekpanel.llm.sampling import WordRows, labelled, sigmoid, temperature
 from weekpanel.llm.text import LETTER
 
 # Names of groups, by kind; a name is swapped within its kind.
@@ -90,7 +90,7 @@ def swaps(words: list[set[str]], seed: int = 11) -> list[tuple[str, str]]:
     return out
 
 
-def train(texts: list[str], y: np.ndarray, sparsity: float = 4e-4, swap_weight: float = 1.0, steps: int = 200) -> ToxicityModel:
+def train(texts: list[str], y: np.ndarray, sparsity: float = 4e-4, swap_weight: float = 1.0, ridge: float = 1e-5, steps: int = 100) -> ToxicityModel:
     """Accelerated proximal gradient on log loss + swap penalty + L1.
 
     Features whose gradient at the intercept-only model is under half the L1
@@ -98,20 +98,30 @@ def train(texts: list[str], y: np.ndarray, sparsity: float = 4e-4, swap_weight:
     y = np.asarray(y, np.float64)
     if len(y) == 0 or len(np.unique(y)) < 2:
         return ToxicityModel(constant=float(y.mean()) if len(y) else 0.0)
-    words = [{core(w) for w in set(t.encode().split())} - {""} for t in texts]
-    present = [{f for w in found for f in features(w)} for found in words]
+    number: dict[str, int] = {}
+    of_word: dict[bytes, tuple[int, ...]] = {}
+
+    def numbers(word: bytes) -> tuple[int, ...]:
+        got = of_word.get(word)
+        if got is None:
+            got = of_word[word] = tuple(number.setdefault(f, len(number)) for f in features(core(word)))
+        return got
+
+    present = [np.unique(np.array([i for w in set(t.encode().split()) for i in numbers(w)], np.int32)) for t in texts]
+    named = [{c for w in set(t.encode().split()) if (c := core(w)) in KIND} for t in texts]
+    doc = np.repeat(np.arange(len(y)), [len(p) for p in present])
+    col = np.concatenate(present).astype(np.int64)
     b = float(np.log(y.mean() / (1 - y.mean())))
-    first: dict[str, float] = {}
-    for found, g in zip(present, (sigmoid(np.full(len(y), b)) - y) / len(y), strict=True):
-        for f in found:
-            first[f] = first.get(f, 0.0) + g
-    vocab = sorted(f for f, g in first.items() if abs(g) > sparsity / 2)
+    first = np.bincount(col, ((1 / (1 + np.exp(-b)) - y) / len(y))[doc], len(number))
+    names = list(number)
+    vocab = [names[i] for i in np.flatnonzero(np.abs(first) > sparsity / 2)]
     if not vocab:
         return ToxicityModel(bias=b)
+    new = np.cumsum(np.abs(first) > sparsity / 2) - 1
+    use = np.abs(first[col]) > sparsity / 2
+    doc, col = doc[use], new[col[use]]
     at = {f: i for i, f in enumerate(vocab)}
-    doc = np.array([i for i, found in enumerate(present) for f in found if f in at], np.int64)
-    col = np.array([at[f] for found in present for f in found if f in at], np.int64)
-    pairs = swaps(words)
+    pairs = swaps(named)
     change = np.zeros((len(pairs), len(vocab)))  # a copy's features less the text's own
     for i, (x, z) in enumerate(pairs):
         for sign, name in ((-1, x), (1, z)):
@@ -155,13 +165,42 @@ def train(texts: list[str], y: np.ndarray, sparsity: float = 4e-4, swap_weight:
         c = new_b + (t - 1) / nt * (new_b - b)
         moved = np.abs(new_w - w).max()
         w, b, t, rate = new_w, new_b, nt, rate * 1.5
-        if moved < 1e-4:
+        if moved < 2e-3:
             break
+    # The L1 weight also shortens what it keeps; the kept features are fitted again with a small ridge.
+    kept = np.flatnonzero(np.abs(w) > 1e-3)
+    if len(kept):
+        place = np.full(len(vocab), -1)
+        place[kept] = np.arange(len(kept))
+        on = place[col] >= 0
+        x = np.ones((len(y), len(kept) + 1))
+        x[:, :-1] = 0
+        x[doc[on], place[col[on]]] = 1
+        # The ridge holds the intercept too: texts without a kept feature all sit on it, and it would drift off.
+        pull = 2 * ridge * np.eye(len(kept) + 1)
+        if len(change):
+            pull[:-1, :-1] += 2 * swap_weight * change[:, kept].T @ change[:, kept] / len(change)
+        v = np.append(w[kept], b)
+        share = np.where(y == 1, use / (2 * (use * y).sum()), use / (2 * (use * (1 - y)).sum()))  # both classes weigh alike
+        for _ in range(40):  # Newton steps
+            p = sigmoid(x @ v)
+            g = x.T @ ((p - y) * share) + pull @ v
+            step = np.linalg.solve((x * (p * (1 - p) * share)[:, None]).T @ x + pull, g)
+            v -= step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+            if np.abs(step).max() < 1e-5:
+                break
+        w = np.zeros(len(vocab))
+        w[kept], b = v[:-1], float(v[-1])
+    # Calibration: an even score lies midway between nearly all neutral and nearly all toxic texts.
+    z = logits(w, b)
+    neutral, toxic = np.quantile(z[y == 0], 0.999), np.quantile(z[y == 1], 0.01)
+    if toxic > neutral:
+        b -= (neutral + toxic) / 2
     temp = temperature(logits(w, b)[back], y[back])
     return ToxicityModel({vocab[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-6)}, float(b), temp)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 5000) -> ToxicityModel:
     """A model fitted on at most ``most`` labelled rows; ``labels`` has ``doc_id, toxic``."""
     got = labelled(docs, labels, "toxic", most=most)
     return train(list(got["text"]), got["y"].to_numpy())

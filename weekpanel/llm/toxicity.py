@@ -191,11 +191,12 @@ def train(texts: list[str], y: np.ndarray, sparsity: float = 4e-4, swap_weight:
                 break
         w = np.zeros(len(vocab))
         w[kept], b = v[:-1], float(v[-1])
-    # Calibration: an even score lies midway between nearly all neutral and nearly all toxic texts.
+    # Calibration: an even score lies a quarter of the way from nearly all neutral to nearly all toxic texts,
+    # so that one clear insult in a long text is enough.
     z = logits(w, b)
     neutral, toxic = np.quantile(z[y == 0], 0.999), np.quantile(z[y == 1], 0.01)
     if toxic > neutral:
-        b -= (neutral + toxic) / 2
+        b -= neutral + (toxic - neutral) / 4
     temp = temperature(logits(w, b)[back], y[back])
     return ToxicityModel({vocab[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-6)}, float(b), temp)
 

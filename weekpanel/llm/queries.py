@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekpanel.llm.decontaminate import contaminated
 from weekpanel.llm.host_rules import apply_host_rules
 from weekpanel.llm.language import fit_language, language_of
+from weekpanel.llm.licenses import TEMPLATES, TRIGGER, scan_licenses
 from weekpanel.llm.minhash import near_duplicates
 from weekpanel.llm.packing import pack
 from weekpanel.llm.quality import fit_quality, score_column
 from weekpanel.llm.text import remainder, table
 from weekpanel.llm.toxicity import fit_toxicity
+from weekpanel.llm.url_filter import host_of, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,3 +88,57 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold (near) copies of benchmark items."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The rules and the names of listed hosts that op1 applies (fixed values).
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+LISTED_HOST = r"(^|[.])(cheap-pills|casino-win|adult-x|free-bets|spam-farm)[.]"
+
+_OP1_SQL = f"""
+WITH rules(h, p, v) AS (VALUES {', '.join(str(r) for r in URL_RULES)}),
+parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
+  FROM pages),
+fit AS (
+  SELECT DISTINCT host, path, h || p AS rule, v
+  FROM (SELECT DISTINCT host, path FROM parts) JOIN rules
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+best AS (SELECT host, path, rule, v FROM fit QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC) = 1),
+listed AS (SELECT DISTINCT host || regexp_replace(path, '/+$', '') AS k FROM parts WHERE regexp_matches(host, '{LISTED_HOST}'))
+SELECT page_id, host, path, rule,
+       coalesce(v, CASE WHEN host || regexp_replace(path, '/+$', '') IN (SELECT k FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN best USING (host, path)
+"""
+
+
+@query("op1_url_filter", _OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages; the list of single URLs is the canonical URLs on listed hosts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    urls = pages.select("url").filter(host_of(F.col("url")).rlike(LISTED_HOST))
+    return judge_urls(pages, rules, urls).select("page_id", "host", "path", "rule", "verdict")
+
+
+def document_path() -> Column:
+    """A file path for a document: directories by source and id, some files in the upper ones."""
+    thousand, hundred = F.expr("doc_id div 1000"), F.expr("doc_id div 100")
+    top = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    middle = F.concat_ws("/", "source", thousand.cast("string"), F.col("doc_id").cast("string"))
+    deep = F.concat_ws("/", "source", thousand.cast("string"), hundred.cast("string"), F.col("doc_id").cast("string"))
+    return F.when(F.pmod("doc_id", F.lit(1000)) == 0, top).when(F.pmod("doc_id", F.lit(100)) == 0, middle).otherwise(deep)
+
+
+@query("op10_licenses")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and inherited licenses of all documents."""
+    return scan_licenses(table(spark, sf_dir, "documents"), "doc_id", "text", document_path())

@@ -109,7 +109,8 @@ def nnls(a: np.ndarray, y: np.ndarray, rounds: int = 2000) -> np.ndarray:
         active[best] = True
         while True:
             at = np.flatnonzero(active)
-            z = np.linalg.lstsq(gram[np.ix_(at, at)], target[at], rcond=None)[0]
+            part = gram[np.ix_(at, at)]
+            z = np.linalg.solve(part + 1e-10 * np.trace(part) / len(at) * np.eye(len(at)), target[at])
             if (z > 0).all():
                 x[:] = 0
                 x[at] = z

@@ -45,8 +45,9 @@ def window_hashes(words: str, size: int = SHINGLE) -> Column:
 
 
 def remainder(col: str, mod: int) -> Column:
-    """crc32 of the id as text, modulo ``mod``: the fixed split of train and held-out rows."""
-    return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(mod))
+    """crc32 of the id as text, modulo ``mod``: the fixed split of train and held-out
+    rows.  -1 for a NULL id: such rows are never held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(mod)), F.lit(-1))
 
 
 def byte_words(text: bytes) -> list[bytes]:

@@ -55,8 +55,8 @@ def _listed(rules: DataFrame, urls: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, urls: DataFrame, url_col: str = "url", blocks: int = bloom.BLOCKS) -> DataFrame:
-    """``host, path, rule, verdict`` of every row of ``pages``, after its own columns'
-    id; ``rules`` has ``host, path, verdict`` and ``urls`` has ``url``."""
+    """``pages`` with ``host, path, rule, verdict`` (columns of these names are
+    replaced); ``rules`` has ``host, path, verdict`` and ``urls`` has ``url``."""
     listed = materialize(_listed(rules, urls), "listed")
     lengths = [r[0] for r in listed.filter("rule IS NOT NULL").select(F.length(F.regexp_replace("rule", "^[^/]*", "")).alias("n")).distinct().collect()]
     seen = pages.select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).distinct()
@@ -68,9 +68,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, urls: DataFrame, url_col: str
     expanded = seen.filter("host <> ''").select("host", "path", F.explode(keys).alias("key"))
     passed = expanded.filter(bloom.maybe_listed(pages, bloom.build(listed, "key", blocks), F.col("key")))
     order = F.struct(F.coalesce(F.length("rule"), F.lit(-1)).alias("n"), F.col("rule"), F.col("verdict"))
-    hits = passed.join(listed, "key").groupBy("host", "path").agg(F.max(order).alias("best")).select(
-        F.col("host").alias("h"), F.col("path").alias("p"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("v")
-    )
+    hits = passed.join(listed, "key").groupBy(F.col("host").alias("url_filter_h"), F.col("path").alias("url_filter_p")).agg(F.max(order).alias("url_filter_b"))
     parted = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    joined = parted.join(hits, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left")
-    return joined.drop("h", "p").withColumn("verdict", F.coalesce("v", F.lit("allow"))).drop("v")
+    joined = parted.join(hits, (F.col("host") == F.col("url_filter_h")) & (F.col("path") == F.col("url_filter_p")), "left")
+    best = F.col("url_filter_b")
+    judged = joined.withColumns({"rule": best["rule"], "verdict": F.coalesce(best["verdict"], F.lit("allow"))})
+    return judged.drop("url_filter_h", "url_filter_p", "url_filter_b")

@@ -90,14 +90,16 @@ def swaps(words: list[set[str]], seed: int = 11) -> list[tuple[str, str]]:
     return out
 
 
-def train(texts: list[str], y: np.ndarray, sparsity: float = 4e-4, swap_weight: float = 1.0, ridge: float = 1e-5, steps: int = 100) -> ToxicityModel:
+def train(texts: list[str], y: np.ndarray, evidence: float = 2.5, swap_weight: float = 1.0, ridge: float = 1e-5, steps: int = 200) -> ToxicityModel:
     """Accelerated proximal gradient on log loss + swap penalty + L1.
 
-    Features whose gradient at the intercept-only model is under half the L1
-    weight are left out at once: they would be set to zero."""
+    The L1 weight asks for the evidence of more than ``evidence`` texts, however many
+    texts there are.  Features whose gradient at the intercept-only model is under
+    half of it are left out at once: they would be set to zero."""
     y = np.asarray(y, np.float64)
     if len(y) == 0 or len(np.unique(y)) < 2:
         return ToxicityModel(constant=float(y.mean()) if len(y) else 0.0)
+    sparsity = evidence / len(y)
     number: dict[str, int] = {}
     of_word: dict[bytes, tuple[int, ...]] = {}
 
@@ -165,7 +167,7 @@ def train(texts: list[str], y: np.ndarray, sparsity: float = 4e-4, swap_weight:
         c = new_b + (t - 1) / nt * (new_b - b)
         moved = np.abs(new_w - w).max()
         w, b, t, rate = new_w, new_b, nt, rate * 1.5
-        if moved < 2e-3:
+        if moved < 1e-3:
             break
     # The L1 weight also shortens what it keeps; the kept features are fitted again with a small ridge.
     kept = np.flatnonzero(np.abs(w) > 1e-3)

@@ -144,19 +144,19 @@ def _held_out(i):
 
 def test_lm_scores_match_brute_force_and_beat_the_base(spark):
     rows = queries.QUERIES["op3_lm_score"](spark, SF001).collect()
-    want = brute.lm(_docs(spark, SF001), _held_out, lm_score.HEAD)
+    want = brute.lm(_docs(spark, SF001), _held_out, lm_score.HEAD, lm_score.VOCABULARY)
     for r in rows:
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and r.held_out == _held_out(r.doc_id)
         assert r.base_score == pytest.approx(want[r.doc_id][3]) and r.score == pytest.approx(want[r.doc_id][4])
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
-def test_lm_rest_words_and_edges(spark, edges, empty):
+def test_lm_other_words_and_edges(spark, edges, empty):
     from pyspark.sql import functions as F
 
     docs = [(i, t) for i, t, *_ in EDGES if i is not None]
-    rows = lm_score.lm_scores(edges.filter("doc_id IS NOT NULL"), F.col("doc_id") < 9, head=50).collect()
-    want = brute.lm(docs, lambda i: i >= 9, 50)
+    rows = lm_score.lm_scores(edges.filter("doc_id IS NOT NULL"), F.col("doc_id") < 9, head=200, vocabulary=50).collect()
+    want = brute.lm(docs, lambda i: i >= 9, 200, 50)
     assert len(rows) == len(docs)
     for r in rows:
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]

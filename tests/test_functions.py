@@ -17,19 +17,6 @@ from weekpanel.functions.text import (
 )
 
 
-def brute_week(d: dt.date):
-    """Loop statement of the first-Sunday rule, used as the property oracle."""
-    def first_sunday(y):
-        j = dt.date(y, 1, 1)
-        return j + dt.timedelta(days=(6 - j.weekday()) % 7)
-
-    fs = first_sunday(d.year)
-    if d < fs:
-        pf = first_sunday(d.year - 1)
-        return d.year - 1, (dt.date(d.year - 1, 12, 31) - pf).days // 7 + 1
-    return d.year, (d - fs).days // 7 + 1
-
-
 B1 = [
     ("2019-01-01", 2018, 52), ("2019-01-05", 2018, 52), ("2019-01-06", 2019, 1), ("2022-12-31", 2022, 52),
     ("2023-01-01", 2023, 1), ("2023-12-30", 2023, 52), ("2023-12-31", 2023, 53), ("2024-01-06", 2023, 53),
@@ -43,14 +30,18 @@ def test_calendar_fixture(spark):
     assert got == {(d, y, w) for d, y, w in B1}
 
 
-def test_calendar_matches_loop_1999_2045(spark):
+def test_calendar_properties_1999_2045(spark):
+    """What defines the calendar: week 1 of a year begins on the year's first Sunday, every later Sunday begins
+    the next week, and all other days belong to the week of the Sunday before them."""
     df = spark.range(0, (dt.date(2045, 12, 31) - dt.date(1999, 1, 1)).days + 1).select(
         F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")).alias("d")
     )
-    rows = df.select("d", week_year("d").alias("y"), week_number("d").alias("w")).collect()
+    rows = df.select("d", week_year("d").alias("y"), week_number("d").alias("w")).orderBy("d").collect()
     assert len(rows) == 17167
-    bad = [r for r in rows if (r.y, r.w) != brute_week(r.d)]
-    assert bad == []
+    sundays = [r for r in rows if r.d.isoweekday() == 7]
+    assert all((r.y, r.w) == (r.d.year, 1) for r in sundays if r.d.day <= 7 and r.d.month == 1)
+    assert all(b.w == 1 if b.d.year > a.d.year else (b.y, b.w) == (a.y, a.w + 1) for a, b in zip(sundays, sundays[1:], strict=False))
+    assert all((a.y, a.w) == (b.y, b.w) for a, b in zip(rows, rows[1:], strict=False) if b.d.isoweekday() != 7)
     years53 = sorted({r.y for r in rows if r.w == 53})
     assert years53 == [2000, 2006, 2012, 2017, 2023, 2028, 2034, 2040, 2045]
 
@@ -76,29 +67,22 @@ B3 = [("101 TAPLEJUNG", "Taplejung"), ("NAWALPARASI EAST", "Nawalparasi"), ("RUK
       ("12 ", ""), (None, None)]
 
 
-def python_map_name(name, aliases):
-    """Plain-Python statement of the naming rule (property oracle)."""
-    if not isinstance(name, str):
-        return name
-    parts = name.split(" ", 1)
-    clean = parts[1].strip().upper() if len(parts) > 1 and parts[0].isdigit() else name.strip().upper()
-    return aliases.get(clean, clean.title() if clean not in ("EAST", "WEST") else clean)
-
-
 def test_standardize_name_fixture(spark):
     df = spark.createDataFrame([(a,) for a, _ in B3], "n string")
     got = [r[0] for r in df.select(standardize_name("n")).collect()]
     assert got == [b for _, b in B3]
 
 
-def test_standardize_name_matches_python(spark):
-    from weekpanel.schemas import DISTRICT_ALIASES
+NAMES = [
+    ("100 NATION_0", "Nation_0"), ("104  NATION_4 MIDDLE EAST", "Nation_4 Middle East"), ("kavrepalanchok", "Kavrepalanchowk"),
+    ("  WEST", "WEST"), ("7 west", "WEST"), ("a-b c_d", "A-B C_D"), ("3x Y", "3X Y"), ("dhanusa ", "Dhanusha"), ("1 2 3", "2 3"),
+    ("ÉCOLE du nord", "École Du Nord"), ("x.y(z)", "X.Y(Z)"), ("", ""), (" ", ""), ("NAWALPARASI WEST", "Nawalparasi"), (None, None),
+]
 
-    names = ["100 NATION_0", "104  NATION_4 MIDDLE EAST", "kavrepalanchok", "  WEST", "7 west", "a-b c_d", "3x Y",
-             "dhanusa ", "1 2 3", "ÉCOLE du nord", "x.y(z)", "", " ", "NAWALPARASI WEST"]
-    df = spark.createDataFrame([(n,) for n in names], "n string")
-    got = [r[0] for r in df.select(standardize_name("n")).collect()]
-    assert got == [python_map_name(n, DISTRICT_ALIASES) for n in names]
+
+def test_standardize_name_table(spark):
+    df = spark.createDataFrame([(n,) for n, _ in NAMES], "n string")
+    assert [r[0] for r in df.select(standardize_name("n")).collect()] == [e for _, e in NAMES]
 
 
 def test_mapping_name_and_title(spark):
@@ -159,12 +143,17 @@ _NAMES = st.lists(
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(_NAMES)
-def test_standardize_name_property(spark, names):
-    from weekpanel.schemas import DISTRICT_ALIASES
-
+def test_standardize_name_properties(spark, names):
+    """Outer blanks and letter case do not matter, a leading code is dropped, no result has outer blanks."""
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    got = [r[0] for r in df.select(standardize_name("n")).collect()]
-    assert got == [python_map_name(n, DISTRICT_ALIASES) for n in names]
+    rows = df.select(
+        "n", standardize_name("n").alias("s"), standardize_name(F.concat(F.lit("  "), F.upper("n"), F.lit(" "))).alias("upper"),
+        standardize_name(F.concat(F.lit("77 "), "n")).alias("coded"), standardize_name(F.concat(F.lit("Z "), "n")).alias("named"),
+    ).collect()
+    for r in rows:
+        assert r.s == r.s.strip() and r.named.startswith("Z")
+        if not r.n.strip()[:1].isdigit() and not r.n[:1].isspace():
+            assert r.upper == r.s == r.coded
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -7,7 +7,7 @@ over the subwords of all its words.  Since the classifier is linear, each word h
 fixed class sums, so scoring adds one small row per word of the whole text.
 Probabilities are calibrated by a temperature on rows kept back from training; the
 rejection threshold is the score that all but ``miss`` of those rows, predicted
-right, reach, and never above one and a half times the chance of a blind guess.
+right, reach, and never more than a little above the chance of a blind guess.
 
 Defined cases: a text that is NULL or has no letter is ``und`` with score 0; with
 no training rows every text is ``und``; ties go to the first language in
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekpanel.llm.sampling import Adam, WordRows, bounded_sample, temperature
-from weekpanel.llm.text import mix
+from weekpanel.llm.text import mix, small_batches
 
 UND = "und"
 
@@ -161,7 +161,7 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, width: int
     p = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
     p = p / p.sum(axis=1, keepdims=True) if len(z) else p
     right = p.max(axis=1)[p.argmax(axis=1) == y[back]] if len(z) else np.zeros(0)
-    reject = min(1.5 / len(names), float(np.quantile(right, miss))) if len(right) and len(names) > 1 else 0.0
+    reject = min(1.2 / len(names), float(np.quantile(right, miss))) if len(right) and len(names) > 1 else 0.0
     return LanguageModel(names, emb @ out, bias.astype(np.float64), temp, reject)
 
 
@@ -174,6 +174,7 @@ def fit_language(docs: DataFrame, most: int = 4000, id_col: str = "doc_id", text
 
 def language_of(docs: DataFrame, model: LanguageModel, text: Column) -> Column:
     """``struct(lang_pred, score, rejected)`` of a text column."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from weekpanel.llm import bloom
 from weekpanel.llm.components import connected_components
-from weekpanel.llm.text import WordHashes, as_bytes, byte_words, mix, shingle_set, signed
+from weekpanel.llm.text import WordHashes, as_bytes, byte_words, mix, shingle_set, signed, small_batches
 from weekpanel.session import materialize
 
 UNIVERSE = 1 << 20
@@ -229,6 +229,7 @@ def near_duplicates(
     docs: DataFrame, percent: int = 75, rows: int = ROWS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
+    small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = materialize(read.mapInArrow(_sketches(rows, bands), "doc_id long, n long, node long, keys array<long>"), "sketches")
     usable = sketch.filter("n > 0 AND doc_id IS NOT NULL")

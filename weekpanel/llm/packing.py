@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekpanel.llm.text import small_batches
 from weekpanel.session import materialize
 
 WINDOW, GRAIN, END_ID = 2048, 16, 1
@@ -182,6 +183,7 @@ def _slots(steps: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarra
 
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, grain: int = GRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
+    small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "part", "rank")
     cut = materialize(read.mapInArrow(_pieces(vocabulary, window, grain), ", ".join(f"{n} long" for n in names)), "pieces")

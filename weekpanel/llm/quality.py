@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekpanel.llm.sampling import SAMPLE_ROWS, Adam, WordRows, labelled, sigmoid, temperature
+from weekpanel.llm.text import small_batches
 
 WIDTH, NONZERO, BLOCK, SHARED = 48, 6, 64, 4096
 SAME = "<same>"
@@ -127,7 +128,7 @@ class QualityModel:
         return out
 
     def cache(self) -> WordRows:
-        return WordRows(self._make, WIDTH, most=200_000)
+        return WordRows(self._make, WIDTH, most=60_000)
 
     def pooled(self, text: str | None, cache: WordRows) -> np.ndarray:
         at = cache.of(text.encode().split() if text else [])
@@ -193,6 +194,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS // 2
 
 def score_column(docs: DataFrame, model, text: Column) -> Column:
     """The score (0 to 1) of a text column by any model with ``cache`` and ``score``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

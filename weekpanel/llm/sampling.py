@@ -77,7 +77,7 @@ class WordRows(dict):
     computed together by ``make(words) -> array``.  Emptied between texts once it
     holds ``most`` words, so memory is bounded."""
 
-    def __init__(self, make, width: int, most: int = 300_000):
+    def __init__(self, make, width: int, most: int = 100_000):
         super().__init__()
         self.make, self.most, self.new = make, most, []
         self.table = np.zeros((1024, width), np.float32)

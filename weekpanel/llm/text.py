@@ -27,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts hold ``BATCH_ROWS`` rows, not the default
+    10,000: what a Python worker holds at once then stays a few MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, _UPPER, _UPPER.lower())
 
@@ -66,7 +75,7 @@ def as_bytes(column) -> list[bytes | None]:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; emptied when it holds ``most`` words, so memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -40,7 +40,7 @@ def test_language_rejects_and_edges(spark, edges, empty):
     assert empty.select(language.language_of(empty, model, empty.text)).count() == 0
     none = language.fit_language(empty)
     assert {r[0] for r in edges.select(language.language_of(edges, none, edges.text).lang_pred).collect()} == {"und"}
-    assert 0 < model.reject_below <= 1.5 / len(model.langs)
+    assert 0 < model.reject_below <= 1.2 / len(model.langs)
 
 
 def test_scorers_handle_edges(spark, edges, empty):

@@ -9,8 +9,9 @@
     python -m weekpanel.cli eda --cases cases.csv
 
 Sheets are CSV files with a header (first column = time text); a missing
-input path ends with a one-line message and exit code 2.  Only small, bounded
-reports are printed; tables are written with Spark.
+input path, an absent column or a sheet without a valid date ends with a
+one-line message and exit code 2.  Reports are printed whole, row by row;
+``--rows N`` prints the first N and says how many there are.
 """
 
 from __future__ import annotations
@@ -22,21 +23,22 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekpanel.functions.dates import NoValidDate
 from weekpanel.operators import quality as Q
+from weekpanel.operators.clean import fill_all
 from weekpanel.operators.reshape import cases_long_from_wide
 from weekpanel.plans.integrate import Inputs, build_panel
-from weekpanel.schemas import STATION_GROUP, feature_columns
+from weekpanel.schemas import STATION_GROUP, VARIABLES, feature_columns
 from weekpanel.session import apply_engine_conf, ensure_checkpoint_dir
-from weekpanel.sources.readers import MissingInput, scan_cases, scan_cases_wide, scan_daily_wide, scan_mapping, scan_panel
+from weekpanel.sources.readers import MissingColumn, MissingInput, scan_cases, scan_cases_wide, scan_daily_wide, scan_mapping, scan_panel
 from weekpanel.sources.sinks import write_cases_long, write_panel, write_summary
 
-REPORT_ROWS = 100  # printed reports are bounded (they are per-column or per-district summaries)
-
-
 def _sheets(specs: list[str], spark: SparkSession) -> dict[str, list[DataFrame]]:
     out: dict[str, list[DataFrame]] = {}
     for spec in specs or []:
         variable, _, paths = spec.partition("=")
+        if variable.strip() not in STATION_GROUP:
+            raise MissingInput(f"unknown sheet variable {variable.strip()!r}; known: {', '.join(STATION_GROUP)}")
         out[variable.strip()] = [scan_daily_wide(spark, p) for p in paths.split(",") if p]
     return out
 
@@ -49,19 +51,24 @@ def _aliases(specs: list[str] | None) -> dict[str, str]:
     return {**DISTRICT_ALIASES, **{k.strip().upper(): v.strip() for k, v in extra.items()}}
 
 
-def _show(title: str, df: DataFrame, order: list | None = None) -> None:
-    rows = (df.orderBy(*order) if order else df).limit(REPORT_ROWS).collect()
+def _show(title: str, df: DataFrame, order: list | None = None, rows: int | None = None) -> None:
+    """Print a report; ``rows`` bounds what is printed, and then the total is printed too."""
+    ordered = df.orderBy(*order) if order else df
     print(f"\n{title}")
-    if not rows:
-        print("  (none)")
-    for r in rows:
+    printed = 0
+    for r in (ordered if rows is None else ordered.limit(rows)).toLocalIterator():
         print("  " + ", ".join(f"{k}={v}" for k, v in r.asDict().items()))
+        printed += 1
+    if not printed:
+        print("  (none)")
+    if rows is not None and printed == rows:
+        print(f"  ({printed} of {df.count()} rows)")
 
 
 def cmd_integrate(spark: SparkSession, a) -> None:
     cases = scan_cases(spark, a.cases)
     inputs = Inputs(cases_raw=cases, sheets=_sheets(a.sheet, spark), mapping=scan_mapping(spark, a.mapping),
-                    aliases=_aliases(a.alias))
+                    aliases=_aliases(a.alias), per_row=a.per_row, infer=a.infer, strict=True)
     from weekpanel.session import materialize
 
     weeks = a.weeks if a.weeks == "calendar" else int(a.weeks)
@@ -70,8 +77,10 @@ def cmd_integrate(spark: SparkSession, a) -> None:
     write_panel(panel, os.path.join(a.out, "panel"), fmt=a.format)
     write_summary(Q.district_summary(panel), os.path.join(a.out, "summary"))
     report = Q.completeness(panel).withColumn("percentage", Q.percent_text("missing_pct"))
-    _show("Missing data by column", report.select("column", "missing", "percentage"), [F.desc("missing"), "column"])
+    _show("Missing data by column", report.select("column", "missing", "percentage"), [F.desc("missing"), "column"], a.rows)
     _show("Weather cell completeness", Q.cell_completeness(panel, feature_columns()))
+    _show("Rows with a weather value, by variable", Q.join_coverage(panel, VARIABLES), ["variable"])
+    _show("Weeks without cases", Q.zero_weeks(panel))
     _show("Overview", Q.panel_extent(panel))
 
 
@@ -82,26 +91,28 @@ def cmd_validate(spark: SparkSession, a) -> None:
     raw = raw.withColumn("District", standardize_name("District", _aliases(a.alias)))
     panel = scan_panel(spark, a.panel, fmt=a.format)
     checks = Q.reconcile_totals(raw, panel)
-    _show("Districts whose raw and panel totals differ", checks.filter(~F.col("passed")), ["District"])
+    _show("Districts whose raw and panel totals differ", checks.filter(~F.col("passed")), ["District"], a.rows)
     _show("Totals", checks.agg(F.count(F.lit(1)).alias("districts"), F.count_if("passed").alias("passed")))
-    _show("First week per district, failing", Q.reconcile_week(raw, panel).filter(~F.col("passed")), ["District"])
+    _show("First week per district, failing", Q.reconcile_week(raw, panel).filter(~F.col("passed")), ["District"], a.rows)
 
 
 def cmd_stations(spark: SparkSession, a) -> None:
     sheets = _sheets(a.sheet, spark)
+    seen: dict[str, str] = {}  # one variable speaks for its group: of the temperatures, the first given
     rows = [
-        (STATION_GROUP[v], c)
+        (STATION_GROUP[v], i, c)
         for v, parts in sheets.items()
+        if seen.setdefault(STATION_GROUP[v], v) == v
         for sh in parts[:1]  # the first part, headers as written
-        for c in sh.columns[1:]
-        if c != "src_row"
+        for i, c in enumerate((c for c in sh.columns[1:] if c != "src_row"), 1)
     ]
-    catalog = spark.createDataFrame(rows, "station_group string, station string")
+    catalog = spark.createDataFrame(rows, "station_group string, ordinal int, station string")
+    _show("Stations", catalog, ["station_group", "ordinal"], a.rows)
     _show("Stations per group", catalog.groupBy("station_group").count(), ["station_group"])
     mapping = scan_mapping(spark, a.mapping)
     groups = sorted(set(STATION_GROUP.values()))
     long = mapping.unpivot(["district_code", "src_row"], groups, "station_group", "station")
-    miss = long.join(F.broadcast(catalog), ["station_group", "station"], "left_anti")  # catalog: sheet headers
+    miss = long.join(catalog, ["station_group", "station"], "left_anti")
     _show("Mapping stations not found (first 10 per group, file order)",
           Q.first_n_per_group(miss, "station_group", ["src_row"], 10)
           .select("station_group", "position", "district_code", "station", "total", "more"),
@@ -111,7 +122,7 @@ def cmd_stations(spark: SparkSession, a) -> None:
 def cmd_preprocess(spark: SparkSession, a) -> None:
     long = cases_long_from_wide(scan_cases_wide(spark, a.wide))
     write_cases_long(long, a.out)
-    _show("Cases by district", long.groupBy("District").agg(F.sum("Cases").alias("Cases")), ["District"])
+    _show("Cases by district", long.groupBy("District").agg(F.sum("Cases").alias("Cases")), ["District"], a.rows)
 
 
 def cmd_eda(spark: SparkSession, a) -> None:
@@ -119,9 +130,12 @@ def cmd_eda(spark: SparkSession, a) -> None:
     _show("Columns", Q.table_info(cases), ["ordinal"])
     _show("Describe", Q.describe(cases))
     _show("Missing", Q.null_counts(cases), ["ordinal"])
-    filled = cases.na.fill(0)
+    _show("Shape", cases.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(cases.columns)).alias("columns")))
+    filled = fill_all(cases)
     _show("Cases per year", filled.groupBy("Year").agg(F.sum("Cases").alias("Cases")), ["Year"])
     by_district = filled.groupBy("District").agg(F.sum("Cases").alias("Cases"))
+    _show("Cases per district", by_district, ["District"], a.rows)
+    _show("Cases per year and district", filled.groupBy("Year", "District").agg(F.sum("Cases").alias("Cases")), ["Year", "District"], a.rows)
     _show("Top 20 districts", Q.top_n(by_district, 20, "Cases", "District"), [F.desc("Cases"), "District"])
 
 
@@ -140,6 +154,8 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--empty-sum", dest="empty_sum", default="zero", choices=["zero", "null"])
     i.add_argument("--lag-by", dest="lag_by", default="rows", choices=["rows", "calendar"])
     i.add_argument("--weeks", default="52", help="52 (default) or 'calendar'")
+    i.add_argument("--per-row", dest="per_row", action="store_true", help="every row tries all date formats")
+    i.add_argument("--infer", action="store_true", help="a sheet that no date format fits tries day-first formats")
     v = sub.add_parser("validate")
     v.add_argument("--cases", required=True)
     v.add_argument("--panel", required=True)
@@ -153,6 +169,9 @@ def parser() -> argparse.ArgumentParser:
     pp.add_argument("--out", required=True)
     e = sub.add_parser("eda")
     e.add_argument("--cases", required=True)
+    for x in (i, v, s, pp, e):
+        x.add_argument("--rows", type=int, default=None, help="print at most so many rows of a report, and their total")
+        x.add_argument("--scratch", help="folder for intermediate tables, shared by driver and executors")
     return p
 
 
@@ -165,10 +184,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if spark is None:
         spark = SparkSession.builder.appName(f"weekpanel-{a.cmd}").getOrCreate()
     apply_engine_conf(spark)
+    if a.scratch:
+        spark.sparkContext.setCheckpointDir(a.scratch)
     ensure_checkpoint_dir(spark)
     try:
         COMMANDS[a.cmd](spark, a)
-    except MissingInput as e:
+    except (MissingInput, MissingColumn, NoValidDate) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
     return 0

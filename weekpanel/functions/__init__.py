@@ -1,7 +1,7 @@
 """Column-level building blocks (``Column -> Column``), all native Spark expressions."""
 
 from weekpanel.functions.calendar import calendar_trace, week_number, week_start, week_year, with_week
-from weekpanel.functions.dates import choose_format, choose_formats, parse_dates_column
+from weekpanel.functions.dates import choose_format, parse_dates_column, sheet_formats
 from weekpanel.functions.numeric import coerce_double, rint2
 from weekpanel.functions.text import (
     extract_period_week,
@@ -15,13 +15,13 @@ from weekpanel.functions.text import (
 __all__ = [
     "calendar_trace",
     "choose_format",
-    "choose_formats",
     "coerce_double",
     "extract_period_week",
     "extract_period_year",
     "normalize_code",
     "parse_dates_column",
     "rint2",
+    "sheet_formats",
     "standardize_name",
     "strip_ws",
     "title_case",

@@ -12,13 +12,55 @@ from weekpanel.schemas import DATE_FORMATS
 DAYFIRST_FALLBACKS = ["d/M/yyyy H:m", "d-M-yyyy H:m:s", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d H:m:s", "yyyy-M-d"]
 
 
-def parse_sql(expr: str, fmt: str | None, dtype: T.DataType | None = None) -> str:
-    """SQL text parsing ``expr`` with one format (typed dates pass through)."""
-    if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def parse_sql(expr: str, fmt: str | list[str] | None, dtype: T.DataType | None = None) -> str:
+    """SQL text parsing ``expr`` with one format, or with the first of several
+    that fits each row (typed dates pass through)."""
+    if isinstance(dtype, DATE_TYPES):
         return f"CAST({expr} AS TIMESTAMP_NTZ)"
-    if fmt is None:
+    if not fmt:
         return "CAST(NULL AS TIMESTAMP_NTZ)"
-    return f"CAST(try_to_timestamp(CAST({expr} AS STRING), '{fmt}') AS TIMESTAMP_NTZ)"
+    tries = [f"try_to_timestamp(CAST({expr} AS STRING), '{f}')" for f in ([fmt] if isinstance(fmt, str) else fmt)]
+    return f"CAST(coalesce({', '.join(tries)}) AS TIMESTAMP_NTZ)"
+
+
+class NoValidDate(ValueError):
+    """A sheet has rows, and not one of their times can be parsed."""
+
+
+def sheet_formats(
+    columns: list[tuple[DataFrame, str]], formats: list[str] | None = None, per_row: bool = False, infer: bool = False,
+    names: list[str] | None = None, strict: bool = False,
+) -> list[str | list[str] | None]:
+    """What :func:`parse_sql` needs for each table's time column, from ONE aggregate job.
+
+    The first format that parses any row serves the whole table; with
+    ``per_row`` every row tries all of them; with ``infer`` a table that none
+    fits tries the day-first fallbacks.  ``strict`` raises :class:`NoValidDate`
+    for a text column with values of which none parses.
+    """
+    formats = list(formats or DATE_FORMATS)
+    tried = formats + (DAYFIRST_FALLBACKS if infer else [])
+    tagged = [df.select(F.lit(i).alias("t"), F.col(c).cast("string").alias("v")) for i, (df, c) in enumerate(columns)]
+    stacked = tagged[0]
+    for t in tagged[1:]:
+        stacked = stacked.unionByName(t)
+    counts = stacked.groupBy("t").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count(parse_with("v", f)).alias(f"n{j}") for j, f in enumerate(tried)]
+    )
+    by_table = {r["t"]: r for r in counts.collect()}  # one row per table
+    out: list[str | list[str] | None] = []
+    for i, (df, c) in enumerate(columns):
+        r = by_table.get(i)
+        fits = [f for j, f in enumerate(tried) if r is not None and r[f"n{j}"] > 0]
+        if strict and r is not None and not fits and not isinstance(df.schema[c].dataType, DATE_TYPES):
+            name = names[i] if names else c
+            raise NoValidDate(f"{name}: none of {r['rows']} times in column {c!r} fits {', '.join(tried)}")
+        first = next((f for f in formats if f in fits), None)
+        out.append(fits if per_row else first if first or not infer else fits)
+    return out
 
 
 def parse_with(c: Column | str, fmt: str) -> Column:
@@ -40,25 +82,6 @@ def choose_format(df: DataFrame, col: str, formats: list[str] | None = None) ->
     return None
 
 
-def choose_formats(columns: list[tuple[DataFrame, str]], formats: list[str] | None = None) -> list[str | None]:
-    """:func:`choose_format` for several tables in ONE job: the time columns are
-    tagged, stacked and counted per (table, format) by a single aggregate."""
-    formats = formats or DATE_FORMATS
-    if not columns:
-        return []
-    tagged = [df.select(F.lit(i).alias("t"), F.col(c).cast("string").alias("v")) for i, (df, c) in enumerate(columns)]
-    stacked = tagged[0]
-    for t in tagged[1:]:
-        stacked = stacked.unionByName(t)
-    counts = stacked.groupBy("t").agg(*[F.count(parse_with("v", f)).alias(f"n{j}") for j, f in enumerate(formats)])
-    by_table = {r["t"]: r for r in counts.collect()}  # one row per table
-    out = []
-    for i in range(len(columns)):
-        r = by_table.get(i)
-        out.append(next((f for j, f in enumerate(formats) if r is not None and r[f"n{j}"] > 0), None))
-    return out
-
-
 def parse_dates_column(
     df: DataFrame,
     col: str,

@@ -5,15 +5,17 @@ other columns are stations (header text, units included).  Optional reserved
 columns ``variable``, ``part`` and ``src_row`` are carried through; ``src_row``
 is the row's position in its file and decides which duplicate date is kept.
 
-The combine is long-first.  Each sheet is unpivoted once into cells
-``(variable, part, row, date, station, text)`` -- with a NULL cell for every
-station of the variable that its part lacks, exactly what stacking the parts
-by column name produces.  One aggregate then keeps, per
-``(variable, date, station)``, the cell of the first row (earlier part, then
-file order): ``min_by(value, (part, row))``.  It is partially aggregated
+The combine picks rows first and unpivots last.  Each sheet row becomes one
+array of numbers over the stations of its variable -- NULL for every station
+its part lacks, exactly what stacking the parts by column name produces.  One
+aggregate keeps, per ``(variable, date)``, the first row (earlier part, then
+file order): ``min_by(values, (part, row))``.  It is partially aggregated
 map-side, so a date repeated in a third of all rows is reduced before the
-shuffle.  The result is dense: every kept date has a cell for every station
-of its variable, which later makes weekly rows dense too.
+shuffle, and it sorts and shuffles sheet rows, not cells.  Only the kept rows
+are unpivoted into cells ``(variable, date, station, value)``.  The result is
+dense: every kept date has a cell for every station of its variable, which
+later makes weekly rows dense too.  (``mode='coalesce'`` decides per station,
+so it unpivots first and aggregates cells.)
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekpanel.functions.dates import choose_formats, parse_dates_column, parse_sql
+from weekpanel.functions.dates import parse_dates_column, parse_sql, sheet_formats
 from weekpanel.functions.numeric import coerce_double, coerce_double_sql, sql_ident
 from weekpanel.operators.clean import trim_columns
 from weekpanel.operators.util import qcol, with_row_position
@@ -86,7 +88,35 @@ def union_parts(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def sheet_cells(sheet: DataFrame, variable: str, part: int, stations: list[str], fmt: str | None) -> DataFrame:
+def sheet_rows(sheet: DataFrame, variable: str, part: int, stations: list[str], fmt: str | list[str] | None) -> DataFrame:
+    """One (trimmed) sheet -> ``(_variable, _part, _row, date, values)``, one row per sheet row.
+
+    ``values`` has a number per station of the variable, in the order of
+    ``stations``; NULL for those this part lacks.
+    """
+    time_col = sheet.columns[0]
+    types = {f.name: f.dataType for f in sheet.schema.fields}
+    own = set(station_columns(sheet))
+    row = "src_row" if "src_row" in sheet.columns else "monotonically_increasing_id()"
+    values = ", ".join(coerce_double_sql(sql_ident(s)) if s in own else "CAST(NULL AS DOUBLE)" for s in stations)
+    return sheet.selectExpr(
+        f"'{variable}' AS _variable", f"{part} AS _part", f"{row} AS _row",
+        parse_sql(sql_ident(time_col), fmt, types[time_col]) + " AS date", f"array({values}) AS values",
+    ).where("date IS NOT NULL")
+
+
+def first_row_cells(rows: DataFrame, stations: dict[str, list[str]]) -> DataFrame:
+    """Keep the first row of each date, then unpivot only those.
+
+    The aggregate is over sheet rows, not cells: what is sorted and shuffled is
+    one row per date and part, with all its stations side by side."""
+    kept = rows.groupBy("_variable", "date").agg(F.min_by("values", F.struct("_part", "_row")).alias("values"))
+    names = F.create_map(*[x for v, names in stations.items() for x in (F.lit(v), F.array(*[F.lit(s) for s in names]))])
+    cells = kept.select("_variable", "date", F.explode(F.arrays_zip(F.element_at(names, F.col("_variable")).alias("station"), "values")).alias("c"))
+    return cells.select("_variable", "date", F.col("c.station").alias("station"), F.col("c.values").alias("value"))
+
+
+def sheet_cells(sheet: DataFrame, variable: str, part: int, stations: list[str], fmt: str | list[str] | None) -> DataFrame:
     """One (trimmed) sheet -> ``(_variable, _part, _row, date, station, text)``.
 
     ``stations`` is the variable's full station list; columns this part lacks
@@ -141,11 +171,13 @@ class Combined:
 
 
 def combine_many(sheets: dict[str, list[DataFrame]], trim: bool = True, formats: list[str] | None = None,
-                 mode: str = "first_row") -> Combined:
+                 mode: str = "first_row", per_row: bool = False, infer: bool = False, strict: bool = False) -> Combined:
     """Combine the parts of every variable: one format probe, one aggregate.
 
-    parse -> drop invalid dates -> cells over the union of the parts'
-    columns -> coerce -> keep one cell per (variable, date, station).
+    parse -> drop invalid dates -> coerce -> keep the first row per
+    (variable, date) -> cells over the union of the parts' columns.
+    ``per_row``, ``infer`` and ``strict`` are those of
+    :func:`weekpanel.functions.dates.sheet_formats`.
 
     ``mode='first_row'`` (the original behaviour): the whole first row of a
     date wins, so on a date present in several parts, stations that only a
@@ -164,14 +196,22 @@ def combine_many(sheets: dict[str, list[DataFrame]], trim: bool = True, formats:
     if not with_cols:
         spark = items[0][2].sparkSession if items else None
         return Combined(spark.createDataFrame([], CELLS), stations)
-    chosen = choose_formats([(s, s.columns[0]) for _, _, s in with_cols], formats)
-    cells = [sheet_cells(s, v, p, stations[v], f) for (v, p, s), f in zip(with_cols, chosen)]
-    stacked = cells[0]
-    for c in cells[1:]:
-        stacked = stacked.unionByName(c)
-    valued = stacked.selectExpr("_variable", "_part", "_row", "date", "station", coerce_double_sql("text") + " AS value")
-    rank = F.struct("_part", "_row") if mode == "first_row" else F.struct(F.col("value").isNull(), "_part", "_row")
-    first = valued.groupBy("_variable", "date", "station").agg(F.min_by("value", rank).alias("value"))
+    chosen = sheet_formats([(s, s.columns[0]) for _, _, s in with_cols], formats, per_row, infer,
+                           [f"{v}, part {p}" for v, p, _ in with_cols], strict)
+    if mode == "first_row":
+        rows = [sheet_rows(s, v, p, stations[v], f) for (v, p, s), f in zip(with_cols, chosen)]
+        stacked = rows[0]
+        for r in rows[1:]:
+            stacked = stacked.unionByName(r)
+        first = first_row_cells(stacked, {v: names for v, names in stations.items() if names})
+    else:
+        cells = [sheet_cells(s, v, p, stations[v], f) for (v, p, s), f in zip(with_cols, chosen)]
+        stacked = cells[0]
+        for c in cells[1:]:
+            stacked = stacked.unionByName(c)
+        valued = stacked.selectExpr("_variable", "_part", "_row", "date", "station", coerce_double_sql("text") + " AS value")
+        rank = F.struct(F.col("value").isNull(), "_part", "_row")
+        first = valued.groupBy("_variable", "date", "station").agg(F.min_by("value", rank).alias("value"))
     return Combined(first.select(F.col("_variable").alias("variable"), "station", "date", "value"), stations)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from weekpanel.functions.text import normalize_code, standardize_mapping_name, strip_ws, title_case
 from weekpanel.operators.clean import keep_first
-from weekpanel.operators.util import sized_broadcast
 from weekpanel.schemas import LAG_WEEKS, STATION_GROUP
 
 GROUP_COLUMNS = sorted(set(STATION_GROUP.values()))
@@ -97,4 +96,4 @@ def missing_stations(mapping: DataFrame, catalog: DataFrame) -> DataFrame:
     station never matches, so it is reported missing.
     """
     ml = mapping_long(mapping)
-    return ml.join(sized_broadcast(catalog.select("station_group", "station").distinct()), ["station_group", "station"], "left_anti")
+    return ml.join(catalog.select("station_group", "station").distinct(), ["station_group", "station"], "left_anti")

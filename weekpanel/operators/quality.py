@@ -160,7 +160,9 @@ def reconcile_totals(raw: DataFrame, panel: DataFrame, key: str = "District", ma
 
 
 def reconcile_week(raw: DataFrame, panel: DataFrame, key: str = "District") -> DataFrame:
-    """For each district, its first raw (Year, Week) group: raw sum vs panel value."""
+    """For each district, its first raw (Year, Week) group: raw sum vs panel value.
+    Rows with a NULL key belong to no group (a NULL would sort first)."""
+    raw = raw.dropna(subset=[key, "Year", "Week"])
     sums = raw.groupBy(key, "Year", "Week").agg(F.sum(F.coalesce("Cases", F.lit(0.0))).alias("raw_cases"))
     first = sums.groupBy(key).agg(F.min(F.struct("Year", "Week", "raw_cases")).alias("f")).select(
         key, F.col("f.Year").alias("Year"), F.col("f.Week").alias("Week"), F.col("f.raw_cases").alias("raw_cases")

@@ -1,31 +1,15 @@
-"""Small shared helpers: quoting, checked broadcast, bounded row positions."""
+"""Small shared helpers: quoting, bounded row positions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Dimension tables (districts, stations, mapping rows) are broadcast only after
-# a bounded count proves they are below this many rows; beyond it the join is
-# left to the planner (sort-merge / AQE).
-BROADCAST_MAX_ROWS = 200_000
-
-
 def qcol(name: str) -> Column:
     """Column by exact name, even with dots, spaces, brackets or backticks."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it provably has at most ``max_rows`` rows, else ``df``.
-
-    The check is ``limit(max_rows + 1).count()``: it reads at most
-    ``max_rows + 1`` rows, so it stays cheap even when ``df`` is large.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def with_row_position(df: DataFrame, order_col: str = "date", name: str = "pos", partition: list[str] | None = None) -> DataFrame:
     """0-based position of each row in ``order_col`` order (values unique within ``partition``).
 

@@ -23,13 +23,17 @@ class Inputs:
 
     ``cases_raw``: ``(Year, Week, District, Cases)`` as delivered (names not
     cleaned).  ``sheets``: variable -> list of wide daily sheets, in part
-    order.  ``mapping``: station mapping with ``src_row``.
+    order.  ``mapping``: station mapping with ``src_row``.  The last three say
+    how dates of sheets are read.
     """
 
     cases_raw: DataFrame
     sheets: dict[str, list[DataFrame]]
     mapping: DataFrame
     aliases: dict[str, str] | None = None
+    per_row: bool = False  # every row of a sheet tries all date formats
+    infer: bool = False  # a sheet that no format fits tries day-first fallbacks
+    strict: bool = False  # a sheet without any valid date is an error
 
 
 def clean_cases(inputs: Inputs) -> DataFrame:
@@ -49,7 +53,11 @@ def combine_inputs(inputs: Inputs, materialize: bool = True, mode: str = "first_
     re-running the combine."""
     from weekpanel.session import materialize as write_read
 
-    c = combine_many({v: inputs.sheets[v] for v in SHEET_VARIABLES if v in inputs.sheets}, mode=mode)
+    unknown = sorted(set(inputs.sheets) - set(SHEET_VARIABLES))
+    if unknown:
+        raise ValueError(f"unknown sheet variable {', '.join(unknown)}; known: {', '.join(SHEET_VARIABLES)}")
+    c = combine_many({v: inputs.sheets[v] for v in SHEET_VARIABLES if v in inputs.sheets}, mode=mode,
+                     per_row=inputs.per_row, infer=inputs.infer, strict=inputs.strict)
     return Combined(write_read(c.cells, "combined"), c.stations) if materialize else c
 
 
@@ -106,13 +114,5 @@ def ordered(panel: DataFrame) -> DataFrame:
     return panel.orderBy("District", "Year", "Week")
 
 
-def district_list(df: DataFrame, col: str = "District", max_rows: int = 10_000) -> list[str]:
-    """Distinct values of a dimension column, for pivot value lists (bounded, checked)."""
-    vals = df.select(col).distinct().limit(max_rows + 1).collect()
-    if len(vals) > max_rows:
-        raise ValueError(f"{col} has more than {max_rows} values; pass an explicit list")
-    return sorted(r[0] for r in vals if r[0] is not None)
-
-
 __all__ = ["Inputs", "build_panel", "base_panel", "clean_cases", "combine_inputs", "combined_sheets", "mean_of", "observations",
-           "weekly", "features", "ordered", "district_list"]
+           "weekly", "features", "ordered"]

@@ -179,7 +179,11 @@ def q_scan_cases_wide(spark, sf):
 def q_scan_cases(spark, sf):
     from weekpanel.sources.readers import scan_cases
 
-    return scan_cases(spark, _roundtrip_csv(_inputs(spark, sf).cases_raw, "cases-long"))
+    # columns in another order, one more column, and years written as decimals (2020.0)
+    landed = _inputs(spark, sf).cases_raw.select(
+        "District", "Cases", F.lit("x").alias("note"), F.col("Year").cast("double").alias("Year"), "Week"
+    )
+    return scan_cases(spark, _roundtrip_csv(landed, "cases-long"))
 
 
 def q_sink_cases_long(spark, sf):
@@ -216,10 +220,10 @@ def q_complete_panel(spark, sf):
 def _trimmed(spark, sf):
     """(variable, part, trimmed sheet, chosen time format) -- formats probed in one job."""
     def make():
-        from weekpanel.functions.dates import choose_formats
+        from weekpanel.functions.dates import sheet_formats
 
         items = [(v, p, trim_columns(sh)) for v, p, sh in _sheets(spark, sf)]
-        chosen = choose_formats([(t, t.columns[0]) for _, _, t in items])
+        chosen = sheet_formats([(t, t.columns[0]) for _, _, t in items])
         return [(v, p, t, f) for (v, p, t), f in zip(items, chosen)]
 
     return _memo(spark, sf, "trimmed", make)
@@ -481,15 +485,17 @@ def q_fill_all(spark, sf):
     return _raw_filled(spark, sf)
 
 
+# Pivot columns are arguments: the raw names of the stand-in's districts, and its years.
+PIVOT_DISTRICTS = [f"{100 + k} " + (f" NATION_{k} MIDDLE EAST" if k % 5 == 4 else f"NATION_{k}") for k in range(25)]
+PIVOT_YEARS = list(range(1995, 2002))
+
+
 def q_pivot_year_district(spark, sf):
-    filled = _raw_filled(spark, sf)
-    return pivot_year_district(filled, I.district_list(filled))
+    return pivot_year_district(_raw_filled(spark, sf), PIVOT_DISTRICTS)
 
 
 def q_pivot_district_year(spark, sf):
-    filled = _raw_filled(spark, sf)
-    lo, hi = year_range(filled)
-    return pivot_district_year(filled, list(range(lo, hi + 1)))
+    return pivot_district_year(_raw_filled(spark, sf), PIVOT_YEARS)
 
 
 def q_top_districts(spark, sf):
@@ -629,18 +635,21 @@ def q_date_positions(spark, sf):
 def q_scan_mapping(spark, sf):
     from weekpanel.sources.readers import scan_mapping
 
-    path = _roundtrip_csv(_weather(spark, sf).mapping.drop("src_row"), "mapping")
-    return scan_mapping(spark, path).drop("src_row")
+    m = _weather(spark, sf).mapping.drop("src_row")
+    landed = m.select(F.lit("p").alias("province"), *reversed(m.columns))  # another order, one more column
+    return scan_mapping(spark, _roundtrip_csv(landed, "mapping")).drop("src_row")
 
 
 def q_scan_daily_wide(spark, sf):
     from weekpanel.sources.readers import scan_daily_wide
 
-    sh = _weather(spark, sf).sheets["temp_max"][0].drop("src_row")
-    back = scan_daily_wide(spark, _roundtrip_csv(sh, "sheet"))
-    stations = [c for c in back.columns[1:] if c != "src_row"]
-    long = back.unpivot([back.columns[0]], [qcol(s) for s in stations], "station", "text")
-    return long.select(F.col(back.columns[0]).alias("time_text"), "station", "text")
+    out = []
+    for v, part, sh in _sheets(spark, sf):
+        back = scan_daily_wide(spark, _roundtrip_csv(sh.drop("src_row"), "sheet"))
+        stations = [c for c in back.columns[1:] if c != "src_row"]
+        long = back.unpivot([back.columns[0]], [qcol(s) for s in stations], "station", "text")
+        out.append(long.select(F.lit(v).alias("variable"), F.lit(part).alias("part"), F.col(back.columns[0]).alias("time_text"), F.trim("station").alias("station"), "text"))
+    return _union(out)
 
 
 def q_streaming_weekly(spark, sf):
@@ -822,10 +831,12 @@ UNION ALL SELECT 4, 'Cases', 'double', count(Cases) FROM cases_raw""",
     "filter_week": _ALL + "SELECT * FROM panel WHERE District = 'Nation_2' AND Year = 1997 AND Week = 10",
     "fill_all": _CASES + "SELECT coalesce(Year, 0) AS Year, coalesce(Week, 0) AS Week, coalesce(District, '0') AS District, "
     "coalesce(Cases, 0.0) AS Cases FROM cases_raw",
-    "pivot_year_district": _CASES + "SELECT Year, COALESCE(COLUMNS(* EXCLUDE (Year)), 0.0) FROM "
-    "(PIVOT (SELECT Year, District, coalesce(Cases, 0.0) AS Cases FROM cases_raw) ON District USING sum(Cases) GROUP BY Year)",
-    "pivot_district_year": _CASES + "SELECT District, COALESCE(COLUMNS(* EXCLUDE (District)), 0.0) FROM "
-    "(PIVOT (SELECT Year, District, coalesce(Cases, 0.0) AS Cases FROM cases_raw) ON Year USING sum(Cases) GROUP BY District)",
+    "pivot_year_district": _CASES + "SELECT Year, " + ", ".join(
+        f"coalesce(sum(CASE WHEN District = '{d}' THEN coalesce(Cases, 0.0) END), 0.0) AS \"{d}\"" for d in PIVOT_DISTRICTS
+    ) + " FROM cases_raw GROUP BY Year",
+    "pivot_district_year": _CASES + "SELECT District, " + ", ".join(
+        f"coalesce(sum(CASE WHEN Year = {y} THEN coalesce(Cases, 0.0) END), 0.0) AS \"{y}\"" for y in PIVOT_YEARS
+    ) + " FROM cases_raw GROUP BY District",
     "top_districts": _CASES + "SELECT District, coalesce(sum(coalesce(Cases, 0)), 0.0) AS Cases FROM cases_raw GROUP BY District "
     "ORDER BY Cases DESC, District LIMIT 20",
     "sample_rows": _ALL + "SELECT * FROM panel ORDER BY District, Year, Week LIMIT 5",
@@ -836,7 +847,8 @@ SELECT coalesce(rs.District, ps.District) AS District, raw_total, panel_total,
        coalesce(raw_total = panel_total, false) AS passed
 FROM rs FULL JOIN ps ON rs.District = ps.District""",
     "reconcile_week": _ALL.rstrip() + """,
-sums AS (SELECT District, Year, Week, sum(coalesce(Cases, 0)) AS raw_cases FROM cases_std GROUP BY District, Year, Week),
+sums AS (SELECT District, Year, Week, sum(coalesce(Cases, 0)) AS raw_cases FROM cases_std
+         WHERE District IS NOT NULL AND Year IS NOT NULL AND Week IS NOT NULL GROUP BY District, Year, Week),
 firsts AS (SELECT * FROM sums QUALIFY row_number() OVER (PARTITION BY District ORDER BY Year, Week) = 1),
 pw AS (SELECT District, Year, Week, sum(Cases) AS panel_cases FROM panel GROUP BY District, Year, Week)
 SELECT f.District, f.Year, f.Week, f.raw_cases, coalesce(pw.panel_cases, 0.0) AS panel_cases,
@@ -898,7 +910,6 @@ SELECT variable, {_TS.format('date')} AS date, row_number() OVER (PARTITION BY v
 FROM first_rows WHERE variable IN ('temp_max', 'temp_min')""",
     "scan_mapping": _MAP + "SELECT district_code, district_name, temp_station, humidity_station, precipitation_station FROM map_raw",
     "scan_daily_wide": _SHEETS + """
-SELECT r.time_text, c.station, c.text FROM sheet_cells c
-JOIN sheet_rows r ON r.variable = c.variable AND r.part = c.part AND r.src_row = c.src_row
-WHERE c.variable = 'temp_max' AND c.part = 1""",
+SELECT c.variable, c.part, r.time_text, c.station, c.text FROM sheet_cells c
+JOIN sheet_rows r ON r.variable = c.variable AND r.part = c.part AND r.src_row = c.src_row""",
 }

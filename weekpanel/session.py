@@ -53,9 +53,15 @@ def apply_engine_conf(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared scratch root; create a local one only if none is configured."""
+    """Return the shared scratch root.
+
+    A session on one machine (master ``local...``) without one gets a temporary
+    folder; on a cluster an unset ``spark.checkpoint.dir`` is an error, since a
+    machine-local folder would lose every other executor's part."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not current and not (sc.master.startswith("local[") or sc.master == "local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="weekpanel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)

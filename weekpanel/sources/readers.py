@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from weekpanel.functions.numeric import coerce_double
@@ -21,6 +22,37 @@ class MissingInput(FileNotFoundError):
     """A required input path does not exist (reported without a JVM trace)."""
 
 
+class MissingColumn(ValueError):
+    """A file's header lacks a required column."""
+
+
+def _by_name(raw: DataFrame, path: str, required: list[str]) -> dict[str, F.Column]:
+    """The required columns of a table read as text, found by header name (outer
+    blanks ignored); other columns and their order do not matter."""
+    found = {}
+    for c in raw.columns:
+        found.setdefault(c.strip(), qcol(c))
+    absent = [c for c in required if c not in found]
+    if absent:
+        raise MissingColumn(f"{path}: no column {', '.join(absent)} (header: {', '.join(raw.columns)})")
+    return {c: found[c] for c in required}
+
+
+def _text_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(path)
+
+
+def _typed(column: F.Column, kind: T.DataType) -> F.Column:
+    """Text -> the model's type.  Whole numbers written as ``2020.0`` are integers;
+    what does not parse is NULL."""
+    if isinstance(kind, T.StringType):
+        return column
+    number = coerce_double(column)
+    if isinstance(kind, T.DoubleType):
+        return number
+    return F.when(number == F.floor(number), number).try_cast(kind)
+
+
 def _guard(read):
     def wrapped(spark: SparkSession, path: str, *a, **k):
         try:
@@ -48,16 +80,16 @@ def file_order() -> F.Column:
 def scan_cases(spark: SparkSession, path: str, pandas_na: bool = True) -> DataFrame:
     """Long case CSV ``Year, Week, District, Cases`` with header.
 
-    Unparsable numbers become NULL (permissive parsing with an explicit
-    schema); a ``NaN`` token becomes NULL too (Spark would keep a NaN, which
-    its ``sum`` does not skip).  With ``pandas_na`` the district text tokens
+    Columns are found by name; other columns are ignored and an absent one
+    raises :class:`MissingColumn`.  Unparsable numbers and ``NaN`` become NULL,
+    ``2020.0`` is the integer 2020.  With ``pandas_na`` the district text tokens
     pandas reads as missing (``NA``, ``null``, ...) are NULL as well.
     """
-    raw = spark.read.schema(CASES).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    district = F.col("District")
+    raw = _text_csv(spark, path)
+    cols = _by_name(raw, path, CASES.fieldNames())
     if pandas_na:
-        district = F.when(district.isin(PANDAS_NA_TOKENS), F.lit(None).cast("string")).otherwise(district)
-    return raw.select("Year", "Week", district.alias("District"), F.nanvl("Cases", F.lit(None).cast("double")).alias("Cases"))
+        cols["District"] = F.when(cols["District"].isin(PANDAS_NA_TOKENS), F.lit(None).cast("string")).otherwise(cols["District"])
+    return raw.select(*[_typed(cols[f.name], f.dataType).alias(f.name) for f in CASES.fields])
 
 
 @_guard
@@ -84,15 +116,15 @@ def scan_daily_wide(spark: SparkSession, path: str, fmt: str = "csv") -> DataFra
 
 @_guard
 def scan_mapping(spark: SparkSession, path: str, pandas_na: bool = True) -> DataFrame:
-    """Station mapping CSV with header, plus ``src_row`` in file order.
+    """Station mapping CSV with header (columns found by name), plus ``src_row`` in file order.
 
     With ``pandas_na`` the text tokens pandas reads as missing are NULL (a
     station cell ``NA`` is a missing station, not a station named NA).
     """
-    raw = spark.read.schema(MAPPING).option("header", True).csv(path)
+    raw = _text_csv(spark, path)
     cols = [
-        F.when(F.col(c).isin(PANDAS_NA_TOKENS), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c) if pandas_na else F.col(c)
-        for c in raw.columns
+        (F.when(c.isin(PANDAS_NA_TOKENS), F.lit(None).cast("string")).otherwise(c) if pandas_na else c).alias(name)
+        for name, c in _by_name(raw, path, MAPPING.fieldNames()).items()
     ]
     return raw.select(*cols, file_order().alias("src_row"))
 
@@ -101,6 +133,8 @@ def scan_mapping(spark: SparkSession, path: str, pandas_na: bool = True) -> Data
 def scan_panel(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A written panel (parquet partitioned by Year, or CSV with header)."""
     if fmt == "csv":
-        return spark.read.schema(PANEL).option("header", True).csv(path)
+        raw = _text_csv(spark, path)
+        cols = _by_name(raw, path, PANEL.fieldNames())
+        return raw.select(*[_typed(cols[f.name], f.dataType).alias(f.name) for f in PANEL.fields])
     df = spark.read.parquet(path)
     return df.select(*[c for c in PANEL.fieldNames() if c in df.columns])

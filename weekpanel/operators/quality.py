@@ -79,6 +79,34 @@ def zero_weeks(panel: DataFrame) -> DataFrame:
     return panel.agg(F.count_if(F.col("Cases") == 0).alias("zero_weeks"), F.count(F.lit(1)).alias("rows"))
 
 
+def percentiles(df: DataFrame, columns: list[str], points: list[float]) -> DataFrame:
+    """Exact interpolated percentiles: ``(column, p, value)``.
+
+    Values are counted, dealt to range buckets, and counted up inside buckets
+    and over the small table of bucket sizes, so no task holds a whole column
+    and a value that fills a third of the rows is one row.  The two values
+    around each percentile's rank are then picked and interpolated."""
+    from weekpanel.session import materialize
+
+    long = df.select(*[qcol(c).cast("double").alias(c) for c in columns]).unpivot([], [qcol(c) for c in columns], "column", "value")
+    counts = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranged = materialize(counts.repartitionByRange("column", "value").withColumn("bucket", F.spark_partition_id()), "percentiles")
+    over_buckets = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("column", "bucket").agg(F.sum("n").alias("size"))
+    before = sizes.select("column", "bucket", F.coalesce(F.sum("size").over(over_buckets), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("inside", F.sum("n").over(inside)).join(before, ["column", "bucket"]).select(
+        "column", "value", (F.col("before") + F.col("inside") - F.col("n")).alias("first"), (F.col("before") + F.col("inside")).alias("end")
+    )
+    asked = ranged.groupBy("column").agg(F.sum("n").alias("total")).withColumn("p", F.explode(F.array(*[F.lit(p) for p in points])))
+    asked = asked.withColumn("rank", (F.col("total") - 1) * F.col("p")).select(
+        F.col("column").alias("of"), "p", "rank", F.explode(F.array(F.floor("rank"), F.ceil("rank"))).alias("k")
+    )
+    found = placed.join(asked, (F.col("column") == F.col("of")) & (F.col("k") >= F.col("first")) & (F.col("k") < F.col("end")))
+    ends = found.groupBy("column", "p", "rank").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return ends.select("column", "p", (F.col("lo") + (F.col("rank") - F.floor("rank")) * (F.col("hi") - F.col("lo"))).alias("value"))
+
+
 def describe(df: DataFrame) -> DataFrame:
     """count, mean, std, min, 25%, 50%, 75%, max of numeric columns (exact
     interpolated percentiles, like pandas).  Rows: ``statistic``; one column per input column."""
@@ -88,14 +116,17 @@ def describe(df: DataFrame) -> DataFrame:
         ("mean", lambda c: F.avg(c)),
         ("std", lambda c: F.stddev_samp(c)),
         ("min", lambda c: F.min(c).cast("double")),
-        ("25%", lambda c: F.percentile(c, 0.25)),
-        ("50%", lambda c: F.percentile(c, 0.5)),
-        ("75%", lambda c: F.percentile(c, 0.75)),
         ("max", lambda c: F.max(c).cast("double")),
     ]
     wide = df.agg(*[fn(qcol(c)).alias(f"s{j}_{i}") for j, (s, fn) in enumerate(stats) for i, c in enumerate(cols)])
     rows = [[F.lit(s)] + [F.col(f"s{j}_{i}") for i in range(len(cols))] for j, (s, _) in enumerate(stats)]
-    return wide.select(_stack(rows).alias("statistic", *cols))
+    points = {0.25: "25%", 0.5: "50%", 0.75: "75%"}
+    # a column without values still has its (empty) percentile rows
+    names = df.sparkSession.createDataFrame([(p, s) for p, s in points.items()], "p double, statistic string")
+    mid = names.join(percentiles(df, cols, list(points)), "p", "left").groupBy("statistic").agg(
+        *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in cols]
+    )
+    return wide.select(_stack(rows).alias("statistic", *cols)).unionByName(mid)
 
 
 def table_info(df: DataFrame) -> DataFrame:

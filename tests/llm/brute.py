@@ -136,14 +136,8 @@ def lm(docs, held_out, head, size, least=2, discount=0.75, steps=10):
         if used + bins[b] > head:
             break
         used, cut = used + bins[b], b
-    import xxhash
-
-    def signed(w):
-        h = xxhash.xxh64_intdigest(w)
-        return h - (1 << 64) if h >> 63 else h
-
-    ranked = sorted((-n, signed(w), w) for w, n in count.items() if math.floor(math.log2(n) * 16) >= cut)
-    vocabulary = {w for *_, w in ranked[:size]}
+    ranked = sorted((-n, w) for w, n in count.items() if math.floor(math.log2(n) * 16) >= cut)
+    vocabulary = {w for _, w in ranked[:size]}
     pair, context, start = collections.Counter(), collections.Counter(), object()
     for i, t in docs:
         before = start

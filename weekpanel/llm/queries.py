@@ -34,7 +34,35 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op9_host_rules")
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+_OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {_WORDS.format('t')} AS ws FROM d),
+lines AS (SELECT k, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
+        WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY k),
+windows AS (SELECT k, i, ws[i:i + 4] AS s FROM (SELECT k, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+again AS (SELECT k, i FROM windows QUALIFY count(*) OVER (PARTITION BY k, s) > 1),
+covered AS (SELECT k, sum(least(5, gap)) AS n FROM (
+              SELECT k, coalesce(i - lag(i) OVER (PARTITION BY k ORDER BY i), 5) AS gap FROM again) GROUP BY k),
+c AS (SELECT doc_id, source AS host, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+      FROM w LEFT JOIN dup USING (k) LEFT JOIN covered USING (k)),
+j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS failed FROM c),
+h AS (SELECT host, count(*) AS n, sum(failed::INT) AS f FROM j WHERE host IS NOT NULL GROUP BY host),
+prior AS (SELECT m, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS strength
+          FROM (SELECT coalesce(sum(f) / sum(n), 0.0) AS m, var_samp(f / n) AS v FROM h)),
+rates AS (SELECT host, (f + strength * m) / (n + strength) AS rate FROM h, prior)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, failed AS base_failed,
+       NOT failed AND NOT coalesce(rate > 0.5, false) AS kept
+FROM j LEFT JOIN rates USING (host)
+"""
+
+
+@query("op9_host_rules", _OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and host verdicts of all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -43,7 +71,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op8_minhash")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# All pairs that share a shingle, their exact similarity, and everything reachable over the links.
+_OP8_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s
+       FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)
+       UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.y FROM reach r JOIN links l ON r.b = l.x),
+component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN component USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op8_minhash", _OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -112,3 +112,11 @@ def test_combine_sorts_rows_not_cells(spark):
     plan = combine_many(parts).cells._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("min_by")  # the unpivot stands above the aggregate
     assert combine_many(parts).cells.groupBy("date").count().filter(F.col("count") > 1).isEmpty()
+
+
+def test_no_year_gives_an_empty_panel(spark):
+    from weekpanel.operators.panel import complete_panel, year_range
+
+    cases = spark.createDataFrame([(None, 1, "A", 1.0)], "Year int, Week int, District string, Cases double")
+    assert year_range(cases) == year_range(cases.limit(0)) == (None, None)
+    assert complete_panel(cases, *year_range(cases)).count() == 0

@@ -9,10 +9,11 @@ from weekpanel.operators.clean import fill_cases
 from weekpanel.schemas import LAG_WEEKS, PANEL_KEYS, SPINE_WEEKS, VARIABLES, feature_columns
 
 
-def year_range(cases_raw: DataFrame) -> tuple[int, int]:
-    """Min and max ``Year`` of the raw case table (one tiny aggregate job)."""
-    r = cases_raw.agg(F.min("Year").alias("lo"), F.max("Year").alias("hi")).first()
-    return int(r["lo"]), int(r["hi"])
+def year_range(cases_raw: DataFrame) -> tuple[int | None, int | None]:
+    """Min and max ``Year`` of the raw case table (one tiny aggregate job);
+    ``(None, None)`` without any year, which gives an empty spine."""
+    r = cases_raw.agg(F.min("Year").cast("int").alias("lo"), F.max("Year").cast("int").alias("hi")).first()
+    return r["lo"], r["hi"]
 
 
 def weeks_in_year(year) -> F.Column:
@@ -24,7 +25,7 @@ def weeks_in_year(year) -> F.Column:
     return week_number(F.date_sub(next_first_sunday, 1))
 
 
-def week_spine(districts: DataFrame, start_year: int, end_year: int, weeks: int | str = SPINE_WEEKS) -> DataFrame:
+def week_spine(districts: DataFrame, start_year: int | None, end_year: int | None, weeks: int | str = SPINE_WEEKS) -> DataFrame:
     """Every ``(Year, Week, District)`` with weeks 1..``weeks``.
 
     ``weeks`` is a number (the original: 52 for every year) or
@@ -36,7 +37,7 @@ def week_spine(districts: DataFrame, start_year: int, end_year: int, weeks: int
     last = weeks_in_year(F.col("Year")) if weeks == "calendar" else F.lit(int(weeks))
     return (
         districts.select("District")
-        .withColumn("Year", F.explode(F.sequence(F.lit(start_year), F.lit(end_year))))
+        .withColumn("Year", F.explode(F.sequence(F.lit(start_year).cast("int"), F.lit(end_year).cast("int"))))
         .withColumn("Week", F.explode(F.sequence(F.lit(1), last)))
         .select("Year", "Week", "District")
     )

@@ -207,7 +207,8 @@ def reconcile_week(raw: DataFrame, panel: DataFrame, key: str = "District") -> D
 
 def week_drilldown(series: DataFrame, weeks: int = 2) -> DataFrame:
     """Weeks 1..``weeks`` of the first year of one daily series ``(date, value)``:
-    day range, day count, values present, their sum and mean."""
+    day range, day count, values present, their sum and mean, and the values
+    themselves in day order (at most seven)."""
     from weekpanel.functions.calendar import week_number, week_year
 
     d = F.to_date("date")
@@ -221,4 +222,5 @@ def week_drilldown(series: DataFrame, weeks: int = 2) -> DataFrame:
         F.count("value").alias("n_values"),
         F.sum("value").alias("value_sum"),
         F.avg("value").alias("value_mean"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("day", "value"))), lambda x: x["value"].cast("string")), ", ").alias("daily_values"),
     )

@@ -860,7 +860,8 @@ dd AS (SELECT {S.wyear('date')} AS year, {S.wweek('date')} AS week, CAST(date AS
        FROM temp_cells WHERE station IN (SELECT temp_station FROM st)),
 fy AS (SELECT min(year) AS fy FROM dd)
 SELECT year, week, strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day,
-       count(*) AS days, count(value) AS n_values, sum(value) AS value_sum, avg(value) AS value_mean
+       count(*) AS days, count(value) AS n_values, sum(value) AS value_sum, avg(value) AS value_mean,
+       coalesce(string_agg(CAST(value AS VARCHAR), ', ' ORDER BY day), '') AS daily_values
 FROM dd, fy WHERE year = fy AND week <= 2 GROUP BY year, week""".replace("\n, st AS", ",\nst AS"),
     "map_stations": S.with_ctes(S.NATIONS, S.WEATHER, S.MAPPING) + f"""
 SELECT vg.variable, m.district_name, m.station FROM vg JOIN map_long m ON m.station_group = vg.station_group

@@ -94,13 +94,15 @@ def apply_host_rules(
     """Rule counts, ``base_failed``, the host's shrunk rate and ``kept``.
 
     The counts (a few numbers a row) are written once and read for both the host
-    sums and the join back; the host side is one row per host, and a host with a
-    third of all documents is split by the adaptive skew join."""
+    sums and the join back.  The host side is one row per host, written first so
+    that the planner knows its size: below the broadcast threshold the documents are
+    not shuffled at all, above it the adaptive skew join splits a host that has a
+    third of them."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_pct * F.col("n_words"))
     judged = materialize(
         rule_counts(docs, id_col, text_col, host_col).withColumn("failed", failed), "host-rules"
     )
-    rates = host_rates(judged).select("host", F.col("rate").alias("host_rate"))
+    rates = materialize(host_rates(judged).select("host", F.col("rate").alias("host_rate")), "host-rates")
     bad_host = F.coalesce(F.col("host_rate") > host_limit, F.lit(False))
     return judged.join(rates, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -191,6 +191,8 @@ def near_links(reps: DataFrame, read: DataFrame, percent: int) -> DataFrame:
     buckets = reps.select("node", "rep", "n", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     member = materialize(buckets.join(shared, "key", "left_semi"), "buckets")
+    if member.isEmpty():
+        return member.select(F.col("node").alias("a"), F.col("node").alias("b"))
     # Sets are made anew for the documents that share a bucket; false positives of the filter go with the join.
     filter_ = bloom.build(member.select("rep").distinct(), "rep")
     wanted = read.filter(bloom.maybe_listed(read, filter_, F.col("doc_id")))

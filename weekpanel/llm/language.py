@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekpanel.llm.sampling import Adam, WordRows, bounded_sample, temperature
-from weekpanel.llm.text import mix, small_batches
+from weekpanel.llm.text import mix, release, small_batches
 
 UND = "und"
 
@@ -165,11 +165,13 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, width: int
     return LanguageModel(names, emb @ out, bias.astype(np.float64), temp, reject)
 
 
-def fit_language(docs: DataFrame, most: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def fit_language(docs: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """A model fitted on at most ``most`` rows of ``docs`` that have a language."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     got = bounded_sample(rows, id_col, [F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")], most)
-    return train(list(got["text"]), list(got["lang"]))
+    model = train(list(got.pop("text")), list(got["lang"]))
+    release()
+    return model
 
 
 def language_of(docs: DataFrame, model: LanguageModel, text: Column) -> Column:
@@ -185,5 +187,7 @@ def language_of(docs: DataFrame, model: LanguageModel, text: Column) -> Column:
             names, scores = m.predict(texts, cache)
             p = np.array(scores)
             yield pd.DataFrame({"lang_pred": names, "score": p, "rejected": [n == UND for n in names] | (p < m.reject_below)})
+        del cache
+        release()
 
     return judge(text)

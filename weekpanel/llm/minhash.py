@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from weekpanel.llm import bloom
 from weekpanel.llm.components import connected_components
-from weekpanel.llm.text import WordHashes, as_bytes, byte_words, mix, shingle_set, signed, small_batches
+from weekpanel.llm.text import WordHashes, as_bytes, byte_words, lean, mix, shingle_set, signed, small_batches
 from weekpanel.session import materialize
 
 UNIVERSE = 1 << 20
@@ -196,7 +196,7 @@ def near_links(reps: DataFrame, read: DataFrame, percent: int) -> DataFrame:
     # Sets are made anew for the documents that share a bucket; false positives of the filter go with the join.
     filter_ = bloom.build(member.select("rep").distinct(), "rep")
     wanted = read.filter(bloom.maybe_listed(read, filter_, F.col("doc_id")))
-    sets = wanted.mapInArrow(_sets, "rep long, node long, shingles array<long>")
+    sets = wanted.mapInArrow(lean(_sets), "rep long, node long, shingles array<long>")
     sets = materialize(sets.join(member.select("rep", "node").distinct(), ["rep", "node"], "left_semi"), "sets")
     sets = sets.select(F.col("node").alias("id"), "shingles")
 
@@ -233,7 +233,7 @@ def near_duplicates(
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
     small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = materialize(read.mapInArrow(_sketches(rows, bands), "doc_id long, n long, node long, keys array<long>"), "sketches")
+    sketch = materialize(read.mapInArrow(lean(_sketches(rows, bands)), "doc_id long, n long, node long, keys array<long>"), "sketches")
     usable = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(usable.groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
     reps = usable.join(classes.withColumnRenamed("rep", "doc_id"), ["node", "doc_id"])

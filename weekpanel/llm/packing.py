@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekpanel.llm.text import small_batches
+from weekpanel.llm.text import lean, small_batches
 from weekpanel.session import materialize
 
 WINDOW, GRAIN, END_ID = 2048, 16, 1
@@ -186,7 +186,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, grain: int = GR
     small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "part", "rank")
-    cut = materialize(read.mapInArrow(_pieces(vocabulary, window, grain), ", ".join(f"{n} long" for n in names)), "pieces")
+    cut = materialize(read.mapInArrow(lean(_pieces(vocabulary, window, grain)), ", ".join(f"{n} long" for n in names)), "pieces")
     sizes = cut.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n"))
     histogram = np.zeros(window // grain, np.int64)
     for row in sizes.groupBy("kind").agg(F.sum("n").alias("n")).collect():  # one row per class

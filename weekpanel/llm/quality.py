@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekpanel.llm.sampling import SAMPLE_ROWS, Adam, WordRows, labelled, sigmoid, temperature
-from weekpanel.llm.text import small_batches
+from weekpanel.llm.sampling import Adam, WordRows, labelled, sigmoid, temperature
+from weekpanel.llm.text import release, small_batches
 
 WIDTH, NONZERO, BLOCK, SHARED = 48, 6, 64, 4096
 SAME = "<same>"
@@ -186,10 +186,12 @@ def train(texts: list[str], y: np.ndarray, hidden: int = 32, epochs: int = 30, d
     return model
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS // 2) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 3000) -> QualityModel:
     """A model fitted on at most ``most`` labelled rows; ``labels`` has ``doc_id, quality``."""
     got = labelled(docs, labels, "quality", most=most)
-    return train(list(got["text"]), got["y"].to_numpy())
+    model = train(list(got.pop("text")), got["y"].to_numpy())
+    release()
+    return model
 
 
 def score_column(docs: DataFrame, model, text: Column) -> Column:
@@ -202,5 +204,7 @@ def score_column(docs: DataFrame, model, text: Column) -> Column:
         cache = shared.value.cache()
         for texts in batches:
             yield pd.Series(shared.value.score(list(texts), cache))
+        del cache
+        release()
 
     return judge(text)

@@ -4,6 +4,9 @@ inside Arrow batches."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
 from collections.abc import Iterable
 
@@ -36,6 +39,30 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the machine.  Python workers
+    serve many tasks; without this each keeps the most that any task needed."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def lean(run):
+    """A batch function that releases its memory when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, _UPPER, _UPPER.lower())
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from weekpanel.llm.sampling import WordRows, labelled, sigmoid, temperature
-from weekpanel.llm.text import LETTER
+from weekpanel.llm.text import LETTER, release
 
 # Names of groups, by kind; a name is swapped within its kind.
 IDENTITY_TERMS = (
@@ -206,4 +206,6 @@ def train(texts: list[str], y: np.ndarray, evidence: float = 2.5, swap_weight: f
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 5000) -> ToxicityModel:
     """A model fitted on at most ``most`` labelled rows; ``labels`` has ``doc_id, toxic``."""
     got = labelled(docs, labels, "toxic", most=most)
-    return train(list(got["text"]), got["y"].to_numpy())
+    model = train(list(got.pop("text")), got["y"].to_numpy())
+    release()
+    return model

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import duckdb
@@ -165,6 +166,18 @@ def test_lm_other_words_and_edges(spark, edges, empty):
     assert {r.score for r in lm_score.lm_scores(edges, F.lit(False)).collect()} == {0.0}
 
 
+def test_lm_pairs_hold_words_beyond_the_head(spark):
+    """Every word forms pairs, however few words a task has at hand."""
+    docs = table(spark, SF001, "documents")
+    want = brute.lm(_docs(spark, SF001), _held_out, lm_score.HEAD, None)
+    for head in (60, 3):  # 3: the start mark and hardly any word
+        rows = lm_score.lm_scores(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2, head=head).collect()
+        assert len(rows) == len(want)
+        for r in rows:
+            assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
+            assert r.base_score == pytest.approx(want[r.doc_id][3]) and r.score == pytest.approx(want[r.doc_id][4])
+
+
 # ------------------------------------------------------------- near-duplicates
 def test_near_duplicates_match_brute_force(spark):
     rows = queries.QUERIES["op8_minhash"](spark, SF01).collect()

@@ -117,6 +117,29 @@ def test_license_inheritance_and_edges(spark, edges, empty):
     assert licenses.scan_licenses(empty, "doc_id", "text", F.col("source")).count() == 0
 
 
+def test_license_lines_need_no_keyword(spark):
+    """Reserved rights are a header and block inheritance; no line that reaches the threshold is left out."""
+    rows = [
+        (1, "Released under the MIT License.", None, "a/LICENSE"),
+        (2, "some text of more words than its notice has\nAll rights reserved.", None, "a/b/x"),
+        (3, "some text of more words than its notice has\nAvailable under CC BY-SA 4.0.\nmore", None, "a/b/y"),
+        (4, "some text", None, "a/b/z"),
+        (5, "the " * 400 + "of the work under this " * 90, None, "c/y"),
+    ]
+    got = {r.doc_id: (r.license, r.effective_license) for r in licenses.scan_licenses(document_frame(spark, rows), "doc_id", "text", F.col("source")).collect()}
+    reserved = "LicenseRef-All-Rights-Reserved"
+    assert got == {1: ("MIT", "MIT"), 2: (reserved, reserved), 3: ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), 4: (None, "MIT"), 5: (None, None)}
+
+    rng = random.Random(11)
+    words = " ".join(licenses.TEMPLATES.values()).split() + ["foo", "bar", "Baz", "qux"]
+    lines = sorted({" ".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(400)} | {x + " foo" * k for x in licenses.TEMPLATES.values() for k in range(4)})
+    frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    for threshold in (0.4, 0.7):
+        reach = {r.line for r in licenses.score_lines(frame, threshold).collect()}
+        kept = {x for r in frame.groupBy().agg(F.collect_list("line").alias("l")).select(licenses.possible_lines(F.col("l"), threshold)).collect() for x in r[0]}
+        assert reach and reach <= kept and (threshold < 0.7 or len(kept) < len(lines))
+
+
 @pytest.mark.parametrize("name", ["op7_decontamination", "op9_host_rules", "op10_licenses"])
 def test_native_queries_run_no_python(spark, name):
     df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")

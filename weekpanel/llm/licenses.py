@@ -1,7 +1,8 @@
 """License scan in DataFrame functions only.
 
-Every line of a text that speaks of a license is a header candidate; equal lines
-are scored once.  A line and the license templates are sparse TF-IDF vectors of
+Every line of a text is a header candidate, whatever its words: only lines whose
+share of template words rules out the threshold are left out, by a bound that no line
+which reaches it can miss; equal lines are scored once.  A line and the license templates are sparse TF-IDF vectors of
 lower-case words (document frequencies over the templates); their cosine comes from
 one join on the word and a sum per line and license.  A text that is mostly such
 lines is a licence file of its directory.  A text without a header of its own
@@ -17,6 +18,8 @@ files of one directory; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from weekpanel.llm.text import word_column
 from weekpanel.session import materialize
 
-# Short notices of public licenses.
+# Short notices of public licenses and of reserved rights.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-2-Clause": "Released under the BSD 2-Clause License.",
@@ -36,10 +39,12 @@ TEMPLATES = {
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LicenseRef-All-Rights-Reserved": "All rights reserved.",
+    "LicenseRef-Proprietary": "This software is proprietary and confidential.",
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This work is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-TRIGGER = r"(?i)licen[cs]|copyright|public domain|spdx"
+TRIGGER = ""  # no keyword is asked of a line: the pattern fits every one
 
 
 def _terms(col: Column) -> Column:
@@ -51,6 +56,39 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES.items()), "license string, notice string")
 
 
+def _template_idf() -> tuple[dict[str, float], float]:
+    """IDF of the templates' words (all ASCII), and of any other word."""
+    n = len(TEMPLATES)
+    df = Counter(t for notice in TEMPLATES.values() for t in set(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", notice.lower())))
+    return {t: math.log((1.0 + n) / (1 + k)) + 1 for t, k in df.items()}, math.log(1.0 + n) + 1
+
+
+def possible_lines(lines: Column, threshold: float) -> Column:
+    """The lines of an array that can reach the threshold.
+
+    A cosine is at most the square root of the template words' share in the squared
+    length (Cauchy-Schwarz).  ``u`` other words, ``d`` of them distinct, add at least
+    ``u^2 / d`` times their squared IDF to it, so no line that reaches the threshold
+    is left out."""
+    idf, unseen = _template_idf()
+    weight = F.create_map(*[F.lit(x) for item in idf.items() for x in item])
+    terms = F.transform(lines, lambda x: F.struct(x.alias("line"), _terms(x).alias("t")))
+    parts = F.transform(terms, lambda s: F.struct(
+        s["line"].alias("line"),
+        F.filter(s["t"], lambda t: t.isin(*idf)).alias("held"), F.filter(s["t"], lambda t: ~t.isin(*idf)).alias("other"),
+    ))
+
+    def fits(s: Column) -> Column:
+        square = lambda t: F.pow(F.size(F.filter(s["held"], lambda h: h == t)) * F.element_at(weight, t), F.lit(2.0))
+        held = F.aggregate(F.array_distinct(s["held"]), F.lit(0.0), lambda total, t: total + square(t))
+        u, d = F.size(s["other"]), F.size(F.array_distinct(s["other"]))
+        other = F.when(u > 0, F.lit(unseen * unseen) * u * u / d).otherwise(0.0)
+        share = max(threshold - 1e-6, 0.0) ** 2  # similarities are rounded to six places
+        return (F.size(s["held"]) > 0) & (held >= F.lit(share - 1e-9) * (held + other))
+
+    return F.transform(F.filter(parts, fits), lambda s: s["line"])
+
+
 def _weighted(lines: DataFrame, key: str, text: str, idf: DataFrame | None, unseen: float) -> DataFrame:
     """``(key, term, w)``: unit TF-IDF vectors."""
     tf = lines.select(key, F.explode(_terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -82,7 +120,7 @@ def scan_licenses(docs: DataFrame, id_col: str, text_col: str, path: Column, thr
     base = docs.select(
         F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"),
         F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1).alias("directory"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(TRIGGER)).alias("lines"),
+        possible_lines(F.split(text, "\n"), threshold).alias("lines"),
         F.size(word_column(F.col(text_col))).alias("n_words"),
     )
     base = materialize(base, "license-lines")

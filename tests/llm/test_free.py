@@ -139,6 +139,12 @@ def test_trie_finds_exactly_its_entries(contexts, entries):
     assert got.tolist() == [known.get(a, -1) for a in asked]
 
 
+def test_trie_keeps_levels_of_very_common_contexts():
+    level = np.array([0, 255, 256, 300, 6000])
+    trie = Trie(build_trie(np.zeros(5, np.int64), np.arange(5), level, 1))
+    assert trie.find(np.zeros(5, np.int64), np.arange(5)).tolist() == level.tolist()
+
+
 def _held_out(i):
     return zlib.crc32(str(i).encode()) % 7 == 2
 

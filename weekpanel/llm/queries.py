@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekpanel.llm import repair
+from weekpanel.llm.chat import format_conversations, read_back
 from weekpanel.llm.decontaminate import contaminated
 from weekpanel.llm.host_rules import apply_host_rules
 from weekpanel.llm.language import fit_language, language_of
@@ -19,6 +21,8 @@ from weekpanel.llm.quality import fit_quality, score_column
 from weekpanel.llm.text import remainder, table
 from weekpanel.llm.toxicity import fit_toxicity
 from weekpanel.llm.url_filter import host_of, judge_urls
+from weekpanel.llm.whitening import whiten
+from weekpanel.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -198,3 +202,112 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), ~out).select(
         "doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+# A conversation that op11 adds to the table: marks of many templates inside its texts.
+PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
+
+_OP11_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT {PROBE_ID}, 0, 'user', '{PROBE_TEXT}' UNION ALL SELECT {PROBE_ID}, 1, 'assistant', '{PROBE_TEXT}'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             role || text AS said FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(20 + length(said) + length(said) - length(replace(replace(said, '<', ''), chr(92), '')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+@query("op11_chat_format", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one with marks in its texts, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(PROBE_ID, i, r, PROBE_TEXT) for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(rows.unionByName(probe)))
+
+
+_CRC = """xor(list_reduce([4294967295] || list_transform(string_split({}, ''), lambda ch: ascii(ch)::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+def _better(*ways: str) -> str:
+    return f"least({', '.join(ways)})"
+
+
+def _step(state: int, cost: str, letter: str, when: str = "true") -> str:
+    return f"struct_pack(c := CASE WHEN {when} THEN v{state}.c + {cost} ELSE 1000000000 END, a := v{state}.a || '{letter}')"
+
+
+def _after(state: str, letter: str = "I") -> str:
+    return f"struct_pack(c := {state}.c + 5, a := {state}.a || '{letter}')"
+
+
+# Forward DP over rows: of each of the four role states the least (cost, audit) so far.
+_OP12_SQL = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+marked AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations, crc),
+damaged AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE h WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM marked WHERE h <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i FROM damaged),
+judged AS (SELECT *, left(role, 1) AS init, CASE
+    WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM placed),
+priced AS (SELECT *, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 5 ELSE 1000000000 END AS x,
+    lag(init) OVER (PARTITION BY conv_id ORDER BY i) || init AS pair FROM judged),
+sizes AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM priced GROUP BY conv_id),
+dp(conv_id, i, v0, v1, v2, v3) AS (
+  SELECT conv_id, 0::BIGINT, struct_pack(c := 0::BIGINT, a := ''), struct_pack(c := 1000000000::BIGINT, a := ''),
+         struct_pack(c := 5::BIGINT, a := 'I'), struct_pack(c := 10::BIGINT, a := 'II') FROM sizes
+  UNION ALL
+  SELECT conv_id, i, w0, w1, u2, {_better('w3', _after('u2'))} FROM (
+    SELECT *, {_better('w2', _after('w0'), _after('w1'), _after('w3'))} AS u2 FROM (
+      SELECT dp.conv_id, p.i, {_step(0, '2', 'D')} AS w0,
+        {_better(_step(1, '2', 'D'), _step(0, 'x', 'K', "init = 's'"))} AS w1,
+        {_better(_step(2, '2', 'D'), *[_step(q, 'x + 1', 'R') for q in (0, 1, 3)], *[_step(q, 'x', 'K', "init = 'u'") for q in (0, 1, 3)])} AS w2,
+        {_better(_step(3, '2', 'D'), _step(2, 'x + 1', 'R'), _step(2, 'x', 'K', "init = 'a'"))} AS w3
+      FROM dp JOIN priced p ON p.conv_id IS NOT DISTINCT FROM dp.conv_id AND p.i = dp.i + 1))),
+ends AS (SELECT s.*, least(v0, v3) AS best FROM sizes s JOIN dp ON dp.conv_id IS NOT DISTINCT FROM s.conv_id AND dp.i = s.n),
+letters AS (SELECT conv_id, k, best.a[k] AS e, length(replace(best.a, 'D', '')) % 2 AS odd,
+    length(replace(best.a[1:k], 'I', '')) AS i, length(replace(best.a[1:k], 'D', '')) AS o
+    FROM (SELECT conv_id, best, unnest(range(1, length(best.a) + 1)) AS k FROM ends)),
+fixed AS (SELECT l.conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN p.role WHEN (o - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+    || CASE WHEN e = 'I' THEN '' ELSE p.text END, chr(10) ORDER BY k)) AS sha
+    FROM letters l LEFT JOIN priced p ON e <> 'I' AND p.conv_id IS NOT DISTINCT FROM l.conv_id AND p.i = l.i WHERE e <> 'D' GROUP BY l.conv_id)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+       coalesce(best.a, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM d.conv_id
+LEFT JOIN fixed ON fixed.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+@query("op12_repair", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of the repaired rows of all conversations, damaged first."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = repair.damage(rows)
+    report = materialize(repair.audits(damaged), "audits")
+    digests = repair.digests(repair.repaired(damaged, report))
+    found = rows.select("conv_id").distinct()
+    for part in (report, digests):
+        key = F.col("conv_id").eqNullSafe(F.col("of"))
+        found = found.join(part.withColumnRenamed("conv_id", "of"), key, "left").drop("of")
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", *repair.FAULTS, "illegal", "cost")]
+    sha = F.coalesce("sha256", F.lit(EMPTY_SHA256)).alias("repaired_sha256")
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), sha)
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading components of all whole embeddings, whitened."""
+    return whiten(table(spark, sf_dir, "embeddings"))

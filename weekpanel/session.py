@@ -70,10 +70,51 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or current
 
 
+_SCRATCH: list[str] = []  # scratch folders of this process that are not removed yet, oldest first
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root."""
     root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, f"weekpanel-{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(root, f"weekpanel-{name}-{uuid.uuid4().hex[:12]}")
+    _SCRATCH.append(path)
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path and the path in its form: folders of any store Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
+
+
+class scratch_scope:
+    """Removes the scratch folders made inside a ``with`` block when it ends, but for results.
+
+    A result must be written (``scope.result(df, name)``) before the block ends, since
+    what it was computed from is gone then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> scratch_scope:
+        self.before = set(_SCRATCH)
+        return self
+
+    def result(self, df, name: str):
+        written = set(_SCRATCH)
+        out = materialize(df, name)
+        self.kept |= set(_SCRATCH) - written
+        return out
+
+    def __exit__(self, *error) -> None:
+        for path in [p for p in _SCRATCH if p not in self.before and p not in self.kept]:
+            remove_folder(self.spark, path)
+            _SCRATCH.remove(path)
 
 
 def materialize(df, name: str):

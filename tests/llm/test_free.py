@@ -227,6 +227,34 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in range(500, 600)}, 7: 7, 3: 3}
 
 
+def test_components_of_random_graphs(spark):
+    """A path of 1,000 nodes in random order, whose labels must not travel a node a round, and random graphs."""
+    rng = random.Random(9)
+    path = rng.sample(range(10**6), 1000)
+    edges = list(zip(path, path[1:])) + [(a + 10**7, b + 10**7) for a, b in (rng.sample(range(300), 2) for _ in range(140))]
+    parent = {i: i for e in edges for i in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: root(i) for i in parent}
+
+
+def test_near_duplicates_of_a_long_chain_in_random_order(spark):
+    """1,000 documents, neighbours at a similarity of about 0.8, ids shuffled."""
+    rng = random.Random(4)
+    ids = rng.sample(range(10**9), 1000)
+    docs = [(ids[i], " ".join(f"c{k}" for k in range(8 * i, 8 * i + 80))) for i in range(1000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(document_frame(spark, [(i, t, None, None) for i, t in docs])).collect()}
+    assert got == brute.components(docs)
+
+
 def test_circulant_signatures_estimate_similarity():
     circulant, hashes = Circulant(), WordHashes()
     rng = random.Random(1)

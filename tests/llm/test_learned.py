@@ -40,7 +40,34 @@ def test_language_rejects_and_edges(spark, edges, empty):
     assert empty.select(language.language_of(empty, model, empty.text)).count() == 0
     none = language.fit_language(empty)
     assert {r[0] for r in edges.select(language.language_of(edges, none, edges.text).lang_pred).collect()} == {"und"}
-    assert 0 < model.reject_below <= 1.2 / len(model.langs)
+    assert none.langs == [] and none.reject_below == 0
+
+
+FOREIGN = {  # languages and scripts that no training row has
+    "pl": "Wczoraj wieczorem poszliśmy do lasu, żeby zbierać grzyby, ale deszcz padał tak mocno, że musieliśmy wrócić do domu.",
+    "tr": "Dün akşam arkadaşlarımla birlikte sahilde yürüyüş yaptık ve güneşin batışını izledik, sonra çay içmeye gittik.",
+    "fi": "Eilen illalla kävelimme järven rannalla ja katselimme auringonlaskua, minkä jälkeen menimme kotiin saunomaan.",
+    "hu": "Tegnap este a tó partján sétáltunk és néztük a naplementét, aztán hazamentünk teázni a barátainkkal.",
+    "cs": "Včera večer jsme se procházeli po břehu jezera a dívali se na západ slunce, potom jsme šli domů.",
+    "sw": "Jana jioni tulitembea kando ya ziwa na kutazama machweo ya jua, kisha tukarudi nyumbani kunywa chai.",
+    "vi": "Chiều hôm qua chúng tôi đi dạo bên hồ và ngắm hoàng hôn, sau đó về nhà uống trà cùng nhau.",
+    "ru": "Вчера вечером мы гуляли по берегу озера и смотрели на закат, а потом пошли домой пить чай.",
+    "ja": "昨日の夕方、私たちは湖のほとりを散歩して夕日を眺め、それから家に帰ってお茶を飲みました。",
+    "ar": "مشينا مساء أمس على ضفاف البحيرة وشاهدنا غروب الشمس ثم عدنا إلى البيت لنشرب الشاي.",
+    "zh": "昨天傍晚我们在湖边散步,看着夕阳西下,然后回家喝茶。",
+}
+
+
+def test_unlearned_languages_and_scripts_are_rejected(spark):
+    docs = table(spark, SF1, "documents")
+    held = remainder("doc_id", 5) == 0
+    model = language.fit_language(docs.filter(~held))
+    foreign = spark.createDataFrame(list(FOREIGN.items()), "lang string, text string")
+    got = {r.lang: r.p.rejected for r in foreign.select("lang", language.language_of(foreign, model, foreign.text).alias("p")).collect()}
+    assert sum(got.values()) >= 0.9 * len(got), got
+    clean = docs.filter(held & docs.lang.isNotNull())
+    rejected = clean.select(language.language_of(clean, model, clean.text).rejected.cast("int").alias("r")).agg({"r": "avg"}).first()[0]
+    assert rejected <= 0.01
 
 
 def test_scorers_handle_edges(spark, edges, empty):

@@ -1,36 +1,61 @@
-"""Connected components of an edge table, without moving it to the driver."""
+"""Connected components of an edge table by graph contraction, without moving it to the driver."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekpanel.session import materialize
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``(node, component)`` for every node of ``edges(a, b)``; the component is the
-    smallest node id reachable.
-
-    Each round takes the smallest label among a node and its neighbours, then
-    follows the label's own label (pointer jumping), so stars end in two rounds and
-    chains in about the logarithm of their length.  The label of every round is
-    written to the shared folder.  A hub's edges meet the one row of the hub's
-    label, which the adaptive join splits; the minimum is combined map-side."""
-    both = materialize(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges"
-    )
-    if both.isEmpty():
-        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        step = materialize(
-            labels.join(near, labels.node == near.a).select("node", F.col("l").alias("was"), F.least("l", "m").alias("l")), "labels"
-        )
-        jump = step.select(F.col("node").alias("l"), F.col("l").alias("up"))
-        labels = materialize(step.join(jump, "l").select("node", "was", F.least("l", "up").alias("l")), "labels")
-        if labels.filter("l <> was").isEmpty():
-            return labels.select("node", F.col("l").alias("component"))
-        labels = labels.drop("was")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+from weekpanel.session import materialize, scratch_scope
+
+
+def _order(name: str):
+    """Labels are compared by a hash, then by themselves: pointers along sorted ids would form long chains."""
+    return F.struct(F.xxhash64(name), F.col(name))
+
+
+def _pointers(graph: DataFrame) -> DataFrame:
+    """``(a, up)``: every label points to the first of its neighbours; of two that point at each other the
+    first points to itself (pointers fall in order, so longer cycles cannot occur), and pointers are followed
+    to their ends by doubling."""
+    up = materialize(graph.groupBy("a").agg(F.min(_order("b")).alias("m")).select("a", F.col("m.b").alias("up")), "pointers")
+    onward = up.select(F.col("a").alias("up"), F.col("up").alias("next"))
+    own = (F.col("next") == F.col("a")) & (_order("a") < _order("up"))
+    up = materialize(up.join(onward, "up").select("a", F.when(own, F.col("a")).otherwise(F.col("up")).alias("up")), "pointers")
+    while True:
+        onward = up.select(F.col("a").alias("up"), F.col("up").alias("next"))
+        moved = materialize(up.join(onward, "up").select("a", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "pointers")
+        up = moved.select("a", "up")
+        if moved.filter("moved").isEmpty():
+            return up
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` for every node of ``edges(a, b)``; the component is the smallest node id reachable.
+
+    Each round contracts the graph: a label joins its first neighbour's group, the groups are the next
+    labels, and edges become the distinct pairs of different labels.  Every label that still has an edge
+    merges with another, so at most half of the labels stay, and rounds end when no edge is left; there is no
+    cap on rounds.  The rounds' mappings are composed from the last to the first.  A hub's edges are combined
+    map-side or meet one row of the hub, which the adaptive join splits.  NULL nodes are left out."""
+    with scratch_scope(edges.sparkSession) as scope:
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).dropna()
+        graph = both = materialize(both.distinct(), "edges")
+        rounds = []
+        graph = graph.filter("a <> b")
+        while not graph.isEmpty():
+            up = _pointers(graph)
+            rounds.append(up)
+            joined = graph.join(up.withColumnRenamed("up", "x"), "a").join(up.select(F.col("a").alias("b"), F.col("up").alias("y")), "b")
+            graph = materialize(joined.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        label = None
+        for up in reversed(rounds):
+            if label is not None:  # labels without edges in later rounds keep theirs
+                later = label.select(F.col("a").alias("up"), F.col("up").alias("last"))
+                up = up.join(later, "up", "left").select("a", F.coalesce("last", "up").alias("up"))
+            label = materialize(up, "labels")
+        nodes = both.select(F.col("a").alias("node")).distinct()
+        if label is None:
+            return scope.result(nodes.select("node", F.col("node").alias("component")), "components")
+        nodes = nodes.join(label.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("up", "node").alias("up"))
+        least = nodes.groupBy("up").agg(F.min("node").alias("component"))
+        return scope.result(nodes.join(least, "up").select("node", "component"), "components")

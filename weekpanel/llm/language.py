@@ -5,9 +5,14 @@ A word's subwords are its character 1- to 4-grams with word marks and the word
 itself, hashed into ``buckets`` rows of ``width`` numbers.  A text is the average
 over the subwords of all its words.  Since the classifier is linear, each word has
 fixed class sums, so scoring adds one small row per word of the whole text.
-Probabilities are calibrated by a temperature on rows kept back from training; the
-rejection threshold is the score that all but ``miss`` of those rows, predicted
-right, reach, and never more than a little above the chance of a blind guess.
+Probabilities are calibrated by a temperature on rows kept back from training.
+
+Rejection is calibrated on the same rows, by two measures.  ``known`` is the share of a
+text's 3- and 4-grams that occur in training texts (a bitmap of fixed size): a softmax
+over learned languages says nothing of a text in another one, whose subwords are mostly
+new.  A text is rejected if its known share is below that which all but ``miss`` of the
+kept-back rows reach, less a tenth, or its probability below that which all but ``miss``
+of those predicted right reach.
 
 Defined cases: a text that is NULL or has no letter is ``und`` with score 0; with
 no training rows every text is ``und``; ties go to the first language in
@@ -42,16 +47,20 @@ def _letters() -> np.ndarray:
     return out
 
 
-def subwords(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(word number, bucket)`` of every subword of the words: the 1- to 4-grams of
-    the lower-cased letters with a mark (a blank) on both sides, and the whole word."""
+SEEN_BITS = 1 << 21
+
+
+def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, slice]:
+    """``(word number, hash)`` of every subword of the words: the 1- to 4-grams of
+    the lower-cased letters with a mark (a blank) on both sides, and the whole word.
+    The slice holds the 3- and 4-grams."""
     text = " " + b" ".join(words).decode("utf-8", "replace").lower() + " "
     code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     code = code[_letters()[code]].astype(np.uint64)
     blank = code == 0x20
     number = np.cumsum(blank) - 1  # a blank opens the word after it
     after = np.concatenate([[0], np.cumsum(blank)])
-    owners, hashes = [], []
+    owners, hashes, sizes = [], [], [0] * len(SIZES)
     for n in SIZES:
         m = len(code) - n + 1
         if m <= 0:
@@ -64,6 +73,7 @@ def subwords(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
         ok = (inside == 0) & ~(blank[:m] & blank[n - 1 :])
         owners.append(number[:m][ok])
         hashes.append(h[ok])
+        sizes[n - 1] = len(hashes[-1])
     letters = np.flatnonzero(~blank)
     if len(letters):  # whole words: a polynomial hash over each run of letters
         starts = np.flatnonzero(np.diff(number[letters], prepend=-1))
@@ -72,8 +82,18 @@ def subwords(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
         owners.append(number[letters][starts])
         hashes.append(np.add.reduceat(code[letters] * power[place], starts))
     if not owners:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(owners), (mix(np.concatenate(hashes)) % np.uint64(buckets)).astype(np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), slice(0, 0)
+    return np.concatenate(owners), mix(np.concatenate(hashes)), slice(sum(sizes[:2]), sum(sizes))
+
+
+def _places(hashes: np.ndarray, most: int) -> np.ndarray:
+    return (hashes % np.uint64(most)).astype(np.int64)
+
+
+def _marked(hashes: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """1 for every hash that the bitmap holds."""
+    at = _places(hashes >> np.uint64(20), SEEN_BITS)
+    return (seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1
 
 
 @dataclass
@@ -85,46 +105,57 @@ class LanguageModel:
     bias: np.ndarray
     temp: float
     reject_below: float
+    seen: np.ndarray
+    known_below: float
 
     def _make(self, words: list[bytes]) -> np.ndarray:
-        owner, ids = subwords(words, len(self.rows))
-        out = np.empty((len(words), len(self.langs) + 1), np.float32)
-        for c in range(len(self.langs)):
+        """Per word its class sums, its subwords, its 3- and 4-grams and the known ones of these."""
+        owner, hashes, longer = subwords(words)
+        ids, k = _places(hashes, len(self.rows)), len(self.langs)
+        out = np.empty((len(words), k + 3), np.float32)
+        for c in range(k):
             out[:, c] = np.bincount(owner, self.rows[ids, c], len(words))
-        out[:, -1] = np.bincount(owner, minlength=len(words))
+        out[:, k] = np.bincount(owner, minlength=len(words))
+        out[:, k + 1] = np.bincount(owner[longer], minlength=len(words))
+        out[:, k + 2] = np.bincount(owner[longer], _marked(hashes[longer], self.seen), len(words))
         return out
 
     def cache(self) -> WordRows:
-        return WordRows(self._make, len(self.langs) + 1)
+        return WordRows(self._make, len(self.langs) + 3)
 
-    def predict(self, texts, cache: WordRows) -> tuple[list[str], list[float]]:
-        names, scores = [], []
+    def predict(self, texts, cache: WordRows) -> tuple[list[str], list[float], list[float]]:
+        """Names, probabilities and known shares."""
+        names, scores, known, k = [], [], [], len(self.langs)
         for text in texts:
             words = text.encode().split() if text else []
             at = cache.of(words)
-            total = cache.table[at].sum(axis=0, dtype=np.float64) if len(at) else np.zeros(len(self.langs) + 1)
-            if not self.langs or total[-1] == 0:
+            total = cache.table[at].sum(axis=0, dtype=np.float64) if len(at) else np.zeros(k + 3)
+            if not self.langs or total[k] == 0:
                 names.append(UND)
                 scores.append(0.0)
+                known.append(0.0)
                 continue
-            z = (total[:-1] / total[-1] + self.bias) / self.temp
+            z = (total[:k] / total[k] + self.bias) / self.temp
             p = np.exp(z - z.max())
             best = int(np.argmax(p))
             names.append(self.langs[best])
             scores.append(float(p[best] / p.sum()))
-        return names, scores
+            known.append(float(total[k + 2] / max(1.0, total[k + 1])))
+        return names, scores, known
 
 
 def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, width: int = 16, epochs: int = 4,
           miss: float = 0.002, seed: int = 3) -> LanguageModel:
     names = sorted(set(langs))
     if not names:
-        return LanguageModel([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return LanguageModel([], np.zeros((1, 0), np.float32), np.zeros(0), 1.0, 0.0, np.zeros(SEEN_BITS // 8, np.uint8), 0.0)
     rng = np.random.default_rng(seed)
-    rows = []
+    rows, longer = [], []
     for t in texts:
-        u, c = np.unique(subwords(t.encode().split(), buckets)[1], return_counts=True)
+        _, hashes, some = subwords(t.encode().split())
+        u, c = np.unique(_places(hashes, buckets), return_counts=True)
         rows.append((u, (c / max(1, c.sum())).astype(np.float32)))
+        longer.append(np.unique(hashes[some], return_counts=True))
     y = np.array([names.index(x) for x in langs])
     use = np.array([i for i, r in enumerate(rows) if len(r[0])], np.int64)
     rng.shuffle(use)
@@ -156,13 +187,19 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 15, width: int
             np.subtract.at(emb, ids, rate * len(batch) * back_h * weight[:, None])
         rate *= 0.7
     logits = np.vstack([pooled(b)[3] @ out + bias for b in np.array_split(back, max(1, len(back) // 64)) if len(b)]) if len(back) else np.zeros((0, len(names)))
-    temp = temperature(logits, y[back])
+    temp = temperature(logits, y[back], 0.01)
     z = logits / temp
     p = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
     p = p / p.sum(axis=1, keepdims=True) if len(z) else p
     right = p.max(axis=1)[p.argmax(axis=1) == y[back]] if len(z) else np.zeros(0)
-    reject = min(1.2 / len(names), float(np.quantile(right, miss))) if len(right) and len(names) > 1 else 0.0
-    return LanguageModel(names, emb @ out, bias.astype(np.float64), temp, reject)
+    reject = float(np.quantile(right, miss)) if len(right) and len(names) > 1 else 0.0
+    held = np.zeros(SEEN_BITS, bool)
+    for i in fit:
+        held[_places(longer[i][0] >> np.uint64(20), SEEN_BITS)] = True
+    seen = np.packbits(held, bitorder="little")
+    known = [float((_marked(h, seen) * n).sum() / n.sum()) for h, n in (longer[i] for i in back) if len(h)]
+    known_below = 0.9 * float(np.quantile(known, miss)) if known else 0.0
+    return LanguageModel(names, emb @ out, bias.astype(np.float64), temp, reject, seen, known_below)
 
 
 def fit_language(docs: DataFrame, most: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
@@ -184,9 +221,10 @@ def language_of(docs: DataFrame, model: LanguageModel, text: Column) -> Column:
         m = shared.value
         cache = m.cache()
         for texts in batches:
-            names, scores = m.predict(texts, cache)
+            names, scores, known = m.predict(texts, cache)
             p = np.array(scores)
-            yield pd.DataFrame({"lang_pred": names, "score": p, "rejected": [n == UND for n in names] | (p < m.reject_below)})
+            out = np.array([n == UND for n in names]) | (p < m.reject_below) | (np.array(known) < m.known_below)
+            yield pd.DataFrame({"lang_pred": names, "score": p, "rejected": out})
         del cache
         release()
 

@@ -112,13 +112,11 @@ def _sizes_fit(percent: int, x: str, y: str):
 
 
 def _merging(percent: int):
-    """Per block pair of one bucket: candidate links between different components.
+    """Per block pair of one bucket: links between different components.
 
-    Intersections are counted on 32-bit shingle prefixes, packed as bit rows over
-    the shingles that two members share.  A pair that stays similar with two
-    shingles less is certain, and only certain pairs that join two components not
-    joined yet are returned (at most one per member); other pairs near the threshold
-    are returned while their components are apart.  All are verified on full sets afterwards."""
+    Intersections are counted exactly, packed as bit rows over the shingles that two
+    members share.  Of the similar pairs those that join two components not joined yet
+    are returned (at most one per member), since others add nothing to the components."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -152,18 +150,13 @@ def _merging(percent: int):
             at = np.flatnonzero(other)
             if not len(at):
                 continue
-            inter = np.bitwise_count(bits[at] & bits[i]).sum(axis=1, dtype=np.int64) + 2
-            whole = size[at] + size[i]
-            near = 100 * inter >= percent * (whole - inter)
-            sure = 100 * (inter - 4) >= percent * (whole - inter + 4)
-            for j, certain in zip(at[near], sure[near], strict=True):
+            inter = np.bitwise_count(bits[at] & bits[i]).sum(axis=1, dtype=np.int64)
+            for j in at[100 * inter >= percent * (size[at] + size[i] - inter)]:
                 x, y = root(int(label[i])), root(int(label[j]))
-                if x == y:
-                    continue
-                if certain:
+                if x != y:
                     parent[x] = y
-                a.append(min(node[i], node[j]))
-                b.append(max(node[i], node[j]))
+                    a.append(min(node[i], node[j]))
+                    b.append(max(node[i], node[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -178,8 +171,7 @@ def _across_components(left: DataFrame, sets: DataFrame, percent: int, block: in
     blocks = left.groupBy("key").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     cut = left.join(blocks, "key").withColumn("side", F.pmod(F.xxhash64("node", F.lit("block")), "blocks").cast("int"))
     dealt = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    short = sets.select(F.col("id").alias("node"), F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("shingles"))
-    dealt = dealt.join(short, "node").select(
+    dealt = dealt.join(sets.select(F.col("id").alias("node"), "shingles"), "node").select(
         "key", F.least("side", "with").alias("lo"), F.greatest("side", "with").alias("hi"), "node", "n", "l", "side", "shingles"
     )
     return dealt.groupBy("key", "lo", "hi").applyInArrow(_merging(percent), "a long, b long").distinct()

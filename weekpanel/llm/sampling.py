@@ -23,25 +23,27 @@ def bounded_sample(rows: DataFrame, key: str, columns: list[str | Column], most:
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", most: int = SAMPLE_ROWS) -> pd.DataFrame:
     """``text, y`` of a bounded sample of labelled documents.  The labels' hashes
-    choose the sample first, so only its texts are joined.  Labels other than 0 and
-    1, null ids and null labels are left out; an id with both labels counts as 1."""
+    choose the sample first, so only its texts are joined; of rows that repeat an id the
+    least text is taken.  Labels other than 0 and 1, null ids and null labels are left
+    out; an id with both labels counts as 1."""
     good = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("y"))
     order = F.xxhash64(F.lit("sample"), F.col(key))
     last = good.select(order.alias("o")).orderBy("o").limit(most).agg(F.max("o")).first()[0]
     if last is None:
         return pd.DataFrame({"text": pd.Series([], dtype=object), "y": pd.Series([], dtype=np.int64)})
     texts = docs.select(F.col(key), F.coalesce("text", F.lit("")).alias("text")).filter(order <= last)
-    picked = texts.join(good.filter(order <= last), key).select(key, "text", "y").toPandas()
-    return picked.drop_duplicates(key).sort_values(key)[["text", "y"]].reset_index(drop=True)
+    one = texts.groupBy(key).agg(F.min("text").alias("text"))  # an id may fill a third of the table
+    picked = one.join(good.filter(order <= last), key).select(key, "text", "y").toPandas()
+    return picked.sort_values(key)[["text", "y"]].reset_index(drop=True)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature that minimises held-back log loss (grid on a log scale)."""
-    grid = np.exp(np.linspace(np.log(0.2), np.log(8), 60))
+def temperature(logits: np.ndarray, y: np.ndarray, least: float = 0.2) -> float:
+    """The temperature from ``least`` to 8 that minimises held-back log loss (grid on a log scale)."""
+    grid = np.exp(np.linspace(np.log(least), np.log(8), 60))
     if len(y) == 0 or len(np.unique(y)) < 2:
         return 1.0
     if logits.ndim == 1:

@@ -97,16 +97,11 @@ def cmd_validate(spark: SparkSession, a) -> None:
 
 
 def cmd_stations(spark: SparkSession, a) -> None:
-    sheets = _sheets(a.sheet, spark)
-    seen: dict[str, str] = {}  # one variable speaks for its group: of the temperatures, the first given
-    rows = [
-        (STATION_GROUP[v], i, c)
-        for v, parts in sheets.items()
-        if seen.setdefault(STATION_GROUP[v], v) == v
-        for sh in parts[:1]  # the first part, headers as written
-        for i, c in enumerate((c for c in sh.columns[1:] if c != "src_row"), 1)
-    ]
-    catalog = spark.createDataFrame(rows, "station_group string, ordinal int, station string")
+    # like the original diagnostic: the first part of one variable per group, headers as written
+    listed = Q.station_catalog(spark, _sheets(a.sheet, spark), parts=None if a.all_parts else [1], trim=a.all_parts)
+    catalog = (listed if a.all_parts else Q.group_catalog(listed)).select("station_group", "ordinal", "station")
+    if a.all_parts:
+        catalog = catalog.groupBy("station_group", "station").agg(F.min("ordinal").alias("ordinal")).select("station_group", "ordinal", "station")
     _show("Stations", catalog, ["station_group", "ordinal"], a.rows)
     _show("Stations per group", catalog.groupBy("station_group").count(), ["station_group"])
     mapping = scan_mapping(spark, a.mapping)
@@ -164,6 +159,7 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("stations")
     s.add_argument("--mapping", required=True)
     s.add_argument("--sheet", action="append", required=True)
+    s.add_argument("--all-parts", dest="all_parts", action="store_true", help="look at all parts and variables, headers trimmed")
     pp = sub.add_parser("preprocess")
     pp.add_argument("--wide", required=True)
     pp.add_argument("--out", required=True)

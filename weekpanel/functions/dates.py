@@ -15,51 +15,31 @@ DAYFIRST_FALLBACKS = ["d/M/yyyy H:m", "d-M-yyyy H:m:s", "d-M-yyyy", "d.M.yyyy",
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def parse_sql(expr: str, fmt: str | list[str] | None, dtype: T.DataType | None = None) -> str:
-    """SQL text parsing ``expr`` with one format, or with the first of several
-    that fits each row (typed dates pass through)."""
-    if isinstance(dtype, DATE_TYPES):
-        return f"CAST({expr} AS TIMESTAMP_NTZ)"
-    if not fmt:
-        return "CAST(NULL AS TIMESTAMP_NTZ)"
-    tries = [f"try_to_timestamp(CAST({expr} AS STRING), '{f}')" for f in ([fmt] if isinstance(fmt, str) else fmt)]
-    return f"CAST(coalesce({', '.join(tries)}) AS TIMESTAMP_NTZ)"
-
-
 class NoValidDate(ValueError):
     """A sheet has rows, and not one of their times can be parsed."""
 
 
-def sheet_formats(
-    columns: list[tuple[DataFrame, str]], formats: list[str] | None = None, per_row: bool = False, infer: bool = False,
-    names: list[str] | None = None, strict: bool = False,
-) -> list[str | list[str] | None]:
-    """What :func:`parse_sql` needs for each table's time column, from ONE aggregate job.
+def format_choice(times: DataFrame, sheet: str, time: str, formats: list[str] | None = None, infer: bool = False) -> DataFrame:
+    """``(sheet, choice)``: for each sheet the number of the first format that parses any of its times.
 
-    The first format that parses any row serves the whole table; with
-    ``per_row`` every row tries all of them; with ``infer`` a table that none
-    fits tries the day-first fallbacks.  ``strict`` raises :class:`NoValidDate`
-    for a text column with values of which none parses.
-    """
+    One aggregate, a row per sheet, to be joined to the rows; nothing runs here.
+    A sheet that no format fits has a NULL choice, or with ``infer`` the number
+    that stands for the day-first fallbacks (each row then tries them in order)."""
     formats = list(formats or DATE_FORMATS)
-    tried = formats + (DAYFIRST_FALLBACKS if infer else [])
-    tagged = [df.select(F.lit(i).alias("t"), F.col(c).cast("string").alias("v")) for i, (df, c) in enumerate(columns)]
-    stacked = tagged[0]
-    for t in tagged[1:]:
-        stacked = stacked.unionByName(t)
-    counts = stacked.groupBy("t").agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count(parse_with("v", f)).alias(f"n{j}") for j, f in enumerate(tried)]
-    )
-    by_table = {r["t"]: r for r in counts.collect()}  # one row per table
-    out: list[str | list[str] | None] = []
-    for i, (df, c) in enumerate(columns):
-        r = by_table.get(i)
-        fits = [f for j, f in enumerate(tried) if r is not None and r[f"n{j}"] > 0]
-        if strict and r is not None and not fits and not isinstance(df.schema[c].dataType, DATE_TYPES):
-            name = names[i] if names else c
-            raise NoValidDate(f"{name}: none of {r['rows']} times in column {c!r} fits {', '.join(tried)}")
-        first = next((f for f in formats if f in fits), None)
-        out.append(fits if per_row else first if first or not infer else fits)
+    fits = [F.when(F.count(parse_with(time, f)) > 0, F.lit(i)) for i, f in enumerate(formats)]
+    return times.groupBy(sheet).agg(F.coalesce(*fits, F.lit(len(formats) if infer else None)).cast("int").alias("choice"))
+
+
+def parse_chosen(time: str, choice: Column, formats: list[str] | None = None, per_row: bool = False, infer: bool = False) -> Column:
+    """The parsed time of a row by its sheet's choice; with ``per_row`` the first format that fits the row."""
+    formats = list(formats or DATE_FORMATS)
+    tried = [parse_with(time, f) for f in formats]
+    fallbacks = F.coalesce(*[parse_with(time, f) for f in DAYFIRST_FALLBACKS])
+    if per_row:
+        return F.coalesce(*tried, *([fallbacks] if infer else []))
+    out = F.when(choice == len(formats), fallbacks)
+    for i, one in enumerate(tried):
+        out = out.when(choice == i, one)
     return out
 
 

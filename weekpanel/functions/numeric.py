@@ -39,6 +39,25 @@ def coerce_double_sql(expr: str) -> str:
     return f"nanvl(CASE WHEN CAST({expr} AS STRING) RLIKE '{pattern}' THEN try_cast(trim(CAST({expr} AS STRING)) AS DOUBLE) END, CAST(NULL AS DOUBLE))"
 
 
+def stable_sum(c: Column | str, scale: int | None = 6) -> Column:
+    """A sum that does not depend on the order of rows: values are added as decimals with ``scale`` places.
+
+    Values with more places are rounded to ``scale`` first.  Groups with a value
+    or sum that no such decimal holds, and ``scale=None``, are summed as doubles."""
+    col = F.col(c) if isinstance(c, str) else c
+    if scale is None:
+        return F.sum(col)
+    exact = col.try_cast(T.DecimalType(28, scale))
+    whole = F.count(exact) == F.count(col)
+    return F.coalesce(F.when(whole, F.try_sum(exact)).cast("double"), F.sum(col))
+
+
+def stable_mean(c: Column | str, scale: int | None = 6) -> Column:
+    """The mean of the values present, from :func:`stable_sum`; NULL without any."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.avg(col) if scale is None else stable_sum(col, scale) / F.nullif(F.count(col), F.lit(0))
+
+
 def rint2(c: Column | str) -> Column:
     """Round half-to-even on the binary value to 2 decimals, like numpy's ``round(x, 2)``."""
     col = F.col(c) if isinstance(c, str) else c

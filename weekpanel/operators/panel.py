@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekpanel.operators.clean import fill_cases
 from weekpanel.schemas import LAG_WEEKS, PANEL_KEYS, SPINE_WEEKS, VARIABLES, feature_columns
 
 
-def year_range(cases_raw: DataFrame) -> tuple[int | None, int | None]:
-    """Min and max ``Year`` of the raw case table (one tiny aggregate job);
-    ``(None, None)`` without any year, which gives an empty spine."""
-    r = cases_raw.agg(F.min("Year").cast("int").alias("lo"), F.max("Year").cast("int").alias("hi")).first()
-    return r["lo"], r["hi"]
+def year_range(cases_raw: DataFrame) -> tuple[Column, Column]:
+    """Min and max ``Year`` of the raw case table, as scalar subqueries (no job runs
+    here); NULL without any year, which gives an empty spine."""
+    of = cases_raw.select(F.col("Year").cast("int").alias("Year"))
+    return of.agg(F.min("Year")).scalar(), of.agg(F.max("Year")).scalar()
 
 
 def weeks_in_year(year) -> F.Column:
@@ -25,7 +25,7 @@ def weeks_in_year(year) -> F.Column:
     return week_number(F.date_sub(next_first_sunday, 1))
 
 
-def week_spine(districts: DataFrame, start_year: int | None, end_year: int | None, weeks: int | str = SPINE_WEEKS) -> DataFrame:
+def week_spine(districts: DataFrame, start_year: int | Column | None, end_year: int | Column | None, weeks: int | str = SPINE_WEEKS) -> DataFrame:
     """Every ``(Year, Week, District)`` with weeks 1..``weeks``.
 
     ``weeks`` is a number (the original: 52 for every year) or
@@ -35,15 +35,16 @@ def week_spine(districts: DataFrame, start_year: int | None, end_year: int | Non
     and no cartesian product is planned.
     """
     last = weeks_in_year(F.col("Year")) if weeks == "calendar" else F.lit(int(weeks))
+    first, final = (y if isinstance(y, Column) else F.lit(y) for y in (start_year, end_year))
     return (
-        districts.select("District")
-        .withColumn("Year", F.explode(F.sequence(F.lit(start_year).cast("int"), F.lit(end_year).cast("int"))))
+        districts.select("District", first.cast("int").alias("__lo"), final.cast("int").alias("__hi"))
+        .withColumn("Year", F.explode(F.sequence("__lo", "__hi")))
         .withColumn("Week", F.explode(F.sequence(F.lit(1), last)))
         .select("Year", "Week", "District")
     )
 
 
-def complete_panel(cases: DataFrame, start_year: int, end_year: int, weeks: int | str = SPINE_WEEKS,
+def complete_panel(cases: DataFrame, start_year: int | Column | None, end_year: int | Column | None, weeks: int | str = SPINE_WEEKS,
                    flag_reported: bool = False) -> DataFrame:
     """Spine of the case districts, left-joined with cases, missing cases -> 0.
 

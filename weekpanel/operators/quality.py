@@ -6,13 +6,13 @@ result is meant to be shown.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekpanel.functions.numeric import rint2
+from weekpanel.functions.numeric import rint2, stable_mean, stable_sum
 from weekpanel.operators.util import qcol
-from weekpanel.schemas import SUMMARY_STATS
+from weekpanel.schemas import META_COLUMNS, STATION_GROUP, SUMMARY_STATS
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -46,19 +46,32 @@ def percent_text(c, decimals: int = 2):
     return F.format_string(f"%.{decimals}f%%", F.col(c) if isinstance(c, str) else c)
 
 
+SUMMARY_SCALE = 9  # decimal places that the means of a summary keep
+
+
+def summary_long(panel: DataFrame, key: str = "District", scale: int | None = SUMMARY_SCALE) -> DataFrame:
+    """``(key, column, count, mean, std, min, max)`` of every numeric column, not rounded.
+
+    Columns become rows, and one aggregate of five mergeable moments serves them
+    all: its size does not grow with the number of columns, and it is combined
+    map-side, so what is shuffled is one row per task, key and column."""
+    columns = [c for c in numeric_columns(panel) if c != key]
+    long = panel.select(qcol(key).alias(key), *[qcol(c).cast("double").alias(c) for c in columns])
+    long = long.unpivot([qcol(key)], [qcol(c) for c in columns], "column", "value")
+    return long.groupBy(key, "column").agg(
+        F.count("value").alias("count"), stable_mean("value", scale).alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+
+
 def district_summary(panel: DataFrame, key: str = "District", stats: list[str] | None = None) -> DataFrame:
     """Per district ``count, mean, std, min, max`` of every numeric column,
-    rounded to 2 decimals half-even; columns ``{col}_{stat}``.  One groupBy."""
+    rounded to 2 decimals half-even; columns ``{col}_{stat}``: the rows of
+    :func:`summary_long` side by side (one small aggregate into a map)."""
     stats = stats or SUMMARY_STATS
-    fns = {
-        "count": lambda c: F.count(c),
-        "mean": lambda c: rint2(F.avg(c)),
-        "std": lambda c: rint2(F.stddev_samp(c)),
-        "min": lambda c: rint2(F.min(c)),
-        "max": lambda c: rint2(F.max(c)),
-    }
-    aggs = [fns[s](qcol(c)).alias(f"{c}_{s}") for c in numeric_columns(panel) for s in stats]
-    return panel.groupBy(key).agg(*aggs)
+    rounded = [F.col("count") if s == "count" else rint2(s).alias(s) for s in SUMMARY_STATS]
+    entry = F.struct("column", F.struct(*rounded).alias("of"))
+    mapped = summary_long(panel, key).groupBy(key).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    return mapped.select(key, *[F.col("m")[c][s].alias(f"{c}_{s}") for c in numeric_columns(panel) if c != key for s in stats])
 
 
 def join_coverage(joined: DataFrame, variables: list[str]) -> DataFrame:
@@ -85,7 +98,8 @@ def percentiles(df: DataFrame, columns: list[str], points: list[float]) -> DataF
     Values are counted, dealt to range buckets, and counted up inside buckets
     and over the small table of bucket sizes, so no task holds a whole column
     and a value that fills a third of the rows is one row.  The two values
-    around each percentile's rank are then picked and interpolated."""
+    around each percentile's rank are then picked and interpolated (the ranks, two
+    rows per column and point, are broadcast)."""
     from weekpanel.session import materialize
 
     long = df.select(*[qcol(c).cast("double").alias(c) for c in columns]).unpivot([], [qcol(c) for c in columns], "column", "value")
@@ -102,7 +116,7 @@ def percentiles(df: DataFrame, columns: list[str], points: list[float]) -> DataF
     asked = asked.withColumn("rank", (F.col("total") - 1) * F.col("p")).select(
         F.col("column").alias("of"), "p", "rank", F.explode(F.array(F.floor("rank"), F.ceil("rank"))).alias("k")
     )
-    found = placed.join(asked, (F.col("column") == F.col("of")) & (F.col("k") >= F.col("first")) & (F.col("k") < F.col("end")))
+    found = placed.join(F.broadcast(asked), (F.col("column") == F.col("of")) & (F.col("k") >= F.col("first")) & (F.col("k") < F.col("end")))
     ends = found.groupBy("column", "p", "rank").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     return ends.select("column", "p", (F.col("lo") + (F.col("rank") - F.floor("rank")) * (F.col("hi") - F.col("lo"))).alias("value"))
 
@@ -137,6 +151,28 @@ def table_info(df: DataFrame) -> DataFrame:
     return wide.select(_stack(rows).alias("ordinal", "column", "type", "non_null"))
 
 
+def station_catalog(spark: SparkSession, sheets: dict[str, list[DataFrame]], parts: list[int] | None = None, trim: bool = True) -> DataFrame:
+    """``(station_group, variable, part, ordinal, station)``: the station headers of landed sheets.
+
+    ``parts`` limits it to some parts (the original diagnostic looks at part 1 only) and
+    ``trim=False`` keeps headers as landed.  Read from schemas: a row per column, no job."""
+    rows = [
+        (STATION_GROUP[v], v, p, i, c.strip() if trim else c)
+        for v, of in sheets.items()
+        for p, sheet in enumerate(of, 1)
+        if parts is None or p in parts
+        for i, c in enumerate((c for c in sheet.columns[1:] if c not in META_COLUMNS), 1)
+    ]
+    return spark.createDataFrame(rows, "station_group string, variable string, part int, ordinal int, station string")
+
+
+def group_catalog(catalog: DataFrame) -> DataFrame:
+    """The catalog of one variable per station group: of the temperatures the one that sorts first
+    (``temp_max``), so that a group's stations count once."""
+    speaker = catalog.groupBy("station_group").agg(F.min("variable").alias("variable"))
+    return catalog.join(speaker, ["station_group", "variable"], "left_semi")
+
+
 def panel_extent(panel: DataFrame) -> DataFrame:
     """Shape, key extent, districts and total cases in one aggregate."""
     return panel.agg(
@@ -147,7 +183,7 @@ def panel_extent(panel: DataFrame) -> DataFrame:
         F.max("Year").alias("max_year"),
         F.max("Week").alias("max_week"),
         F.count_distinct("District").alias("districts"),
-        F.sum("Cases").alias("total_cases"),
+        stable_sum("Cases").alias("total_cases"),
     )
 
 
@@ -184,8 +220,8 @@ def reconcile_totals(raw: DataFrame, panel: DataFrame, key: str = "District", ma
     """
     if max_week is not None:
         raw = raw.filter(F.col("Week") <= max_week)
-    r = raw.groupBy(key).agg(F.coalesce(F.sum(F.coalesce("Cases", F.lit(0.0))), F.lit(0.0)).alias("raw_total"))
-    p = panel.groupBy(key).agg(F.sum("Cases").alias("panel_total"))
+    r = raw.groupBy(key).agg(F.coalesce(stable_sum("Cases"), F.lit(0.0)).alias("raw_total"))
+    p = panel.groupBy(key).agg(stable_sum("Cases").alias("panel_total"))
     j = r.join(p, key, "full")
     return j.withColumn("passed", F.coalesce(F.col("raw_total") == F.col("panel_total"), F.lit(False)))
 
@@ -194,11 +230,11 @@ def reconcile_week(raw: DataFrame, panel: DataFrame, key: str = "District") -> D
     """For each district, its first raw (Year, Week) group: raw sum vs panel value.
     Rows with a NULL key belong to no group (a NULL would sort first)."""
     raw = raw.dropna(subset=[key, "Year", "Week"])
-    sums = raw.groupBy(key, "Year", "Week").agg(F.sum(F.coalesce("Cases", F.lit(0.0))).alias("raw_cases"))
+    sums = raw.groupBy(key, "Year", "Week").agg(F.coalesce(stable_sum("Cases"), F.lit(0.0)).alias("raw_cases"))
     first = sums.groupBy(key).agg(F.min(F.struct("Year", "Week", "raw_cases")).alias("f")).select(
         key, F.col("f.Year").alias("Year"), F.col("f.Week").alias("Week"), F.col("f.raw_cases").alias("raw_cases")
     )
-    p = panel.groupBy(key, "Year", "Week").agg(F.sum("Cases").alias("panel_cases"))
+    p = panel.groupBy(key, "Year", "Week").agg(stable_sum("Cases").alias("panel_cases"))
     j = first.join(p, [key, "Year", "Week"], "left")
     return j.withColumn("panel_cases", F.coalesce("panel_cases", F.lit(0.0))).withColumn(
         "passed", F.col("raw_cases") == F.col("panel_cases")
@@ -220,7 +256,7 @@ def week_drilldown(series: DataFrame, weeks: int = 2) -> DataFrame:
         F.date_format(F.max("day"), "yyyy-MM-dd").alias("last_day"),
         F.count(F.lit(1)).alias("days"),
         F.count("value").alias("n_values"),
-        F.sum("value").alias("value_sum"),
-        F.avg("value").alias("value_mean"),
+        stable_sum("value").alias("value_sum"),
+        stable_mean("value").alias("value_mean"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("day", "value"))), lambda x: x["value"].cast("string")), ", ").alias("daily_values"),
     )

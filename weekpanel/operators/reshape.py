@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekpanel.functions.numeric import stable_sum
 from weekpanel.operators.util import qcol
 
 
@@ -31,9 +32,13 @@ def cases_long_from_wide(wide: DataFrame, id_col: str = "period") -> DataFrame:
 
 def pivot_sum(cases: DataFrame, row: str, column: str, values: list) -> DataFrame:
     """``row`` x ``column`` table of summed ``Cases``, missing -> 0.  ``values``
-    fixes the column list (stable schema, no distinct job)."""
-    out = cases.groupBy(row).pivot(column, values).agg(F.sum("Cases"))
-    return out.na.fill(0.0, [str(v) for v in values])
+    fixes the column list (stable schema, no distinct job); a value outside it is an
+    error, since its sums would vanish.  Rows without a ``column`` value belong to none."""
+    sums = [F.coalesce(stable_sum(F.when(F.col(column) == v, F.col("Cases"))), F.lit(0.0)).alias(str(v)) for v in values]
+    out = cases.groupBy(row).agg(*sums, F.max(F.when(~F.col(column).isin(values), F.col(column).cast("string"))).alias("__other"))
+    failed = F.raise_error(F.concat(F.lit(f"{column} is not among the columns of the pivot: "), "__other")).cast("double")
+    checked = F.when(F.col("__other").isNull(), qcol(str(values[0]))).otherwise(failed).alias(str(values[0]))
+    return out.select(row, checked, *[qcol(str(v)) for v in values[1:]])
 
 
 def pivot_year_district(cases: DataFrame, districts: list[str]) -> DataFrame:
@@ -42,9 +47,3 @@ def pivot_year_district(cases: DataFrame, districts: list[str]) -> DataFrame:
 
 def pivot_district_year(cases: DataFrame, years: list[int]) -> DataFrame:
     return pivot_sum(cases, "District", "Year", years)
-
-
-def station_long(wide: DataFrame, id_cols: list[str]) -> DataFrame:
-    """Wide station columns -> ``(<id_cols>, station, value)``; NULL cells kept."""
-    cols = [c for c in wide.columns if c not in id_cols]
-    return wide.unpivot(id_cols, [qcol(c) for c in cols], "station", "value")

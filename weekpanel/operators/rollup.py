@@ -2,16 +2,23 @@
 
 All are single ``groupBy`` aggregates, partially aggregated map-side before
 the shuffle, so a hot key (one station, one district) is reduced before it
-reaches one task.
+reaches one task.  Sums are taken over decimals of ``scale`` places, so their last
+bits do not depend on the order in which tasks deliver rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekpanel.functions.calendar import week_number, week_year
-from weekpanel.schemas import WEEKLY_AGG
+from weekpanel.functions.numeric import stable_mean, stable_sum
+from weekpanel.schemas import SUM_SCALE, WEEKLY_AGG
+
+
+def case_sum(scale: int | None = SUM_SCALE) -> Column:
+    """The order-stable sum of ``Cases``, 0 when none is present."""
+    return F.coalesce(stable_sum("Cases", scale), F.lit(0.0)).cast("double").alias("Cases")
 
 
 def merge_districts(cases: DataFrame) -> DataFrame:
@@ -20,15 +27,17 @@ def merge_districts(cases: DataFrame) -> DataFrame:
     one district are merged here)."""
     keys = ["Year", "Week", "District"]
     valid = cases.filter(F.col("Year").isNotNull() & F.col("Week").isNotNull() & F.col("District").isNotNull())
-    return valid.groupBy(*keys).agg(F.coalesce(F.sum("Cases"), F.lit(0.0)).cast("double").alias("Cases"))
+    return valid.groupBy(*keys).agg(case_sum())
 
 
-def weekly_rollup(obs: DataFrame, agg: dict[str, str] | str | None = None, empty_sum: str = "zero") -> DataFrame:
+def weekly_rollup(obs: DataFrame, agg: dict[str, str] | str | None = None, empty_sum: str = "zero",
+                  scale: int | None = SUM_SCALE) -> DataFrame:
     """Daily ``(variable, station, date, value)`` -> weekly ``(variable, station, year, week, value)``.
 
     ``agg`` maps variable -> ``'mean'`` (missing skipped; all missing ->
     NULL) or ``'sum'`` (all missing -> 0.0).  One ``groupBy`` serves every
     variable: both aggregates are computed and the variable picks one.
+    ``scale`` is the number of decimal places that are summed exactly (None: doubles).
     """
     if agg is None:
         agg = WEEKLY_AGG
@@ -40,7 +49,7 @@ def weekly_rollup(obs: DataFrame, agg: dict[str, str] | str | None = None, empty
     d = F.to_date("date")
     dated = obs.select("variable", "station", week_year(d).alias("year"), week_number(d).alias("week"), "value")
     grouped = dated.groupBy("variable", "station", "year", "week").agg(
-        F.sum("value").alias("__sum"), F.avg("value").alias("__avg")
+        stable_sum("value", scale).alias("__sum"), stable_mean("value", scale).alias("__avg")
     )
     empty = F.lit(0.0) if empty_sum == "zero" else F.lit(None).cast("double")
     value = F.when(pick_sum, F.coalesce(F.col("__sum"), empty)).otherwise(F.col("__avg"))
@@ -48,17 +57,17 @@ def weekly_rollup(obs: DataFrame, agg: dict[str, str] | str | None = None, empty
 
 
 def national_by_year(cases: DataFrame) -> DataFrame:
-    return cases.groupBy("Year").agg(F.coalesce(F.sum("Cases"), F.lit(0.0)).alias("Cases"))
+    return cases.groupBy("Year").agg(case_sum())
 
 
 def national_by_week(cases: DataFrame) -> DataFrame:
-    return cases.groupBy("Year", "Week").agg(F.coalesce(F.sum("Cases"), F.lit(0.0)).alias("Cases"))
+    return cases.groupBy("Year", "Week").agg(case_sum())
 
 
 def cases_by_district(cases: DataFrame) -> DataFrame:
-    return cases.groupBy("District").agg(F.coalesce(F.sum("Cases"), F.lit(0.0)).alias("Cases"))
+    return cases.groupBy("District").agg(case_sum())
 
 
 def filtered_total(cases: DataFrame, predicate, name: str = "total") -> DataFrame:
     """One-row sum of ``Cases`` over rows matching ``predicate`` (0 when none)."""
-    return cases.agg(F.coalesce(F.sum(F.when(predicate, F.col("Cases"))), F.lit(0.0)).alias(name))
+    return cases.agg(F.coalesce(stable_sum(F.when(predicate, F.col("Cases")), SUM_SCALE), F.lit(0.0)).alias(name))

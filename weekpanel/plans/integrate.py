@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Observation
 
 from weekpanel.operators.clean import standardize_names
-from weekpanel.operators.combine import Combined, combine_many, mean_temperature_cells
+from weekpanel.operators.combine import Combined, combine_many, mean_rows, unpivot_rows
 from weekpanel.operators.features import lag_features, prepare_mapping
 from weekpanel.operators.panel import complete_panel, integrate_panel, year_range
 from weekpanel.operators.rollup import merge_districts, weekly_rollup
@@ -34,6 +33,7 @@ class Inputs:
     per_row: bool = False  # every row of a sheet tries all date formats
     infer: bool = False  # a sheet that no format fits tries day-first fallbacks
     strict: bool = False  # a sheet without any valid date is an error
+    either: bool = False  # a mean temperature with one missing side takes the other
 
 
 def clean_cases(inputs: Inputs) -> DataFrame:
@@ -42,52 +42,56 @@ def clean_cases(inputs: Inputs) -> DataFrame:
 
 def base_panel(inputs: Inputs, weeks: int | str = 52) -> DataFrame:
     """Spine over the raw year range x 52 weeks x districts, with cases (0 when missing)."""
-    lo, hi = year_range(inputs.cases_raw)
-    return complete_panel(clean_cases(inputs), lo, hi, weeks)
+    return complete_panel(clean_cases(inputs), *year_range(inputs.cases_raw), weeks)
 
 
-def combine_inputs(inputs: Inputs, materialize: bool = True, mode: str = "first_row") -> Combined:
-    """All sheets combined by one aggregate; the dense cells are written once
-    to the checkpoint folder (``materialize``) so that every variable, the
-    mean temperature and the weekly rollup read one small table instead of
-    re-running the combine."""
-    from weekpanel.session import materialize as write_read
+def combine_inputs(inputs: Inputs, hold: str = "write", mode: str = "first_row") -> Combined:
+    """All sheets combined by one aggregate.
+
+    The kept rows (a row per date and variable) are read by the weekly rollup of
+    every variable and by the mean temperature.  ``hold='write'`` writes them once
+    under the scratch folder, counting rows and dropped dates of each sheet on the
+    way (``Combined.counts``), and checks ``strict``; ``'cache'`` keeps them in memory
+    and disk of the executors when a later action first needs them (no job runs
+    here); ``'none'`` leaves them lazy."""
+    from weekpanel.session import materialize
 
     unknown = sorted(set(inputs.sheets) - set(SHEET_VARIABLES))
     if unknown:
         raise ValueError(f"unknown sheet variable {', '.join(unknown)}; known: {', '.join(SHEET_VARIABLES)}")
+    observation = Observation() if hold == "write" else None
     c = combine_many({v: inputs.sheets[v] for v in SHEET_VARIABLES if v in inputs.sheets}, mode=mode,
-                     per_row=inputs.per_row, infer=inputs.infer, strict=inputs.strict)
-    return Combined(write_read(c.cells, "combined"), c.stations) if materialize else c
-
+                     per_row=inputs.per_row, infer=inputs.infer, observation=observation)
+    if hold == "none" or not c.sheets:
+        return c
+    if hold == "cache":
+        return Combined(c.rows.persist(), c.stations, c.sheets)
+    c = Combined(materialize(c.rows, "combined"), c.stations, c.sheets, observation)
+    if inputs.strict:
+        c.check_dates()
+    return c
 
-def mean_of(c: Combined, align: str = "position") -> DataFrame | None:
-    """Mean temperature cells ``(variable='temp', station, date, value)``."""
-    if c.stations.get("temp_max") and "temp_min" in c.stations:
-        m = mean_temperature_cells(c.long(["temp_max"]), c.long(["temp_min"]), c.stations["temp_min"], align)
-        return m.select(F.lit("temp").alias("variable"), "station", "date", "value")
-    return None
 
-
-def combined_sheets(inputs: Inputs, align: str = "position", combined: Combined | None = None) -> dict[str, DataFrame]:
-    """variable -> combined wide daily table, ``temp`` (the mean) included."""
-    c = combined or combine_inputs(inputs)
-    out = {v: c.wide(v) for v in c.stations}
-    mean = mean_of(c, align)
-    if mean is not None:
-        out["temp"] = Combined(mean, {"temp": c.stations["temp_max"]}).wide("temp")
-    return out
+def mean_of(c: Combined, align: str = "position", either: bool = False) -> Combined | None:
+    """Mean temperature rows of the combined sheets (variable ``temp``)."""
+    if not (c.stations.get("temp_max") and "temp_min" in c.stations):
+        return None
+    rows = mean_rows(c.rows, c.stations["temp_max"], c.stations["temp_min"], align, either)
+    return Combined(rows, {"temp": c.stations["temp_max"]})
 
 
 def observations(inputs: Inputs, align: str = "position", combined: Combined | None = None) -> DataFrame:
     """All variables as one long daily table ``(variable, station, date, value)``."""
     c = combined or combine_inputs(inputs)
-    mean = mean_of(c, align)
-    return c.long().unionByName(mean) if mean is not None else c.long()
+    mean = mean_of(c, align, inputs.either)
+    if mean is None:
+        return c.cells
+    return unpivot_rows(c.rows.unionByName(mean.rows), {**c.stations, **mean.stations})
 
 
-def weekly(inputs: Inputs, align: str = "position", mode: str = "first_row", empty_sum: str = "zero") -> DataFrame:
-    return weekly_rollup(observations(inputs, align, combine_inputs(inputs, mode=mode)), empty_sum=empty_sum)
+def weekly(inputs: Inputs, align: str = "position", mode: str = "first_row", empty_sum: str = "zero",
+           combined: Combined | None = None) -> DataFrame:
+    return weekly_rollup(observations(inputs, align, combined or combine_inputs(inputs, mode=mode)), empty_sum=empty_sum)
 
 
 def features(inputs: Inputs, align: str = "position", mode: str = "first_row", empty_sum: str = "zero",
@@ -114,5 +118,5 @@ def ordered(panel: DataFrame) -> DataFrame:
     return panel.orderBy("District", "Year", "Week")
 
 
-__all__ = ["Inputs", "build_panel", "base_panel", "clean_cases", "combine_inputs", "combined_sheets", "mean_of", "observations",
+__all__ = ["Inputs", "build_panel", "base_panel", "clean_cases", "combine_inputs", "mean_of", "observations",
            "weekly", "features", "ordered"]

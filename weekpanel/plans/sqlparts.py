@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from weekpanel.plans.standin import (
     GHOST_TEMP_NATION,
+    NO_MIN_DAY,
     NULL_HUMIDITY_NATION,
     PART1_BEFORE,
     PART1_LAST_NATION,
@@ -91,7 +92,7 @@ oc AS (
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
 periods AS (SELECT DISTINCT period FROM oc),
 cell AS (SELECT period, nk, sum(1.0) AS cases FROM oc GROUP BY period, nk),
-cases_melt AS (
+cases_melt AS MATERIALIZED (
   SELECT p.period, n.raw AS District, CAST(cell.cases AS DOUBLE) AS Cases
   FROM periods p CROSS JOIN nat_raw n LEFT JOIN cell ON cell.period = p.period AND cell.nk = n.nk),
 cases_raw AS (
@@ -99,7 +100,7 @@ cases_raw AS (
          TRY_CAST(regexp_extract(period, {q(PERIOD_RE)}, 1) AS INTEGER) AS Week, District, Cases
   FROM cases_melt),
 cases_std AS (SELECT Year, Week, {std_name('District')} AS District, Cases FROM cases_raw),
-cases_m AS (
+cases_m AS MATERIALIZED (
   SELECT Year, Week, District, CAST(coalesce(sum(Cases), 0) AS DOUBLE) AS Cases FROM cases_std
   WHERE Year IS NOT NULL AND Week IS NOT NULL AND District IS NOT NULL GROUP BY Year, Week, District),
 yr AS (SELECT min(Year) AS lo, max(Year) AS hi FROM cases_raw),
@@ -108,47 +109,55 @@ spine AS (
   FROM (SELECT DISTINCT District FROM cases_m) d
   CROSS JOIN (SELECT unnest(generate_series(lo, hi)) AS Year FROM yr) y
   CROSS JOIN (SELECT unnest(generate_series(1, 52)) AS Week) w),
-base AS (
+base AS MATERIALIZED (
   SELECT s.Year, s.Week, s.District, coalesce(c.Cases, 0.0) AS Cases
   FROM spine s LEFT JOIN cases_m c ON c.Year = s.Year AND c.Week = s.Week AND c.District = s.District)"""
 
 _UNIT_ROWS = ", ".join(f"({q(v)}, {q(u)})" for v, u in UNITS.items())
+def _two_places(x: str) -> str:
+    return f"CAST({x} // 100 AS VARCHAR) || '.' || lpad(CAST({x} % 100 AS VARCHAR), 2, '0')"
+
+
 _TEXT = f"""CASE
-      WHEN s.variable = 'temp_max' THEN CASE WHEN day(r.d) = 13 THEN '-' ELSE CAST(dl.tmax AS VARCHAR) END
-      WHEN s.variable = 'temp_min' THEN CAST(dl.tmin AS VARCHAR)
+      WHEN s.variable = 'temp_max' THEN CASE WHEN day(r.d) = 13 THEN '-' ELSE {_two_places('dl.tmax')} END
+      WHEN s.variable = 'temp_min' THEN {_two_places('dl.tmin')}
       WHEN s.variable = 'precipitation' THEN
-        CASE WHEN dl.rain = 0 AND dayofweek(r.d) = 0 THEN 'Trace' ELSE CAST(dl.rain AS VARCHAR) END
-      WHEN s.part = 2 THEN '  ' || CAST(dl.lines AS VARCHAR) || ' '
-      ELSE CAST(dl.lines AS VARCHAR) END"""
+        CASE WHEN dl.rain = 0 AND dayofweek(r.d) = 0 THEN 'Trace' ELSE {_two_places('dl.rain')} END
+      WHEN s.part = 2 THEN '  ' || {_two_places('dl.damp')} || ' '
+      ELSE {_two_places('dl.damp')} END"""
 
 WEATHER = f"""
 li AS (
-  SELECT CAST(l.l_shipdate AS DATE) AS d, s.s_nationkey AS nk, l.l_quantity AS q, l.l_returnflag AS rf
+  SELECT CAST(l.l_shipdate AS DATE) AS d, s.s_nationkey AS nk, CAST(round(l.l_quantity * 100) AS BIGINT) AS q,
+         CAST(round(l.l_discount * 10000) AS BIGINT) AS c, CAST(round(l.l_tax * 10000) AS BIGINT) AS t,
+         CASE WHEN l.l_returnflag = 'R' THEN CAST(round(l.l_extendedprice * 100) AS BIGINT) ELSE 0 END AS r
   FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey),
-daily AS (
-  SELECT d, nk, max(q) AS tmax, min(q) AS tmin, sum(CASE WHEN rf = 'R' THEN 1 ELSE 0 END) AS rain, sum(1) AS lines
+daily AS MATERIALIZED (
+  SELECT d, nk, CAST(sum(q) AS BIGINT) // count(*) AS tmax, CAST(sum(c) AS BIGINT) // count(*) AS tmin,
+         CAST(sum(r) AS BIGINT) AS rain, CAST(sum(t) AS BIGINT) // count(*) AS damp
   FROM li GROUP BY d, nk),
 days AS (SELECT DISTINCT d FROM li),
 vars AS (SELECT * FROM (VALUES {_UNIT_ROWS}) t(variable, unit)),
 parts AS (SELECT * FROM (VALUES (1), (2)) t(part)),
-sheet_rows AS (
+sheet_rows AS MATERIALIZED (
   SELECT v.variable, p.part, days.d, CAST(date_diff('day', DATE '1970-01-01', days.d) AS BIGINT) AS src_row,
          CASE WHEN p.part = 1 THEN
            CASE WHEN day(days.d) = 31 THEN strftime(days.d, '%-d/%-m/%Y') ELSE strftime(days.d, '%d/%m/%Y %H:%M:%S') END
          ELSE strftime(days.d, '%-d/%-m/%Y') END AS time_text
   FROM vars v CROSS JOIN parts p
-  JOIN days ON (p.part = 1 AND days.d < DATE '{PART1_BEFORE}') OR (p.part = 2 AND days.d >= DATE '{PART2_FROM}')),
+  JOIN days ON ((p.part = 1 AND days.d < DATE '{PART1_BEFORE}') OR (p.part = 2 AND days.d >= DATE '{PART2_FROM}'))
+    AND (v.variable <> 'temp_min' OR day(days.d) <> {NO_MIN_DAY})),
 fmt AS (
   SELECT variable, part,
          CASE WHEN count(try_strptime(time_text, '%d/%m/%Y %H:%M:%S')) > 0 THEN 1
               WHEN count(try_strptime(time_text, '%d/%m/%Y')) > 0 THEN 2 ELSE 0 END AS f
   FROM sheet_rows GROUP BY variable, part),
-parsed AS (
+parsed AS MATERIALIZED (
   SELECT r.variable, r.part, r.d, r.src_row, r.time_text,
          CASE f.f WHEN 1 THEN try_strptime(r.time_text, '%d/%m/%Y %H:%M:%S')
                   WHEN 2 THEN try_strptime(r.time_text, '%d/%m/%Y') END AS date
   FROM sheet_rows r JOIN fmt f ON f.variable = r.variable AND f.part = r.part),
-first_rows AS (
+first_rows AS MATERIALIZED (
   SELECT variable, part, d, src_row, date FROM parsed WHERE date IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY variable, date ORDER BY part, src_row) = 1),
 stations AS (
@@ -156,32 +165,40 @@ stations AS (
   FROM vars v CROSS JOIN parts p
   JOIN nat n ON (p.part = 1 AND n.nk <= {PART1_LAST_NATION}) OR (p.part = 2 AND n.nk >= {PART2_FIRST_NATION})),
 var_stations AS (SELECT DISTINCT variable, station FROM stations),
-sheet_cells AS (
-  SELECT s.variable, s.part, r.d, r.src_row, s.station, {_TEXT} AS text
+sheet_cells AS MATERIALIZED (
+  SELECT s.variable, s.part, r.d, r.src_row, r.time_text, s.station, {_TEXT} AS text
   FROM stations s JOIN sheet_rows r ON r.variable = s.variable AND r.part = s.part
   LEFT JOIN daily dl ON dl.d = r.d AND dl.nk = s.nk),
-cells AS (
+cells AS MATERIALIZED (
   SELECT k.variable, k.date, vs.station, {num('c.text')} AS value
   FROM first_rows k JOIN var_stations vs ON vs.variable = k.variable
   LEFT JOIN sheet_cells c ON c.variable = k.variable AND c.part = k.part AND c.src_row = k.src_row AND c.station = vs.station)"""
 
-MEAN_TEMP = """
-mx AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM first_rows WHERE variable = 'temp_max'),
-mn AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM first_rows WHERE variable = 'temp_min'),
-pair AS (SELECT mx.date AS date, mn.date AS min_date FROM mx LEFT JOIN mn ON mn.pos = mx.pos),
-temp_cells AS (
-  SELECT 'temp' AS variable, pair.date, c1.station,
-         CASE WHEN c1.station IN (SELECT station FROM var_stations WHERE variable = 'temp_min')
-              THEN (c1.value + c2.value) / 2 ELSE c1.value END AS value
-  FROM pair JOIN cells c1 ON c1.variable = 'temp_max' AND c1.date = pair.date
-  LEFT JOIN cells c2 ON c2.variable = 'temp_min' AND c2.date = pair.min_date AND c2.station = c1.station),
+def mean_temp(key: str) -> str:
+    """Mean temperature by one conditional aggregate per (key, station); ``key`` pairs max and min rows."""
+    return f"""
+keyed AS MATERIALIZED (
+  SELECT c.variable, c.station, c.date, c.value, k.key
+  FROM cells c JOIN (SELECT variable, date, {key} AS key FROM first_rows WHERE variable IN ('temp_max', 'temp_min')) k
+    ON k.variable = c.variable AND k.date = c.date),
+temp_cells AS MATERIALIZED (
+  SELECT 'temp' AS variable, max(date) FILTER (WHERE variable = 'temp_max') AS date, station,
+         CASE WHEN station IN (SELECT station FROM var_stations WHERE variable = 'temp_min')
+              THEN (max(value) FILTER (WHERE variable = 'temp_max') + max(value) FILTER (WHERE variable = 'temp_min')) / 2
+              ELSE max(value) FILTER (WHERE variable = 'temp_max') END AS value
+  FROM keyed GROUP BY key, station HAVING count(*) FILTER (WHERE variable = 'temp_max') > 0),
 all_cells AS (SELECT * FROM cells UNION ALL SELECT * FROM temp_cells)"""
 
+
+BY_POSITION, BY_DATE = "row_number() OVER (PARTITION BY variable ORDER BY date)", "date"
+MEAN_TEMP = mean_temp(BY_POSITION)
+
 _LAGS = ", ".join(f"lag(value, {k}) OVER w AS lag{k}" for k in LAG_WEEKS if k)
 WEEKLY = f"""
-weekly AS (
+weekly AS MATERIALIZED (
   SELECT variable, station, {wyear('date')} AS year, {wweek('date')} AS week,
-         CAST(CASE WHEN variable = 'precipitation' THEN coalesce(sum(value), 0.0) ELSE avg(value) END AS DOUBLE) AS value
+         CASE WHEN variable = 'precipitation' THEN coalesce(CAST(sum(CAST(value AS DECIMAL(28, 6))) AS DOUBLE), 0.0)
+              ELSE CAST(sum(CAST(value AS DECIMAL(28, 6))) AS DOUBLE) / nullif(count(value), 0) END AS value
   FROM all_cells GROUP BY 1, 2, 3, 4),
 lagged AS (
   SELECT variable, station, year, week, value AS lag0, {_LAGS}
@@ -211,7 +228,7 @@ vg AS (
 
 _LAGCOLS = ", ".join(f"l.lag{k}" for k in LAG_WEEKS)
 FEATURES = f"""
-feats AS (
+feats AS MATERIALIZED (
   SELECT l.variable, {title(strip('m.district_name'))} AS district_name, l.year, l.week, {_LAGCOLS}
   FROM lagged l JOIN vg ON vg.variable = l.variable
   JOIN map_long m ON m.station_group = vg.station_group AND m.station = l.station)"""
@@ -227,7 +244,7 @@ fw AS (
 joined AS (
   SELECT b.Year, b.Week, b.District, b.Cases, {', '.join('fw.' + c for c in FEATURE_COLS)}
   FROM base b LEFT JOIN fw ON fw.Year = b.Year AND fw.Week = b.Week AND fw.District = b.District),
-panel AS (
+panel AS MATERIALIZED (
   SELECT Year, Week, District, Cases,
          {_FILL}
   FROM joined WINDOW w AS (PARTITION BY District ORDER BY Year, Week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""

@@ -8,14 +8,15 @@ derived from ``/root/testdata/sf*/`` so the work grows with the tables:
 * cases      = orders per (first-Sunday week, customer nation), delivered as
   a wide table (``period`` text + one column per raw district name);
 * daily sheets = lineitem joined to its supplier, per (ship date, supplier
-  nation): ``temp_max`` = max quantity, ``temp_min`` = min quantity,
-  ``precipitation`` = returned lines, ``humidity`` = line count.  All are
-  whole numbers, so every later sum is exact;
+  nation): ``temp_max`` = mean quantity, ``temp_min`` = mean discount in percent,
+  ``precipitation`` = price of returned lines, ``humidity`` = mean tax in percent,
+  each cut to two decimals (in whole hundredths, so both engines land equal text);
 * mapping    = one row per nation with its three station headers.
 
 Fixture dirt, chosen to hit the cleaning rules: part 1 writes day 31 in the
-wrong time format (dropped by the sheet-level format choice); temp_max cells
-on the 13th read ``-``; zero precipitation on Sundays reads ``Trace``; part 2
+wrong time format (dropped by the sheet-level format choice); temp_min lacks
+the 17th of each month, so that pairing by position and by date differ;
+temp_max cells on the 13th read ``-``; zero precipitation on Sundays reads ``Trace``; part 2
 humidity cells carry padding spaces and its headers a trailing space; raw
 names carry a numeric code (two spaces for Middle East nations); one alias
 merges NATION_3 into Nation_2; three mapping cells point nowhere.
@@ -38,11 +39,12 @@ from weekpanel.schemas import DISTRICT_ALIASES
 # ---------------------------------------------------------------------------
 TIME_COLUMN = "Time (NPT)"
 UNITS = {"temp_max": "(°C)", "temp_min": "(°C)", "precipitation": "(mm)", "humidity": "(%)(Avg)"}
-METRIC = {"temp_max": "tmax", "temp_min": "tmin", "precipitation": "rain", "humidity": "lines"}
+METRIC = {"temp_max": "tmax", "temp_min": "tmin", "precipitation": "rain", "humidity": "damp"}
 PART1_LAST_NATION, PART2_FIRST_NATION = 12, 12  # nation 12 is in both parts
 PART1_BEFORE = "1999-01-01"  # part 1 dates < this
 PART2_FROM = "1998-07-01"  # part 2 dates >= this (half a year of overlap)
 STANDIN_ALIASES = {**DISTRICT_ALIASES, "NATION_3": "Nation_2"}
+NO_MIN_DAY = 17  # the temp_min sheets have no row on this day of the month
 GHOST_TEMP_NATION, NULL_HUMIDITY_NATION, TYPO_PRECIP_NATION = 5, 7, 9
 
 
@@ -54,7 +56,8 @@ TABLE_SCHEMAS = {
     "customer": "c_custkey bigint, c_nationkey int",
     "supplier": "s_suppkey bigint, s_nationkey int",
     "orders": "o_custkey bigint, o_orderdate timestamp_ntz",
-    "lineitem": "l_suppkey bigint, l_quantity double, l_returnflag string, l_shipdate timestamp_ntz",
+    "lineitem": "l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_shipdate timestamp_ntz",
 }
 
 
@@ -86,16 +89,14 @@ def header(nation_name: str, variable: str) -> str:
 def nation_dimension(spark: SparkSession, sf_dir: str) -> list[Nation]:
     """The nation dimension with region names.  Its 25 rows are the columns of the
     stand-in's wide tables at every scale, so they are read to the driver like a schema."""
-    nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()
-    reg = table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()
-    regions = {r[0]: r[1] for r in reg}
-    return sorted((Nation(r[0], r[1], regions.get(r[2]) or "") for r in nat), key=lambda n: n.key)
+    nat, reg = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    rows = nat.join(reg, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name").collect()
+    return sorted((Nation(r[0], r[1], r[2] or "") for r in rows), key=lambda n: n.key)
 
 
 def _persist(df: DataFrame) -> DataFrame:
-    from weekpanel.session import materialize
-
-    return materialize(df, "standin")
+    """Kept by the executors once computed (calendar x nations, whatever the scale); nothing runs here."""
+    return df.persist()
 
 
 def period_text(d) -> F.Column:
@@ -137,12 +138,17 @@ def daily_wide(spark: SparkSession, sf_dir: str, nations: list[Nation] | None =
     is days x nations, whatever the size of lineitem.
     """
     nations = nations or nation_dimension(spark, sf_dir)
+    def hundredths(column: str, by: int) -> F.Column:
+        return F.round(F.col(column) * by).cast("long")
+
     li = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", F.to_date("l_shipdate").alias("d"), "l_quantity", "l_returnflag"
+        "l_suppkey", F.to_date("l_shipdate").alias("d"), hundredths("l_quantity", 100).alias("q"),
+        hundredths("l_discount", 10_000).alias("c"), hundredths("l_tax", 10_000).alias("t"),
+        F.when(F.col("l_returnflag") == "R", hundredths("l_extendedprice", 100)).otherwise(0).alias("r"),
     )
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     joined = li.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        "d", F.col("s_nationkey").alias("k"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("rf")
+        "d", F.col("s_nationkey").alias("k"), "q", "c", "t", "r"
     )
     # Spark's two-phase pivot: aggregate per (day, nation) first (partial
     # aggregation map-side, 4 aggregates), then spread the days x nations
@@ -151,10 +157,10 @@ def daily_wide(spark: SparkSession, sf_dir: str, nations: list[Nation] | None =
         joined.groupBy("d")
         .pivot("k", [n.key for n in nations])
         .agg(
-            F.max("q").alias("tmax"),
-            F.min("q").alias("tmin"),
-            F.sum(F.when(F.col("rf") == "R", 1).otherwise(0)).alias("rain"),
-            F.sum(F.lit(1)).alias("lines"),
+            F.expr("sum(q) div count(q)").alias("tmax"),
+            F.expr("sum(c) div count(c)").alias("tmin"),
+            F.sum("r").alias("rain"),
+            F.expr("sum(t) div count(t)").alias("damp"),
         )
     )
     return _persist(wide) if persist else wide
@@ -163,13 +169,14 @@ def daily_wide(spark: SparkSession, sf_dir: str, nations: list[Nation] | None =
 def _cell_sql(variable: str, part: int, metric: str) -> str:
     """SQL text of one landed cell (fixture dirt included)."""
     m = f"`{metric}`"
+    text = f"concat(CAST({m} div 100 AS STRING), '.', lpad(CAST({m} % 100 AS STRING), 2, '0'))"
     if variable == "temp_max":
-        return f"CASE WHEN dayofmonth(d) = 13 THEN '-' ELSE CAST({m} AS STRING) END"
+        return f"CASE WHEN dayofmonth(d) = 13 THEN '-' ELSE {text} END"
     if variable == "precipitation":
-        return f"CASE WHEN {m} = 0 AND dayofweek(d) = 1 THEN 'Trace' ELSE CAST({m} AS STRING) END"
+        return f"CASE WHEN {m} = 0 AND dayofweek(d) = 1 THEN 'Trace' ELSE {text} END"
     if variable == "humidity" and part == 2:
-        return f"concat('  ', CAST({m} AS STRING), ' ')"
-    return f"CAST({m} AS STRING)"
+        return f"concat('  ', {text}, ' ')"
+    return text
 
 
 def _time_sql(part: int) -> str:
@@ -185,6 +192,8 @@ def part_nations(nations: list[Nation], part: int) -> list[Nation]:
 def sheet(daily: DataFrame, nations: list[Nation], variable: str, part: int) -> DataFrame:
     """A landed wide sheet: time text first, one text column per station header, ``src_row``."""
     rows = daily.where(f"d < DATE'{PART1_BEFORE}'" if part == 1 else f"d >= DATE'{PART2_FROM}'")
+    if variable == "temp_min":
+        rows = rows.where(f"dayofmonth(d) <> {NO_MIN_DAY}")
     pad = " " if part == 2 else ""
     cells = [
         f"{_cell_sql(variable, part, f'{n.key}_{METRIC[variable]}')} AS `{header(n.name, variable) + pad}`"

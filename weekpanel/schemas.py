@@ -55,6 +55,9 @@ WEEKLY_AGG = {
     "precipitation": "sum",
 }
 
+# Decimal places that sums of readings and cases keep exactly (order-stable sums).
+SUM_SCALE = 6
+
 # Summary statistics per district, in output order.
 SUMMARY_STATS = ["count", "mean", "std", "min", "max"]
 
@@ -81,16 +84,6 @@ MAPPING = T.StructType(
     ]
 )
 
-# Canonical long observation table.
-OBSERVATIONS = T.StructType(
-    [
-        T.StructField("variable", T.StringType()),
-        T.StructField("station", T.StringType()),
-        T.StructField("date", T.TimestampNTZType()),
-        T.StructField("value", T.DoubleType()),
-    ]
-)
-
 
 def feature_columns(variables: list[str] | None = None, lags: list[int] | None = None) -> list[str]:
     """``{v}_lag{k}`` in panel order."""

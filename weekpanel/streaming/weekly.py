@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekpanel.functions.calendar import week_number, week_year
+from weekpanel.functions.numeric import stable_mean, stable_sum
 from weekpanel.schemas import WEEKLY_AGG
 from weekpanel.session import scratch_path
 
@@ -29,7 +30,7 @@ def weekly_window_agg(stream: DataFrame, agg: dict[str, str] | None = None, wate
     else:
         src = stream
     w = F.window("date", *WEEK_WINDOW)
-    grouped = src.groupBy("variable", "station", w.alias("w")).agg(F.sum("value").alias("s"), F.avg("value").alias("a"))
+    grouped = src.groupBy("variable", "station", w.alias("w")).agg(stable_sum("value").alias("s"), stable_mean("value").alias("a"))
     start = F.col("w.start")
     value = F.when(F.col("variable").isin(sums), F.coalesce("s", F.lit(0.0))).otherwise(F.col("a"))
     return grouped.select("variable", "station", week_year(start).alias("year"), week_number(start).alias("week"), value.alias("value"))

@@ -120,3 +120,35 @@ def test_no_year_gives_an_empty_panel(spark):
     cases = spark.createDataFrame([(None, 1, "A", 1.0)], "Year int, Week int, District string, Cases double")
     assert complete_panel(cases, *year_range(cases)).count() == 0
     assert complete_panel(cases, *year_range(cases.limit(0))).count() == 0
+
+
+def _ragged(spark):
+    return _file(spark, "ragged", 'Year,Week,District,Cases\n2020,1,A,3\n2020,2,B\n2020,3,C,4,x\n2020,4,"D, E",5\n2020,5,F,6,\n2020,5,F,6,,y\n2020')
+
+
+def test_malformed_rows_are_reported(spark):
+    from weekpanel.sources.readers import malformed_rows, scan_daily_wide
+
+    path = _ragged(spark)
+    got = sorted((r.kind, r.record) for r in malformed_rows(spark, path).collect())
+    assert got == [("long", "2020,3,C,4,x"), ("long", "2020,5,F,6,"), ("long", "2020,5,F,6,,y"), ("short", "2020"), ("short", "2020,2,B")]
+    assert malformed_rows(spark, path).count() == 5 and malformed_rows(spark, path).groupBy("kind").count().count() == 2
+    cases = scan_cases(spark, path)
+    assert sorted((r.Week or 0, r.District or "", r.Cases) for r in cases.collect()) == [(0, "", None), (1, "A", 3.0), (2, "B", None), (4, "D, E", 5.0)]
+    assert cases.count() == 4 and cases.select("Week").count() == 4
+    assert scan_daily_wide(spark, path).count() == 4
+    with pytest.raises(Exception, match="has not 4 cells"):
+        scan_cases(spark, path, malformed="fail").collect()
+    with pytest.raises(ValueError, match="quarantine"):
+        scan_cases(spark, path, malformed="drop")
+
+
+def test_wide_cases_need_the_period(spark):
+    from weekpanel.sources.readers import scan_cases_wide, scan_panel
+
+    with pytest.raises(MissingColumn, match="period"):
+        scan_cases_wide(spark, _file(spark, "noperiod", "week,A\nW1 2020,1"))
+    path = os.path.join(scratch_path(spark, "t-in"), "panel")
+    spark.createDataFrame([(2020, 1, "A", 1.0)], "Year int, Week int, District string, Cases double").write.parquet(path)
+    with pytest.raises(MissingColumn, match="temp_lag0"):
+        scan_panel(spark, path)

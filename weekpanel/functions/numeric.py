@@ -32,13 +32,6 @@ def sql_ident(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def coerce_double_sql(expr: str) -> str:
-    """SQL text of :func:`coerce_double` for a text expression (one parser call
-    instead of a tree of Column calls)."""
-    pattern = NUMBER_PATTERN.replace("\\", "\\\\")
-    return f"nanvl(CASE WHEN CAST({expr} AS STRING) RLIKE '{pattern}' THEN try_cast(trim(CAST({expr} AS STRING)) AS DOUBLE) END, CAST(NULL AS DOUBLE))"
-
-
 def stable_sum(c: Column | str, scale: int | None = 6) -> Column:
     """A sum that does not depend on the order of rows: values are added as decimals with ``scale`` places.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weekpanel.functions.dates import DATE_TYPES, NoValidDate, format_choice, parse_chosen, parse_dates_column
-from weekpanel.functions.numeric import coerce_double_sql, sql_ident
+from weekpanel.functions.numeric import coerce_double, sql_ident
 from weekpanel.operators.clean import trim_columns
 from weekpanel.operators.util import qcol, with_row_position
 from weekpanel.schemas import META_COLUMNS
@@ -87,18 +87,18 @@ def list_sheets(sheets: dict[str, list[DataFrame]], trim: bool = True) -> Sheets
 
 
 def _sheet_rows(number: int, sheet: DataFrame, variable: str, part: int, stations: list[str]) -> DataFrame:
-    """One sheet -> one row per sheet row: its time (as text, or typed) and a number per station of the variable."""
+    """One sheet -> one row per sheet row: its time (as text, or typed) and a text per station of the variable."""
     time_col = sheet.columns[0]
     types = {f.name: f.dataType for f in sheet.schema.fields}
     own = set(station_columns(sheet))
     row = "src_row" if "src_row" in sheet.columns else "monotonically_increasing_id()"
-    values = ", ".join(coerce_double_sql(sql_ident(s)) if s in own else "CAST(NULL AS DOUBLE)" for s in stations)
+    values = ", ".join(f"CAST({sql_ident(s)} AS STRING)" if s in own else "NULL" for s in stations)
     typed = isinstance(types[time_col], DATE_TYPES)
     time = sql_ident(time_col)
     return sheet.selectExpr(
         f"{number} AS _sheet", f"'{variable}' AS variable", f"{part} AS part", f"{row} AS src_row",
         f"CAST({time} AS STRING) AS time_text",
-        f"CAST({time if typed else 'NULL'} AS TIMESTAMP_NTZ) AS typed", f"CAST(array({values}) AS ARRAY<DOUBLE>) AS values",
+        f"CAST({time if typed else 'NULL'} AS TIMESTAMP_NTZ) AS typed", f"CAST(array({values}) AS ARRAY<STRING>) AS texts",
     )
 
 
@@ -106,7 +106,8 @@ def dated_rows(sheets: Sheets, formats: list[str] | None = None, per_row: bool =
     """All rows of all sheets, ``(_sheet, variable, part, src_row, time_text, date, values)``.
 
     ``date`` is NULL where the format chosen for the sheet does not fit the row;
-    see :func:`weekpanel.functions.dates.format_choice` for the options."""
+    see :func:`weekpanel.functions.dates.format_choice` for the options.  Cells become
+    numbers by one expression over the row's array, however many stations there are."""
     rows = None
     for number, (v, p, sheet) in enumerate(sheets.items):
         one = _sheet_rows(number, sheet, v, p, sheets.stations[v])
@@ -117,7 +118,8 @@ def dated_rows(sheets: Sheets, formats: list[str] | None = None, per_row: bool =
         rows = rows.join(F.broadcast(chosen), "_sheet", "left")  # one row per sheet
         choice = F.col("choice")
     date = F.coalesce("typed", parse_chosen("time_text", choice, formats, per_row, infer))
-    return rows.select("_sheet", "variable", "part", "src_row", "time_text", date.alias("date"), "values")
+    values = F.transform("texts", coerce_double)
+    return rows.select("_sheet", "variable", "part", "src_row", "time_text", date.alias("date"), values.alias("values"))
 
 
 def first_rows(rows: DataFrame) -> DataFrame:

@@ -89,6 +89,16 @@ def lag_features(weekly: DataFrame, mapping: DataFrame, lags: list[int] | None =
     return joined.select("variable", "district_name", "year", "week", *lag_cols)
 
 
+def unmatched_stations(mapping: DataFrame, stations: dict[str, list[str]]) -> DataFrame:
+    """``(variable, district_name, station, missing)`` for every variable and mapped district: whether the
+    district's station is absent from that variable's data.  The mean temperature has the max table's stations."""
+    known = {**stations, "temp": stations.get("temp_max", [])}
+    rows = [(v, g, known.get(v, [])) for v, g in STATION_GROUP.items()]
+    data = mapping.sparkSession.createDataFrame(rows, "variable string, station_group string, known array<string>")
+    matched = F.coalesce(F.array_contains("known", F.col("station")), F.lit(False))
+    return mapping_long(mapping).join(F.broadcast(data), "station_group").select("variable", "district_name", "station", (~matched).alias("missing"))
+
+
 def missing_stations(mapping: DataFrame, catalog: DataFrame) -> DataFrame:
     """Mapping stations absent from the data, per station group.
 

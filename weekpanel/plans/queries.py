@@ -25,6 +25,7 @@ from weekpanel.operators.reshape import melt_cases, pivot_district_year, pivot_y
 from weekpanel.operators.rollup import cases_by_district, national_by_week, national_by_year, weekly_rollup
 from weekpanel.operators.util import qcol
 from weekpanel.plans import integrate as I
+from weekpanel.plans import run
 from weekpanel.plans import sqlparts as S
 from weekpanel.plans import standin
 from weekpanel.schemas import PANEL_KEYS, STATION_GROUP, VARIABLES, feature_columns
@@ -185,6 +186,22 @@ def q_scan_cases(spark, sf):
     return scan_cases(spark, _roundtrip_csv(landed, "cases-long"))
 
 
+def q_scan_malformed(spark, sf):
+    """A landed case file with short rows (week 7) and long rows (week 9): the rows read, and those reported."""
+    from weekpanel.sources.readers import malformed_rows, scan_cases
+
+    cases = _inputs(spark, sf).cases_raw
+    cells = F.concat_ws(",", F.col("Year").cast("string"), F.col("Week").cast("string"), "District")
+    case = F.concat(F.lit(","), F.coalesce(F.col("Cases").cast("string"), F.lit("")))
+    line = F.when(F.col("Week") == 7, cells).when(F.col("Week") == 9, F.concat(cells, case, F.lit(",late"))).otherwise(F.concat(cells, case))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # each file starts with the header
+    path = scratch_path(spark, "ragged")
+    cases.select(F.when(first, F.concat(F.lit("Year,Week,District,Cases\n"), line)).otherwise(line).alias("value")).write.text(path)
+    read = scan_cases(spark, path)
+    shown = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in read.columns])
+    return read.select(F.lit("read").alias("kind"), shown.alias("record")).unionByName(malformed_rows(spark, path).select("kind", "record"))
+
+
 def q_sink_cases_long(spark, sf):
     from weekpanel.sources.readers import scan_cases
     from weekpanel.sources.sinks import write_cases_long
@@ -304,8 +321,23 @@ def q_integrate_panel(spark, sf):
 
 
 def q_entry(spark, sf):
-    """The flagship build (same as ``integrate_panel``), at any scale."""
-    return _panel(spark, sf)
+    """The flagship job: all stages written and published (panel, weekly values, summary, completeness);
+    returns the run's report, read from what was published."""
+    out = scratch_path(spark, "entry")
+    run.PanelRun(spark, _inputs(spark, sf), out).run()
+    return run.report(spark, _inputs(spark, sf), out)
+
+
+APPENDED_YEAR = 2001
+
+
+def q_append_year(spark, sf):
+    """The years before, built and published; then the last year added to them."""
+    out, nations = scratch_path(spark, "append-year"), _nations(spark, sf)
+    before, after = (standin.inputs(spark, sf, nations=nations, years=y) for y in ((0, APPENDED_YEAR - 1), (APPENDED_YEAR, APPENDED_YEAR)))
+    run.PanelRun(spark, before, out, run.Options(align="date")).run()
+    run.append_year(spark, after, out, APPENDED_YEAR)
+    return run.read_output(spark, out, "panel")
 
 
 def q_forward_fill(spark, sf):
@@ -653,6 +685,26 @@ def _completeness_sql() -> str:
     return _ALL + f"SELECT ordinal, \"column\", missing, missing * 100.0 / total AS missing_pct FROM ({parts}) WHERE missing > 0"
 
 
+def _entry_sql() -> str:
+    cols = ["Year", "Week", "District", "Cases"] + _FC
+    missing = " UNION ALL ".join(
+        f"SELECT '{c}' AS item, count(*) AS total, CAST(count_if({c} IS NULL) AS BIGINT) AS n FROM panel" for c in cols)
+    return _ALL.rstrip() + f""",
+report AS (
+  SELECT 'dropped dates' AS section, variable || ' part ' || part AS item, count(*) AS total, count(*) - count(date) AS n
+  FROM parsed GROUP BY variable, part
+  UNION ALL SELECT 'missing values', item, total, n FROM ({missing}) WHERE n > 0
+  UNION ALL
+  SELECT 'districts without station', vg.variable, count(*), CAST(count_if(NOT EXISTS (
+           SELECT 1 FROM var_stations s WHERE s.station = m.station
+             AND s.variable = CASE vg.variable WHEN 'temp' THEN 'temp_max' ELSE vg.variable END)) AS BIGINT)
+  FROM vg JOIN map_long m ON m.station_group = vg.station_group GROUP BY vg.variable
+  UNION ALL SELECT 'rows with cases', 'panel', count(*), CAST(count_if(Cases > 0) AS BIGINT) FROM panel
+  UNION ALL SELECT 'rows with cases', 'summary', count(*), CAST(count_if(most > 0) AS BIGINT)
+  FROM (SELECT District, max(Cases) AS most FROM panel GROUP BY District))
+SELECT section, item, total, n, n * 100.0 / total AS pct FROM report"""
+
+
 def _null_counts_sql() -> str:
     cols = ["Year", "Week", "District", "Cases"]
     parts = " UNION ALL ".join(
@@ -725,6 +777,11 @@ FROM u""",
     "melt_cases": _CASES + "SELECT period, District, Cases FROM cases_melt",
     "scan_cases_wide": _CASES + "SELECT period, District, Cases FROM cases_melt",
     "scan_cases": _CASES + "SELECT * FROM cases_raw",
+    "scan_malformed": _CASES.rstrip() + """,
+landed AS (SELECT Week, concat_ws(',', Year, Week, District) AS cells, concat(',', coalesce(CAST(Cases AS VARCHAR), '')) AS one FROM cases_raw)
+SELECT 'read' AS kind, CASE WHEN Week = 7 THEN concat(cells, ',') ELSE concat(cells, one) END AS record FROM landed WHERE Week <> 9
+UNION ALL SELECT 'short', cells FROM landed WHERE Week = 7
+UNION ALL SELECT 'long', concat(cells, one, ',late') FROM landed WHERE Week = 9""",
     "sink_cases_long": _CASES + "SELECT * FROM cases_raw",
     "standardize_names": _CASES + "SELECT DISTINCT District AS raw_name, " + S.std_name("District") + " AS District FROM cases_raw",
     "merge_districts": _CASES + "SELECT * FROM cases_m",
@@ -755,7 +812,8 @@ LEFT JOIN sheet_cells c ON c.variable = k.variable AND c.part = 1 AND c.src_row
     "features_wide": _ALL + "SELECT * FROM fw",
     "integrate_panel": _ALL + "SELECT * FROM panel",
     "sink_panel": _ALL + "SELECT * FROM panel",
-    "entry": _ALL + "SELECT * FROM panel",
+    "entry": _entry_sql(),
+    "append_year": S.with_ctes(*[S.mean_temp(S.BY_DATE) if b is S.MEAN_TEMP else b for b in S.ALL]) + "SELECT * FROM panel",
     "forward_fill": _ALL + "SELECT * FROM panel",
     "ordered_panel": _ALL + "SELECT * FROM panel ORDER BY District, Year, Week",
     "station_long": S.with_ctes(*S.ALL[:-1]) + """

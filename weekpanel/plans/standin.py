@@ -227,14 +227,15 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def inputs(spark: SparkSession, sf_dir: str, cases: bool = True, nations: list[Nation] | None = None) -> Inputs:
+def inputs(spark: SparkSession, sf_dir: str, cases: bool = True, nations: list[Nation] | None = None,
+           years: tuple[int, int] | None = None) -> Inputs:
     """All panel inputs for one test scale (``cases=False``: weather side only,
-    ``cases_raw`` is left unset and the case tables are not built)."""
+    ``cases_raw`` is left unset and the case tables are not built).  ``years``
+    keeps the weeks of some years only, as if the others were not yet measured."""
     nations = nations or nation_dimension(spark, sf_dir)
     daily = daily_wide(spark, sf_dir, nations)
-    return Inputs(
-        cases_raw=cases_long(spark, sf_dir, nations) if cases else None,
-        sheets=sheets(daily, nations),
-        mapping=mapping(spark, sf_dir),
-        aliases=STANDIN_ALIASES,
-    )
+    long = cases_long(spark, sf_dir, nations) if cases else None
+    if years:
+        daily = daily.filter(week_year("d").between(*years))
+        long = long.filter(F.col("Year").between(*years)) if cases else None
+    return Inputs(cases_raw=long, sheets=sheets(daily, nations), mapping=mapping(spark, sf_dir), aliases=STANDIN_ALIASES)

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 CSV_WRITE = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def write_panel(panel: DataFrame, path: str, fmt: str = "parquet") -> None:
+def write_panel(panel: DataFrame, path: str, fmt: str = "parquet", dynamic: bool = False) -> None:
     """Panel output.  Parquet is partitioned by ``Year`` (readers prune years)
-    and sorted within files by district and week; CSV keeps a header."""
+    and sorted within files by district and week; CSV keeps a header.  With
+    ``dynamic`` only the folders of the years in ``panel`` are replaced."""
     ordered = panel.sortWithinPartitions("District", "Year", "Week")
     if fmt == "csv":
         ordered.write.mode("overwrite").options(**CSV_WRITE).csv(path)
     else:
-        panel.sortWithinPartitions("Year", "District", "Week").write.mode("overwrite").partitionBy("Year").parquet(path)
+        writer = panel.sortWithinPartitions("Year", "District", "Week").write.mode("overwrite").partitionBy("Year")
+        (writer.option("partitionOverwriteMode", "dynamic") if dynamic else writer).parquet(path)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
     python -m weekpanel.cli integrate --cases cases.csv --mapping mapping.csv \\
         --sheet temp_max=max1.csv,max2.csv --sheet temp_min=min1.csv,min2.csv \\
         --sheet humidity=rh1.csv,rh2.csv --sheet precipitation=p1.csv,p2.csv --out out/
+    python -m weekpanel.cli append --year 2025 <the same inputs, with that year's rows> --out out/
     python -m weekpanel.cli validate --cases cases.csv --panel out/panel
     python -m weekpanel.cli stations --mapping mapping.csv --sheet temp_max=max1.csv ...
     python -m weekpanel.cli preprocess --wide cases_wide.csv --out cases_long/
@@ -10,7 +11,9 @@
 
 Sheets are CSV files with a header (first column = time text); a missing
 input path, an absent column or a sheet without a valid date ends with a
-one-line message and exit code 2.  Reports are printed whole, row by row;
+one-line message and exit code 2.  ``integrate`` is a resumable job (see
+:mod:`weekpanel.plans.run`): started again after a failure it goes on from its last
+whole stage.  Reports are printed whole, row by row;
 ``--rows N`` prints the first N and says how many there are.
 """
 
@@ -23,15 +26,21 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekpanel.functions.calendar import calendar_trace
 from weekpanel.functions.dates import NoValidDate
+from weekpanel.functions.text import strip_ws
 from weekpanel.operators import quality as Q
 from weekpanel.operators.clean import fill_all
-from weekpanel.operators.reshape import cases_long_from_wide
-from weekpanel.plans.integrate import Inputs, build_panel
+from weekpanel.operators.features import prepare_mapping, unmatched_stations
+from weekpanel.operators.reshape import cases_long_from_wide, pivot_district_year
+from weekpanel.plans import run
+from weekpanel.plans.integrate import Inputs, combine_inputs, observations
 from weekpanel.schemas import STATION_GROUP, VARIABLES, feature_columns
-from weekpanel.session import apply_engine_conf, ensure_checkpoint_dir
-from weekpanel.sources.readers import MissingColumn, MissingInput, scan_cases, scan_cases_wide, scan_daily_wide, scan_mapping, scan_panel
-from weekpanel.sources.sinks import write_cases_long, write_panel, write_summary
+from weekpanel.session import apply_engine_conf, ensure_checkpoint_dir, scratch_scope
+from weekpanel.sources.readers import (MissingColumn, MissingInput, malformed_rows, scan_cases, scan_cases_wide, scan_daily_wide,
+                                       scan_mapping, scan_panel)
+from weekpanel.sources.sinks import write_cases_long
+
 
 def _sheets(specs: list[str], spark: SparkSession) -> dict[str, list[DataFrame]]:
     out: dict[str, list[DataFrame]] = {}
@@ -65,23 +74,68 @@ def _show(title: str, df: DataFrame, order: list | None = None, rows: int | None
         print(f"  ({printed} of {df.count()} rows)")
 
 
-def cmd_integrate(spark: SparkSession, a) -> None:
-    cases = scan_cases(spark, a.cases)
-    inputs = Inputs(cases_raw=cases, sheets=_sheets(a.sheet, spark), mapping=scan_mapping(spark, a.mapping),
-                    aliases=_aliases(a.alias), per_row=a.per_row, infer=a.infer, strict=True)
-    from weekpanel.session import materialize
+def _inputs(spark: SparkSession, a) -> Inputs:
+    return Inputs(cases_raw=scan_cases(spark, a.cases), sheets=_sheets(a.sheet, spark), mapping=scan_mapping(spark, a.mapping),
+                  aliases=_aliases(a.alias), per_row=a.per_row, infer=a.infer, strict=True, either=a.either)
+
+
+def _quarantine(spark: SparkSession, a) -> None:
+    """Rows whose number of cells is not the header's: written whole, and counted."""
+    paths = [a.cases, a.mapping, *[p for spec in a.sheet for p in spec.partition("=")[2].split(",") if p]]
+    bad = None
+    for path in paths:
+        one = malformed_rows(spark, path)
+        bad = one if bad is None else bad.unionByName(one)
+    out = os.path.join(a.out, "quarantine")
+    bad.write.mode("overwrite").parquet(out)
+    written = spark.read.schema(bad.schema).parquet(out)
+    _show("Malformed rows by file (short rows are kept, long rows are left out)", written.groupBy("file", "kind").count(), ["file", "kind"], a.rows)
 
+
+def cmd_integrate(spark: SparkSession, a) -> None:
+    inputs = _inputs(spark, a)
     weeks = a.weeks if a.weeks == "calendar" else int(a.weeks)
-    panel = build_panel(inputs, align=a.align, mode=a.mode, empty_sum=a.empty_sum, lag_by=a.lag_by, weeks=weeks)
-    panel = materialize(panel, "cli-panel")  # read by four consumers below
-    write_panel(panel, os.path.join(a.out, "panel"), fmt=a.format)
-    write_summary(Q.district_summary(panel), os.path.join(a.out, "summary"))
-    report = Q.completeness(panel).withColumn("percentage", Q.percent_text("missing_pct"))
-    _show("Missing data by column", report.select("column", "missing", "percentage"), [F.desc("missing"), "column"], a.rows)
+    options = run.Options(a.align, a.mode, a.empty_sum, a.lag_by, weeks, a.format)
+    run.PanelRun(spark, inputs, a.out, options, force=a.force).run()
+    _reports(spark, inputs, a)
+
+
+def cmd_append(spark: SparkSession, a) -> None:
+    inputs = _inputs(spark, a)
+    run.append_year(spark, inputs, a.out, a.year)
+    _reports(spark, inputs, a)
+
+
+def _reports(spark: SparkSession, inputs: Inputs, a) -> None:
+    held = run.published(spark, a.out)
+    panel = run.read_output(spark, a.out, "panel")
+    counts = spark.createDataFrame([tuple(r) for r in held["counts"]], "variable string, part int, rows long, kept long, dropped long")
+    _show("Dates by sheet", counts, ["variable", "part"], a.rows)
+    _quarantine(spark, a)
+    lost = unmatched_stations(prepare_mapping(inputs.mapping, inputs.aliases), held["stations"]).filter("missing")
+    _show("Districts whose station is not in the data (first 5 per variable)",
+          Q.first_n_per_group(lost, "variable", ["district_name"], 5).select("variable", "position", "district_name", "station", "total", "more"),
+          ["variable", "position"])
+    missing = run.read_output(spark, a.out, "completeness").withColumn("percentage", Q.percent_text("missing_pct"))
+    _show("Missing data by column", missing.select("column", "missing", "percentage"), [F.desc("missing"), "column"], a.rows)
     _show("Weather cell completeness", Q.cell_completeness(panel, feature_columns()))
     _show("Rows with a weather value, by variable", Q.join_coverage(panel, VARIABLES), ["variable"])
     _show("Weeks without cases", Q.zero_weeks(panel))
     _show("Overview", Q.panel_extent(panel))
+    if a.trace:
+        _trace(spark, inputs, a)
+
+
+def _trace(spark: SparkSession, inputs: Inputs, a) -> None:
+    """The calendar of the first 14 days and the first two weeks of one district's mean temperature."""
+    named = F.upper(strip_ws("district_name")) == a.trace.strip().upper()
+    station = inputs.mapping.filter(named).orderBy("src_row").select("district_code", "temp_station").limit(1)
+    _show(f"Station of {a.trace}", station)
+    daily = observations(inputs, a.align, combine_inputs(inputs, hold="none", mode=a.mode)).filter(F.col("variable") == "temp")
+    days = daily.select("date").distinct().orderBy("date").limit(14)
+    _show("Calendar of the first 14 days", calendar_trace(days), ["date"])
+    series = daily.join(F.broadcast(station), F.col("station") == F.col("temp_station"), "left_semi")
+    _show("First two weeks", Q.week_drilldown(series.select("date", "value"), 2), ["year", "week"])
 
 
 def cmd_validate(spark: SparkSession, a) -> None:
@@ -130,6 +184,9 @@ def cmd_eda(spark: SparkSession, a) -> None:
     _show("Cases per year", filled.groupBy("Year").agg(F.sum("Cases").alias("Cases")), ["Year"])
     by_district = filled.groupBy("District").agg(F.sum("Cases").alias("Cases"))
     _show("Cases per district", by_district, ["District"], a.rows)
+    years = [r["Year"] for r in filled.select("Year").distinct().orderBy("Year").collect()]  # a row per year
+    if years:
+        _show("Cases per district and year", pivot_district_year(filled, years), ["District"], a.rows)
     _show("Cases per year and district", filled.groupBy("Year", "District").agg(F.sum("Cases").alias("Cases")), ["Year", "District"], a.rows)
     _show("Top 20 districts", Q.top_n(by_district, 20, "Cases", "District"), [F.desc("Cases"), "District"])
 
@@ -137,20 +194,25 @@ def cmd_eda(spark: SparkSession, a) -> None:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="weekpanel")
     sub = p.add_subparsers(dest="cmd", required=True)
-    i = sub.add_parser("integrate")
-    i.add_argument("--cases", required=True)
-    i.add_argument("--mapping", required=True)
-    i.add_argument("--sheet", action="append", required=True, help="variable=part1.csv,part2.csv")
-    i.add_argument("--out", required=True)
+    i, ap = sub.add_parser("integrate"), sub.add_parser("append")
+    for x in (i, ap):
+        x.add_argument("--cases", required=True)
+        x.add_argument("--mapping", required=True)
+        x.add_argument("--sheet", action="append", required=True, help="variable=part1.csv,part2.csv")
+        x.add_argument("--out", required=True)
+        x.add_argument("--align", default="position", choices=["position", "date"])
+        x.add_argument("--alias", action="append", help="extra name alias SOURCE=TARGET (repeatable)")
+        x.add_argument("--mode", default="first_row", choices=["first_row", "coalesce"], help="duplicate dates across parts")
+        x.add_argument("--per-row", dest="per_row", action="store_true", help="every row tries all date formats")
+        x.add_argument("--infer", action="store_true", help="a sheet that no date format fits tries day-first formats")
+        x.add_argument("--either", action="store_true", help="a mean temperature with one missing side takes the other")
+        x.add_argument("--trace", metavar="DISTRICT", help="print the calendar and the first two weeks of a district's station")
     i.add_argument("--format", default="parquet", choices=["parquet", "csv"])
-    i.add_argument("--align", default="position", choices=["position", "date"])
-    i.add_argument("--alias", action="append", help="extra name alias SOURCE=TARGET (repeatable)")
-    i.add_argument("--mode", default="first_row", choices=["first_row", "coalesce"], help="duplicate dates across parts")
     i.add_argument("--empty-sum", dest="empty_sum", default="zero", choices=["zero", "null"])
     i.add_argument("--lag-by", dest="lag_by", default="rows", choices=["rows", "calendar"])
     i.add_argument("--weeks", default="52", help="52 (default) or 'calendar'")
-    i.add_argument("--per-row", dest="per_row", action="store_true", help="every row tries all date formats")
-    i.add_argument("--infer", action="store_true", help="a sheet that no date format fits tries day-first formats")
+    i.add_argument("--force", action="store_true", help="build anew even if the inputs are those of the result at --out")
+    ap.add_argument("--year", type=int, required=True, help="the year to add to the panel at --out (with the options it was built with)")
     v = sub.add_parser("validate")
     v.add_argument("--cases", required=True)
     v.add_argument("--panel", required=True)
@@ -165,13 +227,13 @@ def parser() -> argparse.ArgumentParser:
     pp.add_argument("--out", required=True)
     e = sub.add_parser("eda")
     e.add_argument("--cases", required=True)
-    for x in (i, v, s, pp, e):
+    for x in (i, ap, v, s, pp, e):
         x.add_argument("--rows", type=int, default=None, help="print at most so many rows of a report, and their total")
         x.add_argument("--scratch", help="folder for intermediate tables, shared by driver and executors")
     return p
 
 
-COMMANDS = {"integrate": cmd_integrate, "validate": cmd_validate, "stations": cmd_stations,
+COMMANDS = {"integrate": cmd_integrate, "append": cmd_append, "validate": cmd_validate, "stations": cmd_stations,
             "preprocess": cmd_preprocess, "eda": cmd_eda}
 
 
@@ -184,8 +246,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         spark.sparkContext.setCheckpointDir(a.scratch)
     ensure_checkpoint_dir(spark)
     try:
-        COMMANDS[a.cmd](spark, a)
-    except (MissingInput, MissingColumn, NoValidDate) as e:
+        with scratch_scope(spark):
+            COMMANDS[a.cmd](spark, a)
+    except (MissingInput, MissingColumn, NoValidDate, run.NeedsFullBuild, run.Unpublished) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
     return 0

@@ -82,34 +82,39 @@ def leaks(docs, items, percent=75):
     return out
 
 
-def licenses(docs, path, templates, trigger, threshold=0.7, share=0.5):
-    """``doc_id -> (own license, source directory, effective license)``."""
+def licenses(docs, path, templates, threshold=0.7, share=0.5):
+    """``doc_id -> (own license, source directory, effective license)``; templates are (license, words, is a title)."""
     token = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+    white = " \t\n\x0b\x0c\r"
 
     def terms(s):
         return token.findall(s.lower())
 
     n = len(templates)
-    df = collections.Counter(w for t in templates.values() for w in set(terms(t)))
+    df = collections.Counter(w for _, t, _ in templates for w in set(terms(t)))
 
     def vector(s):
         v = {w: k * (math.log((1 + n) / (1 + df[w])) + 1) for w, k in collections.Counter(terms(s)).items()}
         size = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / size for w, x in v.items()} if size else {}
 
-    known = {k: vector(t) for k, t in templates.items()}
+    known = [(k, vector(t), title) for k, t, title in templates]
 
-    def best(line):
-        v = vector(line)
-        return min((-round(sum(x * t.get(w, 0) for w, x in v.items()), 6), k) for k, t in known.items())
+    def best(unit):
+        v = vector(unit)
+        cosine, at = min((-round(sum(x * t.get(w, 0) for w, x in v.items()), 6), i) for i, (_, t, _) in enumerate(known))
+        return -cosine, known[at][0], known[at][2]
 
     own, files = {}, {}
     for i, t in docs:
-        found = [(best(x), len(words(x))) for x in (t or "").split("\n") if re.search(trigger, x)]
-        found = [x for x in found if -x[0][0] >= threshold]
+        t = t or ""
+        found = [(best(x), x, False) for x in t.split("\n")]
+        found += [(best(x), x, True) for x in re.split(r"\n[\x20\x09-\x0d]*\n", t) if "\n" in x]
+        found = [x for x in found if x[0][0] >= threshold]
         if found:
-            own[i] = min(x[0] for x in found)
-            if sum(x[1] for x in found) >= share * len(words(t)):
+            own[i] = min((-b[0], b[1]) for b, _, _ in found)
+            held = [sum(len(words(x)) for _, x, block in found if block == kind) for kind in (False, True)]
+            if any(b[2] and t.lstrip(white).startswith(x.lstrip(white)) for b, x, _ in found) or max(held) >= share * len(words(t)):
                 d = path(i).rpartition("/")[0]
                 files[d] = min(files.get(d, (9, "")), own[i])
     out = {}

@@ -91,7 +91,7 @@ def test_licenses_match_brute_force(spark):
         steps = [] if i % 1000 == 0 else [i // 1000] if i % 100 == 0 else [i // 1000, i // 100]
         return "/".join(map(str, [sources[i], *steps, i]))
 
-    want = brute.licenses(_docs(spark), path, licenses.TEMPLATES, licenses.TRIGGER)
+    want = brute.licenses(_docs(spark), path, licenses.TEMPLATES)
     assert {r.doc_id: (r.license, r.source_dir, r.effective_license) for r in rows} == want
     assert collections.Counter(r.license for r in rows)["MIT"]
 
@@ -131,15 +131,56 @@ def test_license_lines_need_no_keyword(spark):
     assert got == {1: ("MIT", "MIT"), 2: (reserved, reserved), 3: ("CC-BY-SA-4.0", "CC-BY-SA-4.0"), 4: (None, "MIT"), 5: (None, None)}
 
     rng = random.Random(11)
-    words = " ".join(licenses.TEMPLATES.values()).split() + ["foo", "bar", "Baz", "qux"]
-    lines = sorted({" ".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(400)} | {x + " foo" * k for x in licenses.TEMPLATES.values() for k in range(4)})
+    words = " ".join(t for _, t, _ in licenses.TEMPLATES).split() + ["foo", "bar", "Baz", "qux"]
+    lines = sorted({" ".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(400)} | {t + " foo" * k for _, t, _ in licenses.TEMPLATES for k in range(4)})
     frame = spark.createDataFrame([(x,) for x in lines], "line string")
+    unit = F.array(F.struct("line", F.lit(False).alias("paragraph")))
     for threshold in (0.4, 0.7):
-        reach = {r.line for r in licenses.score_lines(frame, threshold).collect()}
-        kept = {x for r in frame.groupBy().agg(F.collect_list("line").alias("l")).select(licenses.possible_lines(F.col("l"), threshold)).collect() for x in r[0]}
+        reach = {r.line for r in frame.select("line", licenses.matches(licenses.possible_units(unit, -1.0), threshold).alias("m")).collect() if r.m}
+        kept = {r.line for r in frame.select("line", licenses.possible_units(unit, threshold).alias("p")).collect() if r.p}
         assert reach and reach <= kept and (threshold < 0.7 or len(kept) < len(lines))
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+""" + "\n\n".join(t.replace(", ", ",\n") for k, t, title in sorted(licenses.TEMPLATES, key=lambda x: len(x[1])) if k == "MIT" and len(t) > 100)
+GPL = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc.
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+""" + "The body of the text goes on for a long while in other words. " * 400
+APACHE = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+""" + "1. Definitions and many more words of the terms. " * 300
+
+
+def test_licence_files_tags_and_wrapped_notices(spark):
+    rows = [
+        (1, MIT, None, "m/LICENSE"), (2, "code", None, "m/deep/er/x.py"),
+        (3, GPL, None, "g/COPYING"), (4, "code", None, "g/src/x.c"),
+        (5, APACHE, None, "a/LICENSE"), (6, "code", None, "a/b/x.java"),
+        (7, "# SPDX-License-Identifier: Apache-2.0\ncode\n" * 1 + "more code " * 30, None, "m/spdx.py"),
+        (8, "/* SPDX-License-Identifier: MIT */\ncode", None, "y/spdx.c"),
+        (9, "# SPDX-License-Identifier: Unknown-9.9\n" + "code " * 30, None, "z/other.c"),
+        (10, "#!/bin/sh\n\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+             "# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n\n" + "code " * 200, None, "m/wrapped.sh"),
+        (11, "We met the publisher and read the MIT License there, then walked home through the park\n" + "word " * 50, None, "z/essay.txt"),
+    ]
+    got = {r.doc_id: (r.license, r.effective_license) for r in licenses.scan_licenses(document_frame(spark, rows), "doc_id", "text", F.col("source")).collect()}
+    assert got == {
+        1: ("MIT", "MIT"), 2: (None, "MIT"), 3: ("GPL-3.0", "GPL-3.0"), 4: (None, "GPL-3.0"), 5: ("Apache-2.0", "Apache-2.0"), 6: (None, "Apache-2.0"),
+        7: ("Apache-2.0", "Apache-2.0"), 8: ("MIT", "MIT"), 9: (None, None), 10: ("GPL-3.0", "GPL-3.0"), 11: (None, None),
+    }
+
+
 @pytest.mark.parametrize("name", ["op7_decontamination", "op9_host_rules", "op10_licenses"])
 def test_native_queries_run_no_python(spark, name):
     df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")

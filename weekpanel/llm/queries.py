@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekpanel.llm import repair
+from weekpanel.llm import licenses, repair
 from weekpanel.llm.chat import format_conversations, read_back
 from weekpanel.llm.decontaminate import contaminated
 from weekpanel.llm.host_rules import apply_host_rules
 from weekpanel.llm.language import fit_language, language_of
-from weekpanel.llm.licenses import TEMPLATES, TRIGGER, scan_licenses
+from weekpanel.llm.licenses import scan_licenses
 from weekpanel.llm.lm_score import lm_scores
 from weekpanel.llm.minhash import near_duplicates
 from weekpanel.llm.packing import pack
@@ -189,9 +189,55 @@ def document_path() -> Column:
     return F.when(F.pmod("doc_id", F.lit(1000)) == 0, top).when(F.pmod("doc_id", F.lit(100)) == 0, middle).otherwise(deep)
 
 
-@query("op10_licenses")
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_TEMPLATE_ROWS = ", ".join(f"({i}, {_quoted(k)}, {_quoted(t)}, {title})" for i, (k, t, title) in enumerate(licenses.TEMPLATES))
+
+
+def _counted(key: str, words: str, of: str) -> str:
+    terms = f"SELECT {key}, unnest(regexp_extract_all(lower({words}), '{licenses.TERM}')) AS term FROM {of}"
+    return f"SELECT {key}, term, count(*) AS tf FROM ({terms}) GROUP BY ALL"
+
+
+_LEFT = r"regexp_replace({}, '^[\x20\x09-\x0D]+', '')"
+
+_OP10_SQL = f"""
+WITH templates(i, license, words, title) AS (VALUES {_TEMPLATE_ROWS}),
+tt AS ({_counted('i', 'words', 'templates')}),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM templates)) / (1 + count(*))::DOUBLE) + 1 AS w FROM tt GROUP BY term),
+known AS (SELECT i, term, tf * w / sqrt(sum((tf * w) ** 2) OVER (PARTITION BY i)) AS v FROM tt JOIN idf USING (term)),
+d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, source || '/' || CASE WHEN doc_id % 1000 = 0 THEN ''
+        WHEN doc_id % 100 = 0 THEN (doc_id // 1000) || '/' ELSE (doc_id // 1000) || '/' || (doc_id // 100) || '/' END AS folder FROM documents),
+u AS (SELECT *, row_number() OVER () AS unit FROM (
+        SELECT k, false AS block, unnest(string_split(t, chr(10))) AS line FROM d
+        UNION ALL SELECT * FROM (SELECT k, true, unnest(regexp_split_to_array(t, '\n[\x20\x09-\x0D]*\n')) AS line FROM d) WHERE contains(line, chr(10)))),
+ut AS ({_counted('unit', 'line', 'u')}),
+uw AS (SELECT unit, term, tf * coalesce(w, ln(1 + (SELECT count(*) FROM templates)) + 1) AS w FROM ut LEFT JOIN idf USING (term)),
+sized AS (SELECT unit, sqrt(sum(w * w)) AS size FROM uw GROUP BY unit),
+cosine AS (SELECT unit, i, round(sum(w * v) / any_value(size), 6) AS similarity FROM uw JOIN known USING (term) JOIN sized USING (unit) GROUP BY unit, i),
+best AS (SELECT unit, similarity, i FROM cosine QUALIFY row_number() OVER (PARTITION BY unit ORDER BY similarity DESC, i) = 1),
+m AS (SELECT k, block, line, license, title, similarity FROM best JOIN u USING (unit) JOIN templates USING (i) WHERE similarity >= 0.7),
+own AS (SELECT k, list_sort(list(struct_pack(s := -similarity, license := license)))[1] AS b,
+          bool_or(title AND starts_with({_LEFT.format('t')}, {_LEFT.format('line')}))
+          OR greatest(coalesce(sum(len({_WORDS.format('line')})) FILTER (WHERE NOT block), 0), coalesce(sum(len({_WORDS.format('line')})) FILTER (WHERE block), 0))
+             >= 0.5 * any_value(len({_WORDS.format('t')})) AS is_file FROM m JOIN d USING (k) GROUP BY k),
+placed AS (SELECT k, doc_id, rtrim(folder, '/') AS directory, b, is_file FROM d LEFT JOIN own USING (k)),
+files AS (SELECT directory AS source_dir, min(b).license AS inherited FROM placed WHERE is_file GROUP BY directory),
+near AS (SELECT directory, source_dir, inherited FROM (SELECT DISTINCT directory FROM placed) JOIN files
+           ON directory = source_dir OR starts_with(directory, source_dir || '/')
+         QUALIFY row_number() OVER (PARTITION BY directory ORDER BY length(source_dir) DESC) = 1)
+SELECT doc_id, directory, b.license AS license, -b.s AS similarity, CASE WHEN b IS NULL THEN source_dir END AS source_dir,
+       coalesce(b.license, inherited) AS effective_license
+FROM placed LEFT JOIN near USING (directory)
+"""
+
+
+@query("op10_licenses", _OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Own and inherited licenses of all documents."""
+    """Own and inherited licenses of all documents.  The tables have no file paths: :func:`document_path`
+    lays documents out in directories by source and id."""
     return scan_licenses(table(spark, sf_dir, "documents"), "doc_id", "text", document_path())
 
 

@@ -121,19 +121,28 @@ def possible_units(found: Column, threshold: float) -> Column:
     idf, unseen, _ = template_weights()
     weight = _constant(idf, "map<string,double>")
     split = F.transform(found, lambda x: F.struct(x["line"].alias("line"), x["paragraph"].alias("paragraph"), _terms(x["line"]).alias("t")))
-    parts = F.transform(split, lambda s: F.struct(
-        s["line"].alias("line"), s["paragraph"].alias("paragraph"),
-        F.filter(s["t"], lambda t: t.isin(*idf)).alias("held"), F.filter(s["t"], lambda t: ~t.isin(*idf)).alias("other"),
-    ))
+    parts = F.transform(split, lambda s: F.struct(*[s[c].alias(c) for c in ("line", "paragraph", "t")], F.filter(s["t"], lambda t: t.isin(*idf)).alias("held")))
+
+    def square(s: Column) -> Column:
+        return F.aggregate(F.array_distinct(s["held"]), F.lit(0.0), lambda total, t: total + F.pow(_times(s["held"], t) * F.element_at(weight, t), F.lit(2.0)))
+
+    share = F.lit(max(threshold - 1e-6, 0.0) ** 2 - 1e-9)  # similarities are rounded to six places
+    weighed = F.transform(F.filter(parts, lambda s: F.size(s["held"]) > 0), lambda s: F.struct(
+        *[s[c].alias(c) for c in ("line", "paragraph", "t", "held")], square(s).alias("square")))
+    # other words are told apart only where the bound for all of them distinct (d = u) leaves the unit in
+    some = F.filter(weighed, lambda s: s["square"] >= share * (s["square"] + F.lit(unseen * unseen) * (F.size(s["t"]) - F.size(s["held"]))))
+    whole = F.transform(some, lambda s: F.struct(
+        *[s[c].alias(c) for c in ("line", "paragraph", "held", "square")], F.filter(s["t"], lambda t: ~t.isin(*idf)).alias("other")))
 
     def fits(s: Column) -> Column:
-        held = F.aggregate(F.array_distinct(s["held"]), F.lit(0.0), lambda total, t: total + F.pow(_times(s["held"], t) * F.element_at(weight, t), F.lit(2.0)))
-        u, d = F.size(s["other"]), F.size(F.array_distinct(s["other"]))
-        other = F.when(u > 0, F.lit(unseen * unseen) * u * u / d).otherwise(0.0)
-        share = max(threshold - 1e-6, 0.0) ** 2  # similarities are rounded to six places
-        return (F.size(s["held"]) > 0) & (held >= F.lit(share - 1e-9) * (held + other))
+        return s["square"] >= share * (s["square"] + _least_other(s, unseen))
+
+    return F.transform(F.filter(whole, fits), lambda s: F.struct(*[s[c].alias(c) for c in ("line", "paragraph", "held", "other")]))
+
 
-    return F.filter(parts, fits)
+def _least_other(s: Column, unseen: float) -> Column:
+    u, d = F.size(s["other"]), F.size(F.array_distinct(s["other"]))
+    return F.when(u > 0, F.lit(unseen * unseen) * u * u / d).otherwise(0.0)
 
 
 def _times(words: Column, word: Column) -> Column:
@@ -157,17 +166,26 @@ def matches(possible: Column, threshold: float) -> Column:
     weight, vectors = _constant(idf, "map<string,double>"), _constant(weights, "map<string,array<double>>")
     none = _constant({"": [0.0] * len(TEMPLATES)}, "map<string,array<double>>")[""]
 
+    counted = F.transform(possible, lambda s: F.struct(
+        s["line"].alias("line"), s["paragraph"].alias("paragraph"), s["other"].alias("other"),
+        F.transform(F.array_distinct(s["held"]), lambda t: F.struct(t.alias("t"), (_times(s["held"], t) * F.element_at(weight, t)).alias("w"))).alias("terms"),
+    ))
+    dotted = F.transform(counted, lambda s: F.struct(
+        s["line"].alias("line"), s["paragraph"].alias("paragraph"), s["other"].alias("other"),
+        F.aggregate(s["terms"], none, lambda a, x: F.zip_with(a, F.element_at(vectors, x["t"]), lambda y, v: y + x["w"] * v)).alias("dots"),
+        F.aggregate(s["terms"], F.lit(0.0), lambda a, x: a + x["w"] * x["w"]).alias("own"),
+    ))
+
+    def near_by_bound(s: Column) -> Column:  # before the words outside the templates are counted one by one
+        return F.array_max(s["dots"]) >= F.lit(threshold - 1e-6) * F.sqrt(s["own"] + _least_other(s, unseen))
+
     def scored(s: Column) -> Column:
-        held, distinct = s["held"], F.array_distinct(s["held"])
-        tf = lambda t: _times(held, t) * F.element_at(weight, t)
-        dots = F.aggregate(distinct, none, lambda a, t: F.zip_with(a, F.element_at(vectors, t), lambda x, w: x + tf(t) * w))
-        own = F.aggregate(distinct, F.lit(0.0), lambda a, t: a + F.pow(tf(t), F.lit(2.0)))
-        length = F.sqrt(own + F.lit(unseen * unseen) * _squares(s["other"]))
-        return F.struct(s["line"].alias("line"), s["paragraph"].alias("paragraph"), F.transform(dots, lambda x: F.round(x / length, 6)).alias("all"))
+        length = F.sqrt(s["own"] + F.lit(unseen * unseen) * _squares(s["other"]))
+        return F.struct(s["line"].alias("line"), s["paragraph"].alias("paragraph"), F.transform(s["dots"], lambda x: F.round(x / length, 6)).alias("all"))
 
     licenses = F.array(*[F.lit(k) for k, _, _ in TEMPLATES])
     titles = F.array(*[F.lit(t) for _, _, t in TEMPLATES])
-    cosines = F.transform(possible, scored)
+    cosines = F.transform(F.filter(dotted, near_by_bound), scored)
     best = F.transform(cosines, lambda s: F.struct(s["line"].alias("line"), s["paragraph"].alias("paragraph"), F.array_max(s["all"]).alias("similarity"),
                                                    F.array_position(s["all"], F.array_max(s["all"])).cast("int").alias("at")))
     near = F.filter(best, lambda s: s["similarity"] >= threshold)

@@ -258,7 +258,7 @@ def test_near_duplicates_of_a_long_chain_in_random_order(spark):
 def test_lm_ids_of_equal_texts_stay_apart(spark):
     ids = [1, 4294967297, -1, -2, 0, None, 1]
     docs = document_frame(spark, [(i, "one text of several words", None, None) for i in ids])
-    rows = lm_scores(docs, F.lit(True)).collect()
+    rows = lm_score.lm_scores(docs, F.lit(True)).collect()
     assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(i for i in ids if i is not None) and len(rows) == len(ids)
     assert len({round(r.score, 9) for r in rows}) == 1
 

@@ -39,7 +39,7 @@ def main():
     from weekpanel.plans import integrate
 
     weather = standin.inputs(spark, sf, cases=False, nations=nations)
-    sources["combine: first row per date of all sheets -> cells (before it is written)"] = integrate.combine_inputs(weather, materialize=False).cells
+    sources["combine: first row per date of all sheets -> cells (before it is written)"] = integrate.combine_inputs(weather, hold="none").cells
     for name, df in list(sources.items()) + [(n, None) for n in HEADLINE]:
         df = df if df is not None else getattr(Q, f"q_{name}")(spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import duckdb
-from weekpanel.llm import bloom, lm_score, packing, queries
+from weekpanel.llm import bloom, components, lm_score, packing, queries
 from weekpanel.llm.components import connected_components
 from weekpanel.llm.elias_fano import Trie, build_trie
 from weekpanel.llm.minhash import Circulant, near_duplicates
@@ -242,8 +242,21 @@ def test_components_of_random_graphs(spark):
     for a, b in edges:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: root(i) for i in parent}
+    table = spark.createDataFrame(edges, "a long, b long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        for buffer in (components.BUFFER, 20):  # the second leaves nearly all work to the rounds
+            assert {r.node: r.component for r in connected_components(table, buffer).collect()} == {i: root(i) for i in parent}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_components_of_empty_null_and_repeated_edges(spark):
+    schema = "a long, b long"
+    assert connected_components(spark.createDataFrame([], schema)).count() == 0
+    edges = [(None, 1), (2, None), (None, None), (5, 4), (4, 5), (5, 4), (-3, -3), (-(1 << 63), (1 << 63) - 1)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, schema)).collect()}
+    assert got == {4: 4, 5: 4, -3: -3, -(1 << 63): -(1 << 63), (1 << 63) - 1: -(1 << 63)}
 
 
 def test_near_duplicates_of_a_long_chain_in_random_order(spark):

@@ -287,3 +287,14 @@ def test_circulant_signatures_estimate_similarity():
         same = len(np.intersect1d(a, b))
         errors.append((circulant.signature(a) == circulant.signature(b)).mean() - same / (len(a) + len(b) - same))
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.06
+
+
+def test_lm_rows_of_one_id_and_text_with_and_without_training(spark):
+    """Words seen once count as known in every row, whichever way a row gets their counts."""
+    once = "alpha beta " + " ".join(f"only{i}" for i in range(40))
+    rows = [(1, once, "t", None), (1, once, None, None), (2, "alpha beta alpha beta never", None, None), (3, "gamma gamma gamma beta", "t", None)]
+    got = lm_score.lm_scores(document_frame(spark, rows), F.col("lang") == "t", head=3).collect()
+    ones = [r for r in got if r.doc_id == 1]
+    assert [(r.n_tokens, r.n_known) for r in ones] == [(43, 43)] * 2
+    assert len({round(r.base_score, 9) for r in ones}) == len({round(r.score, 9) for r in ones}) == 1
+    assert {r.doc_id: r.n_known for r in got}[2] == 5 and {r.train_tokens for r in got} == {48}

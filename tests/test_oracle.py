@@ -39,3 +39,20 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert len(df.columns) == 29
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["parse_dates"])
+def test_date_queries_read_every_day(spark, con, name):
+    """The sheets of all variables hold the same days; none is left out of the queries on dates."""
+    got = E.queries()[name](spark, SF_SMALL)
+    r = compare(got, con, E.oracle_sql()[name])
+    assert r["rows"] and r["schema"] and r["types"] and r["values"], r
+    days = {}
+    for v, d in got.select("variable", "date").distinct().collect():
+        days.setdefault(v, set()).add(d)
+    assert len(days) == 4 and len({frozenset(d) for d in days.values()}) == 1
+
+
+def test_drop_invalid_dates_matches_oracle(spark, con):
+    r = compare(E.queries()["drop_invalid_dates"](spark, SF_SMALL), con, E.oracle_sql()["drop_invalid_dates"])
+    assert r["rows"] and r["schema"] and r["types"] and r["values"], r

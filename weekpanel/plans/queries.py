@@ -236,12 +236,18 @@ def _dated(spark, sf):
     return dated_rows(list_sheets(_weather(spark, sf).sheets))
 
 
+def _dated_every_day(spark, sf):
+    """As ``_dated``, with the days that the build's temp_min sheets lack."""
+    whole = _memo(spark, sf, "every-day", lambda: standin.inputs(spark, sf, cases=False, nations=_nations(spark, sf), every_day=True))
+    return dated_rows(list_sheets(whole.sheets))
+
+
 def q_parse_dates(spark, sf):
-    return _dated(spark, sf).select("variable", "part", "src_row", "time_text", _ts("date").alias("date"))
+    return _dated_every_day(spark, sf).select("variable", "part", "src_row", "time_text", _ts("date").alias("date"))
 
 
 def q_drop_invalid_dates(spark, sf):
-    return q_parse_dates(spark, sf).groupBy("variable", "part").agg(
+    return _dated(spark, sf).groupBy("variable", "part").agg(
         F.count(F.lit(1)).alias("rows"), F.count("date").alias("kept"), F.count_if(F.col("date").isNull()).alias("dropped")
     )
 
@@ -657,6 +663,7 @@ def q_streaming_weekly(spark, sf):
 _ALL = S.with_ctes(*S.ALL)
 _CASES = S.with_ctes(S.NATIONS, S.CASES)
 _SHEETS = S.with_ctes(S.NATIONS, S.WEATHER)
+_EVERY_DAY = S.with_ctes(S.NATIONS, S.EVERY_DAY)
 _MAP = S.with_ctes(S.NATIONS, S.MAPPING)
 _TS = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 _FC = S.FEATURE_COLS
@@ -787,7 +794,7 @@ UNION ALL SELECT 'long', concat(cells, one, ',late') FROM landed WHERE Week = 9"
     "merge_districts": _CASES + "SELECT * FROM cases_m",
     "week_spine": _CASES + "SELECT * FROM spine",
     "complete_panel": _CASES + "SELECT * FROM base",
-    "parse_dates": _SHEETS + f"SELECT variable, part, src_row, time_text, {_TS.format('date')} AS date FROM parsed",
+    "parse_dates": _EVERY_DAY + f"SELECT variable, part, src_row, time_text, {_TS.format('date')} AS date FROM parsed",
     "drop_invalid_dates": _SHEETS + "SELECT variable, part, count(*) AS rows, count(date) AS kept, CAST(count_if(date IS NULL) AS BIGINT) AS dropped "
     "FROM parsed GROUP BY variable, part",
     "coerce_numeric": _SHEETS + f"SELECT variable, part, src_row, station, text, {S.num('text')} AS value FROM sheet_cells",

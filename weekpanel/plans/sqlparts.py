@@ -126,6 +126,7 @@ _TEXT = f"""CASE
       WHEN s.part = 2 THEN '  ' || {_two_places('dl.damp')} || ' '
       ELSE {_two_places('dl.damp')} END"""
 
+_NO_MIN = f"\n    AND (v.variable <> 'temp_min' OR day(days.d) <> {NO_MIN_DAY})"
 WEATHER = f"""
 li AS (
   SELECT CAST(l.l_shipdate AS DATE) AS d, s.s_nationkey AS nk, CAST(round(l.l_quantity * 100) AS BIGINT) AS q,
@@ -145,8 +146,7 @@ sheet_rows AS MATERIALIZED (
            CASE WHEN day(days.d) = 31 THEN strftime(days.d, '%-d/%-m/%Y') ELSE strftime(days.d, '%d/%m/%Y %H:%M:%S') END
          ELSE strftime(days.d, '%-d/%-m/%Y') END AS time_text
   FROM vars v CROSS JOIN parts p
-  JOIN days ON ((p.part = 1 AND days.d < DATE '{PART1_BEFORE}') OR (p.part = 2 AND days.d >= DATE '{PART2_FROM}'))
-    AND (v.variable <> 'temp_min' OR day(days.d) <> {NO_MIN_DAY})),
+  JOIN days ON ((p.part = 1 AND days.d < DATE '{PART1_BEFORE}') OR (p.part = 2 AND days.d >= DATE '{PART2_FROM}')){_NO_MIN}),
 fmt AS (
   SELECT variable, part,
          CASE WHEN count(try_strptime(time_text, '%d/%m/%Y %H:%M:%S')) > 0 THEN 1
@@ -173,6 +173,8 @@ cells AS MATERIALIZED (
   SELECT k.variable, k.date, vs.station, {num('c.text')} AS value
   FROM first_rows k JOIN var_stations vs ON vs.variable = k.variable
   LEFT JOIN sheet_cells c ON c.variable = k.variable AND c.part = k.part AND c.src_row = k.src_row AND c.station = vs.station)"""
+EVERY_DAY = WEATHER.replace(_NO_MIN, "")  # the temp_min sheets with all their days
+
 
 def mean_temp(key: str) -> str:
     """Mean temperature by one conditional aggregate per (key, station); ``key`` pairs max and min rows."""

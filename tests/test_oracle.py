@@ -41,7 +41,7 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["parse_dates"])
+@pytest.mark.parametrize("name", ["parse_dates", "dedup_dates"])
 def test_date_queries_read_every_day(spark, con, name):
     """The sheets of all variables hold the same days; none is left out of the queries on dates."""
     got = E.queries()[name](spark, SF_SMALL)

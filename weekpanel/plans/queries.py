@@ -274,7 +274,7 @@ def q_union_parts(spark, sf):
 
 
 def q_dedup_dates(spark, sf):
-    return first_rows(_dated(spark, sf)).select("variable", _ts("date").alias("date"), "part", "src_row")
+    return first_rows(_dated_every_day(spark, sf)).select("variable", _ts("date").alias("date"), "part", "src_row")
 
 
 def q_combine_parts(spark, sf):
@@ -799,7 +799,7 @@ UNION ALL SELECT 'long', concat(cells, one, ',late') FROM landed WHERE Week = 9"
     "FROM parsed GROUP BY variable, part",
     "coerce_numeric": _SHEETS + f"SELECT variable, part, src_row, station, text, {S.num('text')} AS value FROM sheet_cells",
     "union_parts": _SHEETS + f"SELECT variable, part, src_row, {_TS.format('date')} AS date FROM parsed WHERE date IS NOT NULL",
-    "dedup_dates": _SHEETS + f"SELECT variable, {_TS.format('date')} AS date, part, src_row FROM first_rows",
+    "dedup_dates": _EVERY_DAY + f"SELECT variable, {_TS.format('date')} AS date, part, src_row FROM first_rows",
     "date_counts": _SHEETS + "SELECT variable, part, count(*) AS rows, count(date) AS kept, count(*) - count(date) AS dropped "
     "FROM parsed GROUP BY variable, part",
     "combine_parts": _SHEETS + f"SELECT variable, {_TS.format('date')} AS date, station, value FROM cells",

@@ -326,12 +326,16 @@ def q_integrate_panel(spark, sf):
     return _panel(spark, sf)
 
 
-def q_entry(spark, sf):
-    """The flagship job: all stages written and published (panel, weekly values, summary, completeness);
-    returns the run's report, read from what was published."""
+def flagship(spark, sf) -> str:
+    """The flagship job: all stages written and published (panel, weekly values, summary, completeness); their folder."""
     out = scratch_path(spark, "entry")
     run.PanelRun(spark, _inputs(spark, sf), out).run()
-    return run.report(spark, _inputs(spark, sf), out)
+    return out
+
+
+def q_entry(spark, sf):
+    """The flagship job; returns the run's report, read from what was published."""
+    return run.report(spark, _inputs(spark, sf), flagship(spark, sf))
 
 
 APPENDED_YEAR = 2001

@@ -128,7 +128,7 @@ def licenses(docs, path, templates, threshold=0.7, share=0.5):
     return out
 
 
-def lm(docs, held_out, head, size, least=2, discount=0.75, steps=10):
+def lm(docs, held_out, head, size, least=2, discount=0.75, steps=10, order=2):
     """``doc_id -> (n_tokens, n_known, N, base, score)``."""
     def tokens(t):
         return [w.encode() for w in words(t)] + [b" "]
@@ -155,14 +155,29 @@ def lm(docs, held_out, head, size, least=2, discount=0.75, steps=10):
     rest = collections.defaultdict(lambda: 1.0)
     for (v, _), x in level.items():
         rest[v] -= 2 ** (-x / steps)
+    triple, context2 = collections.Counter(), collections.Counter()
+    inside = lambda w: w is start or w in vocabulary
+    for i, t in docs if order == 3 else ():
+        ws = [start, *tokens(t)]
+        for u, v, w in zip(ws, ws[1:], ws[2:]) if not held_out(i) else ():
+            if inside(u) and inside(v):
+                context2[u, v] += 1
+                triple[u, v, w] += w in vocabulary
+    level3 = {k: math.ceil(-math.log2((n - discount) / context2[k[:2]]) * steps) for k, n in triple.items() if n >= least}
+    rest3 = collections.defaultdict(lambda: 1.0)
+    for (u, v, _), x in level3.items():
+        rest3[u, v] -= 2 ** (-x / steps)
     out = {}
     for i, t in docs:
-        before, base, score = start, 0.0, 0.0
+        older, before, base, score = None, start, 0.0, 0.0
         for w in tokens(t):
             p = (count[w] + 1) / (total + distinct + 1)
             base += math.log10(p)
             q = 2 ** (-level[before, w] / steps) if (before, w) in level else 0.0
-            score += math.log10(q + rest[before] * p) if before is start or before in vocabulary else math.log10(p)
-            before = w
+            p = q + rest[before] * p if before is start or before in vocabulary else p
+            if (older, before) in rest3:
+                p = (2 ** (-level3[older, before, w] / steps) if (older, before, w) in level3 else 0.0) + rest3[older, before] * p
+            score += math.log10(p)
+            older, before = before, w
         out[i] = (len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), total, base, score)
     return out

@@ -151,7 +151,7 @@ def _held_out(i):
 
 def test_lm_scores_match_brute_force_and_beat_the_base(spark):
     rows = queries.QUERIES["op3_lm_score"](spark, SF001).collect()
-    want = brute.lm(_docs(spark, SF001), _held_out, lm_score.HEAD, lm_score.VOCABULARY)
+    want = brute.lm(_docs(spark, SF001), _held_out, lm_score.HEAD, lm_score.VOCABULARY, order=3)
     for r in rows:
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and r.held_out == _held_out(r.doc_id)
         assert r.base_score == pytest.approx(want[r.doc_id][3]) and r.score == pytest.approx(want[r.doc_id][4])
@@ -184,6 +184,37 @@ def test_lm_pairs_hold_words_beyond_the_head(spark):
             assert r.base_score == pytest.approx(want[r.doc_id][3]) and r.score == pytest.approx(want[r.doc_id][4])
 
 
+@pytest.mark.parametrize("head", [lm_score.HEAD, 60, 3])
+@pytest.mark.parametrize("spread", [False, True])
+def test_lm_triples_match_brute_force(spark, monkeypatch, head, spread):
+    """The third level of the trie, with words outside the head, and with contexts spread over shards."""
+    if spread:
+        monkeypatch.setattr(lm_score, "SPREAD", 150)
+        monkeypatch.setattr(lm_score, "WORDS_A_SHARD", 9_000)
+        monkeypatch.setattr(lm_score, "AT_ONCE", 2_000)
+    docs = table(spark, SF001, "documents")
+    want = brute.lm(_docs(spark, SF001), _held_out, lm_score.HEAD, None, order=3)
+    rows = lm_score.lm_scores(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2, head=head, order=3).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
+        assert r.base_score == pytest.approx(want[r.doc_id][3]) and r.score == pytest.approx(want[r.doc_id][4])
+    pairs = brute.lm(_docs(spark, SF001), _held_out, lm_score.HEAD, None)
+    assert sum(w[4] for w in want.values()) > sum(w[4] for w in pairs.values())
+
+
+def test_lm_triples_of_edge_texts(spark, edges, empty):
+    docs = [(i, t) for i, t, *_ in EDGES if i is not None]
+    rows = lm_score.lm_scores(edges.filter("doc_id IS NOT NULL"), F.col("doc_id") < 9, head=200, vocabulary=50, order=3).collect()
+    want = brute.lm(docs, lambda i: i >= 9, 200, 50, order=3)
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
+        assert r.base_score == pytest.approx(want[r.doc_id][3]) and r.score == pytest.approx(want[r.doc_id][4])
+    assert lm_score.lm_scores(empty, F.lit(True), order=3).count() == 0
+    assert {r.score for r in lm_score.lm_scores(edges, F.lit(False), order=3).collect()} == {0.0}
+
+
 # ------------------------------------------------------------- near-duplicates
 def test_near_duplicates_match_brute_force(spark):
     rows = queries.QUERIES["op8_minhash"](spark, SF01).collect()

@@ -1,4 +1,4 @@
-"""Elias-Fano sequences in numpy and the bigram trie made of them.
+"""Elias-Fano sequences in numpy and the levels of n-gram tries made of them.
 
 A monotone sequence is stored as fixed-width low parts and a bit vector in which
 element ``i`` with high part ``h`` sets bit ``h + i``.  Counts of ones before every
@@ -137,6 +137,12 @@ class Trie:
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Probability level of each (context, word), -1 where there is no such entry."""
+        out = self.at(context, word)
+        out[out >= 0] = self.level[out[out >= 0]]
+        return out
+
+    def at(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Place of each (context, word) among the entries, -1 where there is none."""
         out = np.full(len(context), -1, np.int64)
         if self.successors.n == 0 or not len(context):
             return out
@@ -148,5 +154,36 @@ class Trie:
         at = self.successors.successor(x)
         inside = np.flatnonzero(at < end[back])
         hit = inside[self.successors.get(at[inside]) == x[inside]]
-        out[hit] = self.level[at[hit]]
+        out[hit] = at[hit]
+        return out
+
+
+class Trie3:
+    """A trie of three levels with two levels of pointers: words, the words after each, and, below such a pair,
+    the words before it.  A word of the third level is not held by its number but by its place among the words
+    that come before the pair's first word (Pibiri and Venturini's remapping by context, mirrored); a further
+    sequence of these holds what is known of each context of two words.
+
+    ``pairs``: (first, second, level) by rising (first, second); ``contexts``: (before, first, value) by rising
+    (first, before); ``triples``: numbers of a pair and a context of the same first word, and a level."""
+
+    def __init__(self, firsts: int, pairs: tuple[np.ndarray, ...], contexts: tuple[np.ndarray, ...], triples: tuple[np.ndarray, ...]):
+        before, first, self.value = contexts
+        self.pairs = Trie(build_trie(*pairs, firsts))
+        self.contexts = Trie(build_trie(first, before, np.zeros(len(first), np.int64), firsts))
+        self.begin = np.searchsorted(first, np.arange(firsts))
+        pair, context, level = triples
+        place = context - self.begin[first[context]]
+        order = np.lexsort((place, pair))
+        self.triples = Trie(build_trie(pair[order], place[order], level[order], len(pairs[0])))
+
+    def context(self, before: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Numbers of contexts, -1 for none."""
+        return self.contexts.at(first, before)
+
+    def triple(self, pair: np.ndarray, context: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Levels of triples, -1 for none; ``pair`` and ``context`` as found for the same ``first``, -1 for none."""
+        out = np.full(len(pair), -1, np.int64)
+        some = np.flatnonzero((pair >= 0) & (context >= 0))
+        out[some] = self.triples.find(pair[some], context[some] - self.begin[first[some]])
         return out

@@ -1,32 +1,32 @@
-"""Language-model scores from an Elias-Fano bigram trie.
+"""Language-model scores from Elias-Fano n-gram tries.
 
-Counts.  Words and word pairs of the training texts are counted per task before
-they are shuffled; unigram counts cover every word.  The counts of the ``head``
-commonest words (of fixed size) are at hand in every task, all other words meet
-their exact counts in a join.  All words of the training texts form pairs.  A head
-word goes by its rank, any other by a 63-bit hash, so no table of words is needed to
-name a pair; a bitmap of fixed size drops most words seen less than ``least`` times,
-which are in no kept pair (no word seen as often is dropped).  A number given as
-``vocabulary`` restricts pairs to that many of the head words.
+Counts.  Words of the training texts are counted per task before they are shuffled;
+unigram counts cover every word.  The counts of the ``head`` commonest words (of fixed
+size) are at hand in every task, all other words meet their exact counts in a join.
+All words of the training texts form pairs and triples.  A head word goes by its rank,
+any other by a 63-bit hash, so no table of words is needed to name them; a bitmap of
+fixed size drops most words seen less than ``least`` times, which are in no kept pair
+(no word seen as often is dropped).  A number given as ``vocabulary`` restricts pairs
+and triples to that many of the head words.
 
 Model.  P(w | v) = q(v, w) + rest(v) * P(w), with P the add-one unigram
 distribution, q the pair counts under absolute discounting, divided by the count of
 v, for pairs seen at least ``least`` times, quantised downwards to ten levels an octave, and
 rest(v) what the quantised q leave over, so that probabilities sum to one exactly.
-A word in no pair gives no context: P(w | v) = P(w).  The first word of a text
-follows a start mark.
-
-Trie.  Pairs are cut into shards by context (those of contexts seen more than
-``SPREAD`` times by word too), each one trie of Elias-Fano levels (monotone pointers,
-successors relative to their context, levels of q) that a task uses through a memory
-map, with the sorted ids of its contexts and words and what is known of those outside
-the head, and a bitmap of its entries that saves most searches in vain.
-One pass over the texts packs, per chunk of texts, their pairs by shard, sorted by context,
-and what the head words and the other words give.  Pairs meet the shard's trie in a
-task; hot contexts are spread over several copies of their shard.  The number of
-shards and copies follows the counts, so the work of a task does not grow with the
-corpus.  A word that the bitmap of words leaves out and a training text holds
-occurs once (for a ``least`` of 2); other words outside the head meet their counts in a join.
+With an ``order`` of 3 likewise P(w | u, v) = q(u, v, w) + rest(u, v) * P(w | v) from the
+triples seen at least ``least`` times and the count of u, v.  A word in no pair gives no
+context: P(w | v) = P(w).  The first word of a text follows a start mark alone, the second
+the start mark and the first.
+
+Tries.  One pass over the texts packs the words of each chunk of texts, with the one or two
+before, by shards of their context v, and what the head words give.  A shard holds every
+occurrence of its contexts, of training texts and others: its task counts them, builds the
+trie (see :class:`Trie3`) and looks the n-grams of all texts up in it.  Contexts seen more
+than ``SPREAD`` times are spread over shards by the word before them; their pairs
+are counted first and given, packed, to each of these shards.  The number of shards follows the
+texts, so the work of a task does not grow with the corpus.  Where w is outside the head,
+P(w) meets what the trie gives in the join by words.  A word that the bitmap of words leaves
+out and a training text holds occurs once (for a ``least`` of 2).
 
 Defined cases: NULL and empty texts are the end token alone; without training texts
 all counts are zero and every score is zero; rows that repeat an id and text get
@@ -37,7 +37,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -48,15 +47,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekpanel.llm.elias_fano import Trie, build_trie
+from weekpanel.llm.elias_fano import Trie3
 from weekpanel.llm.text import as_bytes, byte_words, lean, mix, release, signed, small_batches
 from weekpanel.session import materialize
 
 HEAD, VOCABULARY = 1 << 18, None  # commonest words at hand; all words form pairs
+ORDER = 3
 DISCOUNT, LEAST, STEPS = 0.75, 2, 10  # ten levels an octave
 END = b" "  # never a word
-PAIRS_A_SHARD, TOKENS_A_COPY, CHUNK, BUFFER, WORDS = 1_500_000, 4_000_000, 200_000, 3_000_000, 500_000
-SPREAD = 1_000_000
+WORDS_A_SHARD, SPREAD, AT_ONCE = 3_000_000, 500_000, 150_000
+CHUNK, BUFFER, WORDS = 1_200_000, 3_000_000, 500_000  # bytes; pairs; words
+BUCKETS = 16  # of the words after a context that is spread
 SEED, SEEN_BITS = 42, 1 << 24  # the seed of Spark's xxhash64
 NONE = 1 << 62  # the id of a word in no pair
 
@@ -91,29 +92,19 @@ def _summed_pairs(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple
     return context[new], word[new], np.add.reduceat(n[order], new)
 
 
-def _count_pairs(shared):
-    """Partial counts of pairs, summed within the task as far as memory allows."""
+def _count_spread(shared):
+    """Partial counts of the pairs whose context is spread over shards, summed within the task as far as memory allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(*shared.value)
-        raw, raw_other = [], []
+        m: Model = shared.value
+        words = WordIds(m.head, m.start, m.seen)
         held, other, waiting = [], [], 0
 
-        def fold():
-            if raw:
-                held.append(np.unique(np.concatenate(raw), return_counts=True))
-                raw.clear()
-            if raw_other:
-                context, word = (np.concatenate(x) for x in zip(*raw_other, strict=True))
-                if len(context):
-                    other.append(_summed_pairs(context, word, np.ones(len(context), np.int64)))
-                raw_other.clear()
-
         def emit():
             parts = []
             if held:
                 code, n = _summed(*zip(*held, strict=True))
-                parts.append((*_split(code, words.start), n))
+                parts.append((*_split(code, m.start), n))
             if other:
                 parts.append(_summed_pairs(*(np.concatenate(x) for x in zip(*other, strict=True))))
             held.clear()
@@ -123,17 +114,24 @@ def _count_pairs(shared):
                     yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in part], ["context", "word", "n"])
 
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                codes, *rest = _pairs(words.of(_tokens(text or b""))[2], words.start)
-                raw.append(codes)
-                raw_other.append(rest)
-                waiting += len(codes) + 2 * len(rest[0])
-                if waiting > BUFFER // 4:
-                    fold()
-                    waiting = 0
-                    if sum(len(x[0]) for x in held) + 2 * sum(len(x[0]) for x in other) > BUFFER:
-                        yield from emit()
-        fold()
+            tokens, sizes = _joined([text or b"" for text in as_bytes(batch.column(0))])
+            if not tokens:
+                continue
+            numbers = words.numbers(tokens)
+            context, _ = _before(words.ids(tokens, numbers, np.zeros(0, np.int64)), sizes, m.start)
+            at = np.flatnonzero(context != NONE)
+            at = at[m.shards[context[at]] > 1]
+            context, word = context[at], words.ids(tokens, numbers, at[numbers[at] < 0])[at]
+            head = (word >= 0) & (word != NONE)
+            code, n = np.unique((context[head] << m.start.bit_length()) | word[head], return_counts=True)
+            held.append((code, n))
+            if (word < 0).any():
+                other.append(_summed_pairs(context[word < 0], word[word < 0], np.ones(int((word < 0).sum()), np.int64)))
+                waiting += 2 * len(other[-1][0])
+            waiting += len(code)
+            if waiting > BUFFER:
+                yield from emit()
+                waiting = 0
         yield from emit()
 
     return run
@@ -147,19 +145,20 @@ class WordIds:
     def __init__(self, head: list[bytes], start: int, seen: np.ndarray | None):
         self.ranks, self.start, self.seen = {w: i for i, w in enumerate(head)}, start, seen
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers, places of the words outside the head, ids."""
-        numbers = np.fromiter(map(self.ranks.get, words, repeat(-1)), np.int64, len(words))
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.ranks.get, words, repeat(-1)), np.int64, len(words))
+
+    def ids(self, words: list[bytes], numbers: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Ids; of the words outside the head those at the places ``other``, ``NONE`` for the rest."""
         ids = np.where((numbers >= 0) & (numbers < self.start), numbers, NONE)
-        other = np.flatnonzero(numbers < 0)
         if self.seen is not None and len(other):
-            h = np.fromiter((xxhash.xxh64_intdigest(words[i], SEED) for i in other), np.uint64, len(other)) | np.uint64(1 << 63)
+            h = np.fromiter((xxhash.xxh64_intdigest(words[i], SEED) for i in other.tolist()), np.uint64, len(other)) | np.uint64(1 << 63)
             held = np.ones(len(h), bool)
             for by in (3, 33):
                 at = (h >> np.uint64(by)) & np.uint64(SEEN_BITS - 1)
                 held &= (self.seen[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
             ids[other[held]] = h[held].view(np.int64)
-        return numbers, other, ids
+        return ids
 
 
 def _hash_id(word: str) -> Column:
@@ -179,20 +178,25 @@ def _tokens(text: bytes) -> list[bytes]:
     return [*byte_words(text), END]
 
 
-def _contexts(numbers: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context of each token, and whether it is one; the first token follows ``start``."""
-    context = np.concatenate([[start], numbers[:-1]])
-    known = (context >= 0) & (context < start)
-    known[0] = True
-    return context, known
+def _joined(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The tokens of several texts and how many each has."""
+    tokens: list[bytes] = []
+    sizes = []
+    for text in texts:
+        own = _tokens(text)
+        tokens += own
+        sizes.append(len(own))
+    return tokens, np.array(sizes, np.int64)
 
 
-def _pairs(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of head words as one number (see ``_split``), contexts and words of the other pairs."""
-    context = np.concatenate([[start], ids[:-1]])
-    plain = (context >= 0) & (context <= start) & (ids >= 0) & (ids < start)
-    other = ~plain & (context != NONE) & (ids != NONE)
-    return (context[plain] << start.bit_length()) | ids[plain], context[other], ids[other]
+def _before(ids: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids one and two places before each; a text's first word follows ``start``, its second ``start`` and the first."""
+    first = np.cumsum(sizes) - sizes
+    one, two = np.empty_like(ids), np.full_like(ids, NONE)
+    one[1:], two[2:] = ids[:-1], ids[:-2]
+    one[first], two[first] = start, NONE
+    two[first[sizes > 1] + 1] = start
+    return one, two
 
 
 def _split(code: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,10 +205,26 @@ def _split(code: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     return code >> width, code & ((1 << width) - 1)
 
 
-def _shard(context, word, shards: int, hot: int, start: int):
-    """Shard of a pair, for arrays; pairs of the ``hot`` commonest contexts are spread by their words."""
-    spread = ((context >= 0) & (context < hot)) | (context == start)
-    return (context % shards + np.where(spread, word % shards, 0)) % shards
+def _shard(v: np.ndarray, w: np.ndarray, u: np.ndarray, shards: int, spread: np.ndarray) -> np.ndarray:
+    """Shard of a word ``w`` after ``u`` and ``v``: one a context ``v``, or one of the ``spread`` next to it, by ``u`` (by ``w`` where there is no ``u``)."""
+    out = mix(v.view(np.uint64)) % np.uint64(shards)
+    many = np.flatnonzero((v >= 0) & (v < len(spread)))
+    many = many[spread[v[many]] > 1]
+    by = np.where(u[many] == NONE, w[many], u[many]).view(np.uint64)
+    out[many] = (out[many] + mix(by) % spread[v[many]].view(np.uint64)) % np.uint64(shards)
+    return out.astype(np.int64)
+
+
+def _part(v: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(v.view(np.uint64)) >> np.uint64(40)) % np.uint64(parts)).astype(np.uint16)
+
+
+def _level(n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return np.ceil(-np.log2((n - DISCOUNT) / total) * STEPS).astype(np.int64)
+
+
+def _q(level: np.ndarray) -> np.ndarray:
+    return np.exp2(level / -STEPS)
 
 
 def _key(doc, learned: bool, text: bytes) -> int:
@@ -215,20 +235,23 @@ def _key(doc, learned: bool, text: bytes) -> int:
 
 
 class Model:
-    """What every task needs, of fixed size: head words by falling count, the rests of contexts, the bitmap
-    of other words, and whether that bitmap holds every word that is not single."""
+    """What every task needs, of fixed size: head words by falling count, the bitmap of other words, whether that
+    bitmap holds every word that is not single, over how many shards each context of the head is spread and, for
+    those over several, their rests."""
 
-    def __init__(self, head: list[bytes], counts: np.ndarray, total: int, distinct: int, rest: np.ndarray, seen: np.ndarray | None, singles: bool):
-        self.head, self.total, self.distinct, self.rest, self.seen = head, total, distinct, rest, seen
-        self.start, self.singles = len(rest) - 1, singles and seen is not None
+    def __init__(self, head: list[bytes], counts: np.ndarray, total: int, distinct: int, start: int, seen: np.ndarray | None, least: int, order: int, shards: np.ndarray):
+        self.head, self.start, self.seen, self.least, self.order, self.shards = head, start, seen, least, order, shards
+        self.singles, self.rest = least == 2 and seen is not None, np.ones(start + 1)
         self.unigram, self.once = (np.log10((c + 1) / (total + distinct + 1)) for c in (counts, 1))
 
 
-# ``n`` is 0 in the row of a text, NULL in the rows of what its pairs add
-PARTS = "key long, word binary, n long, doc_id long, n_tokens long, n_head long, head_base double, rests double, more double"
+# ``n`` is 0 in the row of a text, NULL in the rows of what its pairs and triples add: ``more``, or the logarithm
+# of 1 + ``ratio`` / P with the probability P of the word
+PARTS = "key long, word binary, n long, doc_id long, n_tokens long, n_head long, head_base double, more double, ratio double"
 _KINDS = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
 PART_SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in PARTS.split(", "))])
-ASKED = "shard int, copy int, kind int, blob binary, keys array<long>"
+PACKED = "shard int, kind int, blob binary, keys array<long>"
+PACKED_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
 
 
 def _part_batch(**columns) -> pa.RecordBatch:
@@ -237,9 +260,23 @@ def _part_batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=PART_SCHEMA)
 
 
-def _blanks(keys) -> list[bytes]:
-    """No words: rows that need no count carry them, and so spread in the join by words."""
-    return [END + int(k).to_bytes(8, "little") for k in keys]
+def _marked(mark: bytes, raw: np.ndarray) -> pa.Array:
+    """No words, since they begin with a blank: rows of bytes by which rows are dealt in the join by words."""
+    n, size = len(raw), 1 + len(mark) + raw.shape[1]
+    whole = np.empty((n, size), np.uint8)
+    whole[:, : 1 + len(mark)] = np.frombuffer(END + mark, np.uint8)
+    whole[:, 1 + len(mark) :] = raw
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * size), pa.py_buffer(whole)])
+
+
+def _blanks(key: np.ndarray) -> pa.Array:
+    """For rows that need no word."""
+    return _marked(b"k", np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :3])
+
+
+def _other(ids: np.ndarray) -> pa.Array:
+    """For words outside the head, by their ids."""
+    return _marked(b"w", ids.astype(">i8").view(np.uint8).reshape(-1, 8))
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -252,204 +289,227 @@ def _unplaned(raw: bytes, kind, n: int, at: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
 
 
-def _packed(code: np.ndarray, n: np.ndarray, context: np.ndarray, word: np.ndarray, text: np.ndarray) -> bytes:
-    """Rising codes of pairs of head words with their counts, then other pairs; ``text`` numbers both."""
-    sizes = np.array([len(code), len(context)], np.int64)
-    parts = [_planes(np.diff(code, prepend=0)), _planes(n.astype(np.uint32)), context.tobytes(), word.tobytes(), _planes(text.astype(np.uint32))]
-    return b"".join([sizes.tobytes(), *parts])
+def _packed(columns: list[np.ndarray], new: np.ndarray, learned: np.ndarray, start: int) -> bytes:
+    """Ids by column (the few of words outside the head apart), where a new text begins, and which texts are learned from."""
+    parts = [np.array([len(new), len(columns)], np.int64).tobytes()]
+    for ids in columns:
+        other = ids < 0
+        parts.append(_planes(np.where(other, start + 2, np.where(ids == NONE, start + 1, ids)).astype(np.uint32)))
+        parts.append(ids[other].tobytes())
+    return b"".join([*parts, new.astype(np.uint8).tobytes(), learned.astype(np.uint8).tobytes()])
 
 
-def _unpacked(raw: bytes, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts, words, text numbers, counts."""
-    h, o = (int(x) for x in np.frombuffer(raw, np.int64, 2))
-    context, word = _split(np.cumsum(_unplaned(raw, np.int64, h, 16)), start)
-    n = _unplaned(raw, np.uint32, h, 16 + 8 * h)
-    others = np.frombuffer(raw, np.int64, 2 * o, 16 + 12 * h).reshape(2, o)
-    text = _unplaned(raw, np.uint32, h + o, 16 + 12 * h + 16 * o)
-    return np.concatenate([context, others[0]]), np.concatenate([word, others[1]]), text, np.concatenate([n, np.ones(o, np.uint32)])
+def _unpacked(raw: bytes, start: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Columns of ids, text numbers, which texts are learned from."""
+    n, k = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+    columns, at = [], 16
+    for _ in range(k):
+        ids = _unplaned(raw, np.uint32, n, at).astype(np.int64)
+        other = np.flatnonzero(ids == start + 2)
+        ids[ids == start + 1] = NONE
+        ids[other] = np.frombuffer(raw, np.int64, len(other), at + 4 * n)
+        columns.append(ids)
+        at += 4 * n + 8 * len(other)
+    text = np.cumsum(np.frombuffer(raw, np.uint8, n, at), dtype=np.int32) - 1
+    return columns, text, np.frombuffer(raw, np.uint8, -1, at + n) > 0
 
 
-def _asked(shared, shards: int, copies: int, hot: int):
-    """The one pass over the texts.  Per chunk of texts: rows of kind 1, a shard's pairs packed with the keys of their texts,
-    and one row of kind 2, what the head words give per text (``n`` is 0) and the other words of each text with their counts."""
+def _asked(shared, shards: int):
+    """The one pass over the texts.  Per chunk of texts: rows of kind 1, a shard's words with those before and the keys of their
+    texts, and one row of kind 2, what the head words give per text (``n`` is 0) and the other words of each text with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        words, pack, log_rest = WordIds(m.head, m.start, m.seen), zstandard.ZstdCompressor(level=1), np.log10(m.rest)
+        words, pack = WordIds(m.head, m.start, m.seen), zstandard.ZstdCompressor(level=1)
+        held: list[tuple] = []
         turn = waiting = 0
-        stats: list[tuple] = []
-        codes: list[np.ndarray] = []
-        others: list[list[np.ndarray]] = []
-        rare: list[bytes] = []
-        rare_n: list[int] = []
-        rare_of: list[int] = []
-
-        def pairs(key: np.ndarray) -> Iterator[tuple]:
+
+        def packed(key: np.ndarray, learned: np.ndarray, text: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple]:
             """Rows of kind 1."""
-            number, bits = np.arange(len(key)), len(key).bit_length()
-            code = np.sort((np.concatenate(codes) << bits) | np.repeat(number, [len(c) for c in codes]))
-            new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
-            n, code = np.diff(new, append=len(code)), code[new]
-            text, code = code & ((1 << bits) - 1), code >> bits
-            context, word = (np.concatenate([o[k] for o in others]) for k in (0, 1))
-            other_text = np.repeat(number, [len(o[0]) for o in others])
-            cuts = []
-            for c, w in (_split(code, m.start), (context, word)):
-                shard = _shard(c, w, shards, hot, m.start).astype(np.uint16 if shards < 1 << 16 else np.int64)
-                order = np.argsort(shard, kind="stable")  # pairs stay sorted by context within a shard
-                cuts.append((order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.int64))))
+            v, w = columns[:2]
+            u = columns[2] if m.order == 3 else np.full(len(v), NONE)
+            shard = _shard(v, w, u, shards, m.shards).astype(np.uint16 if shards < 1 << 16 else np.int64)
+            order = np.argsort(shard, kind="stable")  # words of a text stay together
+            edges = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.int64))
             for s in range(shards):
-                at, o = (order[edges[s] : edges[s + 1]] for order, edges in cuts)
-                if len(at) + len(o):
-                    both = np.concatenate([text[at], other_text[o]])
-                    used = np.zeros(len(key), bool)
-                    used[both] = True
-                    blob = _packed(code[at], n[at], context[o], word[o], (np.cumsum(used) - 1)[both])
-                    yield s, (s + turn) % copies, 1, pack.compress(blob), key[used]
+                at = order[edges[s] : edges[s + 1]]
+                if len(at):
+                    new = np.diff(text[at], prepend=-1) > 0
+                    used = text[at[new]]
+                    yield s, 1, pack.compress(_packed([c[at] for c in columns], new, learned[used], m.start)), key[used]
 
         def emit():
             nonlocal turn
-            key, doc, n_tokens, n_head, head_base, rests = zip(*stats, strict=True)
-            key = signed(key)
-            rows = list(pairs(key))
+            doc, learned, texts = zip(*held, strict=True)
+            key, flags = signed([_key(*h) for h in held]), np.array(learned, bool)
+            tokens, sizes = _joined(texts)
+            numbers = words.numbers(tokens)
+            other = np.flatnonzero(numbers < 0)
+            ids = words.ids(tokens, numbers, other)
+            text = np.repeat(np.arange(len(texts)), sizes)
+            head = numbers >= 0
+            n_head = np.bincount(text[head], minlength=len(texts))
+            head_base = np.bincount(text[head], m.unigram[numbers[head]], len(texts))
+            if m.singles:
+                single = (ids[other] == NONE) & flags[text[other]]
+                once = np.bincount(text[other[single]], minlength=len(texts))
+                n_head, head_base, other = n_head + once, head_base + once * m.once, other[~single]
+            rare = Counter(zip(text[other].tolist(), [tokens[i] for i in other.tolist()], strict=True))
+            context, before = _before(ids, sizes, m.start)
+            at = np.flatnonzero(context != NONE)
+            rows = list(packed(key, flags, text[at], [x[at] for x in (context, ids, before)[: m.order]]))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, PART_SCHEMA) as stream:
                 blank = np.zeros(len(key), np.int64)
-                stream.write_batch(_part_batch(key=key, word=_blanks(key.view(np.uint64)), n=blank, doc_id=doc, n_tokens=n_tokens, n_head=n_head, head_base=head_base, rests=rests))
-                stream.write_batch(_part_batch(key=key[np.array(rare_of, np.int64)], word=rare, n=rare_n))
-            rows.append((turn % shards, turn // shards % copies, 2, pack.compress(sink.getvalue()), []))
+                stream.write_batch(_part_batch(key=key, word=_blanks(key), n=blank, doc_id=doc, n_tokens=sizes, n_head=n_head, head_base=head_base))
+                stream.write_batch(_part_batch(key=key[np.array([t for t, _ in rare], np.int64)], word=[w for _, w in rare], n=list(rare.values())))
+            rows.append((turn % shards, 2, pack.compress(sink.getvalue()), []))
             turn += 1
-            for x in (stats, codes, others, rare, rare_n, rare_of):
-                x.clear()
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in ASKED.split(", ")])
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), PACKED_KINDS, strict=True)], [c.split()[0] for c in PACKED.split(", ")])
 
         for batch in batches:
-            for doc, text, learned in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                text = text or b""
-                tokens = _tokens(text)
-                numbers, other, ids = words.of(tokens)
-                head = numbers[numbers >= 0]
-                n_head, head_base = len(head), m.unigram[head].sum()
-                if learned and m.singles:
-                    single = ids[other] == NONE
-                    n_head, head_base = n_head + int(single.sum()), head_base + single.sum() * m.once
-                    other = other[~single]
-                context, known = _contexts(numbers, m.start)
-                if len(other):
-                    found = Counter([tokens[i] for i in other])
-                    rare += found
-                    rare_n += found.values()
-                    rare_of += [len(stats)] * len(found)
-                stats.append((_key(doc, learned, text), doc, len(numbers), n_head, head_base, log_rest[context[known]].sum()))
-                code, *rest = _pairs(ids, m.start)
-                codes.append(code)
-                others.append(rest)
-                waiting += len(tokens)
+            docs, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for doc, text, learned in zip(docs, as_bytes(batch.column(1)), flags, strict=True):
+                held.append((doc, learned, text or b""))
+                waiting += len(held[-1][2])
                 if waiting > CHUNK:
                     yield from emit()
                     waiting = 0
-        if stats:
+        if held:
             yield from emit()
 
     return run
 
 
-def _entry(context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
-    """Place of an entry in its shard's bitmap."""
-    return (mix((context.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _tries(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    group = group.combine_chunks()
-    context, word, level, count = (group.column(c).to_numpy() for c in ("context", "word", "level", "word_n"))
-    contexts, c = np.unique(context, return_inverse=True)
-    words, first, w = np.unique(word, return_index=True, return_inverse=True)
-    order = np.lexsort((w, c))
-    tail, tail_words = int((contexts < 0).sum()), int((words < 0).sum())
-    # all pairs of a context outside the head are in this shard
-    rest = 1 - np.bincount(c, np.exp2(-level / STEPS), len(contexts))[:tail]
-    bits = max(6, (16 * len(c)).bit_length())
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    at = _entry(c, w, bits)
-    np.bitwise_or.at(bitmap, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-    sizes = np.array([len(contexts), tail, len(words), tail_words, len(bitmap)], np.int64)
-    parts = [sizes, contexts, rest, words, count[first[:tail_words]].astype(np.int64), bitmap]
-    blob = b"".join(x.tobytes() for x in parts) + build_trie(c[order], w[order], level[order], len(contexts))
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
-
-
-class Shard:
-    """A trie over the shard's own numbers of contexts and words."""
-
-    def __init__(self, blob: bytes, m: Model):
-        self.m, at, self.arrays = m, 40, []
-        sizes = np.frombuffer(blob, np.int64, 5)
-        for n, kind in zip(sizes, (np.int64, np.float64, np.int64, np.int64, np.uint64), strict=True):
-            self.arrays.append(np.frombuffer(blob, kind, n, at))
-            at += 8 * int(n)
-        self.trie = Trie(blob[at:])
-        self.bits = len(self.arrays[4]).bit_length() + 5
-        self.tail_unigram = np.log10((self.arrays[3] + 1) / (m.total + m.distinct + 1))
-
-    @staticmethod
-    def _numbers(held: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(held, ids), len(held) - 1)
-        return at, held[at] == ids
-
-    @staticmethod
-    def _values(ids: np.ndarray, head: np.ndarray, numbers: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        out = np.empty(len(ids))
-        out[ids >= 0] = head[ids[ids >= 0]]
-        out[ids < 0] = tail[numbers[ids < 0]]  # ids below zero are the first
-        return out
-
-    def more(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the pairs in the model, and log10((q + rest * P) / (rest * P)) of these."""
-        c, known = self._numbers(self.arrays[0], context)
-        w, known_word = self._numbers(self.arrays[2], word)
-        at = np.flatnonzero(known & known_word)
-        place = _entry(c[at], w[at], self.bits)
-        at = at[(self.arrays[4][place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1]
-        level = self.trie.find(c[at], w[at])
-        at, level = at[level >= 0], level[level >= 0]
-        rest = self._values(context[at], self.m.rest, c[at], self.arrays[1])
-        unigram = self._values(word[at], self.m.unigram, w[at], self.tail_unigram)
-        return at, np.log10(np.exp2(-level / STEPS) / (10.0**unigram) / rest + 1)
-
-
-def _answer(shared):
-    """Within a partition sorted by (shard, copy, kind): a trie, then the pairs it answers, then the other parts."""
+def _pack_pairs(shared):
+    """The kept pairs of a context that is spread, packed, and the sum of their q."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        context, word, n, total = (group.column(c).to_numpy() for c in ("context", "word", "n", "context_n"))
+        level = _level(n, total)
+        blob = zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([context[0]]).tobytes(), _planes(word), _planes(level)]))
+        return pa.table({"context": pa.array(context[:1]), "blob": pa.array([blob], pa.binary()), "q": pa.array([_q(level).sum()])})
+
+    return run
+
+
+def _dense(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(values, return_inverse=True)
+
+
+def _found(held: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``asked`` among the rising ``held``, and whether each is there."""
+    at = np.minimum(np.searchsorted(held, asked), len(held) - 1)
+    return at, held[at] == asked
+
+
+def _score_shard(shared):
+    """Counts a shard's n-grams, builds its trie and looks the n-grams of all its texts up in it."""
+
+    def run(_: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         m: Model = shared.value
         unpack = zstandard.ZstdDecompressor()
-        trie, held = None, None
-        for batch in batches:
-            keys, sums = [], []
+        out, keys, learned, columns, texts, spread = [], [], [], [], [], []
+        seen = 0
+        for batch in group.to_batches():
+            kind, blob, own = (batch.column(batch.schema.get_field_index(c)) for c in ("kind", "blob", "keys"))
             for i in range(batch.num_rows):
-                shard, copy, kind = (batch.column(c)[i].as_py() for c in range(3))
-                blob = batch.column(3)[i].as_py()
-                if kind == 0:
-                    trie, held = Shard(blob, m), (shard, copy)
-                    continue
-                if kind == 2:
-                    yield from pa.ipc.open_stream(unpack.decompress(blob))
-                    continue
-                if held != (shard, copy):  # no pair of these contexts is in the model
+                raw = unpack.decompress(blob[i].as_py())
+                if kind[i].as_py() == 0:
+                    n = (len(raw) - 8) // 16
+                    spread.append((np.full(n, np.frombuffer(raw, np.int64, 1)[0]), _unplaned(raw, np.int64, n, 8), _unplaned(raw, np.int64, n, 8 + 8 * n)))
+                elif kind[i].as_py() == 1:
+                    ids, text, flags = _unpacked(raw, m.start)
+                    columns.append(ids)
+                    texts.append(text + np.int32(seen))
+                    learned.append(flags)
+                    keys.append(own[i].values.to_numpy())
+                    seen += len(flags)
+                else:
+                    out += pa.ipc.open_stream(raw)
+        if columns:
+            v, w, *u = (np.concatenate([c.pop(0) for c in columns]) for _ in range(m.order))  # one column at a time
+            given = tuple(np.concatenate(c) for c in zip(*spread, strict=True)) if spread else (np.zeros(0, np.int64),) * 3
+            spread.clear()
+            text, flags, key = np.concatenate(texts), np.concatenate(learned), np.concatenate(keys)
+            texts.clear()
+            more = np.zeros(len(key))
+            parts = len(v) // AT_ONCE + 1  # a context's words are in one part
+            part, given_part = _part(v, parts), _part(given[0], parts)
+            for p in range(parts):
+                at = np.flatnonzero(part == p)
+                if not len(at):
                     continue
-                context, word, text, n = _unpacked(unpack.decompress(blob), m.start)
-                at, more = trie.more(context, word)
-                own = batch.column(4)[i].values.to_numpy()
-                keys.append(own)
-                sums.append(np.bincount(text[at], more * n[at], len(own)))
-            if keys:
-                key = np.concatenate(keys)
-                yield _part_batch(key=key, word=_blanks(key.view(np.uint64)), more=np.concatenate(sums))
+                before = u[0][at] if u else np.full(len(at), NONE)
+                value, ratio, tail, back = _values(m, v[at], w[at], before, flags[text[at]], tuple(g[given_part == p] for g in given))
+                more += np.bincount(text[at], value[back], len(key))
+                late = np.flatnonzero(tail[back] < 0)
+                at, back = at[late], back[late]
+                out.append(_part_batch(key=key[text[at]], word=_other(tail[back]), ratio=ratio[back]))
+            out.append(_part_batch(key=key, word=_blanks(key), more=more))
+        release()
+        return pa.Table.from_batches(out, PART_SCHEMA)
 
     return run
 
 
+def _values(m: Model, v: np.ndarray, w: np.ndarray, u: np.ndarray, learned: np.ndarray, given: tuple[np.ndarray, ...]):
+    """What each distinct (u, v, w) adds to the logarithm of P(w), log10(a / P(w) + b): all of it, or for words outside the
+    head log10(b), with the ratio a / b and the word's id (else 0); and which of them each occurrence is."""
+    (vs, vi), (ws, wi), (us, ui) = map(_dense, (v, w, u))
+    pairs, pi = _dense(vi * len(ws) + wi)
+    contexts, ci = _dense(vi * len(us) + ui)
+    triples, ti = _dense(pi * len(us) + ui)
+    pair_v, pair_w = np.divmod(pairs, len(ws))
+    context_v, context_u = np.divmod(contexts, len(us))
+    triple_p, triple_u = np.divmod(triples, len(us))
+    triple_v = pair_v[triple_p]
+    triple_c = np.searchsorted(contexts, triple_v * len(us) + triple_u)
+    count = lambda at, size: np.bincount(at[learned], minlength=size)
+
+    # pairs: counted here, or given for contexts that are spread
+    single = (vs < 0) | (vs > m.start)
+    single[~single] = m.shards[vs[~single]] == 1
+    n = count(pi, len(pairs))
+    kept = (n >= m.least) & (ws[pair_w] != NONE) & single[pair_v]
+    level = np.zeros(len(pairs), np.int64)
+    level[kept] = _level(n[kept], count(vi, len(vs))[pair_v[kept]])
+    rest = 1 - np.bincount(pair_v[kept], _q(level[kept]), len(vs))
+    rest[~single] = m.rest[vs[~single]]
+    (at, known), (word, known_word) = _found(vs, given[0]), _found(ws, given[1])
+    known &= known_word
+    at, here = _found(pairs, (at * len(ws) + word)[known])
+    kept[at[here]], level[at[here]] = True, given[2][known][here]
+
+    # triples: a kept one is made of kept pairs
+    n = count(ti, len(triples))
+    kept3 = (n >= m.least) & (us[triple_u] != NONE) & kept[triple_p]
+    level3 = _level(n[kept3], count(ci, len(contexts))[triple_c[kept3]])
+    rest3 = 1 - np.bincount(triple_c[kept3], _q(level3), len(contexts))
+    held = np.zeros(len(contexts), bool)
+    held[triple_c[kept3]] = True
+    number, number3 = np.cumsum(kept) - 1, np.cumsum(held) - 1
+    trie = Trie3(
+        len(vs), (pair_v[kept], pair_w[kept], level[kept]), (context_u[held], context_v[held], rest3[held]),
+        (number[triple_p[kept3]], number3[triple_c[kept3]], level3),
+    )
+
+    # every n-gram of the texts is looked up
+    pair, context = trie.pairs.at(pair_v, pair_w), trie.context(context_u, context_v)
+    q = np.where(pair >= 0, _q(trie.pairs.level[pair]), 0.0) if kept.any() else np.zeros(len(pairs))
+    r = np.where(context >= 0, trie.value[context], 1.0) if held.any() else np.ones(len(contexts))
+    level3 = trie.triple(pair[triple_p], context[triple_c], triple_v)
+    a = np.where(level3 >= 0, _q(level3), 0.0) + r[triple_c] * q[triple_p]
+    b = r[triple_c] * rest[triple_v]
+    word = ws[pair_w[triple_p]]
+    tail = np.where((a > 0) & (word < 0), word, 0)
+    value = np.zeros(len(triples))
+    some = np.flatnonzero((a > 0) & (word >= 0))
+    value[some] = a[some] / 10.0 ** m.unigram[word[some]]
+    return np.log10(value + b), a / b, tail, ti
+
+
 def head_words(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray, DataFrame]:
     """The commonest words by falling count, at most ``most``, and their counts: all
     words above a count, found from a histogram of the counts' logarithms (at most a
@@ -467,10 +527,12 @@ def head_words(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray, D
 
 
 def lm_scores(
-    docs: DataFrame, train: Column, head: int = HEAD, vocabulary: int | None = VOCABULARY, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, train: Column, head: int = HEAD, vocabulary: int | None = VOCABULARY, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", order: int = 2,
 ) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` per row of ``docs``;
-    ``train`` marks the rows to learn from."""
+    ``train`` marks the rows to learn from, ``order`` (2 or 3) is the length of the longest n-grams."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("learned"))
@@ -488,63 +550,51 @@ def lm_scores(
     wide = vocabulary is None and not tail.filter(F.col("n") >= least).isEmpty()
     others = materialize(others, "other-words") if wide else None
     seen = _seen(others) if wide else None
-    known = sc.broadcast((words[:start], start, seen))
     release()
 
-    pairs = learn.mapInArrow(lean(_count_pairs(known)), "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    # Counts of the head's contexts as a small written table: as a literal they would fill the driver's plans.
-    held = pd.DataFrame({"id": np.arange(start + 1), "id_n": np.append(n_words[:start], texts).astype(np.int64)})
-    held = materialize(spark.createDataFrame(held, "id long, id_n long").coalesce(1), "head-counts")
-    pairs = materialize(pairs, "pair-counts")
-    known.unpersist()
-    counted = [pairs.filter("context >= 0").join(held, F.col("context") == F.col("id"))]
-    if wide:
-        counted.append(pairs.filter("context < 0").join(others, F.col("context") == F.col("id")))
-    pairs = reduce(DataFrame.union, [x.select(*pairs.columns, F.col("id_n").cast("double").alias("context_n")) for x in counted])
-    level = F.ceil(-F.log2((F.col("n") - DISCOUNT) / F.col("context_n")) * STEPS).cast("int")
-    pairs = materialize(pairs.select("context", "word", level.alias("level")), "pairs")
-    taken = F.sum(F.pow(F.lit(2.0), -F.col("level") / STEPS)).alias("q")
-    rest = np.ones(start + 1)
-    q = pairs.filter("context >= 0").groupBy("context").agg(taken).toPandas()  # at most one row per head word
-    rest[q["context"].to_numpy()] = 1 - q["q"].to_numpy()
-    model = sc.broadcast(Model(words, n_words, total, distinct, rest, seen, least == 2))
-
-    kept = pairs.count()
-    shards = max(4, -(-kept // PAIRS_A_SHARD))
-    copies = max(2, -(-total // (shards * TOKENS_A_COPY)))
-    hot = int((n_words[:start] > SPREAD).sum())
-    counted = pairs.withColumn("word_n", F.lit(0).cast("long"))  # at hand for head words
-    if wide:
-        by_word = pairs.filter("word < 0").join(others, F.col("word") == F.col("id")).select(*pairs.columns, F.col("id_n").alias("word_n"))
-        counted = counted.filter("word >= 0").union(by_word)
-    spread = F.expr(f"context >= 0 AND context < {hot} OR context = {start}")
-    shard = (F.pmod("context", F.lit(shards)) + F.when(spread, F.pmod("word", F.lit(shards))).otherwise(0)) % shards  # as _shard
-    tries = counted.withColumn("shard", shard.cast("int")).groupBy("shard").applyInArrow(_tries, "shard int, blob binary")
-    tries = tries.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("kind"), "blob", F.array().cast("array<long>").alias("keys"))
-    asked = read.mapInArrow(lean(_asked(model, shards, copies, hot)), ASKED)
-    met = tries.union(asked).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
-
-    # What the other words give as words and as contexts: each but the end token is followed by one token.
+    size = F.octet_length("text") + 1
+    every, learned = read.agg(F.sum(F.coalesce(size, F.lit(1))), F.sum(F.when(F.col("learned"), F.coalesce(size, F.lit(1))))).first()
+    shards = max(4, -(-int(total * (every or 0) / (learned or 1)) // WORDS_A_SHARD))
+    n_contexts = np.append(n_words[:start], texts).astype(np.int64)
+    model = Model(words, n_words, total, distinct, start, seen, least, order, np.clip(-(-n_contexts // SPREAD), 1, shards))
+    known = sc.broadcast(model)
+    spread = np.flatnonzero(model.shards > 1)
+    asked = None
+    if len(spread):
+        contexts = spark.createDataFrame(pd.DataFrame({"context": spread, "context_n": n_contexts[spread]}))  # total / SPREAD rows at most
+        pairs = learn.mapInArrow(lean(_count_spread(known)), "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
+        pairs = pairs.filter(F.col("n") >= least).join(F.broadcast(contexts), "context")
+        pairs = pairs.groupBy("context", F.pmod("word", F.lit(BUCKETS)).alias("bucket")).applyInArrow(_pack_pairs(None), "context long, blob binary, q double")
+        pairs = materialize(pairs, "spread-pairs")
+        for context, q in pairs.groupBy("context").agg(F.sum("q")).collect():
+            model.rest[context] = 1 - q
+        known.unpersist()
+        known = sc.broadcast(model)
+        first = (mix(spread.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        to = [(int(c), int((f + i) % shards)) for c, f in zip(spread, first, strict=True) for i in range(model.shards[c])]
+        to = spark.createDataFrame(pd.DataFrame(to, columns=["context", "shard"])).withColumn("shard", F.col("shard").cast("int"))
+        asked = pairs.join(F.broadcast(to), "context").select("shard", F.lit(0).alias("kind"), "blob", F.array().cast("array<long>").alias("keys"))
+    spark._jvm.System.gc()  # the files of finished shuffles go with their plans
+    packed = read.mapInArrow(lean(_asked(known, shards)), PACKED)
+    asked = packed if asked is None else asked.union(packed)
+
+    # Words outside the head by themselves, for their probabilities, and by their ids, for what the tries give.
     tail = tail.select("word", F.col("n").alias("c"))
     if wide:
-        rests = pairs.filter("context < 0").groupBy("context").agg(F.log10(1 - taken).alias("log_rest"))
-        tail = tail.join(rests, _hash_id("word") == F.col("context"), "left").select("word", "c", "log_rest")
-    else:
-        tail = tail.withColumn("log_rest", F.lit(None).cast("double"))
+        tail = tail.union(others.select(F.concat(F.lit(" w").cast("binary"), F.unhex(F.hex("id"))), "id_n"))
 
     # rows that repeat an id and text (both learned from, or neither) share a key: parts summed over them are divided by their number
-    parts = met.mapInArrow(lean(_answer(model)), PARTS).join(tail, "word", "left")
-    one = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
+    parts = asked.groupBy("shard").applyInArrow(_score_shard(known), PARTS).join(tail, "word", "left")
+    p = (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1))
     whole = parts.groupBy("key").agg(
-        F.count_if(F.col("n") == 0).alias("rows"), F.sum(F.col("n") * one).alias("tail_base"),
-        F.sum(F.col("n") * F.coalesce("log_rest", F.lit(0.0))).alias("tail_rests"),
+        F.count_if(F.col("n") == 0).alias("rows"), F.sum(F.col("n") * F.log10(p)).alias("tail_base"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_tail"),
-        F.sum("more").alias("more"), *[F.max(c).alias(c) for c in ("doc_id", "n_tokens", "n_head", "head_base", "rests")],
+        F.sum(F.coalesce("more", F.log10(F.col("ratio") / p + 1))).alias("more"), *[F.max(c).alias(c) for c in ("doc_id", "n_tokens", "n_head", "head_base")],
     )
     part = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("rows")
     base = F.col("head_base") + part("tail_base")
     out = whole.select(
         "doc_id", "n_tokens", (F.col("n_head") + part("n_tail").cast("long")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (base + F.col("rests") + part("tail_rests") + part("more")).alias("score"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("i"),
+        base.alias("base_score"), (base + part("more")).alias("score"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("i"),
     )
     return out.drop("i")

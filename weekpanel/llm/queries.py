@@ -14,7 +14,7 @@ from weekpanel.llm.decontaminate import contaminated
 from weekpanel.llm.host_rules import apply_host_rules
 from weekpanel.llm.language import fit_language, language_of
 from weekpanel.llm.licenses import scan_licenses
-from weekpanel.llm.lm_score import lm_scores
+from weekpanel.llm.lm_score import ORDER, lm_scores
 from weekpanel.llm.minhash import near_duplicates
 from weekpanel.llm.packing import pack
 from weekpanel.llm.quality import fit_quality, score_column
@@ -245,7 +245,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of all documents."""
     out = remainder("doc_id", 7) == 2
-    return lm_scores(table(spark, sf_dir, "documents"), ~out).select(
+    return lm_scores(table(spark, sf_dir, "documents"), ~out, order=ORDER).select(
         "doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 

@@ -3,10 +3,14 @@
 import binascii
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -215,6 +219,76 @@ def test_lm_triples_of_edge_texts(spark, edges, empty):
     assert {r.score for r in lm_score.lm_scores(edges, F.lit(False), order=3).collect()} == {0.0}
 
 
+class _Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def _lm_model(words, shards, seen=None):
+    start = len(words)
+    return _Shared(lm_score.Model(words, np.ones(start, np.int64), start, start, start, seen, 2, 3, np.full(start + 1, shards)))
+
+
+def _lm_batch(texts, ids):
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts), pa.array([True] * len(texts))], ["doc_id", "text", "learned"])
+
+
+def test_lm_pairs_of_spread_contexts_are_exchanged_by_bucket():
+    """Rows follow the buckets, not the pairs, and hold every pair once with its count."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(400)) for _ in range(20)]
+    model, want = _lm_model([b" ", *(b"w%d" % i for i in range(300))], 4), Counter()
+    ranks = {w: i for i, w in enumerate(model.value.head)}
+    for t in texts:
+        own = [model.value.start, *(ranks[w] for w in t.encode().split()), 0]
+        want.update(zip(own, own[1:], strict=False))
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 5])], ["text"]) for i in (0, 5, 10, 15)]
+    out = pa.Table.from_batches(lm_score._count_spread(model, 4)(iter(batches)))
+    assert out.num_rows <= 4 and len(want) > 5000
+    spread = np.arange(model.value.start + 1)
+    total = np.full(len(spread), 8000)
+    got = {}
+    for bucket in range(4):
+        packed = lm_score._pack_pairs(spread, total, 1)((pa.scalar(bucket),), out.filter(pc.equal(out["bucket"], bucket)))
+        for blob in packed["blob"]:
+            raw = zstandard.ZstdDecompressor().decompress(blob.as_py())
+            n = (len(raw) - 8) // 16
+            context = int(np.frombuffer(raw, np.int64, 1)[0])
+            word, level = (lm_score._unplaned(raw, np.int64, n, 8 + 8 * i * n) for i in range(2))
+            assert not got.keys() & {(context, w) for w in word.tolist()}
+            got |= {(context, w): x for w, x in zip(word.tolist(), level.tolist(), strict=True)}
+    n = np.array(list(want.values()))
+    assert got == dict(zip(want, lm_score._level(n, np.full(len(n), 8000)).tolist(), strict=True))
+
+
+def test_lm_shards_return_a_row_a_chunk():
+    """Rows and bytes a text costs must not grow with the shards its words go to."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(60)) for _ in range(200)]
+    model = _lm_model([b" ", *(b"w%d" % i for i in range(300))], 1)
+    asked = pa.Table.from_batches(lm_score._asked(model, 8)(iter([_lm_batch(texts, range(200))])))
+    assert asked.num_rows == 9 and len(set(asked["chunk"].to_pylist())) == 1
+    rows = numbered = 0
+    for shard in range(8):
+        out = lm_score._score_shard(model)((pa.scalar(shard),), asked.filter(pc.equal(asked["shard"], shard)))
+        lists = out.filter(pc.is_valid(out["more"]))
+        rows += lists.num_rows
+        numbered += sum(map(len, lists["numbers"].to_pylist()))
+        assert [len(x) for x in lists["more"].to_pylist()] == [len(x) for x in lists["numbers"].to_pylist()]
+    assert rows == 8 and 1000 < numbered <= 1600
+
+
+def test_lm_many_short_texts_fill_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "TEXTS", 7)
+    docs = [(i, ["", "a b", "a b a c", "c"][i % 4]) for i in range(30)]
+    rows = lm_score.lm_scores(document_frame(spark, [(*d, None, None) for d in docs]), F.lit(True), order=3).collect()
+    want = brute.lm(docs, lambda i: False, lm_score.HEAD, None, order=3)
+    assert sorted(r.doc_id for r in rows) == list(range(30))
+    for r in rows:
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3]
+        assert r.base_score == pytest.approx(want[r.doc_id][3]) and r.score == pytest.approx(want[r.doc_id][4])
+
+
 # ------------------------------------------------------------- near-duplicates
 def test_near_duplicates_match_brute_force(spark):
     rows = queries.QUERIES["op8_minhash"](spark, SF01).collect()

@@ -21,9 +21,10 @@ the start mark and the first.
 Tries.  One pass over the texts packs the words of each chunk of texts, with the one or two
 before, by shards of their context v, and what the head words give.  A shard holds every
 occurrence of its contexts, of training texts and others: its task counts them, builds the
-trie (see :class:`Trie3`) and looks the n-grams of all texts up in it.  Contexts seen more
-than ``SPREAD`` times are spread over shards by the word before them; their pairs
-are counted first and given, packed, to each of these shards.  The number of shards follows the
+trie (see :class:`Trie3`) and looks the n-grams of all texts up in it.  Texts go by their number
+in the chunk there and back, and what a shard adds to the texts of a chunk is one row.
+Contexts seen more than ``SPREAD`` times are spread over shards by the word before them; their pairs
+are counted first, packed by as many buckets, and given, packed, to each of these shards.  The number of shards follows the
 texts, so the work of a task does not grow with the corpus.  Where w is outside the head,
 P(w) meets what the trie gives in the join by words.  A word that the bitmap of words leaves
 out and a training text holds occurs once (for a ``least`` of 2).
@@ -57,7 +58,7 @@ DISCOUNT, LEAST, STEPS = 0.75, 2, 10  # ten levels an octave
 END = b" "  # never a word
 WORDS_A_SHARD, SPREAD, AT_ONCE = 3_000_000, 500_000, 150_000
 CHUNK, BUFFER, WORDS = 1_200_000, 3_000_000, 500_000  # bytes; pairs; words
-BUCKETS = 16  # of the words after a context that is spread
+TEXTS = 30_000  # in a chunk, so that their numbers are short
 SEED, SEEN_BITS = 42, 1 << 24  # the seed of Spark's xxhash64
 NONE = 1 << 62  # the id of a word in no pair
 
@@ -92,12 +93,14 @@ def _summed_pairs(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple
     return context[new], word[new], np.add.reduceat(n[order], new)
 
 
-def _count_spread(shared):
-    """Partial counts of the pairs whose context is spread over shards, summed within the task as far as memory allows."""
+def _count_spread(shared, shards: int):
+    """Partial counts of the pairs whose context is spread over shards, summed within the task as far as memory allows
+    and packed by bucket: the shard that a text's first word would go to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         words = WordIds(m.head, m.start, m.seen)
+        pack = zstandard.ZstdCompressor(level=1)
         held, other, waiting = [], [], 0
 
         def emit():
@@ -109,9 +112,14 @@ def _count_spread(shared):
                 parts.append(_summed_pairs(*(np.concatenate(x) for x in zip(*other, strict=True))))
             held.clear()
             other.clear()
-            for part in parts:
-                for i in range(0, len(part[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in part], ["context", "word", "n"])
+            if not parts:
+                return
+            context, word, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            bucket = _shard(context, word, np.full(len(context), NONE), shards, m.shards)
+            order = np.argsort(bucket, kind="stable")
+            used, first = np.unique(bucket[order], return_index=True)
+            blobs = [pack.compress(b"".join(_planes(x[at]) for x in (context, word, n))) for at in np.split(order, first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
             tokens, sizes = _joined([text or b"" for text in as_bytes(batch.column(0))])
@@ -234,6 +242,11 @@ def _key(doc, learned: bool, text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(len(mark).to_bytes(1, "little") + mark + text)
 
 
+def _chunk(keys: list[int]) -> int:
+    """A chunk's key, from those of its rows: chunks of equal rows share it."""
+    return xxhash.xxh3_64_intdigest(np.array(keys, np.uint64).tobytes())
+
+
 class Model:
     """What every task needs, of fixed size: head words by falling count, the bitmap of other words, whether that
     bitmap holds every word that is not single, over how many shards each context of the head is spread and, for
@@ -245,17 +258,19 @@ class Model:
         self.unigram, self.once = (np.log10((c + 1) / (total + distinct + 1)) for c in (counts, 1))
 
 
-# ``n`` is 0 in the row of a text, NULL in the rows of what its pairs and triples add: ``more``, or the logarithm
-# of 1 + ``ratio`` / P with the probability P of the word
-PARTS = "key long, word binary, n long, doc_id long, n_tokens long, n_head long, head_base double, more double, ratio double"
-_KINDS = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+# A text is a chunk and a number in it.  ``n`` is 0 in the row of a text, NULL in the rows of what its pairs and triples
+# add: ``more`` for each of ``numbers``, or the logarithm of 1 + ``ratio`` / P with the probability P of the word
+PARTS = "chunk long, number smallint, word binary, n long, doc_id long, n_tokens long, n_head long, head_base double, ratio double, numbers array<smallint>, more array<double>"
+_KINDS = {
+    "long": pa.int64(), "smallint": pa.int16(), "binary": pa.binary(), "double": pa.float64(), "array<smallint>": pa.list_(pa.int16()), "array<double>": pa.list_(pa.float64()),
+}
 PART_SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in PARTS.split(", "))])
-PACKED = "shard int, kind int, blob binary, keys array<long>"
-PACKED_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+PACKED = "shard int, kind int, blob binary, chunk long"
+PACKED_KINDS = [pa.int32(), pa.int32(), pa.binary(), pa.int64()]
 
 
 def _part_batch(**columns) -> pa.RecordBatch:
-    size = len(columns["key"])
+    size = len(columns["chunk"])
     arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in PART_SCHEMA]
     return pa.RecordBatch.from_arrays(arrays, schema=PART_SCHEMA)
 
@@ -289,18 +304,19 @@ def _unplaned(raw: bytes, kind, n: int, at: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel()
 
 
-def _packed(columns: list[np.ndarray], new: np.ndarray, learned: np.ndarray, start: int) -> bytes:
-    """Ids by column (the few of words outside the head apart), where a new text begins, and which texts are learned from."""
+def _packed(columns: list[np.ndarray], new: np.ndarray, learned: np.ndarray, number: np.ndarray, start: int) -> bytes:
+    """Ids by column (the few of words outside the head apart), where a new text begins, which texts are learned from and their rising numbers."""
     parts = [np.array([len(new), len(columns)], np.int64).tobytes()]
     for ids in columns:
         other = ids < 0
         parts.append(_planes(np.where(other, start + 2, np.where(ids == NONE, start + 1, ids)).astype(np.uint32)))
         parts.append(ids[other].tobytes())
-    return b"".join([*parts, new.astype(np.uint8).tobytes(), learned.astype(np.uint8).tobytes()])
+    steps = np.diff(number, prepend=0).astype(np.uint16)
+    return b"".join([*parts, new.astype(np.uint8).tobytes(), learned.astype(np.uint8).tobytes(), _planes(steps)])
 
 
-def _unpacked(raw: bytes, start: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Columns of ids, text numbers, which texts are learned from."""
+def _unpacked(raw: bytes, start: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Columns of ids, which of the texts here each is of, which texts are learned from, their numbers in the chunk."""
     n, k = (int(x) for x in np.frombuffer(raw, np.int64, 2))
     columns, at = [], 16
     for _ in range(k):
@@ -311,11 +327,13 @@ def _unpacked(raw: bytes, start: int) -> tuple[list[np.ndarray], np.ndarray, np.
         columns.append(ids)
         at += 4 * n + 8 * len(other)
     text = np.cumsum(np.frombuffer(raw, np.uint8, n, at), dtype=np.int32) - 1
-    return columns, text, np.frombuffer(raw, np.uint8, -1, at + n) > 0
+    at, texts = at + n, int(text[-1]) + 1
+    learned = np.frombuffer(raw, np.uint8, texts, at) > 0
+    return columns, text, learned, np.cumsum(_unplaned(raw, np.uint16, texts, at + texts)).astype(np.int16)
 
 
 def _asked(shared, shards: int):
-    """The one pass over the texts.  Per chunk of texts: rows of kind 1, a shard's words with those before and the keys of their
+    """The one pass over the texts.  Per chunk of texts: rows of kind 1, a shard's words with those before and the numbers of their
     texts, and one row of kind 2, what the head words give per text (``n`` is 0) and the other words of each text with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +342,7 @@ def _asked(shared, shards: int):
         held: list[tuple] = []
         turn = waiting = 0
 
-        def packed(key: np.ndarray, learned: np.ndarray, text: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple]:
+        def packed(chunk: int, learned: np.ndarray, text: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple]:
             """Rows of kind 1."""
             v, w = columns[:2]
             u = columns[2] if m.order == 3 else np.full(len(v), NONE)
@@ -336,12 +354,12 @@ def _asked(shared, shards: int):
                 if len(at):
                     new = np.diff(text[at], prepend=-1) > 0
                     used = text[at[new]]
-                    yield s, 1, pack.compress(_packed([c[at] for c in columns], new, learned[used], m.start)), key[used]
+                    yield s, 1, pack.compress(_packed([c[at] for c in columns], new, learned[used], used, m.start)), chunk
 
         def emit():
             nonlocal turn
             doc, learned, texts = zip(*held, strict=True)
-            key, flags = signed([_key(*h) for h in held]), np.array(learned, bool)
+            chunk, flags = int(signed([_chunk([_key(*h) for h in held])])[0]), np.array(learned, bool)
             tokens, sizes = _joined(texts)
             numbers = words.numbers(tokens)
             other = np.flatnonzero(numbers < 0)
@@ -357,13 +375,13 @@ def _asked(shared, shards: int):
             rare = Counter(zip(text[other].tolist(), [tokens[i] for i in other.tolist()], strict=True))
             context, before = _before(ids, sizes, m.start)
             at = np.flatnonzero(context != NONE)
-            rows = list(packed(key, flags, text[at], [x[at] for x in (context, ids, before)[: m.order]]))
+            rows = list(packed(chunk, flags, text[at], [x[at] for x in (context, ids, before)[: m.order]]))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, PART_SCHEMA) as stream:
-                blank = np.zeros(len(key), np.int64)
-                stream.write_batch(_part_batch(key=key, word=_blanks(key), n=blank, doc_id=doc, n_tokens=sizes, n_head=n_head, head_base=head_base))
-                stream.write_batch(_part_batch(key=key[np.array([t for t, _ in rare], np.int64)], word=[w for _, w in rare], n=list(rare.values())))
-            rows.append((turn % shards, 2, pack.compress(sink.getvalue()), []))
+                of, blank, number = np.full(len(texts), chunk), np.zeros(len(texts), np.int64), np.arange(len(texts), dtype=np.int16)
+                stream.write_batch(_part_batch(chunk=of, number=number, word=_blanks(of), n=blank, doc_id=doc, n_tokens=sizes, n_head=n_head, head_base=head_base))
+                stream.write_batch(_part_batch(chunk=np.full(len(rare), chunk), number=np.array([t for t, _ in rare], np.int16), word=[w for _, w in rare], n=list(rare.values())))
+            rows.append((turn % shards, 2, pack.compress(sink.getvalue()), chunk))
             turn += 1
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), PACKED_KINDS, strict=True)], [c.split()[0] for c in PACKED.split(", ")])
@@ -373,7 +391,7 @@ def _asked(shared, shards: int):
             for doc, text, learned in zip(docs, as_bytes(batch.column(1)), flags, strict=True):
                 held.append((doc, learned, text or b""))
                 waiting += len(held[-1][2])
-                if waiting > CHUNK:
+                if waiting > CHUNK or len(held) == TEXTS:
                     yield from emit()
                     waiting = 0
         if held:
@@ -382,14 +400,26 @@ def _asked(shared, shards: int):
     return run
 
 
-def _pack_pairs(shared):
-    """The kept pairs of a context that is spread, packed, and the sum of their q."""
+def _pack_pairs(spread: np.ndarray, total: np.ndarray, least: int):
+    """The kept pairs of the contexts that are spread (seen ``total`` times), per bucket and context: packed, and the sum of their q."""
 
-    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        context, word, n, total = (group.column(c).to_numpy() for c in ("context", "word", "n", "context_n"))
-        level = _level(n, total)
-        blob = zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([context[0]]).tobytes(), _planes(word), _planes(level)]))
-        return pa.table({"context": pa.array(context[:1]), "blob": pa.array([blob], pa.binary()), "q": pa.array([_q(level).sum()])})
+    def run(_: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        given = []
+        for blob in group.column("blob"):
+            raw = unpack.decompress(blob.as_py())
+            n = len(raw) // 24
+            given.append([_unplaned(raw, np.int64, n, 8 * i * n) for i in range(3)])
+        context, word, n = _summed_pairs(*(np.concatenate(x) for x in zip(*given, strict=True)))
+        context, word, n = (x[n >= least] for x in (context, word, n))
+        level = _level(n, total[np.searchsorted(spread, context)])
+        names, first = np.unique(context, return_index=True)
+        blobs, q = [], []
+        for name, i, j in zip(names, first, [*first[1:], len(context)], strict=True):
+            blobs.append(pack.compress(b"".join([name.tobytes(), _planes(word[i:j]), _planes(level[i:j])])))
+            q.append(_q(level[i:j]).sum())
+        release()
+        return pa.table({"context": pa.array(names, pa.int64()), "blob": pa.array(blobs, pa.binary()), "q": pa.array(q, pa.float64())})
 
     return run
 
@@ -410,21 +440,22 @@ def _score_shard(shared):
     def run(_: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         m: Model = shared.value
         unpack = zstandard.ZstdDecompressor()
-        out, keys, learned, columns, texts, spread = [], [], [], [], [], []
+        out, chunks, numbers, learned, columns, texts, spread = [], [], [], [], [], [], []
         seen = 0
         for batch in group.to_batches():
-            kind, blob, own = (batch.column(batch.schema.get_field_index(c)) for c in ("kind", "blob", "keys"))
+            kind, blob, own = (batch.column(batch.schema.get_field_index(c)) for c in ("kind", "blob", "chunk"))
             for i in range(batch.num_rows):
                 raw = unpack.decompress(blob[i].as_py())
                 if kind[i].as_py() == 0:
                     n = (len(raw) - 8) // 16
                     spread.append((np.full(n, np.frombuffer(raw, np.int64, 1)[0]), _unplaned(raw, np.int64, n, 8), _unplaned(raw, np.int64, n, 8 + 8 * n)))
                 elif kind[i].as_py() == 1:
-                    ids, text, flags = _unpacked(raw, m.start)
+                    ids, text, flags, number = _unpacked(raw, m.start)
                     columns.append(ids)
                     texts.append(text + np.int32(seen))
                     learned.append(flags)
-                    keys.append(own[i].values.to_numpy())
+                    chunks.append(own[i].as_py())
+                    numbers.append(number)
                     seen += len(flags)
                 else:
                     out += pa.ipc.open_stream(raw)
@@ -432,9 +463,11 @@ def _score_shard(shared):
             v, w, *u = (np.concatenate([c.pop(0) for c in columns]) for _ in range(m.order))  # one column at a time
             given = tuple(np.concatenate(c) for c in zip(*spread, strict=True)) if spread else (np.zeros(0, np.int64),) * 3
             spread.clear()
-            text, flags, key = np.concatenate(texts), np.concatenate(learned), np.concatenate(keys)
+            text, flags, number = np.concatenate(texts), np.concatenate(learned), np.concatenate(numbers)
             texts.clear()
-            more = np.zeros(len(key))
+            chunks, sizes = np.array(chunks, np.int64), [len(x) for x in numbers]
+            chunk = np.repeat(chunks, sizes)
+            more = np.zeros(len(number))
             parts = len(v) // AT_ONCE + 1  # a context's words are in one part
             part, given_part = _part(v, parts), _part(given[0], parts)
             for p in range(parts):
@@ -443,11 +476,13 @@ def _score_shard(shared):
                     continue
                 before = u[0][at] if u else np.full(len(at), NONE)
                 value, ratio, tail, back = _values(m, v[at], w[at], before, flags[text[at]], tuple(g[given_part == p] for g in given))
-                more += np.bincount(text[at], value[back], len(key))
+                more += np.bincount(text[at], value[back], len(number))
                 late = np.flatnonzero(tail[back] < 0)
                 at, back = at[late], back[late]
-                out.append(_part_batch(key=key[text[at]], word=_other(tail[back]), ratio=ratio[back]))
-            out.append(_part_batch(key=key, word=_blanks(key), more=more))
+                out.append(_part_batch(chunk=chunk[text[at]], number=number[text[at]], word=_other(tail[back]), ratio=ratio[back]))
+            edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            lists = {"numbers": pa.ListArray.from_arrays(edges, pa.array(number)), "more": pa.ListArray.from_arrays(edges, pa.array(more))}
+            out.append(_part_batch(chunk=chunks, word=_blanks(chunks), **lists))
         release()
         return pa.Table.from_batches(out, PART_SCHEMA)
 
@@ -561,10 +596,8 @@ def lm_scores(
     spread = np.flatnonzero(model.shards > 1)
     asked = None
     if len(spread):
-        contexts = spark.createDataFrame(pd.DataFrame({"context": spread, "context_n": n_contexts[spread]}))  # total / SPREAD rows at most
-        pairs = learn.mapInArrow(lean(_count_spread(known)), "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-        pairs = pairs.filter(F.col("n") >= least).join(F.broadcast(contexts), "context")
-        pairs = pairs.groupBy("context", F.pmod("word", F.lit(BUCKETS)).alias("bucket")).applyInArrow(_pack_pairs(None), "context long, blob binary, q double")
+        pairs = learn.mapInArrow(lean(_count_spread(known, shards)), "bucket int, blob binary")
+        pairs = pairs.groupBy("bucket").applyInArrow(_pack_pairs(spread, n_contexts[spread], least), "context long, blob binary, q double")
         pairs = materialize(pairs, "spread-pairs")
         for context, q in pairs.groupBy("context").agg(F.sum("q")).collect():
             model.rest[context] = 1 - q
@@ -573,7 +606,7 @@ def lm_scores(
         first = (mix(spread.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
         to = [(int(c), int((f + i) % shards)) for c, f in zip(spread, first, strict=True) for i in range(model.shards[c])]
         to = spark.createDataFrame(pd.DataFrame(to, columns=["context", "shard"])).withColumn("shard", F.col("shard").cast("int"))
-        asked = pairs.join(F.broadcast(to), "context").select("shard", F.lit(0).alias("kind"), "blob", F.array().cast("array<long>").alias("keys"))
+        asked = pairs.join(F.broadcast(to), "context").select("shard", F.lit(0).alias("kind"), "blob", F.lit(0).cast("long").alias("chunk"))
     spark._jvm.System.gc()  # the files of finished shuffles go with their plans
     packed = read.mapInArrow(lean(_asked(known, shards)), PACKED)
     asked = packed if asked is None else asked.union(packed)
@@ -583,10 +616,12 @@ def lm_scores(
     if wide:
         tail = tail.union(others.select(F.concat(F.lit(" w").cast("binary"), F.unhex(F.hex("id"))), "id_n"))
 
-    # rows that repeat an id and text (both learned from, or neither) share a key: parts summed over them are divided by their number
+    # texts of equal chunks share chunk and number: parts summed over them are divided by how many there are
     parts = asked.groupBy("shard").applyInArrow(_score_shard(known), PARTS).join(tail, "word", "left")
     p = (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1))
-    whole = parts.groupBy("key").agg(
+    one = F.array(F.struct(F.col("number").alias("numbers"), F.lit(None).cast("double").alias("more")))
+    parts = parts.select("chunk", "n", "doc_id", "n_tokens", "n_head", "head_base", "ratio", "c", F.inline(F.coalesce(F.arrays_zip("numbers", "more"), one)))
+    whole = parts.groupBy("chunk", "numbers").agg(
         F.count_if(F.col("n") == 0).alias("rows"), F.sum(F.col("n") * F.log10(p)).alias("tail_base"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_tail"),
         F.sum(F.coalesce("more", F.log10(F.col("ratio") / p + 1))).alias("more"), *[F.max(c).alias(c) for c in ("doc_id", "n_tokens", "n_head", "head_base")],
